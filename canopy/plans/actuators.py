@@ -1 +1,159 @@
-"""placeholder"""
+"""Actuator log queries: lock inputs, relay state, dose totals and limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canopy import constants as C
+from canopy.operators.latest import latest_per_key, top1
+from canopy.operators.sequence import prev_row, trailing_agg
+from canopy.plans.registry import register
+from canopy.sources import bindings as B
+
+W_A = B.with_views("actuator_logs")
+RATE_WINDOW_S = 3600          # rolling window of the dose rate limit
+RATE_LIMIT_MS = 5000          # at most this much pumping per pump per window
+TANK_CAPACITY_MS = 2_000_000  # pumping time one full tank lasts
+
+
+def act(spark, sf_dir):
+    return B.actuator_logs(spark, sf_dir)
+
+
+def completed(spark, sf_dir):
+    return act(spark, sf_dir).filter(F.col("action") == "COMPLETED")
+
+
+@register("scan_actuator_logs", W_A + "SELECT * FROM actuator_logs")
+def scan_actuator_logs(spark, sf_dir):
+    """Full scan of the actuator log."""
+    return act(spark, sf_dir)
+
+
+@register("filter_action", W_A + "SELECT * FROM actuator_logs WHERE action = 'COMPLETED'")
+def filter_action(spark, sf_dir):
+    """Completed actions only."""
+    return completed(spark, sf_dir)
+
+
+@register("last_completed_action", W_A + """
+SELECT time, actuator_id, action FROM actuator_logs WHERE action = 'COMPLETED'
+ORDER BY time DESC, id DESC LIMIT 1""")
+def last_completed_action(spark, sf_dir):
+    """Newest COMPLETED action of the whole log (the mixing lock input)."""
+    return top1(completed(spark, sf_dir), [F.col("time").desc(), F.col("id").desc()]) \
+        .select("time", "actuator_id", "action")
+
+
+@register("relay_state", W_A + """
+SELECT DISTINCT ON (device_id, actuator_id) device_id, actuator_id,
+  CASE WHEN action = 'STARTED' THEN 'ON' ELSE 'OFF' END AS state, time
+FROM actuator_logs ORDER BY device_id, actuator_id, time DESC, id DESC""")
+def relay_state(spark, sf_dir):
+    """Current ON/OFF state of every (device, pump): its newest action."""
+    a = act(spark, sf_dir)
+    last = latest_per_key(a, ["device_id", "actuator_id"], [F.col("time").desc(), F.col("id").desc()])
+    return last.select("device_id", "actuator_id",
+                       F.when(F.col("action") == "STARTED", "ON").otherwise("OFF").alias("state"),
+                       "time")
+
+
+@register("dose_totals", W_A + """
+SELECT device_id, actuator_id, count(*) AS pulses, CAST(sum(duration_ms) AS BIGINT) AS total_ms
+FROM actuator_logs WHERE action = 'COMPLETED' GROUP BY device_id, actuator_id""")
+def dose_totals(spark, sf_dir):
+    """Pulses and pumping time per device and pump."""
+    return completed(spark, sf_dir).groupBy("device_id", "actuator_id").agg(
+        F.count(F.lit(1)).alias("pulses"), F.sum("duration_ms").cast("long").alias("total_ms"))
+
+
+@register("expected_dose_effect", W_A + f"""
+SELECT id, device_id, actuator_id, time,
+  CASE actuator_id WHEN 'pump_ph_minus' THEN -(duration_ms / 1000e0 * {C.DOSE_IMPACT_PER_SEC}e0)
+                   WHEN 'pump_ph_plus' THEN duration_ms / 1000e0 * {C.DOSE_IMPACT_PER_SEC}e0
+                   ELSE 0e0 END AS ph_delta,
+  CASE WHEN contains(actuator_id, 'pump_nutri')
+       THEN duration_ms / 1000e0 * {C.DOSE_IMPACT_PER_SEC}e0 * {C.NUTRIENT_EC_FACTOR}e0 ELSE 0e0 END AS ec_delta
+FROM actuator_logs WHERE action = 'COMPLETED'""")
+def expected_dose_effect(spark, sf_dir):
+    """Modelled pH / EC change of every completed pulse."""
+    a = completed(spark, sf_dir)
+    impact = F.col("duration_ms") / F.lit(1000.0) * F.lit(C.DOSE_IMPACT_PER_SEC)
+    pump = F.col("actuator_id")
+    return a.select("id", "device_id", "actuator_id", "time",
+                    F.when(pump == C.PUMP_PH_MINUS, -impact).when(pump == C.PUMP_PH_PLUS, impact)
+                     .otherwise(F.lit(0.0)).alias("ph_delta"),
+                    F.when(pump.contains("pump_nutri"), impact * F.lit(C.NUTRIENT_EC_FACTOR))
+                     .otherwise(F.lit(0.0)).alias("ec_delta"))
+
+
+@register("nutrient_alternate", W_A + """
+SELECT id, device_id, time, actuator_id,
+  lag(actuator_id) OVER (PARTITION BY device_id ORDER BY time, id) AS prev_pump,
+  CASE WHEN lag(actuator_id) OVER (PARTITION BY device_id ORDER BY time, id) IS DISTINCT FROM 'pump_nutri_1'
+       THEN 'pump_nutri_1' ELSE 'pump_nutri_2' END AS next_nutrient
+FROM actuator_logs WHERE action = 'COMPLETED'""")
+def nutrient_alternate(spark, sf_dir):
+    """A/B nutrient choice after every completed action (null-safe on the first)."""
+    a = completed(spark, sf_dir).select("id", "device_id", "time", "actuator_id")
+    p = prev_row(a, ["device_id"], "time", {"actuator_id": "prev_pump"}, order_col="id",
+                 bucket_s=86400.0)
+    return p.withColumn("next_nutrient",
+                        F.when(~F.col("prev_pump").eqNullSafe(C.PUMP_NUTRI_1), C.PUMP_NUTRI_1)
+                        .otherwise(C.PUMP_NUTRI_2))
+
+
+@register("state_timeline", W_A + """
+, s AS (
+  SELECT id, device_id, actuator_id, time, CASE WHEN action = 'STARTED' THEN 'ON' ELSE 'OFF' END AS state
+  FROM actuator_logs),
+c AS (
+  SELECT *, lag(state) OVER (PARTITION BY device_id, actuator_id ORDER BY time, id) AS prev_state FROM s)
+SELECT device_id, actuator_id, state, time AS span_start,
+  lead(time) OVER (PARTITION BY device_id, actuator_id ORDER BY time, id) AS span_end
+FROM c WHERE prev_state IS DISTINCT FROM state""")
+def state_timeline(spark, sf_dir):
+    """ON/OFF spans per pump: equal neighbours merged (gaps and islands)."""
+    a = act(spark, sf_dir).select(
+        "id", "device_id", "actuator_id", "time",
+        F.when(F.col("action") == "STARTED", "ON").otherwise("OFF").alias("state"))
+    keys = ["device_id", "actuator_id"]
+    p = prev_row(a, keys, "time", {"state": "prev_state"}, order_col="id")
+    starts = p.filter(~F.col("prev_state").eqNullSafe(F.col("state")))
+    n = prev_row(starts.drop("prev_state"), keys, "time", {"time": "span_end"}, order_col="id",
+                 direction="next")
+    return n.select("device_id", "actuator_id", "state", F.col("time").alias("span_start"), "span_end")
+
+
+@register("dose_rate_limit", W_A + f"""
+SELECT id, device_id, actuator_id, time, duration_ms,
+  CAST(sum(duration_ms) OVER (PARTITION BY device_id, actuator_id ORDER BY time
+       RANGE BETWEEN INTERVAL {RATE_WINDOW_S} SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS ms_window,
+  sum(duration_ms) OVER (PARTITION BY device_id, actuator_id ORDER BY time
+       RANGE BETWEEN INTERVAL {RATE_WINDOW_S} SECOND PRECEDING AND CURRENT ROW) > {RATE_LIMIT_MS} AS refused
+FROM actuator_logs WHERE action = 'COMPLETED'""")
+def dose_rate_limit(spark, sf_dir):
+    """Pumping time per pump over the rolling hour; refuse beyond the limit."""
+    a = completed(spark, sf_dir).select("id", "device_id", "actuator_id", "time", "duration_ms")
+    t = trailing_agg(a, ["device_id", "actuator_id"], "time", "duration_ms", RATE_WINDOW_S,
+                     prefix="w_")
+    return t.select("id", "device_id", "actuator_id", "time", "duration_ms",
+                    F.col("w_sum").cast("long").alias("ms_window"),
+                    (F.col("w_sum") > RATE_LIMIT_MS).alias("refused"))
+
+
+@register("tank_forecast", W_A + f"""
+, daily AS (
+  SELECT actuator_id, CAST(time AS DATE) AS day, sum(duration_ms) AS ms
+  FROM actuator_logs WHERE action = 'COMPLETED' GROUP BY actuator_id, CAST(time AS DATE))
+SELECT actuator_id, CAST(sum(ms) AS DOUBLE) / count(*) AS ms_per_day,
+  {TANK_CAPACITY_MS}e0 / (CAST(sum(ms) AS DOUBLE) / count(*)) AS days_per_tank
+FROM daily GROUP BY actuator_id""")
+def tank_forecast(spark, sf_dir):
+    """Mean daily pumping per pump and the days one tank lasts at that rate."""
+    daily = (completed(spark, sf_dir)
+             .groupBy("actuator_id", F.to_date("time").alias("day"))
+             .agg(F.sum("duration_ms").alias("ms")))
+    rate = F.sum("ms") / F.count(F.lit(1))
+    return daily.groupBy("actuator_id").agg(
+        rate.alias("ms_per_day"), (F.lit(float(TANK_CAPACITY_MS)) / rate).alias("days_per_tank"))

@@ -97,3 +97,8 @@ CHUNK_DAYS = 7
 
 # Laplacian stencil of the blur score (3x3, border reflect-101).
 LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
+
+# MQTT-style topic layout of commands: <prefix>/<node>/commands, where the node
+# id is the second '_'-separated part of the device id (whole id otherwise).
+TOPIC_PREFIX = "hydro"
+COMMAND_ACTION = "PULSE"

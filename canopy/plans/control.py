@@ -164,22 +164,8 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
             .select("device_id", (F.col("slot") / per_tick).cast("long").alias("j"),
                     "avg_ph", "avg_ec"))
 
-    # -- mixing lock: last COMPLETED action at or before each tick ------------
     lock_keys = ["device_id"] if p.per_device_lock else []
-    arel = epoch_us("time") - F.lit(o_us)
-    done = (act.filter(F.col("action") == "COMPLETED")
-            .filter(F.col("time") <= ntz(last_tick))
-            .select(*lock_keys, "time", "actuator_id", "id",
-                    F.greatest(F.lit(0), F.ceil(arel / F.lit(p.tick_s * 1_000_000)))
-                    .cast("long").alias("j")))
-    last_per_slot = done.groupBy(*lock_keys, "j").agg(
-        F.max_by(F.struct("time", "actuator_id"), F.struct("time", "id")).alias("a"))
-    grid = ticks if not lock_keys else devices.crossJoin(ticks)
-    wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    lock = (grid.join(last_per_slot, [*lock_keys, "j"], "left")
-            .withColumn("a", F.last("a", ignorenulls=True).over(wf))
-            .select(*lock_keys, "j", F.col("a.time").alias("last_time"),
-                    F.col("a.actuator_id").alias("last_pump")))
+    lock = lock_table(spark, act, p, origin, n, devices if lock_keys else None)
     if not lock_keys and n <= BROADCAST_TICKS_MAX:
         lock = F.broadcast(lock)
 
@@ -198,6 +184,66 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
         F.when(target.isNotNull(), F.lit(C.BASE_PULSE_MS)).alias("duration_ms"))
 
 
+def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _dt.datetime,
+               n: int, devices: DataFrame | None = None) -> DataFrame:
+    """Last COMPLETED action at or before each tick: (j[, device_id], last_time, last_pump).
+
+    Actions are reduced to one row per tick slot (partial aggregation), then
+    forward-filled over the tick grid.  The grid has ``n`` rows -- the time
+    span divided by the period, independent of data volume -- so the global
+    (key-less) fill runs on that small table only.
+    """
+    lock_keys = ["device_id"] if devices is not None else []
+    o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000 + origin.microsecond
+    last_tick = origin + _dt.timedelta(seconds=p.tick_s * (n - 1))
+    arel = epoch_us("time") - F.lit(o_us)
+    done = (act.filter(F.col("action") == "COMPLETED")
+            .filter(F.col("time") <= ntz(last_tick))
+            .select(*lock_keys, "time", "actuator_id", "id",
+                    F.greatest(F.lit(0), F.ceil(arel / F.lit(p.tick_s * 1_000_000)))
+                    .cast("long").alias("j")))
+    last_per_slot = done.groupBy(*lock_keys, "j").agg(
+        F.max_by(F.struct("time", "actuator_id"), F.struct("time", "id")).alias("a"))
+    ticks = spark.range(0, n).select(F.col("id").alias("j"))
+    grid = ticks if not lock_keys else devices.crossJoin(ticks)
+    wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    return (grid.join(last_per_slot, [*lock_keys, "j"], "left")
+            .withColumn("a", F.last("a", ignorenulls=True).over(wf))
+            .select(*lock_keys, "j", F.col("a.time").alias("last_time"),
+                    F.col("a.actuator_id").alias("last_pump")))
+
+
+def mixing_lock(spark: SparkSession, sf_dir: str, p: ControlParams | None = None) -> DataFrame:
+    """Per tick: newest COMPLETED action, seconds since it, and whether dosing must wait."""
+    p = p or ControlParams()
+    origin, _, n = _grid(spark, sf_dir, p)
+    o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000 + origin.microsecond
+    lock = lock_table(spark, bindings.actuator_logs(spark, sf_dir), p, origin, n)
+    tick = F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000)).cast("timestamp_ntz")
+    elapsed = (epoch_us(tick) - epoch_us("last_time")) / F.lit(1e6)
+    return lock.select(tick.alias("tick"), "last_time", "last_pump",
+                       F.round(elapsed, 3).alias("elapsed_s"),
+                       F.coalesce(elapsed < F.lit(float(p.mixing_delay_s)), F.lit(False)).alias("waiting"))
+
+
+def mixing_lock_sql(p: ControlParams | None = None) -> str:
+    p = p or ControlParams()
+    return bindings.with_views("actuator_logs") + f""",
+bounds AS (SELECT date_trunc('hour', min(ts)) AS origin, max(ts) AS as_of FROM events),
+ticks AS (
+  SELECT bounds.origin + r.range * INTERVAL {p.tick_s} SECOND AS tick
+  FROM range(0, 1000000) r, bounds
+  WHERE bounds.origin + r.range * INTERVAL {p.tick_s} SECOND <= bounds.as_of),
+l AS (
+  SELECT t.tick, a.time AS last_time, a.actuator_id AS last_pump,
+         date_diff('microsecond', a.time, t.tick) / 1e6 AS elapsed_s
+  FROM ticks t ASOF LEFT JOIN
+       (SELECT time, actuator_id FROM actuator_logs WHERE action = 'COMPLETED') a ON t.tick >= a.time)
+SELECT tick, last_time, last_pump, round(elapsed_s, 3) AS elapsed_s,
+       coalesce(elapsed_s < {float(p.mixing_delay_s)}e0, false) AS waiting
+FROM l"""
+
+
 def control_replay_sql(p: ControlParams | None = None) -> str:
     """Same computation as DuckDB SQL over the driver tables (oracle)."""
     p = p or ControlParams()

@@ -1 +1,300 @@
-"""placeholder"""
+"""Operational queries: alerts, faults, maintenance, drift, calibration, recipes.
+
+The original application specifies these in its design notes; each one is a
+plain DataFrame plan over the bound tables.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from canopy import constants as C
+from canopy.functions.gauges import limits_df, limits_sql
+from canopy.functions.numeric import exact_avg, sql_avg
+from canopy.operators.latest import latest_per_key
+from canopy.operators.rangejoin import interval_join
+from canopy.operators.sequence import asof_join, epoch_us, prev_row
+from canopy.plans.registry import register
+from canopy.sources import bindings as B
+from canopy.sources.tables import as_of, event_bounds, ntz
+
+HEARTBEAT_GAP_S = 2 * 3600     # silence longer than this is a gap
+MAINTENANCE_S = 30 * 60        # a CRITICAL event opens a maintenance window this long
+DOSE_RESPONSE_S = 3600         # ph averaged this long before and after a ph dose
+STATE_SYNC_LAG_DAYS = 7        # stored state is this old when the ping arrives
+DRIFT_MIN_POINTS = 3
+DRIFT_ORIGIN = "2024-01-01 00:00:00"
+
+# Calibration rows (sensor = device:metric): slope, intercept.  Missing -> (1, 0).
+CALIBRATIONS = [("node0:ph", 1.02, -0.1), ("node1:ph", 0.98, 0.05),
+                ("node2:ec", 1.05, 0.0), ("node3:water_temp", 1.0, -0.5)]
+# Growth recipe: stage, first day, last day, target ph, target ec.
+RECIPE = [("seedling", 1, 7, 5.8, 0.8), ("vegetative", 8, 21, 6.0, 1.4),
+          ("flowering", 22, 60, 6.2, 1.8)]
+
+W_E = B.with_views("system_events")
+W_T = B.with_views("telemetry")
+
+
+def _values_sql(rows, cols):
+    def lit(v):
+        if isinstance(v, str):
+            return f"'{v}'"
+        if isinstance(v, float):
+            return f"{v}e0"
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) AS v({', '.join(cols)})"
+
+
+@register("event_counts", W_E + """
+SELECT level, category, count(*) AS n_events,
+       count(*) FILTER (WHERE NOT is_resolved) AS n_unresolved
+FROM system_events GROUP BY level, category""")
+def event_counts(spark, sf_dir):
+    """Alerts by level and category, with the unresolved count."""
+    e = B.system_events(spark, sf_dir)
+    return e.groupBy("level", "category").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count(F.when(~F.col("is_resolved"), 1)).alias("n_unresolved"))
+
+
+@register("unresolved_alerts", W_E + """
+SELECT id, time, level, category, message FROM system_events
+WHERE NOT is_resolved ORDER BY time DESC, id DESC""")
+def unresolved_alerts(spark, sf_dir):
+    """Alert list: unresolved events, newest first."""
+    e = B.system_events(spark, sf_dir).filter(~F.col("is_resolved"))
+    return e.select("id", "time", "level", "category", "message") \
+        .orderBy(F.col("time").desc(), F.col("id").desc())
+
+
+@register("heartbeat_gaps", W_T + f"""
+, g AS (SELECT device_id, lag(time) OVER (PARTITION BY device_id ORDER BY time, event_id) AS gap_start,
+               time AS gap_end FROM telemetry)
+SELECT device_id, gap_start, gap_end, date_diff('microsecond', gap_start, gap_end) / 1e6 AS gap_s
+FROM g WHERE date_diff('microsecond', gap_start, gap_end) > CAST({HEARTBEAT_GAP_S} AS BIGINT) * 1000000""")
+def heartbeat_gaps(spark, sf_dir):
+    """Silences longer than the heartbeat limit between readings of a device."""
+    t = B.telemetry(spark, sf_dir).select("event_id", "device_id", "time")
+    p = prev_row(t, ["device_id"], "time", {"time": "gap_start"}, order_col="event_id",
+                 bucket_s=6 * 3600.0)
+    gap_us = epoch_us("time") - epoch_us("gap_start")
+    return p.filter(gap_us > HEARTBEAT_GAP_S * 1_000_000).select(
+        "device_id", "gap_start", F.col("time").alias("gap_end"), (gap_us / F.lit(1e6)).alias("gap_s"))
+
+
+_PHYS = [(m, lo, hi) for m, (lo, hi) in C.PHYSICAL_LIMITS.items()]
+
+
+@register("sensor_fault", W_T + f"""
+, lim AS ({_values_sql(_PHYS, ['metric', 'lo', 'hi'])})
+SELECT t.event_id, t.device_id, t.metric, t.time, t.value,
+       CASE WHEN t.value < l.lo THEN 'below' ELSE 'above' END AS fault
+FROM telemetry t JOIN lim l ON t.metric = l.metric
+WHERE t.value < l.lo OR t.value > l.hi""")
+def sensor_fault(spark, sf_dir):
+    """Physically impossible readings (outside the sensor's possible range)."""
+    lim = spark.createDataFrame(_PHYS, "metric string, lo double, hi double")
+    t = B.telemetry(spark, sf_dir).join(F.broadcast(lim), "metric")  # fixed 3-row dimension
+    bad = t.filter((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
+    return bad.select("event_id", "device_id", "metric", "time", "value",
+                      F.when(F.col("value") < F.col("lo"), "below").otherwise("above").alias("fault"))
+
+
+@register("ph_drift", B.with_views("telemetry", "actuator_logs") + f"""
+, d AS (
+  SELECT t.device_id, a.time AS span_start, t.time, t.value
+  FROM (SELECT * FROM telemetry WHERE metric = 'ph') t
+  ASOF LEFT JOIN (SELECT * FROM actuator_logs WHERE action = 'COMPLETED'
+                  AND actuator_id IN ('pump_ph_minus', 'pump_ph_plus')) a
+    ON t.device_id = a.device_id AND t.time >= a.time)
+SELECT device_id, span_start, count(*) AS n_points,
+  round(regr_slope(value, date_diff('microsecond', TIMESTAMP '{DRIFT_ORIGIN}', time) / 3.6e9), 6) AS ph_per_hour
+FROM d GROUP BY device_id, span_start HAVING count(*) >= {DRIFT_MIN_POINTS}""")
+def ph_drift(spark, sf_dir):
+    """Natural pH slope per hour of each device between two pH doses."""
+    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("device_id", "time", "value")
+    doses = B.actuator_logs(spark, sf_dir).filter(
+        (F.col("action") == "COMPLETED") & F.col("actuator_id").isin(C.PUMP_PH_MINUS, C.PUMP_PH_PLUS))
+    d = asof_join(ph, doses, ["device_id"], "time", "time", {}, right_order="id",
+                  matched_time="span_start")
+    x = (epoch_us("time") - epoch_us(ntz(DRIFT_ORIGIN))) / F.lit(3.6e9)
+    g = d.groupBy("device_id", "span_start").agg(
+        F.count(F.lit(1)).alias("n_points"), F.round(F.regr_slope(F.col("value"), x), 6).alias("ph_per_hour"))
+    return g.filter(F.col("n_points") >= DRIFT_MIN_POINTS)
+
+
+@register("calibrate", W_T + f"""
+, cal AS ({_values_sql(CALIBRATIONS, ['sensor_id', 'slope', 'intercept'])})
+SELECT t.event_id, t.device_id, t.metric, t.value,
+       coalesce(c.slope, 1e0) * t.value + coalesce(c.intercept, 0e0) AS calibrated
+FROM telemetry t LEFT JOIN cal c ON c.sensor_id = t.device_id || ':' || t.metric""")
+def calibrate(spark, sf_dir):
+    """value = slope * raw + intercept per sensor; uncalibrated sensors pass through."""
+    cal = spark.createDataFrame(CALIBRATIONS, "sensor_id string, slope double, intercept double")
+    t = B.telemetry(spark, sf_dir).withColumn(
+        "sensor_id", F.concat_ws(":", F.col("device_id"), F.col("metric")))
+    j = t.join(F.broadcast(cal), "sensor_id", "left")  # calibration table: one row per sensor
+    return j.select("event_id", "device_id", "metric", "value",
+                    (F.coalesce(F.col("slope"), F.lit(1.0)) * F.col("value")
+                     + F.coalesce(F.col("intercept"), F.lit(0.0))).alias("calibrated"))
+
+
+@register("recipe_setpoint", W_T + f"""
+, recipe AS ({_values_sql(RECIPE, ['stage', 'first_day', 'last_day', 'target_ph', 'target_ec'])}),
+d AS (SELECT event_id, time,
+        CAST(date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM events), CAST(time AS DATE)) + 1 AS INT) AS growth_day
+      FROM telemetry)
+SELECT d.event_id, d.time, d.growth_day, r.stage, r.target_ph, r.target_ec
+FROM d LEFT JOIN recipe r ON d.growth_day BETWEEN r.first_day AND r.last_day""")
+def recipe_setpoint(spark, sf_dir):
+    """Growth day of every reading and the recipe stage setpoints for it (non-equi join)."""
+    planted = event_bounds(spark, sf_dir)[0].date()
+    recipe = spark.createDataFrame(RECIPE, "stage string, first_day int, last_day int, "
+                                           "target_ph double, target_ec double")
+    t = B.telemetry(spark, sf_dir).select(
+        "event_id", "time",
+        (F.datediff(F.to_date("time"), F.lit(planted)) + 1).cast("int").alias("growth_day"))
+    j = t.join(F.broadcast(recipe), F.col("growth_day").between(F.col("first_day"), F.col("last_day")), "left")
+    return j.select("event_id", "time", "growth_day", "stage", "target_ph", "target_ec")
+
+
+@register("minute_downsample", W_T + f"""
+SELECT device_id, metric, date_trunc('minute', time) AS minute, {sql_avg('value')} AS avg_value,
+       count(*) AS n FROM telemetry GROUP BY device_id, metric, date_trunc('minute', time)""")
+def minute_downsample(spark, sf_dir):
+    """One point per minute per device and metric."""
+    t = B.telemetry(spark, sf_dir)
+    return t.groupBy("device_id", "metric", F.date_trunc("minute", "time").alias("minute")).agg(
+        exact_avg(F.col("value")).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+
+
+_WIDE = ["ph", "ec", "water_temp"]
+
+
+@register("telemetry_wide", W_T + "SELECT device_id, date_trunc('hour', time) AS hour_start, " + ", ".join(
+    f"{sql_avg('value', f'metric = {chr(39)}{m}{chr(39)}')} AS {m}" for m in _WIDE)
+    + " FROM telemetry GROUP BY device_id, date_trunc('hour', time)")
+def telemetry_wide(spark, sf_dir):
+    """Hourly wide rows: one column per metric (pivot with a fixed list)."""
+    t = B.telemetry(spark, sf_dir)
+    return (t.groupBy("device_id", F.date_trunc("hour", "time").alias("hour_start"))
+            .pivot("metric", _WIDE).agg(exact_avg(F.col("value"))))
+
+
+@register("maintenance_antijoin", B.with_views("telemetry", "system_events") + f"""
+SELECT t.* FROM telemetry t WHERE NOT EXISTS (
+  SELECT 1 FROM system_events e WHERE e.level = 'CRITICAL' AND e.category = t.device_id
+    AND t.time >= e.time AND t.time <= e.time + INTERVAL {MAINTENANCE_S} SECOND)""")
+def maintenance_antijoin(spark, sf_dir):
+    """Readings outside every maintenance window of their device (range anti join)."""
+    win = B.system_events(spark, sf_dir).filter(F.col("level") == "CRITICAL").select(
+        F.col("category").alias("device_id"), F.col("time").alias("m_start"),
+        (F.col("time") + F.make_dt_interval(secs=F.lit(MAINTENANCE_S))).alias("m_end"))
+    return interval_join(B.telemetry(spark, sf_dir), win, ["device_id"], "time", "m_start", "m_end",
+                         bucket_s=float(MAINTENANCE_S), how="left_anti")
+
+
+@register("alert_raise", W_T + f"""
+, limits AS ({limits_sql()})
+SELECT t.time, CASE WHEN t.value < l.min_v OR t.value > l.max_v THEN 'CRITICAL' ELSE 'WARNING' END AS level,
+       t.device_id AS category, t.metric || ' out of range' AS message, false AS is_resolved
+FROM telemetry t JOIN limits l ON t.metric = l.metric
+WHERE t.metric IN ('water_temp', 'ec') AND (t.value < l.min_ok OR t.value > l.max_ok)""")
+def alert_raise(spark, sf_dir):
+    """Event rows for water-temperature and EC readings outside their limits."""
+    t = B.telemetry(spark, sf_dir).filter(F.col("metric").isin("water_temp", "ec"))
+    j = t.join(F.broadcast(limits_df(spark)), "metric")  # fixed 4-row dimension
+    out = j.filter((F.col("value") < F.col("min_ok")) | (F.col("value") > F.col("max_ok")))
+    return out.select(
+        "time",
+        F.when((F.col("value") < F.col("min_v")) | (F.col("value") > F.col("max_v")), "CRITICAL")
+        .otherwise("WARNING").alias("level"),
+        F.col("device_id").alias("category"),
+        F.concat(F.col("metric"), F.lit(" out of range")).alias("message"),
+        F.lit(False).alias("is_resolved"))
+
+
+@register("lockout_latch", B.with_views("telemetry", "system_events") + """
+, k AS (SELECT category AS device_id, time, id,
+          CASE WHEN is_resolved THEN 'ACK' ELSE 'FAULT' END AS kind
+        FROM system_events WHERE level = 'CRITICAL' OR is_resolved)
+SELECT t.event_id, t.device_id, t.time, coalesce(k.kind = 'FAULT', false) AS locked,
+       CASE WHEN k.kind = 'FAULT' THEN k.time END AS locked_since
+FROM (SELECT * FROM telemetry WHERE metric = 'ph') t
+ASOF LEFT JOIN k ON t.device_id = k.device_id AND t.time >= k.time""")
+def lockout_latch(spark, sf_dir):
+    """Per ph reading: is the device latched by an unacknowledged critical fault?"""
+    k = B.system_events(spark, sf_dir).filter((F.col("level") == "CRITICAL") | F.col("is_resolved")) \
+        .select(F.col("category").alias("device_id"), "time", "id",
+                F.when(F.col("is_resolved"), "ACK").otherwise("FAULT").alias("kind"))
+    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("event_id", "device_id", "time")
+    j = asof_join(ph, k, ["device_id"], "time", "time", {"kind": "__kind"}, right_order="id",
+                  matched_time="__ktime")
+    fault = F.col("__kind") == "FAULT"
+    return j.select("event_id", "device_id", "time", F.coalesce(fault, F.lit(False)).alias("locked"),
+                    F.when(fault, F.col("__ktime")).alias("locked_since"))
+
+
+@register("dose_response", B.with_views("telemetry", "actuator_logs") + f"""
+SELECT a.id, a.device_id, a.actuator_id, a.time,
+  {sql_avg('t.value', 't.time < a.time')} AS ph_before,
+  {sql_avg('t.value', 't.time > a.time')} AS ph_after,
+  count(t.value) FILTER (WHERE t.time < a.time) AS n_before,
+  count(t.value) FILTER (WHERE t.time > a.time) AS n_after
+FROM (SELECT * FROM actuator_logs WHERE action = 'COMPLETED'
+      AND actuator_id IN ('pump_ph_minus', 'pump_ph_plus')) a
+LEFT JOIN (SELECT * FROM telemetry WHERE metric = 'ph') t
+  ON t.device_id = a.device_id AND t.time >= a.time - INTERVAL {DOSE_RESPONSE_S} SECOND
+     AND t.time <= a.time + INTERVAL {DOSE_RESPONSE_S} SECOND
+GROUP BY a.id, a.device_id, a.actuator_id, a.time""")
+def dose_response(spark, sf_dir):
+    """Mean ph in the hour before and after every ph dose (bucketed range join)."""
+    doses = B.actuator_logs(spark, sf_dir).filter(
+        (F.col("action") == "COMPLETED") & F.col("actuator_id").isin(C.PUMP_PH_MINUS, C.PUMP_PH_PLUS)) \
+        .select("id", "device_id", "actuator_id", F.col("time").alias("dose_time"))
+    win = doses.select("id", "device_id", "actuator_id", "dose_time",
+                       (F.col("dose_time") - F.make_dt_interval(secs=F.lit(DOSE_RESPONSE_S))).alias("w_start"),
+                       (F.col("dose_time") + F.make_dt_interval(secs=F.lit(DOSE_RESPONSE_S))).alias("w_end"))
+    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("device_id", "time", "value")
+    j = interval_join(ph, win, ["device_id"], "time", "w_start", "w_end", bucket_s=float(DOSE_RESPONSE_S))
+    agg = j.groupBy("id").agg(
+        exact_avg(F.when(F.col("time") < F.col("dose_time"), F.col("value"))).alias("ph_before"),
+        exact_avg(F.when(F.col("time") > F.col("dose_time"), F.col("value"))).alias("ph_after"),
+        F.count(F.when(F.col("time") < F.col("dose_time"), F.col("value"))).alias("n_before"),
+        F.count(F.when(F.col("time") > F.col("dose_time"), F.col("value"))).alias("n_after"))
+    out = doses.join(agg, "id", "left")
+    return out.select("id", "device_id", "actuator_id", F.col("dose_time").alias("time"),
+                      "ph_before", "ph_after",
+                      F.coalesce("n_before", F.lit(0).cast("long")).alias("n_before"),
+                      F.coalesce("n_after", F.lit(0).cast("long")).alias("n_after"))
+
+
+@register("state_sync", B.with_views("actuator_logs") + f"""
+, st AS (SELECT *, CASE WHEN action = 'STARTED' THEN 'ON' ELSE 'OFF' END AS state FROM actuator_logs),
+stored AS (SELECT DISTINCT ON (device_id, actuator_id) device_id, actuator_id, state FROM st
+           WHERE time <= (SELECT max(ts) FROM events) - INTERVAL {STATE_SYNC_LAG_DAYS} DAY
+           ORDER BY device_id, actuator_id, time DESC, id DESC),
+ping AS (SELECT DISTINCT ON (device_id, actuator_id) device_id, actuator_id, state FROM st
+         ORDER BY device_id, actuator_id, time DESC, id DESC)
+SELECT coalesce(p.device_id, s.device_id) AS device_id, coalesce(p.actuator_id, s.actuator_id) AS actuator_id,
+       s.state AS stored_state, p.state AS ping_state, coalesce(p.state, s.state) AS state,
+       s.state IS DISTINCT FROM p.state AS diverged
+FROM ping p FULL OUTER JOIN stored s ON p.device_id = s.device_id AND p.actuator_id = s.actuator_id""")
+def state_sync(spark, sf_dir):
+    """Stored relay state vs the state a node reports: ping wins, divergence flagged."""
+    a = B.actuator_logs(spark, sf_dir).withColumn(
+        "state", F.when(F.col("action") == "STARTED", "ON").otherwise("OFF"))
+    keys = ["device_id", "actuator_id"]
+    order = [F.col("time").desc(), F.col("id").desc()]
+    cutoff = as_of(spark, sf_dir) - _dt.timedelta(days=STATE_SYNC_LAG_DAYS)
+    stored = latest_per_key(a.filter(F.col("time") <= ntz(cutoff)), keys, order) \
+        .select(*keys, F.col("state").alias("stored_state"))
+    ping = latest_per_key(a, keys, order).select(*keys, F.col("state").alias("ping_state"))
+    j = ping.join(stored, keys, "full_outer")
+    return j.select(*keys, "stored_state", "ping_state",
+                    F.coalesce("ping_state", "stored_state").alias("state"),
+                    (~F.col("stored_state").eqNullSafe(F.col("ping_state"))).alias("diverged"))

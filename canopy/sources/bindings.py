@@ -62,11 +62,12 @@ def actuator_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("auto_backend").alias("trigger_source")))
 
 
-def weather_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weather_metrics(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
     """weather_metrics(time, sensor_name, temperature, windspeed, weathercode)."""
     e = read_table(spark, sf_dir, "events")
     return (e.filter(F.col("event_type") == "signup")
             .select(
+                *([F.col("event_id")] if with_id else []),
                 F.col("ts").alias("time"),
                 _device("station").alias("sensor_name"),
                 (F.lit(10.0) + F.col("value") / 10.0).alias("temperature"),

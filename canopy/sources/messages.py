@@ -73,7 +73,8 @@ class Field:
 _PY_UNDERSCORE = r"(?<=[0-9])_(?=[0-9])"
 
 
-def _extract(df: DataFrame, keys: list[str]) -> DataFrame:
+def _extract(df: DataFrame, keys: list[str], typed_keys: tuple[str, ...] = ()) -> DataFrame:
+    """One column set per key; ``typed_keys`` also get ``__isstr`` (scalar type test)."""
     v = F.col("v")
     df = df.select("*", *[F.try_variant_get(v, f"$.{k}", "variant").alias(f"{k}__raw") for k in keys])
     cols = []
@@ -81,9 +82,10 @@ def _extract(df: DataFrame, keys: list[str]) -> DataFrame:
         raw = F.col(f"{k}__raw")
         cols += [raw.isNotNull().alias(f"{k}__present"),
                  F.coalesce(F.is_variant_null(raw), F.lit(False)).alias(f"{k}__jnull"),
-                 F.coalesce(F.schema_of_variant(raw) == "STRING", F.lit(False)).alias(f"{k}__isstr"),
                  F.try_variant_get(raw, "$", "string").alias(f"{k}__s"),
                  F.try_variant_get(raw, "$", "double").alias(f"{k}__d")]
+        if k in typed_keys:
+            cols.append(F.coalesce(F.schema_of_variant(raw) == "STRING", F.lit(False)).alias(f"{k}__isstr"))
     return df.select(*[c for c in df.columns if not c.endswith("__raw")], *cols)
 
 
@@ -92,9 +94,12 @@ def _c(k: str, part: str) -> Column:
 
 
 def as_float(key: str, default: float | None) -> Field:
+    """The VARIANT double cast already takes numbers, booleans and trimmed numeric
+    strings; only Python's digit-group underscores need a second try."""
     present = _c(key, "present")
-    from_str = F.regexp_replace(F.trim(_c(key, "s")), _PY_UNDERSCORE, "").try_cast("double")
-    num = F.when(_c(key, "isstr"), from_str).otherwise(_c(key, "d"))
+    from_str = F.when(_c(key, "s").contains("_"),
+                      F.regexp_replace(F.trim(_c(key, "s")), _PY_UNDERSCORE, "").try_cast("double"))
+    num = F.coalesce(_c(key, "d"), from_str)
     value = F.when(~present, F.lit(default)).otherwise(num) if default is not None else num
     return Field(present, value, present & num.isNull())
 
@@ -145,11 +150,11 @@ def _too_long(value: Column, field: str) -> Column:
     return F.coalesce(F.length(value) > C.VARCHAR_LIMITS[field], F.lit(False))
 
 
-def _parsed(msgs: DataFrame, keys: list[str]) -> DataFrame:
+def _parsed(msgs: DataFrame, keys: list[str], typed_keys: tuple[str, ...] = ()) -> DataFrame:
+    # valid JSON whose first character is '{' is an object
     p = msgs.select("*", F.try_parse_json(F.col("payload")).alias("v"))
-    p = p.select("*", F.coalesce(F.schema_of_variant(F.col("v")).startswith("OBJECT"),
-                                 F.lit(False)).alias("__obj"))
-    return _extract(p, keys)
+    p = p.select("*", (F.col("v").isNotNull() & F.ltrim(F.col("payload")).startswith("{")).alias("__obj"))
+    return _extract(p, keys, typed_keys)
 
 
 def _finish(p: DataFrame, keep: list[str], fields: dict[str, Field],
@@ -186,7 +191,8 @@ def parse_telemetry(msgs: DataFrame) -> DataFrame:
 
 def parse_weather(msgs: DataFrame) -> DataFrame:
     """Weather messages -> ``(msg_id, time, sensor_name, temperature, windspeed, weathercode, reason)``."""
-    p = _parsed(msgs, ["temperature", "windspeed", "weathercode", "time", "sensor_name"])
+    p = _parsed(msgs, ["temperature", "windspeed", "weathercode", "time", "sensor_name"],
+                typed_keys=("weathercode", "time"))
     fields = {"time": as_timestamp("time"), "sensor_name": as_string("sensor_name", C.DEFAULT_SENSOR_NAME),
               "temperature": as_float("temperature", 0.0), "windspeed": as_float("windspeed", 0.0),
               "weathercode": as_int("weathercode", 0)}
@@ -203,7 +209,8 @@ def parse_weather(msgs: DataFrame) -> DataFrame:
 
 def parse_actuator(msgs: DataFrame) -> DataFrame:
     """Ack messages -> ``(msg_id, time, actuator_id, action, duration_ms, trigger_source, reason)``."""
-    p = _parsed(msgs, ["actuator", "status", "actual_duration_ms"]).withColumnRenamed("ingest_ts", "time")
+    p = _parsed(msgs, ["actuator", "status", "actual_duration_ms"],
+                typed_keys=("actual_duration_ms",)).withColumnRenamed("ingest_ts", "time")
     fields = {"actuator_id": as_string("actuator"), "action": as_string("status"),
               "duration_ms": as_rounded_int("actual_duration_ms")}
     out = _finish(p, ["msg_id", "topic", "time"], fields, [

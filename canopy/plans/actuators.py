@@ -157,3 +157,30 @@ def tank_forecast(spark, sf_dir):
     rate = F.sum("ms") / F.count(F.lit(1))
     return daily.groupBy("actuator_id").agg(
         rate.alias("ms_per_day"), (F.lit(float(TANK_CAPACITY_MS)) / rate).alias("days_per_tank"))
+
+
+SPACING_S = 15 * 60   # at most one pulse of a pump every 15 minutes
+
+
+@register("dose_spacing", W_A.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, req AS (SELECT device_id, actuator_id, id, time,
+                 row_number() OVER (PARTITION BY device_id, actuator_id ORDER BY time, id) AS rn
+          FROM actuator_logs WHERE action = 'COMPLETED'),
+nxt AS (SELECT r.device_id, r.actuator_id, r.id, r.rn, x.id AS nid
+        FROM req r ASOF LEFT JOIN req x
+          ON r.device_id = x.device_id AND r.actuator_id = x.actuator_id
+         AND x.time >= r.time + INTERVAL {SPACING_S} SECOND),
+chain AS (SELECT id, nid FROM nxt WHERE rn = 1
+          UNION ALL SELECT n.id, n.nid FROM chain c JOIN nxt n ON n.id = c.nid)
+SELECT a.id, a.device_id, a.actuator_id, a.time, a.duration_ms
+FROM actuator_logs a JOIN chain c ON a.id = c.id""")
+def dose_spacing(spark, sf_dir):
+    """Pulses kept by the spacing rule (greedy, per device and pump)."""
+    from canopy.operators.spacing import greedy_min_gap
+    from canopy.session import shared_dir
+    from canopy.sources.tables import event_bounds
+    shared_dir(spark)
+    lo, hi = event_bounds(spark, sf_dir)
+    a = completed(spark, sf_dir).select("id", "device_id", "actuator_id", "time", "duration_ms")
+    return greedy_min_gap(a, ["device_id", "actuator_id"], "time", "id", SPACING_S,
+                          span_s=(hi - lo).total_seconds())

@@ -98,9 +98,12 @@ def status_to_pump(status: Column) -> Column:
 
 
 def _grid(spark: SparkSession, sf_dir: str, p: ControlParams):
-    lo, hi = event_bounds(spark, sf_dir)
-    origin = p.origin or lo.replace(minute=0, second=0, microsecond=0)
-    end = p.end or hi
+    if p.origin is not None and p.end is not None:
+        origin, end = p.origin, p.end
+    else:
+        lo, hi = event_bounds(spark, sf_dir)
+        origin = p.origin or lo.replace(minute=0, second=0, microsecond=0)
+        end = p.end or hi
     n = int((end - origin).total_seconds() // p.tick_s) + 1 if end >= origin else 0
     return origin, end, n
 

@@ -46,7 +46,7 @@ def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("__blur", 6).alias("blur_score"))
 
 
-def frames_from_files(spark: SparkSession, path: str) -> DataFrame:
+def frames_from_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Image files -> image_metrics rows (the batch form of the frame pipeline)."""
     img = read_frames(spark, path)
     key = key_of(F.col("image.origin"))

@@ -24,8 +24,8 @@ def epoch_of(key: Column) -> Column:
     return F.regexp_extract(key, KEY_PATTERN, 2).cast("long")
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Decode frames under ``path``; undecodable files stay as rows with height -1."""
+def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decode frames under ``path`` (or a list of files); undecodable files stay as rows with height -1."""
     return spark.read.format("image").option("dropInvalid", "false").load(path)
 
 

@@ -92,3 +92,33 @@ def test_ack_join_stream_matches_batch(spark):
     from canopy.plans.commands import command_ack
     cols = ["cmd_id", "target", "cmd_time", "ack_time", "status"]
     assert _rows(spark.table(name), cols) == _rows(command_ack(spark, SF), cols)
+
+
+def test_frame_pipeline_stream(spark):
+    import numpy as np
+    from test_vision import _png
+    from canopy.functions.vision import laplacian_var_np
+    from canopy.streaming.control import start_frame_pipeline
+    frames = tempfile.mkdtemp(prefix="canopy-cam-")
+    out = tempfile.mkdtemp(prefix="canopy-camout-")
+    img = np.random.default_rng(5).integers(0, 255, (9, 11)).astype(np.uint8)
+    _png(f"{frames}/cam7_1704067200.png", img)
+    with open(f"{frames}/cam7_1704067201.jpg", "wb") as f:
+        f.write(b"fake_jpeg_bytes_content")
+    q = start_frame_pipeline(spark, frames, out, name=f"frames-{out.rsplit('-', 1)[-1]}")
+    q.awaitTermination(300)
+    rows = {r.image_path: r for r in spark.read.parquet(f"{out}/image_metrics").collect()}
+    assert abs(rows["cam7_1704067200.png"].blur_score - laplacian_var_np(img)) < 1e-6
+    assert rows["cam7_1704067201.jpg"].blur_score == 0.0
+
+
+def test_one_tick_evaluation_matches_replay(spark):
+    from canopy.sources.tables import event_bounds
+    from canopy.streaming.control import evaluate_latest_tick
+    _, hi = event_bounds(spark, SF)
+    p = ControlParams()
+    one = evaluate_latest_tick(spark, B.telemetry(spark, SF), B.actuator_logs(spark, SF), p, hi)
+    full = control_replay(spark, SF, p)
+    last = full.agg(F.max("tick")).first()[0]
+    cols = ["device_id", "tick", "status", "avg_ph", "avg_ec", "last_pump", "elapsed_s"]
+    assert _rows(one, cols) == _rows(full.filter(F.col("tick") == last), cols)

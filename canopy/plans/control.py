@@ -110,11 +110,13 @@ def _grid(spark: SparkSession, sf_dir: str, p: ControlParams):
 
 def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = None,
                    telemetry: DataFrame | None = None,
-                   actions: DataFrame | None = None) -> DataFrame:
+                   actions: DataFrame | None = None,
+                   config: DataFrame | None = None) -> DataFrame:
     """Decision per (device, tick).
 
     Columns: device_id, tick, status, avg_ph, avg_ec, last_pump, elapsed_s,
-    command_target, duration_ms.
+    command_target, duration_ms.  ``config`` (one row: target_ph, target_ec,
+    e.g. ``current_config``) overrides the targets of ``p``.
     """
     p = p or ControlParams()
     origin, end, n = _grid(spark, sf_dir, p)
@@ -174,9 +176,15 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
 
     tick = F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000)).cast("timestamp_ntz")
     out = avgs.join(lock, [*lock_keys, "j"], "left").withColumn("tick", tick)
+    tph, tec = p.target_ph, p.target_ec
+    if config is not None:
+        # one configuration row: a broadcast of fixed size
+        cfg = config.select(F.col("target_ph").alias("__tph"), F.col("target_ec").alias("__tec")).limit(1)
+        out = out.crossJoin(F.broadcast(cfg))
+        tph, tec = F.coalesce("__tph", F.lit(p.target_ph)), F.coalesce("__tec", F.lit(p.target_ec))
     elapsed = (epoch_us("tick") - epoch_us("last_time")) / F.lit(1e6)
     status = decision(F.col("avg_ph"), F.col("avg_ec"), elapsed, F.col("last_pump"),
-                      p.mixing_delay_s, p.target_ph, p.target_ec)
+                      p.mixing_delay_s, tph, tec)
     out = out.withColumn("elapsed_s", elapsed).withColumn("status", status)
     target = status_to_pump(F.col("status"))
     return out.select(

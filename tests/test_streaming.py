@@ -122,3 +122,35 @@ def test_one_tick_evaluation_matches_replay(spark):
     last = full.agg(F.max("tick")).first()[0]
     cols = ["device_id", "tick", "status", "avg_ph", "avg_ec", "last_pump", "elapsed_s"]
     assert _rows(one, cols) == _rows(full.filter(F.col("tick") == last), cols)
+
+
+def _stream_of(spark, df, prefix):
+    src = tempfile.mkdtemp(prefix=prefix)
+    df.write.mode("overwrite").parquet(src)
+    return spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), src
+
+
+def test_late_replay_dedup_stream(spark):
+    tel = B.telemetry(spark, SF).select("device_id", "metric", "time", "value")
+    dup = tel.unionByName(tel.filter(F.col("metric") == "ph"))  # a node re-sends its cached ph readings
+    stream, src = _stream_of(spark, dup, "canopy-late-")
+    name = "late_" + src.rsplit("-", 1)[-1].replace("-", "_")
+    q = (Wn.late_replay_dedup(stream).writeStream.format("memory").queryName(name)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.table(name).count() == tel.dropDuplicates(["device_id", "metric", "time"]).count()
+
+
+def test_heartbeat_timeout_stream(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("quiet", t0 + dt.timedelta(seconds=s)) for s in (0, 60, 120)] + \
+           [("busy", t0 + dt.timedelta(seconds=s)) for s in range(0, 3600, 60)]
+    df = spark.createDataFrame(rows, "device_id string, time timestamp_ntz")
+    stream, src = _stream_of(spark, df, "canopy-hb-")
+    name = "hb_" + src.rsplit("-", 1)[-1].replace("-", "_")
+    q = (S.heartbeat_timeout_stream(stream, gap_s=300, delay="0 seconds").writeStream.format("memory")
+         .queryName(name).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    alerts = {r.device_id for r in spark.table(name).collect()}
+    assert alerts == {"quiet"}

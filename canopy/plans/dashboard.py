@@ -112,7 +112,8 @@ FROM spine s LEFT JOIN counts c ON s.hour = c.hour AND s.pump = c.pump""")
 def hourly_pump_matrix(spark, sf_dir):
     """Dense 24 x pumps matrix of completed pulses over the last 24 h."""
     a = B.actuator_logs(spark, sf_dir).filter(
-        (F.col("action") == "COMPLETED") & since(spark, sf_dir, TREND_HOURS * 3600))
+        (F.col("action") == "COMPLETED") & since(spark, sf_dir, TREND_HOURS * 3600)
+        & F.col("actuator_id").isin(*C.PUMPS))  # bounds the broadcast below to 24 x pumps rows
     counts = a.groupBy(F.hour("time").cast("int").alias("hour"), F.col("actuator_id").alias("pump")) \
         .agg(F.count(F.lit(1)).alias("n"))
     pumps = spark.createDataFrame([(p,) for p in C.PUMPS], "pump string")

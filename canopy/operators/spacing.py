@@ -51,12 +51,14 @@ def greedy_min_gap(df: DataFrame, by: Sequence[str], time_col: str, id_col: str,
         levels.append(nj.checkpoint() if checkpoint else nj)
     heads = latest_per_key(req, by, [F.col(time_col), F.col(id_col)]).select(*by, F.col(id_col).alias("id"))
     kept = heads
-    for j in reversed(levels):
+    for i, j in enumerate(reversed(levels)):
+        # S := S u next^(2^k)(S): one left join, both ids exploded -- S is referenced once,
+        # so the plan grows linearly and a checkpoint every few steps keeps it short
         cond = [F.col(f"s.{k}") == F.col(f"j.{k}") for k in by] + [F.col("s.id") == F.col("j.id")]
-        step = kept.alias("s").join(j.alias("j"), cond) \
-                   .filter(F.col("j.nid").isNotNull()) \
-                   .select(*[F.col(f"s.{k}").alias(k) for k in by], F.col("j.nid").alias("id"))
-        kept = kept.unionByName(step)
-        if checkpoint:
+        both = F.explode(F.array(F.col("s.id"), F.col("j.nid")))
+        kept = (kept.alias("s").join(j.alias("j"), cond, "left")
+                .select(*[F.col(f"s.{k}").alias(k) for k in by], both.alias("id"))
+                .filter(F.col("id").isNotNull()))
+        if checkpoint and i % 4 == 3:
             kept = kept.checkpoint()
     return df.join(kept.withColumnRenamed("id", id_col), [*by, id_col], "left_semi")

@@ -90,6 +90,12 @@ def decision(avg_ph: Column, avg_ec: Column, elapsed_s: Column, last_pump: Colum
             .otherwise(C.STATUS_STABLE))
 
 
+def tick_spine(keys: DataFrame, n: int) -> DataFrame:
+    """``keys`` x tick index ``j`` in [0, n), generated per key row (explode, not a join)."""
+    return keys.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+                       .alias("j")).filter(F.lit(n > 0))
+
+
 def status_to_pump(status: Column) -> Column:
     expr = F.lit(None).cast("string")
     for st, pump in C.STATUS_TO_PUMP.items():
@@ -149,10 +155,9 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
     ).withColumn("is_tick", F.lit(False))
 
     devices = tel.select("device_id").distinct()
-    ticks = spark.range(0, n).select(F.col("id").alias("j"))
-    spine = (devices.crossJoin(F.broadcast(ticks)) if n <= BROADCAST_TICKS_MAX
-             else devices.crossJoin(ticks))
-    spine = spine.select("device_id", (F.col("j") * per_tick).alias("slot"), F.lit(True).alias("is_tick"))
+    # one row per (device, tick): each device row expands its own tick range (no join)
+    spine = tick_spine(devices, n).select("device_id", (F.col("j") * per_tick).alias("slot"),
+                                          F.lit(True).alias("is_tick"))
 
     w_prev = Window.partitionBy("device_id").orderBy("slot").rangeBetween(-lookback_slots, -1)
     w_peer = Window.partitionBy("device_id").orderBy("slot").rangeBetween(0, 0)
@@ -178,10 +183,11 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
     out = avgs.join(lock, [*lock_keys, "j"], "left").withColumn("tick", tick)
     tph, tec = p.target_ph, p.target_ec
     if config is not None:
-        # one configuration row: a broadcast of fixed size
-        cfg = config.select(F.col("target_ph").alias("__tph"), F.col("target_ec").alias("__tec")).limit(1)
-        out = out.crossJoin(F.broadcast(cfg))
-        tph, tec = F.coalesce("__tph", F.lit(p.target_ph)), F.coalesce("__tec", F.lit(p.target_ec))
+        # point lookup of the one current configuration row; its values become literals
+        row = config.select("target_ph", "target_ec").limit(1).first()
+        if row is not None:
+            tph = row["target_ph"] if row["target_ph"] is not None else tph
+            tec = row["target_ec"] if row["target_ec"] is not None else tec
     elapsed = (epoch_us("tick") - epoch_us("last_time")) / F.lit(1e6)
     status = decision(F.col("avg_ph"), F.col("avg_ec"), elapsed, F.col("last_pump"),
                       p.mixing_delay_s, tph, tec)
@@ -215,8 +221,7 @@ def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _d
                     .cast("long").alias("j")))
     last_per_slot = done.groupBy(*lock_keys, "j").agg(
         F.max_by(F.struct("time", "actuator_id"), F.struct("time", "id")).alias("a"))
-    ticks = spark.range(0, n).select(F.col("id").alias("j"))
-    grid = ticks if not lock_keys else devices.crossJoin(ticks)
+    grid = spark.range(0, n).select(F.col("id").alias("j")) if not lock_keys else tick_spine(devices, n)
     wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     return (grid.join(last_per_slot, [*lock_keys, "j"], "left")
             .withColumn("a", F.last("a", ignorenulls=True).over(wf))

@@ -116,8 +116,8 @@ def hourly_pump_matrix(spark, sf_dir):
         & F.col("actuator_id").isin(*C.PUMPS))  # bounds the broadcast below to 24 x pumps rows
     counts = a.groupBy(F.hour("time").cast("int").alias("hour"), F.col("actuator_id").alias("pump")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    pumps = spark.createDataFrame([(p,) for p in C.PUMPS], "pump string")
-    spine = spark.range(24).select(F.col("id").cast("int").alias("hour")).crossJoin(pumps)
+    spine = spark.range(24).select(F.col("id").cast("int").alias("hour"),
+                                   F.explode(F.array(*[F.lit(p) for p in C.PUMPS])).alias("pump"))
     pulses = F.coalesce(F.col("n"), F.lit(0).cast("long"))
     # spine and counts are both at most 24 x pumps rows
     return spine.join(F.broadcast(counts), ["hour", "pump"], "left").select(

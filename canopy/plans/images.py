@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.vision import add_blur_score, blur_image_udf, make_blur_pixels_udf
-from canopy.operators.latest import latest_per_key, top1
+from canopy.operators.latest import latest_per_key
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.images import epoch_of, key_of, read_frames, sensor_of
@@ -85,12 +85,12 @@ FROM (SELECT 1 AS one) o LEFT JOIN
 def latest_image(spark, sf_dir):
     """Newest frame with its score; one row with status 'empty' when there is none."""
     m = image_metrics(spark, sf_dir)
-    newest = top1(m, [F.col("timestamp").desc(), F.col("image_path").desc()]) \
-        .select("image_path", "blur_score", "timestamp")
-    one = spark.range(1).select(F.lit(1).alias("__one"))
-    out = one.join(newest, how="left")  # 1 x (0 or 1) rows
-    return out.select("image_path", "blur_score", "timestamp",
-                      F.when(F.col("image_path").isNull(), "empty").otherwise("success").alias("status"))
+    # a global aggregate always yields exactly one row: the newest frame, or NULLs when empty
+    best = m.agg(F.max_by(F.struct("image_path", "blur_score", "timestamp"),
+                          F.struct("timestamp", "image_path")).alias("b"))
+    return best.select(F.col("b.image_path").alias("image_path"), F.col("b.blur_score").alias("blur_score"),
+                       F.col("b.timestamp").alias("timestamp"),
+                       F.when(F.col("b").isNull(), "empty").otherwise("success").alias("status"))
 
 
 @register("media_latest", W_IM + """
@@ -109,9 +109,10 @@ WHERE ts_epoch >= (SELECT max(ts_epoch) FROM image_frames) - {ROLLING_FRAMES_S}"
 def rolling_frames(spark, sf_dir):
     """Frames of the last 48 h (relative to the newest frame)."""
     f = B.image_frames(spark, sf_dir).select("sensor_name", "ts_epoch", "image_path")
-    newest = f.agg(F.max("ts_epoch").alias("__max"))
-    return f.crossJoin(F.broadcast(newest)).filter(
-        F.col("ts_epoch") >= F.col("__max") - ROLLING_FRAMES_S).drop("__max")
+    newest = f.agg(F.max("ts_epoch")).first()[0]  # one scalar, like as_of
+    if newest is None:
+        return f.limit(0)
+    return f.filter(F.col("ts_epoch") >= F.lit(newest - ROLLING_FRAMES_S))
 
 
 _DAY_SQL = "CAST(to_timestamp(ts_epoch) AT TIME ZONE 'UTC' AS DATE)"

@@ -314,10 +314,12 @@ def _mode_ticks(spark, sf_dir, tick_s=MODE_TICK_S, last_only=False):
     n = int((hi - origin).total_seconds() // tick_s) + 1
     o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000
     first = n - 1 if last_only else 0
-    ticks = spark.range(first, n).select(
-        F.timestamp_micros(F.lit(o_us) + F.col("id") * F.lit(tick_s * 1_000_000)).cast("timestamp_ntz").alias("tick"))
     devices = B.system_events(spark, sf_dir).select(F.col("category").alias("device_id")).distinct()
-    return devices.crossJoin(F.broadcast(ticks))  # ticks: time span / period rows
+    # each device row expands its own tick range (no join); ticks = time span / period
+    j = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n - 1).cast("long")))
+    return devices.select("device_id", j.alias("j")).select(
+        "device_id",
+        F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(tick_s * 1_000_000)).cast("timestamp_ntz").alias("tick"))
 
 
 def mode_machine_df(spark, sf_dir, last_only=False):

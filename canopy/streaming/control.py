@@ -52,13 +52,16 @@ def start_periodic_control(spark: SparkSession, tables_dir: str, out_dir: str, p
 
 
 def start_frame_pipeline(spark: SparkSession, frames_dir: str, out_dir: str,
-                         name: str = "frames", available_now: bool = True) -> StreamingQuery:
+                         name: str = "frames", available_now: bool = True,
+                         max_files_per_trigger: int = 1000) -> StreamingQuery:
     files = (spark.readStream.format("binaryFile")
              .schema("path string, modificationTime timestamp, length long, content binary")
-             .option("pathGlobFilter", "*.*").load(frames_dir).select("path"))
+             .option("pathGlobFilter", "*.*").option("maxFilesPerTrigger", max_files_per_trigger)
+             .load(frames_dir).select("path"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        paths = [r.path for r in batch.collect()]  # the batch's new file names only
+        # the image reader takes file names: at most max_files_per_trigger of them per batch
+        paths = [r.path for r in batch.collect()]
         if not paths:
             return
         rows = frames_from_files(spark, paths)

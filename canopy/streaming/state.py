@@ -70,19 +70,21 @@ def _control_fn(p: ControlParams):
             max_seen = mx if max_seen is None else max(max_seen, mx)
             rd = pdf[pdf["kind"] == "r"]
             if not rd.empty:
-                rel = rd["t_us"].to_numpy() - o_us
-                slot = np.floor_divide(rel, g_us)
+                # vectorised: one row per slot of this Arrow batch, then merged into the state
+                rel = rd["t_us"].to_numpy(dtype=np.int64) - o_us
+                us = np.floor(rd["value"].to_numpy(dtype=np.float64) * float(SCALE) + 0.5).astype(np.int64)
+                ph = (rd["metric"] == "ph").to_numpy()
                 at0 = (rel % g_us) == 0
-                us = np.floor(rd["value"].to_numpy() * float(SCALE) + 0.5).astype(np.int64)
-                is_ph = (rd["metric"] == "ph").to_numpy()
-                for s, u, ph, z in zip(slot, us, is_ph, at0):
+                cols = {"slot": np.floor_divide(rel, g_us),
+                        "s_ph": np.where(ph, us, 0), "c_ph": ph.astype(np.int64),
+                        "s_ec": np.where(~ph, us, 0), "c_ec": (~ph).astype(np.int64)}
+                cols.update({"s0_ph": np.where(at0, cols["s_ph"], 0), "c0_ph": np.where(at0, cols["c_ph"], 0),
+                             "s0_ec": np.where(at0, cols["s_ec"], 0), "c0_ec": np.where(at0, cols["c_ec"], 0)})
+                part = pd.DataFrame(cols).groupby("slot").sum()
+                for s, row in zip(part.index.tolist(), part.to_numpy(dtype=np.int64).tolist()):
                     v = slots.setdefault(int(s), [0] * 8)
-                    base = 0 if ph else 2
-                    v[base] += int(u)
-                    v[base + 1] += 1
-                    if z:
-                        v[base + 4] += int(u)
-                        v[base + 5] += 1
+                    for i in range(8):
+                        v[i] += row[i]
             ad = pdf[pdf["kind"] == "a"]
             acts.extend(zip(ad["t_us"].astype("int64").tolist(), ad["actuator_id"].tolist()))
         if max_seen is None:

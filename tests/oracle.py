@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -25,6 +26,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if os.environ.get("ORACLE_STRICT"):
+            return v
         return float(f"{v:.9g}")
     if isinstance(v, _dt.datetime):
         return v.replace(tzinfo=None)

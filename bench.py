@@ -21,6 +21,25 @@ from canopy.plans import load_all  # noqa: E402
 from canopy.session import get_spark  # noqa: E402
 
 
+def flagship_per_user(spark, sf_dir: str) -> dict:
+    """The control replay with every user as its own device (not part of ``value``).
+
+    Same plan, ~user-count devices instead of 8: shows how the replay scales
+    with the number of keys.
+    """
+    from canopy.plans.control import ControlParams, control_replay
+    from canopy.sources import bindings as B
+    df = control_replay(spark, sf_dir, ControlParams(), telemetry=B.telemetry(spark, sf_dir, devices=0),
+                        actions=B.actuator_logs(spark, sf_dir, devices=0))
+    res = {}
+    for run in ("cold", "warm"):
+        t0 = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        res[f"control_replay_per_user_{run}"] = round(time.perf_counter() - t0, 3)
+    res["control_replay_per_user_rows"] = df.count()
+    return res
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -47,6 +66,8 @@ def main() -> None:
     out = {"metric": "total_query_seconds_warm", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "n_queries": len(times),
            "cold_total": round(sum(cold.values()), 3), "cold": cold}
+    if not only:
+        out["scale"] = flagship_per_user(spark, sf_dir)
     if failed:
         out["failed"] = failed
     print(json.dumps(out))

@@ -63,13 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
     private temporary folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext (remote session): the conf is all there is
+        sc = None
+    if not d and sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="canopy-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    # The SparkContext may add a uuid sub-folder; report the base we chose.
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")

@@ -25,11 +25,14 @@ def _k(col: str = "props") -> Column:
     return F.regexp_extract(F.col(col), r"([0-9]+)", 1).cast("int")
 
 
-def _device(prefix: str = "node") -> Column:
-    return F.concat(F.lit(prefix), (F.col("user_id") % DEVICES).cast("string"))
+def _device(prefix: str = "node", devices: int | None = None) -> Column:
+    """Device of an event's user; ``devices=0`` keeps every user as its own device."""
+    d = DEVICES if devices is None else devices
+    uid = F.col("user_id") if d == 0 else F.col("user_id") % d
+    return F.concat(F.lit(prefix), uid.cast("string"))
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, devices: int | None = None) -> DataFrame:
     """telemetry(event_id, time, device_id, metric, value)."""
     e = read_table(spark, sf_dir, "events")
     et = F.col("event_type")
@@ -37,7 +40,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(
                 F.col("event_id"),
                 F.col("ts").alias("time"),
-                _device().alias("device_id"),
+                _device(devices=devices).alias("device_id"),
                 F.when(et == "view", "ph").when(et == "click", "ec")
                  .otherwise("water_temp").alias("metric"),
                 F.when(et == "view", F.lit(4.0) + F.col("value") / 25.0)
@@ -45,7 +48,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .otherwise(F.lit(18.0) + F.col("value") / 20.0).alias("value")))
 
 
-def actuator_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actuator_logs(spark: SparkSession, sf_dir: str, devices: int | None = None) -> DataFrame:
     """actuator_logs(id, time, device_id, actuator_id, action, duration_ms, trigger_source)."""
     e = read_table(spark, sf_dir, "events")
     k5 = _k() % 5
@@ -53,7 +56,7 @@ def actuator_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(
                 F.col("event_id").alias("id"),
                 F.col("ts").alias("time"),
-                _device().alias("device_id"),
+                _device(devices=devices).alias("device_id"),
                 F.when(k5 == 0, "pump_ph_minus").when(k5 == 1, "pump_ph_plus")
                  .when(k5 == 2, "pump_nutri_1").when(k5 == 3, "pump_nutri_2")
                  .otherwise("pump_nutri_3").alias("actuator_id"),

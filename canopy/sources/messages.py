@@ -221,8 +221,9 @@ def parse_actuator(msgs: DataFrame) -> DataFrame:
         (_too_long(F.col("actuator_id"), "actuator_id"), "length:actuator_id"),
         (_too_long(F.col("action"), "action"), "length:action"),
     ])
-    return out.select("msg_id", "topic", "time", "actuator_id", "action", "duration_ms",
-                      F.lit(C.TRIGGER_SOURCE).alias("trigger_source"), "reason")
+    from canopy.functions.commands import canonical_pump
+    return out.select("msg_id", "topic", "time", canonical_pump(F.col("actuator_id")).alias("actuator_id"),
+                      "action", "duration_ms", F.lit(C.TRIGGER_SOURCE).alias("trigger_source"), "reason")
 
 
 STATUS_SCHEMA = "device_id string, uptime_s long, mode string, louvers_position int, relays map<string,string>"

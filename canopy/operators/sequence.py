@@ -188,3 +188,56 @@ def trailing_agg(df: DataFrame, by: Sequence[str], time_col: str, value_col: str
                .filter(F.col("__shift") == 0))
     out = out.withColumn(f"{prefix}avg", F.col(f"{prefix}sum") / F.col(f"{prefix}cnt"))
     return out.select(*df.columns, f"{prefix}sum", f"{prefix}cnt", f"{prefix}avg")
+
+
+# ---------------------------------------------------------------------------
+# as-of, one value per column
+# ---------------------------------------------------------------------------
+
+def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
+                     right_time: str, cols: dict[str, str], *, bucket_s: float = 86400.0,
+                     right_order: str | None = None) -> DataFrame:
+    """For every left row and every ``cols`` entry, the last non-null value of that
+    right column at or before ``left_time`` (same ``by`` key).
+
+    Several as-of lookups against one table in a single pass: right rows carry
+    NULL in the columns they do not feed (e.g. ``time`` only in a
+    ``last_warning`` column for WARNING rows).  Same plan as :func:`asof_join`
+    with one ``last(ignorenulls)`` and one ``max_by`` per column.
+    """
+    by = list(by)
+    width = _us(bucket_s)
+    names = list(cols.values())
+    r_ord = F.col(right_order).cast("double") if right_order else F.lit(0.0)
+    r = right.select(*by, epoch_us(right_time).alias("__t"), r_ord.alias("__o"),
+                     *[F.col(src).alias(dst) for src, dst in cols.items()])
+    r = r.withColumn("__b", _bucket(F.col("__t"), width))
+    left_cols = left.columns
+    lft = (left.withColumn("__t", epoch_us(left_time))
+               .withColumn("__b", _bucket(F.col("__t"), width)))
+    types = {n: r.schema[n].dataType for n in names}
+
+    ordk = F.struct("__t", "__o")
+    summary_r = r.groupBy(*by, "__b").agg(
+        *[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), ordk)).alias(n) for n in names],
+        F.lit(0).alias("__hasleft"))
+    marks = lft.select(*by, "__b").distinct().select(
+        *by, "__b", *[F.lit(None).cast(types[n]).alias(n) for n in names], F.lit(1).alias("__hasleft"))
+    summary = summary_r.unionByName(marks).groupBy(*by, "__b").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in names], F.max("__hasleft").alias("__hasleft"))
+    wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
+    carry = summary.select(*by, "__b", "__hasleft",
+                           *[F.last(n, ignorenulls=True).over(wk).alias(n) for n in names]) \
+        .filter(F.col("__hasleft") == 1) \
+        .select(*by, "__b", (F.col("__b") * F.lit(width) - 1).alias("__t"), F.lit(-1).alias("__rank"),
+                F.lit(0.0).alias("__o"), *names, F.lit(False).alias("__isleft"))
+    lrows = lft.select(*left_cols, "__b", "__t", F.lit(1).alias("__rank"), F.lit(0.0).alias("__o"),
+                       F.lit(True).alias("__isleft"))
+    rrows = r.select(*by, "__b", "__t", F.lit(0).alias("__rank"), "__o", *names,
+                     F.lit(False).alias("__isleft"))
+    allrows = lrows.unionByName(rrows, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    wb = (Window.partitionBy(*by, "__b").orderBy("__t", "__rank", "__o")
+          .rowsBetween(_UNB, Window.currentRow))
+    out = allrows.select(*left_cols, "__isleft",
+                         *[F.last(n, ignorenulls=True).over(wb).alias(n) for n in names])
+    return out.filter(F.col("__isleft")).select(*left_cols, *names)

@@ -15,7 +15,7 @@ from canopy.functions.gauges import limits_df, limits_sql
 from canopy.functions.numeric import exact_avg, sql_avg
 from canopy.operators.latest import latest_per_key
 from canopy.operators.rangejoin import interval_join
-from canopy.operators.sequence import asof_join, epoch_us, prev_row
+from canopy.operators.sequence import asof_join, asof_last_values, epoch_us, prev_row
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds, ntz
@@ -333,14 +333,15 @@ def mode_machine_df(spark, sf_dir, last_only=False):
     """
     ev = B.system_events(spark, sf_dir).withColumnRenamed("category", "device_id")
     spine = _mode_ticks(spark, sf_dir, last_only=last_only)
-    latch = ev.filter((F.col("level") == "CRITICAL") | F.col("is_resolved")) \
-        .withColumn("kind", F.when(F.col("is_resolved"), "ACK").otherwise("FAULT"))
-    j = asof_join(spine, latch, ["device_id"], "tick", "time", {"kind": "latch"}, right_order="id",
-                  matched_time=None)
-    j = asof_join(j, ev.filter(F.col("level") == "CRITICAL"), ["device_id"], "tick", "time", {},
-                  right_order="id", matched_time="last_critical")
-    j = asof_join(j, ev.filter(F.col("level") == "WARNING"), ["device_id"], "tick", "time", {},
-                  right_order="id", matched_time="last_warning")
+    # one as-of pass, three lookups: each column is fed only by its kind of event
+    feeds = ev.select(
+        "device_id", "time", "id",
+        F.when(F.col("is_resolved"), "ACK").when(F.col("level") == "CRITICAL", "FAULT").alias("latch"),
+        F.when(F.col("level") == "CRITICAL", F.col("time")).alias("last_critical"),
+        F.when(F.col("level") == "WARNING", F.col("time")).alias("last_warning"))
+    j = asof_last_values(spine, feeds, ["device_id"], "tick", "time",
+                         {"latch": "latch", "last_critical": "last_critical", "last_warning": "last_warning"},
+                         right_order="id")
     since_s = lambda c: (epoch_us("tick") - epoch_us(c)) / F.lit(1e6)
     mode = (F.when(F.col("latch") == "FAULT", "SAFETY")
             .when(since_s("last_critical") <= MAINTENANCE_S, "MAINTENANCE")

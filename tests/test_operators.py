@@ -98,3 +98,23 @@ def test_interval_join_matches_nested_loop(spark):
     assert sorted((r.id, r.iid) for r in got.collect()) == sorted((r.id, r.iid) for r in exp.collect())
     anti = interval_join(pts, iv, ["k"], "t", "s", "e", bucket_s=3600.0, how="left_anti")
     assert anti.count() == pts.count() - exp.select("id").distinct().count()
+
+
+def test_asof_last_values_equals_separate_asof_joins(spark):
+    from canopy.operators.sequence import asof_last_values
+    df = _skewed(spark)
+    left = df.filter("id % 4 = 0").select("id", "k", "t")
+    right = df.filter("id % 4 <> 0").select(
+        F.col("id").alias("rid"), "k", F.col("t").alias("rt"),
+        F.when(F.col("v") > 50, F.col("rid") if False else F.col("id")).alias("hi_id"),
+        F.when(F.col("v") <= 50, F.col("id")).alias("lo_id"))
+    got = asof_last_values(left, right, ["k"], "t", "rt", {"hi_id": "hi", "lo_id": "lo"},
+                           right_order="rid", bucket_s=7200.0)
+    a = asof_join(left, right.filter("hi_id IS NOT NULL"), ["k"], "t", "rt", {"hi_id": "hi"},
+                  right_order="rid", matched_time=None)
+    b = asof_join(left, right.filter("lo_id IS NOT NULL"), ["k"], "t", "rt", {"lo_id": "lo"},
+                  right_order="rid", matched_time=None)
+    exp = {r.id: [r.hi] for r in a.collect()}
+    for r in b.collect():
+        exp[r.id].append(r.lo)
+    assert {r.id: [r.hi, r.lo] for r in got.collect()} == exp

@@ -11,7 +11,9 @@ per-(key, bucket) summary: one row per bucket, independent of data volume.
 * :func:`trailing_agg`  -- sum/count/avg over ``[t - lookback, t]`` per row
 
 All of them are exact.  The bucket width only trades shuffle granularity
-against summary size; it never changes results.
+against summary size; it never changes results.  By default it is sized from
+the data (:func:`auto_bucket_s`) so the hottest key splits into partitions of
+about a million rows.
 """
 
 from __future__ import annotations
@@ -38,12 +40,42 @@ def _bucket(t_us: Column, width_us: int) -> Column:
     return F.floor(t_us / F.lit(width_us)).cast("long")
 
 
+# Target rows of the hottest key per (key, bucket) partition, and the width bounds.
+BUCKET_TARGET_ROWS = 1_000_000
+BUCKET_MIN_S = 60.0
+BUCKET_MAX_S = 7 * 86400.0
+
+
+def auto_bucket_s(frames: Sequence[tuple[DataFrame, str]], by: Sequence[str],
+                  target_rows: int = BUCKET_TARGET_ROWS) -> float:
+    """Bucket width that splits the hottest key into ~``target_rows`` pieces.
+
+    One aggregation over (key, time) of all inputs -- per-key counts are
+    combined map-side -- and three scalars to the driver: rows of the hottest
+    key and the overall time span.  Assumes the hot key's rows spread over the
+    span; the width never changes results, only partition sizes.
+    """
+    by = list(by)
+    parts = [df.select(*by, epoch_us(t).alias("__t")) for df, t in frames]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    per_key = u.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("lo"),
+                                 F.max("__t").alias("hi"))
+    row = per_key.agg(F.max("n").alias("hot"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if row is None or row["hot"] is None:
+        return BUCKET_MAX_S
+    span_s = max(1.0, (row["hi"] - row["lo"]) / 1e6)
+    pieces = max(1, -(-int(row["hot"]) // target_rows))
+    return float(min(BUCKET_MAX_S, max(BUCKET_MIN_S, span_s / pieces)))
+
+
 # ---------------------------------------------------------------------------
 # as-of join
 # ---------------------------------------------------------------------------
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
-              right_time: str, right_cols: dict[str, str], *, bucket_s: float = 86400.0,
+              right_time: str, right_cols: dict[str, str], *, bucket_s: float | None = None,
               allow_exact: bool = True, tolerance_s: float | None = None,
               right_order: str | None = None, matched_time: str | None = "asof_time",
               direction: str = "backward") -> DataFrame:
@@ -63,6 +95,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     """
     by = list(by)
     sign = 1 if direction == "backward" else -1
+    if bucket_s is None:
+        bucket_s = auto_bucket_s([(left, left_time), (right, right_time)], by)
     width = _us(bucket_s)
     payload_fields = [F.col(src).alias(dst) for src, dst in right_cols.items()]
     if matched_time:
@@ -126,7 +160,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 # ---------------------------------------------------------------------------
 
 def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, str], *,
-             bucket_s: float = 86400.0, order_col: str | None = None,
+             bucket_s: float | None = None, order_col: str | None = None,
              direction: str = "prev") -> DataFrame:
     """``lag`` (or ``lead`` with ``direction="next"``) of ``cols`` within ``by``
     ordered by ``(time_col, order_col)``, computed on (key, bucket) partitions.
@@ -136,6 +170,8 @@ def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, st
     """
     by = list(by)
     sign = 1 if direction == "prev" else -1
+    if bucket_s is None:
+        bucket_s = auto_bucket_s([(df, time_col)], by)
     width = _us(bucket_s)
     o = (F.col(order_col).cast("double") * sign) if order_col else F.lit(0.0)
     payload = F.struct(*[F.col(s).alias(d) for s, d in cols.items()])
@@ -195,7 +231,7 @@ def trailing_agg(df: DataFrame, by: Sequence[str], time_col: str, value_col: str
 # ---------------------------------------------------------------------------
 
 def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
-                     right_time: str, cols: dict[str, str], *, bucket_s: float = 86400.0,
+                     right_time: str, cols: dict[str, str], *, bucket_s: float | None = None,
                      right_order: str | None = None) -> DataFrame:
     """For every left row and every ``cols`` entry, the last non-null value of that
     right column at or before ``left_time`` (same ``by`` key).
@@ -206,6 +242,8 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
     with one ``last(ignorenulls)`` and one ``max_by`` per column.
     """
     by = list(by)
+    if bucket_s is None:
+        bucket_s = auto_bucket_s([(left, left_time), (right, right_time)], by)
     width = _us(bucket_s)
     names = list(cols.values())
     r_ord = F.col(right_order).cast("double") if right_order else F.lit(0.0)

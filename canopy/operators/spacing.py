@@ -36,7 +36,7 @@ def greedy_min_gap(df: DataFrame, by: Sequence[str], time_col: str, id_col: str,
     probe = req.withColumn("__probe", F.col(time_col) + F.make_dt_interval(secs=F.lit(float(gap_s))))
     nxt = asof_join(probe, req.withColumnRenamed(id_col, "__nid").withColumnRenamed(time_col, "__nt"),
                     by, "__probe", "__nt", {"__nid": "nid"}, right_order="__nid",
-                    matched_time=None, direction="forward", bucket_s=bucket_s or max(gap_s, 3600.0))
+                    matched_time=None, direction="forward", bucket_s=bucket_s)
     jump = nxt.select(*by, F.col(id_col).alias("id"), "nid")
     if checkpoint:
         jump = jump.checkpoint()

@@ -96,8 +96,7 @@ FROM actuator_logs WHERE action = 'COMPLETED'""")
 def nutrient_alternate(spark, sf_dir):
     """A/B nutrient choice after every completed action (null-safe on the first)."""
     a = completed(spark, sf_dir).select("id", "device_id", "time", "actuator_id")
-    p = prev_row(a, ["device_id"], "time", {"actuator_id": "prev_pump"}, order_col="id",
-                 bucket_s=86400.0)
+    p = prev_row(a, ["device_id"], "time", {"actuator_id": "prev_pump"}, order_col="id")
     return p.withColumn("next_nutrient",
                         F.when(~F.col("prev_pump").eqNullSafe(C.PUMP_NUTRI_1), C.PUMP_NUTRI_1)
                         .otherwise(C.PUMP_NUTRI_2))

@@ -55,7 +55,7 @@ def last_action_asof(spark, sf_dir):
         .select("event_id", "device_id", "time", "value")
     done = B.actuator_logs(spark, sf_dir).filter(F.col("action") == "COMPLETED")
     return asof_join(ph, done, ["device_id"], "time", "time", {"actuator_id": "last_pump"},
-                     right_order="id", matched_time="last_action_time", bucket_s=86400.0)
+                     right_order="id", matched_time="last_action_time")
 
 
 def node_of(device):

@@ -79,8 +79,7 @@ FROM g WHERE date_diff('microsecond', gap_start, gap_end) > CAST({HEARTBEAT_GAP_
 def heartbeat_gaps(spark, sf_dir):
     """Silences longer than the heartbeat limit between readings of a device."""
     t = B.telemetry(spark, sf_dir).select("event_id", "device_id", "time")
-    p = prev_row(t, ["device_id"], "time", {"time": "gap_start"}, order_col="event_id",
-                 bucket_s=6 * 3600.0)
+    p = prev_row(t, ["device_id"], "time", {"time": "gap_start"}, order_col="event_id")
     gap_us = epoch_us("time") - epoch_us("gap_start")
     return p.filter(gap_us > HEARTBEAT_GAP_S * 1_000_000).select(
         "device_id", "gap_start", F.col("time").alias("gap_end"), (gap_us / F.lit(1e6)).alias("gap_s"))

@@ -106,7 +106,7 @@ def test_asof_last_values_equals_separate_asof_joins(spark):
     left = df.filter("id % 4 = 0").select("id", "k", "t")
     right = df.filter("id % 4 <> 0").select(
         F.col("id").alias("rid"), "k", F.col("t").alias("rt"),
-        F.when(F.col("v") > 50, F.col("rid") if False else F.col("id")).alias("hi_id"),
+        F.when(F.col("v") > 50, F.col("id")).alias("hi_id"),
         F.when(F.col("v") <= 50, F.col("id")).alias("lo_id"))
     got = asof_last_values(left, right, ["k"], "t", "rt", {"hi_id": "hi", "lo_id": "lo"},
                            right_order="rid", bucket_s=7200.0)
@@ -118,3 +118,15 @@ def test_asof_last_values_equals_separate_asof_joins(spark):
     for r in b.collect():
         exp[r.id].append(r.lo)
     assert {r.id: [r.hi, r.lo] for r in got.collect()} == exp
+
+
+def test_auto_bucket_splits_hot_key_and_stays_exact(spark):
+    from canopy.operators.sequence import BUCKET_MIN_S, auto_bucket_s
+    df = _skewed(spark)
+    wide = auto_bucket_s([(df, "t")], ["k"])
+    narrow = auto_bucket_s([(df, "t")], ["k"], target_rows=100)
+    assert narrow < wide and narrow >= BUCKET_MIN_S
+    w = Window.partitionBy("k").orderBy("t", "id")
+    exp = {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+    got = prev_row(df, ["k"], "t", {"id": "p"}, order_col="id", bucket_s=narrow)
+    assert {r.id: r.p for r in got.collect()} == exp

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy import constants as C
 from canopy.operators.latest import latest_per_key, top1
-from canopy.operators.sequence import prev_row, trailing_agg
+from canopy.operators.sequence import prev_row, trailing_sum_exact
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 
@@ -134,8 +134,8 @@ FROM actuator_logs WHERE action = 'COMPLETED'""")
 def dose_rate_limit(spark, sf_dir):
     """Pumping time per pump over the rolling hour; refuse beyond the limit."""
     a = completed(spark, sf_dir).select("id", "device_id", "actuator_id", "time", "duration_ms")
-    t = trailing_agg(a, ["device_id", "actuator_id"], "time", "duration_ms", RATE_WINDOW_S,
-                     prefix="w_")
+    t = trailing_sum_exact(a, ["device_id", "actuator_id"], "time", "duration_ms", RATE_WINDOW_S,
+                           prefix="w_")
     return t.select("id", "device_id", "actuator_id", "time", "duration_ms",
                     F.col("w_sum").cast("long").alias("ms_window"),
                     (F.col("w_sum") > RATE_LIMIT_MS).alias("refused"))

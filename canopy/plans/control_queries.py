@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy import constants as C
 from canopy.functions.numeric import from_micros, micros, sql_micros
-from canopy.operators.sequence import asof_join, trailing_agg
+from canopy.operators.sequence import asof_join, trailing_sum_exact
 from canopy.plans.control import (ControlParams, control_replay as _replay, control_replay_sql,
                                   mixing_lock as _lock, mixing_lock_sql)
 from canopy.plans.registry import register
@@ -38,7 +38,7 @@ WINDOW w AS (PARTITION BY device_id, metric ORDER BY time
 def trailing_avg(spark, sf_dir):
     """Per reading: average of the same device and metric over the preceding 6 h."""
     t = B.telemetry(spark, sf_dir).withColumn("__us", micros(F.col("value")))
-    r = trailing_agg(t, ["device_id", "metric"], "time", "__us", TRAILING_S, prefix="w_")
+    r = trailing_sum_exact(t, ["device_id", "metric"], "time", "__us", TRAILING_S, prefix="w_")
     return r.select("event_id", "device_id", "metric", "time", "value",
                     from_micros(F.col("w_sum"), F.col("w_cnt")).alias("trailing_avg"),
                     F.col("w_cnt").alias("trailing_cnt"))

@@ -130,3 +130,20 @@ def test_auto_bucket_splits_hot_key_and_stays_exact(spark):
     exp = {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
     got = prev_row(df, ["k"], "t", {"id": "p"}, order_col="id", bucket_s=narrow)
     assert {r.id: r.p for r in got.collect()} == exp
+
+
+def test_trailing_sum_exact_equals_range_window(spark):
+    from canopy.operators.sequence import running_sum, trailing_sum_exact
+    df = _skewed(spark).withColumn("iv", (F.col("v") * 10).cast("long"))
+    look = 7200
+    w = (Window.partitionBy("k").orderBy(F.unix_micros(F.col("t").cast("timestamp")))
+         .rangeBetween(-look * 10**6, 0))
+    exp = {r.id: (r.s, r.c) for r in df.select("id", F.sum("iv").over(w).alias("s"),
+                                                F.count("iv").over(w).alias("c")).collect()}
+    for bucket in (None, 900.0):  # one bucket per lookback, and eight buckets per lookback
+        got = trailing_sum_exact(df, ["k"], "t", "iv", look, bucket_s=bucket)
+        assert {r.id: (r.trailing_sum, r.trailing_cnt) for r in got.collect()} == exp
+    wc = Window.partitionBy("k").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    cum = {r.id: r.s for r in df.select("id", F.sum("iv").over(wc).alias("s")).collect()}
+    got = running_sum(df, ["k"], "t", {"iv": "cum"}, bucket_s=600.0)
+    assert {r.id: r.cum for r in got.collect()} == cum

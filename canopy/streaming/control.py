@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from canopy.plans.control import ControlParams, control_replay
 from canopy.plans.images import frames_from_files
 from canopy.session import shared_dir
-from canopy.sources.sinks import append_idempotent
+from canopy.sources.sinks import append_idempotent, time_range_filter
 
 
 def evaluate_latest_tick(spark: SparkSession, telemetry: DataFrame, actions: DataFrame,
@@ -40,7 +40,10 @@ def start_periodic_control(spark: SparkSession, tables_dir: str, out_dir: str, p
 
     def run(batch: DataFrame, batch_id: int) -> None:
         now = (now_fn or (lambda: _dt.datetime.utcnow()))()
-        tel = spark.read.parquet(f"{tables_dir}/telemetry")
+        # only the chunks the lookback touches are read (time + chunk_start predicates)
+        tel = time_range_filter(spark.read.parquet(f"{tables_dir}/telemetry"),
+                                now - _dt.timedelta(seconds=p.lookback_s + p.tick_s),
+                                now + _dt.timedelta(seconds=1))
         act = spark.read.parquet(f"{tables_dir}/actuator_logs")
         d = evaluate_latest_tick(spark, tel, act, p, now)
         append_idempotent(d, f"{out_dir}/decisions", batch_id, partition_cols=())

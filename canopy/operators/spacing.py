@@ -10,7 +10,8 @@ hot key's whole history into one task.  Instead:
    key.  Pointer doubling builds ``next^(2^k)`` for k = 0..K by self-joins,
    then grows the kept set from the heads: ``S := S u next^(2^k)(S)`` for
    k = K..0.  Every step is an equi-join on (key, id); the chain length is
-   bounded by span / gap, so K = ceil(log2(span / gap + 2)).
+   bounded by span / gap + 1 and by the hottest key's request count, so
+   K = ceil(log2(bound + 1)).
 
 Lineage is cut with ``checkpoint()`` (shared folder from the session).
 """
@@ -41,7 +42,9 @@ def greedy_min_gap(df: DataFrame, by: Sequence[str], time_col: str, id_col: str,
     if checkpoint:
         jump = jump.checkpoint()
     levels = [jump]
-    k_max = max(0, math.ceil(math.log2(span_s / gap_s + 2)))
+    hottest = req.groupBy(*by).count().agg(F.max("count")).first()[0] or 1  # one scalar
+    bound = min(span_s / gap_s + 1, hottest)
+    k_max = max(0, math.ceil(math.log2(bound + 1)))
     for _ in range(k_max):
         j = levels[-1]
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by] + [F.col("a.nid") == F.col("b.id")]

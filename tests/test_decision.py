@@ -51,3 +51,41 @@ def test_per_device_lock_only_waits_more_locally(spark):
     d = control_replay(spark, "/root/testdata/sf0.001", ControlParams(per_device_lock=True))
     assert g.count() == d.count()
     assert d.filter("status = 'WAITING'").count() <= g.filter("status = 'WAITING'").count()
+
+
+def _tel(spark, rows):
+    return spark.createDataFrame(rows, "event_id long, time timestamp_ntz, device_id string, metric string, value double")
+
+
+def _acts(spark, rows):
+    return spark.createDataFrame(rows, "id long, time timestamp_ntz, device_id string, actuator_id string, "
+                                       "action string, duration_ms int, trigger_source string")
+
+
+def test_aberrant_ph_does_not_dose(spark):
+    """Planned acceptance test of the original: a pH of -2 must not trigger a dose."""
+    import datetime as dt
+    from canopy.plans.control import ControlParams, control_replay
+    t0 = dt.datetime(2024, 3, 1, 12)
+    tel = _tel(spark, [(1, t0 - dt.timedelta(seconds=30), "n1", "ph", -2.0),
+                       (2, t0 - dt.timedelta(seconds=20), "n1", "ec", 1.4)])
+    acts = _acts(spark, [(1, t0 - dt.timedelta(days=1), "n1", "pump_ph_plus", "COMPLETED", 1000, "auto_backend")])
+    p = ControlParams(tick_s=60, lookback_s=120, mixing_delay_s=60.0, origin=t0, end=t0)
+    out = control_replay(spark, "", p, telemetry=tel, actions=acts).collect()
+    assert [(r.status, r.command_target) for r in out] == [("EMERGENCY_STOP", None)]
+
+
+def test_rate_limit_refuses(spark):
+    """Planned acceptance test of the original: pumping beyond 5 s per hour is refused."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from canopy.operators.sequence import trailing_sum_exact
+    t0 = dt.datetime(2024, 3, 1, 12)
+    rows = [(i, t0 + dt.timedelta(minutes=10 * i), "n1", "pump_ph_minus", "COMPLETED", 2000, "auto_backend")
+            for i in range(5)]
+    rows.append((9, t0 + dt.timedelta(hours=3), "n1", "pump_ph_minus", "COMPLETED", 2000, "auto_backend"))
+    a = _acts(spark, rows)
+    t = trailing_sum_exact(a, ["device_id", "actuator_id"], "time", "duration_ms", 3600, prefix="w_")
+    got = {r.id: (r.w_sum, r.w_sum > 5000) for r in t.collect()}
+    assert got == {0: (2000, False), 1: (4000, False), 2: (6000, True), 3: (8000, True), 4: (10000, True),
+                   9: (2000, False)}

@@ -25,9 +25,28 @@ BASE_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB class, ~1000 executors).  AQE
+# coalesces the initial shuffle partitions to the advisory size and splits
+# skewed ones; broadcasts stay behind AQE's runtime size check; keyed stream
+# state lives in RocksDB instead of the executor heap.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+}
+
+
 def get_spark(app: str = "canopy", master: str | None = None,
               shuffle_partitions: int | None = None,
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, cluster: bool = False) -> SparkSession:
     """Return (or create) a session with canopy's base configuration.
 
     ``master`` defaults to ``local[*]`` only when no master is configured in
@@ -39,6 +58,8 @@ def get_spark(app: str = "canopy", master: str | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import functions as F
 
 from canopy import constants as C
@@ -12,7 +10,6 @@ from canopy.functions.numeric import exact_avg, sql_avg
 from canopy.plans.registry import register
 from canopy.plans.telemetry import ASOF_SQL, latest_per_metric, since
 from canopy.sources import bindings as B
-from canopy.sources.tables import as_of, ntz
 
 TREND_HOURS = 24
 _LATEST_SQL = """

@@ -39,6 +39,13 @@ image_metrics AS (
 W_IM = W_I + _BLUR_CTE
 
 
+def _score(frames: DataFrame) -> DataFrame:
+    """Add ``blur_score`` (rounded) from the ``embedding`` pixels; drops the pixels."""
+    return (add_blur_score(frames, "embedding", WIDTH, "__blur")
+            .withColumn("blur_score", F.when(F.col("embedding").isNotNull(), F.round("__blur", 6)))
+            .drop("__blur", "embedding"))
+
+
 def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_metrics(sensor_name, timestamp, image_path, blur_score), one row per frame."""
     f = add_blur_score(B.image_frames(spark, sf_dir), "embedding", WIDTH, "__blur")
@@ -84,13 +91,14 @@ FROM (SELECT 1 AS one) o LEFT JOIN
      (SELECT * FROM image_metrics ORDER BY timestamp DESC, image_path DESC LIMIT 1) m ON TRUE""")
 def latest_image(spark, sf_dir):
     """Newest frame with its score; one row with status 'empty' when there is none."""
-    m = image_metrics(spark, sf_dir)
-    # a global aggregate always yields exactly one row: the newest frame, or NULLs when empty
-    best = m.agg(F.max_by(F.struct("image_path", "blur_score", "timestamp"),
-                          F.struct("timestamp", "image_path")).alias("b"))
-    return best.select(F.col("b.image_path").alias("image_path"), F.col("b.blur_score").alias("blur_score"),
-                       F.col("b.timestamp").alias("timestamp"),
-                       F.when(F.col("b").isNull(), "empty").otherwise("success").alias("status"))
+    f = B.image_frames(spark, sf_dir)
+    # newest frame first (a global aggregate always yields exactly one row, NULLs when empty),
+    # then the blur of that one frame only
+    best = f.agg(F.max_by(F.struct("image_path", F.col("ts_epoch").alias("timestamp"), "embedding"),
+                          F.struct("ts_epoch", "image_path")).alias("b"))
+    scored = _score(best.select("b.*"))
+    return scored.select("image_path", "blur_score", "timestamp",
+                         F.when(F.col("image_path").isNull(), "empty").otherwise("success").alias("status"))
 
 
 @register("media_latest", W_IM + """
@@ -98,9 +106,9 @@ SELECT DISTINCT ON (sensor_name) sensor_name, image_path, timestamp, blur_score
 FROM image_metrics ORDER BY sensor_name, timestamp DESC, image_path DESC""")
 def media_latest(spark, sf_dir):
     """Latest photo of each camera."""
-    m = image_metrics(spark, sf_dir)
-    return latest_per_key(m, ["sensor_name"], [F.col("timestamp").desc(), F.col("image_path").desc()]) \
-        .select("sensor_name", "image_path", "timestamp", "blur_score")
+    f = B.image_frames(spark, sf_dir).withColumnRenamed("ts_epoch", "timestamp")
+    last = latest_per_key(f, ["sensor_name"], [F.col("timestamp").desc(), F.col("image_path").desc()])
+    return _score(last).select("sensor_name", "image_path", "timestamp", "blur_score")  # score survivors only
 
 
 @register("rolling_frames", W_I + f"""

@@ -157,7 +157,11 @@ def recipe_setpoint(spark, sf_dir):
     t = B.telemetry(spark, sf_dir).select(
         "event_id", "time",
         (F.datediff(F.to_date("time"), F.lit(planted)) + 1).cast("int").alias("growth_day"))
-    j = t.join(F.broadcast(recipe), F.col("growth_day").between(F.col("first_day"), F.col("last_day")), "left")
+    # the recipe expanded to one row per growth day (a fixed, tiny table): the stage lookup
+    # becomes a broadcast equi-join instead of a nested-loop range join
+    days = recipe.select("stage", "target_ph", "target_ec",
+                         F.explode(F.sequence("first_day", "last_day")).alias("growth_day"))
+    j = t.join(F.broadcast(days), "growth_day", "left")
     return j.select("event_id", "time", "growth_day", "stage", "target_ph", "target_ec")
 
 

@@ -75,3 +75,15 @@ def test_image_files_and_corrupt_frame(spark):
     assert rows["cam1_1704067320.png"].blur_score == 0.0
     bad = rows["cam2_1704067380.jpg"]
     assert bad.blur_score == 0.0 and bad.sensor_name == "cam2" and bad.timestamp == 1704067380
+
+
+def test_latest_image_empty_status(spark):
+    import canopy.plans.images as I
+    from canopy.sources import bindings as B
+    orig = B.image_frames
+    try:
+        B.image_frames = lambda s, d: orig(s, d).limit(0)
+        r = I.latest_image(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        B.image_frames = orig
+    assert len(r) == 1 and r[0].status == "empty" and r[0].image_path is None and r[0].blur_score is None

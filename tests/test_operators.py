@@ -147,3 +147,14 @@ def test_trailing_sum_exact_equals_range_window(spark):
     cum = {r.id: r.s for r in df.select("id", F.sum("iv").over(wc).alias("s")).collect()}
     got = running_sum(df, ["k"], "t", {"iv": "cum"}, bucket_s=600.0)
     assert {r.id: r.cum for r in got.collect()} == cum
+
+
+def test_auto_bucket_bounds_hot_key_partitions(spark):
+    """The largest (key, bucket) group stays near the row target, far below the hot key's size."""
+    from canopy.operators.sequence import _bucket, _us, auto_bucket_s, epoch_us
+    df = _skewed(spark, n=20000)
+    hot = df.groupBy("k").count().agg(F.max("count")).first()[0]
+    width = auto_bucket_s([(df, "t")], ["k"], target_rows=500)
+    groups = df.groupBy("k", _bucket(epoch_us("t"), _us(width)).alias("b")).count()
+    biggest = groups.agg(F.max("count")).first()[0]
+    assert hot > 10000 and biggest <= 2 * 500, (hot, biggest)

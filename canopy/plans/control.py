@@ -260,6 +260,20 @@ SELECT tick, last_time, last_pump, round(elapsed_s, 3) AS elapsed_s,
 FROM l"""
 
 
+def _lock_sql(p: ControlParams) -> str:
+    if p.per_device_lock:
+        return """lock AS (
+  SELECT s.device_id, s.tick, a.time AS last_time, a.actuator_id AS last_pump
+  FROM (SELECT d.device_id, t.tick FROM devices d, ticks t) s ASOF LEFT JOIN
+       (SELECT device_id, time, actuator_id FROM actuator_logs WHERE action = 'COMPLETED') a
+       ON s.device_id = a.device_id AND s.tick >= a.time)"""
+    return """lock AS (
+  SELECT t.tick, a.time AS last_time, a.actuator_id AS last_pump
+  FROM ticks t ASOF LEFT JOIN
+       (SELECT time, actuator_id FROM actuator_logs WHERE action = 'COMPLETED') a
+       ON t.tick >= a.time)"""
+
+
 def control_replay_sql(p: ControlParams | None = None) -> str:
     """Same computation as DuckDB SQL over the driver tables (oracle)."""
     p = p or ControlParams()
@@ -278,15 +292,11 @@ avgs AS (
   LEFT JOIN telemetry x ON x.device_id = d.device_id AND x.metric IN ('ph', 'ec')
        AND x.time >= t.tick - INTERVAL {p.lookback_s} SECOND AND x.time <= t.tick
   GROUP BY d.device_id, t.tick),
-lock AS (
-  SELECT t.tick, a.time AS last_time, a.actuator_id AS last_pump
-  FROM ticks t ASOF LEFT JOIN
-       (SELECT time, actuator_id FROM actuator_logs WHERE action = 'COMPLETED') a
-       ON t.tick >= a.time),
+{_lock_sql(p)},
 j AS (
   SELECT v.device_id, v.tick, v.avg_ph, v.avg_ec, l.last_pump,
          date_diff('microsecond', l.last_time, v.tick) / 1e6 AS elapsed_s
-  FROM avgs v LEFT JOIN lock l ON v.tick = l.tick),
+  FROM avgs v LEFT JOIN lock l ON v.tick = l.tick{" AND v.device_id = l.device_id" if p.per_device_lock else ""}),
 d AS (
   SELECT *, CASE
     WHEN elapsed_s IS NOT NULL AND elapsed_s < {float(p.mixing_delay_s)}e0 THEN 'WAITING'

@@ -22,6 +22,15 @@ def control_replay(spark, sf_dir):
     return _replay(spark, sf_dir, REPLAY)
 
 
+REPLAY_DEVICE_LOCK = ControlParams(per_device_lock=True)
+
+
+@register("control_replay_device_lock", control_replay_sql(REPLAY_DEVICE_LOCK))
+def control_replay_device_lock(spark, sf_dir):
+    """The replay with the mixing lock kept per device (the keyed / streaming form)."""
+    return _replay(spark, sf_dir, REPLAY_DEVICE_LOCK)
+
+
 @register("mixing_lock", mixing_lock_sql(REPLAY))
 def mixing_lock(spark, sf_dir):
     """Seconds since the newest COMPLETED action at every tick, and the WAITING flag."""

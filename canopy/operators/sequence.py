@@ -26,10 +26,32 @@ from pyspark.sql import functions as F
 _UNB = Window.unboundedPreceding
 
 
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def epoch_us(col: Column | str) -> Column:
-    """Epoch microseconds of a TIMESTAMP or TIMESTAMP_NTZ column (UTC session)."""
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ column.
+
+    Plain NTZ arithmetic, so the result does not depend on the session time
+    zone (a TIMESTAMP column is first read as its session-zone wall clock).
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.unix_micros(c.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), c.cast("timestamp_ntz"))
+
+
+def from_epoch_us(us: Column) -> Column:
+    """TIMESTAMP_NTZ from microseconds since 1970-01-01 (inverse of :func:`epoch_us`)."""
+    return F.timestamp_add("MICROSECOND", us, _epoch_ntz())
+
+
+def floor_time(col: Column | str, seconds: int) -> Column:
+    """Truncate a TIMESTAMP_NTZ to a fixed unit (minute = 60, hour = 3600), zone independent.
+
+    ``date_trunc`` would return a session-zone TIMESTAMP instead.
+    """
+    w = int(seconds) * 1_000_000
+    return from_epoch_us(F.floor(epoch_us(col) / F.lit(w)).cast("long") * F.lit(w))
 
 
 def _us(seconds: float) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from canopy import constants as C
 from canopy.functions.numeric import from_micros, micros, sql_avg
-from canopy.operators.sequence import epoch_us
+from canopy.operators.sequence import epoch_us, from_epoch_us
 from canopy.sources import bindings
 from canopy.sources.tables import event_bounds, ntz
 
@@ -179,7 +179,7 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
     if not lock_keys and n <= BROADCAST_TICKS_MAX:
         lock = F.broadcast(lock)
 
-    tick = F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000)).cast("timestamp_ntz")
+    tick = from_epoch_us(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000))
     out = avgs.join(lock, [*lock_keys, "j"], "left").withColumn("tick", tick)
     tph, tec = p.target_ph, p.target_ec
     if config is not None:
@@ -235,7 +235,7 @@ def mixing_lock(spark: SparkSession, sf_dir: str, p: ControlParams | None = None
     origin, _, n = _grid(spark, sf_dir, p)
     o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000 + origin.microsecond
     lock = lock_table(spark, bindings.actuator_logs(spark, sf_dir), p, origin, n)
-    tick = F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000)).cast("timestamp_ntz")
+    tick = from_epoch_us(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000))
     elapsed = (epoch_us(tick) - epoch_us("last_time")) / F.lit(1e6)
     return lock.select(tick.alias("tick"), "last_time", "last_pump",
                        F.round(elapsed, 3).alias("elapsed_s"),

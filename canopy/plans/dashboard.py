@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from canopy import constants as C
 from canopy.functions import gauges as G
 from canopy.functions.numeric import exact_avg, sql_avg
+from canopy.operators.sequence import floor_time
 from canopy.plans.registry import register
 from canopy.plans.telemetry import ASOF_SQL, latest_per_metric, since
 from canopy.sources import bindings as B
@@ -71,7 +72,7 @@ _TREND_SQL = f"""
 def _trend(spark, sf_dir):
     t = (B.telemetry(spark, sf_dir).filter(F.col("metric").isin("ph", "ec"))
          .filter(since(spark, sf_dir, TREND_HOURS * 3600)))
-    return t.groupBy(F.date_trunc("hour", "time").alias("hour_start"), "metric") \
+    return t.groupBy(floor_time("time", 3600).alias("hour_start"), "metric") \
         .agg(exact_avg(F.col("value")).alias("avg_value"))
 
 

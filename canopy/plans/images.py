@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.vision import add_blur_score, blur_image_udf, make_blur_pixels_udf
 from canopy.operators.latest import latest_per_key
+from canopy.operators.sequence import from_epoch_us
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.images import epoch_of, key_of, read_frames, sensor_of
@@ -127,7 +128,7 @@ _DAY_SQL = "CAST(to_timestamp(ts_epoch) AT TIME ZONE 'UTC' AS DATE)"
 
 
 def _day(col="ts_epoch"):
-    return F.to_date(F.timestamp_seconds(F.col(col)))
+    return F.to_date(from_epoch_us(F.col(col) * F.lit(1_000_000)))  # UTC day, any session zone
 
 
 @register("frames_by_day", W_I + f"""

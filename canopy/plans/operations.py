@@ -15,7 +15,7 @@ from canopy.functions.gauges import limits_df, limits_sql
 from canopy.functions.numeric import exact_avg, sql_avg
 from canopy.operators.latest import latest_per_key
 from canopy.operators.rangejoin import interval_join
-from canopy.operators.sequence import asof_join, asof_last_values, epoch_us, prev_row
+from canopy.operators.sequence import asof_join, asof_last_values, epoch_us, floor_time, from_epoch_us, prev_row
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds, ntz
@@ -171,7 +171,7 @@ SELECT device_id, metric, date_trunc('minute', time) AS minute, {sql_avg('value'
 def minute_downsample(spark, sf_dir):
     """One point per minute per device and metric."""
     t = B.telemetry(spark, sf_dir)
-    return t.groupBy("device_id", "metric", F.date_trunc("minute", "time").alias("minute")).agg(
+    return t.groupBy("device_id", "metric", floor_time("time", 60).alias("minute")).agg(
         exact_avg(F.col("value")).alias("avg_value"), F.count(F.lit(1)).alias("n"))
 
 
@@ -184,7 +184,7 @@ _WIDE = ["ph", "ec", "water_temp"]
 def telemetry_wide(spark, sf_dir):
     """Hourly wide rows: one column per metric (pivot with a fixed list)."""
     t = B.telemetry(spark, sf_dir)
-    return (t.groupBy("device_id", F.date_trunc("hour", "time").alias("hour_start"))
+    return (t.groupBy("device_id", floor_time("time", 3600).alias("hour_start"))
             .pivot("metric", _WIDE).agg(exact_avg(F.col("value"))))
 
 
@@ -322,7 +322,7 @@ def _mode_ticks(spark, sf_dir, tick_s=MODE_TICK_S, last_only=False):
     j = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n - 1).cast("long")))
     return devices.select("device_id", j.alias("j")).select(
         "device_id",
-        F.timestamp_micros(F.lit(o_us) + F.col("j") * F.lit(tick_s * 1_000_000)).cast("timestamp_ntz").alias("tick"))
+        from_epoch_us(F.lit(o_us) + F.col("j") * F.lit(tick_s * 1_000_000)).alias("tick"))
 
 
 def mode_machine_df(spark, sf_dir, last_only=False):

@@ -10,7 +10,9 @@ from canopy import constants as C
 
 def chunk_start(time: Column) -> Column:
     """Start of the epoch-aligned 7-day chunk a time falls in (the original's hypertable chunk)."""
-    return F.window(time.cast("timestamp"), f"{C.CHUNK_DAYS} days").start.cast("timestamp_ntz")
+    from canopy.operators.sequence import epoch_us, from_epoch_us
+    width = C.CHUNK_DAYS * 86400 * 1_000_000
+    return from_epoch_us(F.floor(epoch_us(time) / F.lit(width)).cast("long") * F.lit(width))
 
 
 def with_chunk(df: DataFrame, time_col: str = "time") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from canopy.functions.numeric import SCALE
-from canopy.operators.sequence import epoch_us
+from canopy.operators.sequence import epoch_us, from_epoch_us
 from canopy.plans.control import ControlParams, decision, status_to_pump
 from canopy import constants as C
 
@@ -143,7 +143,7 @@ def control_state_stream(inputs: DataFrame, p: ControlParams) -> DataFrame:
         raise ValueError("streaming control needs ControlParams.origin (the tick grid)")
     rows = inputs.groupBy("device_id").applyInPandasWithState(
         _control_fn(p), CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
-    tick = F.timestamp_micros(F.col("tick_us")).cast("timestamp_ntz")
+    tick = from_epoch_us(F.col("tick_us"))
     status = decision(F.col("avg_ph"), F.col("avg_ec"), F.col("elapsed_s"), F.col("last_pump"),
                       p.mixing_delay_s, p.target_ph, p.target_ec)
     out = rows.withColumn("tick", tick).withColumn("status", status)

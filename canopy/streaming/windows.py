@@ -9,7 +9,8 @@ from canopy.functions.numeric import from_micros, micros
 
 
 def event_time(df: DataFrame, col: str = "time") -> DataFrame:
-    """Watermarks need TIMESTAMP; the tables carry TIMESTAMP_NTZ (UTC session)."""
+    """Watermarks need TIMESTAMP; the tables carry TIMESTAMP_NTZ, read here as
+    session-zone wall clock (UTC sessions, as ``get_spark`` sets, avoid DST gaps)."""
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 

@@ -69,6 +69,8 @@ def main(argv):
     names = argv[1:]
     reg = load_all()
     spark = get_spark(master="local[8]", shuffle_partitions=8)
+    if os.environ.get("ORACLE_TZ"):  # results must not depend on the session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = duck(sf_dir)
     bad = 0
     for name, q in reg.items():

@@ -338,7 +338,9 @@ def trailing_sum_exact(df: DataFrame, by: Sequence[str], time_col: str, value_co
                        bucket_s: float | None = None) -> DataFrame:
     """Trailing sum/count over ``[t - lookback, t]`` for an integral ``value_col``.
 
-    ``sum = G(t) - G(last row before t - lookback)`` with ``G`` the running sum:
+    When the data-sized bucket is at least the lookback, :func:`trailing_agg`
+    with that bucket (one copy per row) is already bounded and cheaper.
+    Otherwise ``sum = G(t) - G(last row before t - lookback)`` with ``G`` the running sum:
     one running-sum pass and one strict as-of lookup, no row duplication, and
     partition sizes set by the bucket width whatever the lookback.  Integer
     sums make the difference exact.
@@ -346,6 +348,11 @@ def trailing_sum_exact(df: DataFrame, by: Sequence[str], time_col: str, value_co
     by = list(by)
     if bucket_s is None:
         bucket_s = auto_bucket_s([(df, time_col)], by)
+    if bucket_s >= lookback_s:
+        # a lookback fits in one data-sized bucket: one copy per row keeps every
+        # partition within ~2x the row target, in a single shuffle
+        return trailing_agg(df.withColumn("__v", F.col(value_col).cast("long")), by, time_col, "__v",
+                            lookback_s, bucket_s=bucket_s, prefix=prefix).drop("__v")
     v = F.col(value_col)
     g = running_sum(df.withColumn("__v", v.cast("long")).withColumn("__c", v.isNotNull().cast("long")),
                     by, time_col, {"__v": "__G", "__c": "__GC"}, bucket_s=bucket_s)

@@ -22,7 +22,8 @@ DEVICES = 8
 
 
 def _k(col: str = "props") -> Column:
-    return F.regexp_extract(F.col(col), r"([0-9]+)", 1).cast("int")
+    # try_cast: a props string without digits yields NULL instead of failing the job (ANSI mode)
+    return F.regexp_extract(F.col(col), r"([0-9]+)", 1).try_cast("int")
 
 
 def _device(prefix: str = "node", devices: int | None = None) -> Column:
@@ -61,7 +62,7 @@ def actuator_logs(spark: SparkSession, sf_dir: str, devices: int | None = None)
                  .when(k5 == 2, "pump_nutri_1").when(k5 == 3, "pump_nutri_2")
                  .otherwise("pump_nutri_3").alias("actuator_id"),
                 F.when(F.col("event_id") % 4 == 0, "STARTED").otherwise("COMPLETED").alias("action"),
-                F.floor(F.col("value") * 100.0).cast("int").alias("duration_ms"),
+                F.floor(F.col("value") * 100.0).try_cast("int").alias("duration_ms"),
                 F.lit("auto_backend").alias("trigger_source")))
 
 

@@ -99,7 +99,7 @@ def actuator_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).cast("int")
+    k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).try_cast("int")
     dev = F.concat(F.lit("node"), (F.col("user_id") % B.DEVICES).cast("string"))
     onoff = lambda c: F.when(c, F.lit("ON")).otherwise(F.lit("OFF"))
     relays = _json(("light_grow", _q(onoff(k % 2 == 0))), ("fan_extractor", _q(onoff(k % 3 == 0))),

@@ -117,12 +117,15 @@ def _grid(spark: SparkSession, sf_dir: str, p: ControlParams):
 def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = None,
                    telemetry: DataFrame | None = None,
                    actions: DataFrame | None = None,
-                   config: DataFrame | None = None) -> DataFrame:
+                   config: DataFrame | None = None,
+                   devices: DataFrame | None = None) -> DataFrame:
     """Decision per (device, tick).
 
     Columns: device_id, tick, status, avg_ph, avg_ec, last_pump, elapsed_s,
     command_target, duration_ms.  ``config`` (one row: target_ph, target_ec,
-    e.g. ``current_config``) overrides the targets of ``p``.
+    e.g. ``current_config``) overrides the targets of ``p``.  ``devices`` (a
+    device registry with ``device_id``) replaces the distinct scan of all
+    telemetry that otherwise lists the devices.
     """
     p = p or ControlParams()
     origin, end, n = _grid(spark, sf_dir, p)
@@ -154,7 +157,8 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
         F.sum(F.when(is_ec & at0, v)).alias("s0_ec"), F.count(F.when(is_ec & at0, v)).alias("c0_ec"),
     ).withColumn("is_tick", F.lit(False))
 
-    devices = tel.select("device_id").distinct()
+    devices = (devices.select("device_id").distinct() if devices is not None
+               else tel.select("device_id").distinct())
     # one row per (device, tick): each device row expands its own tick range (no join)
     spine = tick_spine(devices, n).select("device_id", (F.col("j") * per_tick).alias("slot"),
                                           F.lit(True).alias("is_tick"))

@@ -14,12 +14,13 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     doc: str
+    kind: str = "batch"   # "stream": runs a Structured Streaming query (availableNow) when built
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, kind: str = "batch"):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
     ``sql`` is the equivalent DuckDB query over the driver's tables; leave it
@@ -28,6 +29,6 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, (fn.__doc__ or "").strip().split("\n")[0])
+        REGISTRY[name] = Query(name, fn, sql, (fn.__doc__ or "").strip().split("\n")[0], kind)
         return fn
     return deco

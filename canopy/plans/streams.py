@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.functions.numeric import sql_avg
 from canopy.plans.control import ControlParams, control_replay_sql
 from canopy.plans.registry import REGISTRY, register
 from canopy.session import shared_dir
@@ -81,7 +82,7 @@ def stream_late_replay(spark, sf_dir):
     tel = B.telemetry(spark, sf_dir).select("device_id", "metric", "time", "value")
     resent = tel.unionByName(tel.filter(F.col("metric") == "ph"))
     dedup = Wn.late_replay_dedup(_snapshot(spark, resent, f"{work}/src"))
-    return _run(spark, dedup.withColumn("time", F.col("time").cast("timestamp_ntz")), work)
+    return _run(spark, dedup.withColumn("time", Wn.to_ntz(F.col("time"))), work)
 
 
 _STATE_P = ControlParams(per_device_lock=True)
@@ -105,3 +106,15 @@ def stream_control_state(spark, sf_dir):
     work = _workdir(spark, "control")
     inputs = S.control_inputs(B.telemetry(spark, sf_dir), B.actuator_logs(spark, sf_dir))
     return _run(spark, S.control_state_stream(_snapshot(spark, inputs, f"{work}/src"), p), work)
+
+
+@register("stream_hourly_trend", B.with_views("telemetry") + f"""
+, t AS (SELECT * FROM telemetry WHERE metric IN ('ph', 'ec'))
+SELECT date_trunc('hour', time) AS hour_start, metric, {sql_avg('value')} AS avg_value
+FROM t GROUP BY date_trunc('hour', time), metric
+HAVING date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM t)""", kind="stream")
+def stream_hourly_trend(spark, sf_dir):
+    """Tumbling hourly means with a watermark: every hour the watermark has closed (append mode)."""
+    work = _workdir(spark, "hourly")
+    tel = B.telemetry(spark, sf_dir).filter(F.col("metric").isin("ph", "ec"))
+    return _run(spark, Wn.hourly_trend_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"), work)

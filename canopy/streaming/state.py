@@ -185,7 +185,7 @@ def _heartbeat_fn(gap_s: float):
 
 def heartbeat_timeout_stream(telemetry: DataFrame, gap_s: float = 300.0, delay: str = "1 minute") -> DataFrame:
     """One alert per device that stays silent longer than ``gap_s`` (event time)."""
-    t = (telemetry.select("device_id", F.col("time").cast("timestamp").alias("time"))
+    t = (telemetry.select("device_id", F.timestamp_micros(epoch_us("time")).alias("time"))
          .withWatermark("time", delay))
     return t.groupBy("device_id").applyInPandasWithState(
         _heartbeat_fn(gap_s), HEARTBEAT_OUT, "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import from_micros, micros
+from canopy.operators.sequence import epoch_us, from_epoch_us
+
+
+def to_instant(c):
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant, read as UTC in any session zone."""
+    return F.timestamp_micros(epoch_us(c))
+
+
+def to_ntz(c):
+    """Inverse of :func:`to_instant`."""
+    return from_epoch_us(F.unix_micros(c))
 
 
 def event_time(df: DataFrame, col: str = "time") -> DataFrame:
-    """Watermarks need TIMESTAMP; the tables carry TIMESTAMP_NTZ, read here as
-    session-zone wall clock (UTC sessions, as ``get_spark`` sets, avoid DST gaps)."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """Watermarks and windows need TIMESTAMP; the tables carry TIMESTAMP_NTZ.  The
+    conversion goes through epoch microseconds, so windows align to UTC hours and
+    results do not depend on the session time zone."""
+    return df.withColumn(col, to_instant(F.col(col)))
 
 
 def hourly_trend_stream(telemetry: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -19,7 +31,7 @@ def hourly_trend_stream(telemetry: DataFrame, watermark: str = "1 hour") -> Data
     t = event_time(telemetry).withWatermark("time", watermark)
     g = t.groupBy(F.window("time", "1 hour").alias("w"), "metric").agg(
         F.sum(micros(F.col("value"))).alias("s"), F.count("value").alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "metric",
+    return g.select(to_ntz(F.col("w.start")).alias("hour_start"), "metric",
                     from_micros(F.col("s"), F.col("n")).alias("avg_value"))
 
 
@@ -27,7 +39,7 @@ def minute_downsample_stream(telemetry: DataFrame, watermark: str = "10 minutes"
     t = event_time(telemetry).withWatermark("time", watermark)
     g = t.groupBy(F.window("time", "1 minute").alias("w"), "device_id", "metric").agg(
         F.sum(micros(F.col("value"))).alias("s"), F.count("value").alias("n"))
-    return g.select("device_id", "metric", F.col("w.start").cast("timestamp_ntz").alias("minute"),
+    return g.select("device_id", "metric", to_ntz(F.col("w.start")).alias("minute"),
                     from_micros(F.col("s"), F.col("n")).alias("avg_value"), "n")
 
 
@@ -49,5 +61,5 @@ def ack_join_stream(commands: DataFrame, acks: DataFrame, within: str = "30 days
     cond = F.expr(f"a.cmd_id = c.cmd_id AND a.time >= c.time AND a.time <= c.time + INTERVAL {within}")
     j = c.join(a, cond, how)
     return j.select(F.col("c.cmd_id").alias("cmd_id"), F.col("c.target").alias("target"),
-                    F.col("c.time").cast("timestamp_ntz").alias("cmd_time"),
-                    F.col("a.time").cast("timestamp_ntz").alias("ack_time"), F.col("a.status").alias("status"))
+                    to_ntz(F.col("c.time")).alias("cmd_time"),
+                    to_ntz(F.col("a.time")).alias("ack_time"), F.col("a.status").alias("status"))

@@ -118,3 +118,19 @@ def stream_hourly_trend(spark, sf_dir):
     work = _workdir(spark, "hourly")
     tel = B.telemetry(spark, sf_dir).filter(F.col("metric").isin("ph", "ec"))
     return _run(spark, Wn.hourly_trend_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"), work)
+
+
+HEARTBEAT_GAP_S = 300  # silence longer than 5 minutes raises an alert
+
+
+@register("stream_heartbeat", B.with_views("telemetry") + f"""
+, last AS (SELECT device_id, max(time) AS last_seen FROM telemetry GROUP BY device_id),
+wm AS (SELECT epoch_ms(max(time)) AS wm_ms FROM telemetry)
+SELECT device_id, last_seen, (wm_ms * 1000 - epoch_us(last_seen)) / 1e6 AS silent_s
+FROM last, wm WHERE wm_ms > epoch_us(last_seen) // 1000 + {HEARTBEAT_GAP_S * 1000}""", kind="stream")
+def stream_heartbeat(spark, sf_dir):
+    """Devices silent longer than the heartbeat limit when the stream's watermark passes them."""
+    work = _workdir(spark, "heartbeat")
+    tel = B.telemetry(spark, sf_dir).select("device_id", "time")
+    return _run(spark, S.heartbeat_timeout_stream(_snapshot(spark, tel, f"{work}/src"), gap_s=HEARTBEAT_GAP_S,
+                                                  delay="0 seconds"), work)

@@ -157,7 +157,7 @@ def control_state_stream(inputs: DataFrame, p: ControlParams) -> DataFrame:
 # heartbeat timeout
 # ---------------------------------------------------------------------------
 
-HEARTBEAT_OUT = "device_id string, last_seen timestamp, silent_s double"
+HEARTBEAT_OUT = "device_id string, last_us long, silent_us long"
 
 
 def _heartbeat_fn(gap_s: float):
@@ -165,27 +165,29 @@ def _heartbeat_fn(gap_s: float):
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (last_ms,) = state.get
+            (last_us,) = state.get
             state.remove()
-            wm = state.getCurrentWatermarkMs()
-            yield pd.DataFrame({"device_id": [key[0]],
-                                "last_seen": [pd.Timestamp(last_ms, unit="ms")],
-                                "silent_s": [(wm - last_ms) / 1000.0]})
+            wm_us = state.getCurrentWatermarkMs() * 1000
+            yield pd.DataFrame({"device_id": [key[0]], "last_us": [last_us], "silent_us": [wm_us - last_us]})
             return
-        last_ms = state.get[0] if state.exists else None
+        last_us = state.get[0] if state.exists else None
         for pdf in pdfs:
             if not pdf.empty:
-                mx = int(pd.to_datetime(pdf["time"]).max().value // 1_000_000)
-                last_ms = mx if last_ms is None else max(last_ms, mx)
-        if last_ms is not None:
-            state.update((last_ms,))
-            state.setTimeoutTimestamp(last_ms + gap_ms)
+                mx = int(pdf["t_us"].max())  # epoch micros: no time zone involved
+                last_us = mx if last_us is None else max(last_us, mx)
+        if last_us is not None:
+            state.update((last_us,))
+            state.setTimeoutTimestamp(last_us // 1000 + gap_ms)
     return fn
 
 
 def heartbeat_timeout_stream(telemetry: DataFrame, gap_s: float = 300.0, delay: str = "1 minute") -> DataFrame:
-    """One alert per device that stays silent longer than ``gap_s`` (event time)."""
-    t = (telemetry.select("device_id", F.timestamp_micros(epoch_us("time")).alias("time"))
+    """One alert per device that stays silent longer than ``gap_s`` (event time):
+    ``(device_id, last_seen, silent_s)``, emitted when the watermark passes the timeout."""
+    t = (telemetry.select("device_id", F.timestamp_micros(epoch_us("time")).alias("time"),
+                          epoch_us("time").alias("t_us"))
          .withWatermark("time", delay))
-    return t.groupBy("device_id").applyInPandasWithState(
-        _heartbeat_fn(gap_s), HEARTBEAT_OUT, "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = t.groupBy("device_id").applyInPandasWithState(
+        _heartbeat_fn(gap_s), HEARTBEAT_OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("device_id", from_epoch_us(F.col("last_us")).alias("last_seen"),
+                      (F.col("silent_us") / F.lit(1e6)).alias("silent_s"))

@@ -134,3 +134,15 @@ def stream_heartbeat(spark, sf_dir):
     tel = B.telemetry(spark, sf_dir).select("device_id", "time")
     return _run(spark, S.heartbeat_timeout_stream(_snapshot(spark, tel, f"{work}/src"), gap_s=HEARTBEAT_GAP_S,
                                                   delay="0 seconds"), work)
+
+
+@register("stream_minute_downsample", B.with_views("telemetry") + f"""
+SELECT device_id, metric, date_trunc('minute', time) AS minute, {sql_avg('value')} AS avg_value, count(*) AS n
+FROM telemetry GROUP BY device_id, metric, date_trunc('minute', time)
+HAVING date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) FROM telemetry)""", kind="stream")
+def stream_minute_downsample(spark, sf_dir):
+    """One point per minute per device and metric, emitted as the watermark closes each minute."""
+    work = _workdir(spark, "minute")
+    tel = B.telemetry(spark, sf_dir).select("device_id", "metric", "time", "value")
+    return _run(spark, Wn.minute_downsample_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"),
+                work)

@@ -56,7 +56,8 @@ def main() -> None:
     out = ["# Physical plans (executed, AQE final) at " + sf_dir, "",
            "Generated by `python tools/plan_report.py`. Columns: parquet scans, scans with pushed "
            "filters, operators (`shuffle(single)` only follows partial aggregation or a bounded "
-           "tick grid).", "",
+           "tick grid). Stream queries (`stream_*`) show the scan of their file sink; their streaming "
+           "plans run inside the query.", "",
            "Queries with a nested-loop join or cartesian product: " + (", ".join(loops) or "none") + ".", "",
            "| query | scans | scans w/ PushedFilters | operators |", "| --- | --- | --- | --- |", *rows, ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:

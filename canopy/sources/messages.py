@@ -39,8 +39,12 @@ KIND_TELEMETRY, KIND_WEATHER, KIND_ACTUATOR, KIND_STATUS = "telemetry", "weather
 
 
 def topic_kind(topic: Column) -> Column:
-    """Route: exact worker topics, plus ``<prefix>/<node>/<kind>`` node topics."""
-    node_kind = F.regexp_extract(topic, NODE_TOPIC, 1)
+    """Route: exact worker topics, plus ``<prefix>/<node>/<kind>`` node topics.
+
+    Same as matching ``NODE_TOPIC``, with a split instead of a regex per message.
+    """
+    parts = F.split(topic, "/")
+    node_kind = F.when((F.size(parts) == 3) & (parts[0] == C.TOPIC_PREFIX) & (parts[1] != ""), parts[2])
     return (F.when(topic == TOPIC_TELEMETRY, KIND_TELEMETRY)
             .when(topic == TOPIC_WEATHER, KIND_WEATHER)
             .when(topic == TOPIC_ACTUATOR, KIND_ACTUATOR)

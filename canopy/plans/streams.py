@@ -40,11 +40,30 @@ def _snapshot(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def _state_partitions(spark: SparkSession) -> int | None:
+    try:
+        return max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:  # no SparkContext (remote session): keep the session setting
+        return None
+
+
 def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
-    """Run to completion into a parquet file sink (exactly-once); return its table."""
-    q = (stream.writeStream.format("parquet").option("path", f"{work}/out")
-         .option("checkpointLocation", f"{work}/checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
+    """Run to completion into a parquet file sink (exactly-once); return its table.
+
+    A fresh checkpoint fixes the number of state partitions at start: it is set
+    to the cluster's default parallelism for the start, then the session value
+    is restored.
+    """
+    n = _state_partitions(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    if n:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        q = (stream.writeStream.format("parquet").option("path", f"{work}/out")
+             .option("checkpointLocation", f"{work}/checkpoint").outputMode("append")
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -37,12 +37,15 @@ from pyspark.sql import functions as F
 
 from canopy import constants as C
 from canopy.functions.numeric import from_micros, micros, sql_avg
-from canopy.operators.sequence import epoch_us, from_epoch_us
+from canopy.operators.sequence import asof_join, epoch_us, from_epoch_us
 from canopy.sources import bindings
 from canopy.sources.tables import event_bounds, ntz
 
 # Tick grids up to this many rows are broadcast to the (device, tick) side.
 BROADCAST_TICKS_MAX = 200_000
+# Lock grids up to this many ticks per key are forward-filled by one window; larger
+# grids (e.g. 1-second ticks over a year) use the bucketed as-of join instead.
+FILL_WINDOW_MAX_TICKS = 1_000_000
 
 
 @dataclass
@@ -210,9 +213,10 @@ def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _d
     """Last COMPLETED action at or before each tick: (j[, device_id], last_time, last_pump).
 
     Actions are reduced to one row per tick slot (partial aggregation), then
-    forward-filled over the tick grid.  The grid has ``n`` rows -- the time
-    span divided by the period, independent of data volume -- so the global
-    (key-less) fill runs on that small table only.
+    forward-filled over the tick grid: by one running window while the grid has
+    at most ``FILL_WINDOW_MAX_TICKS`` ticks per key, by the bucketed as-of join
+    beyond (a fine grid -- 1-second ticks over a year -- is then filled across
+    many tasks).
     """
     lock_keys = ["device_id"] if devices is not None else []
     o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000 + origin.microsecond
@@ -226,11 +230,25 @@ def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _d
     last_per_slot = done.groupBy(*lock_keys, "j").agg(
         F.max_by(F.struct("time", "actuator_id"), F.struct("time", "id")).alias("a"))
     grid = spark.range(0, n).select(F.col("id").alias("j")) if not lock_keys else tick_spine(devices, n)
-    wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    return (grid.join(last_per_slot, [*lock_keys, "j"], "left")
-            .withColumn("a", F.last("a", ignorenulls=True).over(wf))
-            .select(*lock_keys, "j", F.col("a.time").alias("last_time"),
-                    F.col("a.actuator_id").alias("last_pump")))
+    if n <= FILL_WINDOW_MAX_TICKS:
+        # a grid of bounded size per key: one running window fills it
+        wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+        return (grid.join(last_per_slot, [*lock_keys, "j"], "left")
+                .withColumn("a", F.last("a", ignorenulls=True).over(wf))
+                .select(*lock_keys, "j", F.col("a.time").alias("last_time"),
+                        F.col("a.actuator_id").alias("last_pump")))
+
+    # beyond that: a bucketed as-of join on tick time, so no single task holds the grid
+    def tick_at(j):
+        return from_epoch_us(F.lit(o_us) + j * F.lit(p.tick_s * 1_000_000))
+    grid = grid.withColumn("__tick", tick_at(F.col("j")))
+    right = last_per_slot.select(*lock_keys, tick_at(F.col("j")).alias("__slot_tick"),
+                                 F.col("j").alias("__rj"), F.col("a.time").alias("last_time"),
+                                 F.col("a.actuator_id").alias("last_pump"))
+    filled = asof_join(grid, right, lock_keys, "__tick", "__slot_tick",
+                       {"last_time": "last_time", "last_pump": "last_pump"}, right_order="__rj",
+                       matched_time=None)
+    return filled.select(*lock_keys, "j", "last_time", "last_pump")
 
 
 def mixing_lock(spark: SparkSession, sf_dir: str, p: ControlParams | None = None) -> DataFrame:

@@ -89,3 +89,16 @@ def test_rate_limit_refuses(spark):
     got = {r.id: (r.w_sum, r.w_sum > 5000) for r in t.collect()}
     assert got == {0: (2000, False), 1: (4000, False), 2: (6000, True), 3: (8000, True), 4: (10000, True),
                    9: (2000, False)}
+
+
+def test_lock_fill_paths_agree(spark, monkeypatch):
+    """The window fill and the as-of fill of the lock grid give the same decisions."""
+    import canopy.plans.control as CT
+    sf = "/root/testdata/sf0.001"
+    for lock in (False, True):
+        p = CT.ControlParams(per_device_lock=lock)
+        a = sorted(map(tuple, CT.control_replay(spark, sf, p).collect()), key=repr)
+        monkeypatch.setattr(CT, "FILL_WINDOW_MAX_TICKS", 0)
+        b = sorted(map(tuple, CT.control_replay(spark, sf, p).collect()), key=repr)
+        monkeypatch.setattr(CT, "FILL_WINDOW_MAX_TICKS", 1_000_000)
+        assert a == b

@@ -72,6 +72,12 @@ def bloom_hit(words: Column, key: Column, bits: int, hashes: int) -> Column:
 
 # --- components ------------------------------------------------------------------------------------
 
+def _all_stars(e: DataFrame) -> bool:
+    """True if every node points to one other and that one to none."""
+    twice = e.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u")
+    return twice.union(e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_semi")).isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected ``edges``; component = smallest node.
 
@@ -81,7 +87,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    while True:
+    while not _all_stars(e):
         # large star: every node's larger neighbours move to its smallest neighbour (itself included)
         both = e.union(e.select("v", "u")).toDF("n", "m")
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("lo"))
@@ -91,13 +97,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = (join_groups(large, low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
                  .union(low.select("u", F.col("lo").alias("v"))).where("u <> v").distinct())
-        nxt = cut(small)
-        # all stars: no node that others point to points on
-        done = nxt.select(F.col("v").alias("u")).distinct().join(nxt, "u", "left_semi").isEmpty()
-        heads = nxt.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
-        e = nxt
-        if done and heads:
-            break
+        e = cut(small)
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from canopy.llm import exact_dedup, lang_id, ngram_join, sharding, url_filter, warc
+from canopy.llm import decontaminate, exact_dedup, lang_id, ngram_join, sharding, url_filter, warc
 from canopy.llm.common import LlmQuery
 
 LLM_QUERIES: dict[str, LlmQuery] = {
     "op1_exact_dedup": LlmQuery(exact_dedup.op1_exact_dedup, exact_dedup.SQL),
     "op2_ngram_join": LlmQuery(ngram_join.op2_ngram_join),
+    "op6_decontaminate": LlmQuery(decontaminate.op6_decontaminate),
     "op7_url_filter": LlmQuery(url_filter.op7_url_filter, url_filter.SQL),
     "op8_sharding": LlmQuery(sharding.op8_sharding),
     "op9_warc": LlmQuery(warc.op9_warc, warc.SQL),

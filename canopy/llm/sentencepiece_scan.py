@@ -43,7 +43,8 @@ from canopy.llm.common import cut, list_column, table
 
 CHUNK_CHARS = 32_768
 BLOCK = 64              # matrices multiplied in one task
-CACHE_PARTS = 400_000   # encoded parts that a task remembers
+CACHE_PARTS = 600_000   # encoded parts that a task remembers
+CACHE_CHARS = 32        # longer ones are encoded again
 UNK_PENALTY = 10.0      # as the library has it: below the lowest score
 SPACE = "▁"
 NEG = float("-inf")
@@ -70,6 +71,8 @@ class Pieces:
             else:
                 scores[p] = (i, sp.get_score(i))
                 self.raw.append(p.replace(SPACE, " ").encode())
+        self.byte_of = {i: x for x, i in self.bytes.items()}
+        self.scores = {i: s for i, s in scores.values()}
         real = [s for _, s in scores.values() if s > -1e8]  # lower ones mark pieces to be avoided
         self.unk_score = min(real, default=0.0) - UNK_PENALTY
         self.longest = max(map(len, scores), default=1)
@@ -80,10 +83,26 @@ class Pieces:
         self.newline_alone = not any("\n" in p for p in scores)
 
 
+class PartIds(dict):
+    """Ids of parts, encoded when first asked for; ``front`` stands before each key."""
+
+    def __init__(self, enc: Encoder, front: str):
+        super().__init__()
+        self.enc, self.front = enc, front
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        s = self.front + key
+        _, back = self.enc.forward(s, len(s), {0: 0.0})
+        got = tuple(self.enc.trace(s, back, len(s))[1])
+        if len(self) < CACHE_PARTS and len(key) <= CACHE_CHARS:
+            self[key] = got
+        return got
+
+
 class Encoder:
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.parts: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.words, self.bare = PartIds(self, SPACE), PartIds(self, "")
 
     def forward(self, s: str, n: int, start: dict[int, float]) -> tuple[list[float], list]:
         """Best score at each place when pieces start before n; ``start``: scores to begin with."""
@@ -118,35 +137,33 @@ class Encoder:
             end = start
         return end, list(chain.from_iterable(reversed(out)))
 
-    def part(self, s: str) -> tuple[tuple[int, ...], float]:
-        got = self.parts.get(s)
-        if got is None:
-            best, back = self.forward(s, len(s), {0: 0.0})
-            got = (tuple(self.trace(s, back, len(s))[1]), best[len(s)])
-            if len(self.parts) < CACHE_PARTS:
-                self.parts[s] = got
-        return got
-
-    def split(self, s: str) -> list[str]:
-        """Parts between places where every path stops."""
+    def whole(self, s: str) -> list[int]:
+        """Ids of a text; parts between places where every path stops are encoded on their own."""
         if not self.p.space_starts:
-            return [s]
-        out = []
+            return list(self.bare[s])
+        out: list[int] = []
         for k, line in enumerate(s.split("\n") if self.p.newline_alone else [s]):
             if k:
-                out.append("\n")
-            if SPACE + SPACE in line:
-                out += re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line)
+                out += self.bare["\n"]
+            if SPACE + SPACE in line:  # pieces of several spaces may reach over parts
+                parts = map(self.bare.__getitem__, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line))
             else:
                 first, *rest = line.split(SPACE)
                 if first:
-                    out.append(first)
-                out += [SPACE + x for x in rest]
+                    out += self.bare[first]
+                parts = map(self.words.__getitem__, rest)
+            out.extend(chain.from_iterable(parts))
         return out
 
-    def whole(self, s: str) -> tuple[list[int], float]:
-        got = [*map(self.part, self.split(s))]
-        return list(chain.from_iterable(x[0] for x in got)), sum(x[1] for x in got)
+    def score(self, ids: list[int]) -> float:
+        """Score of a path that starts and ends at characters."""
+        p, total, data = self.p, 0.0, bytearray()
+        for i in ids:
+            if i in p.byte_of:
+                data.append(p.byte_of[i])
+            else:
+                total += p.scores[i]
+        return total + p.unk_score * len(data.decode("utf-8", "replace"))
 
     # --- chunks: s holds n characters of the chunk and up to longest - 1 of what follows
 
@@ -166,7 +183,7 @@ class Encoder:
             f1, f2 = ends
             best, _ = self.forward(s[f2:], n - f2, {0: 0.0})
             tail = best[n - f2:n - f2 + size]
-            middle = self.whole(s[f1:f2])[1]
+            middle = self.score(self.whole(s[f1:f2]))
         for i in range(min(size - 1, stop) + 1):
             if ends:
                 head = self.forward(s[:f1], f1, {i: 0.0})[0][f1]
@@ -186,7 +203,7 @@ class Encoder:
         f1, f2 = ends
         _, back = self.forward(s[:f1], f1, start)
         i, ids = self.trace(s[:f1], back, f1)
-        ids += self.whole(s[f1:f2])[0]
+        ids += self.whole(s[f1:f2])
         best, back = self.forward(s[f2:], n - f2, {0: 0.0})
         return [(j, i, ids + self.trace(s[f2:], back, n - f2 + j)[1])
                 for j in range(min(self.p.longest, len(s) - n + 1)) if best[n - f2 + j] > NEG]
@@ -296,7 +313,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         enc = Encoder(sent.value)
         for b in batches:
             texts = b[1].to_pylist()
-            yield batch(b[0], [enc.whole(normal(t))[0] for t in texts], texts)
+            yield batch(b[0], [enc.whole(normal(t)) for t in texts], texts)
 
     def check(batches):
         for b in batches:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from canopy.llm import decontaminate, exact_dedup, lang_id, ngram_join, sentencepiece_scan, sharding, url_filter, warc
+from canopy.llm import decontaminate, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan, sharding, url_filter, warc
 from canopy.llm.common import LlmQuery
 
 LLM_QUERIES: dict[str, LlmQuery] = {
     "op1_exact_dedup": LlmQuery(exact_dedup.op1_exact_dedup, exact_dedup.SQL),
     "op2_ngram_join": LlmQuery(ngram_join.op2_ngram_join),
+    "op3_pii": LlmQuery(pii.op3_pii),
+    "op4_quality": LlmQuery(quality.op4_quality),
     "op5_sentencepiece": LlmQuery(sentencepiece_scan.op5_sentencepiece),
     "op6_decontaminate": LlmQuery(decontaminate.op6_decontaminate),
     "op7_url_filter": LlmQuery(url_filter.op7_url_filter, url_filter.SQL),

@@ -2,14 +2,15 @@
 
 The text view sees a document's words (hashed) and the shape of its text; the
 metadata view sees its source, language and length.  Both are logistic
-regressions.  In each round each view labels the unlabelled documents it is
-surest of, and these join the other view's training rows.  Each view is then
-calibrated on labelled rows that neither was fitted on, a last regression over
-the two calibrated log-odds combines them, and every document is scored.
+regressions.  In each round each view, calibrated on labelled rows that neither
+is fitted on, labels the unlabelled documents it is surest of, and these join
+the other view's training rows.  At the end a regression over the two views'
+calibrated log-odds combines them, and every document is scored.
 
-A row is good if its quality label is 1 and it isn't labelled toxic.  The
-threshold is the one that rejects the most of the held-back bad rows while it
-keeps at least ``KEEP_GOOD`` of the good ones.
+There are two such classifiers, one for the quality label and one for the
+toxic label; ``score`` is the probability of good quality times that of not
+being toxic.  A document is kept unless one of them speaks against it; the
+thresholds keep at least ``KEEP_GOOD`` of the held-back rows without fault.
 
 Fitting takes a bounded sample: the ``MAX_LABELLED`` labelled and the
 ``MAX_POOL`` unlabelled documents whose hashed ids are smallest.  Scoring reads
@@ -17,8 +18,8 @@ every text as a whole.
 
 Defined cases: null texts score as empty ones, null metadata as a value of its
 own; labels that are null are left out, of several labels for one document the
-worst counts; with no labels, or labels of one kind, everything scores 0.5 and
-is kept; repeated rows and null ids are scored alike; an empty table gives an
+worst counts; a classifier with no labels, or labels of one kind,
+says 0.5 for everything and rejects nothing; repeated rows and null ids are scored alike; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -38,14 +39,17 @@ from canopy.llm.common import list_column, table
 MAX_LABELLED = 6_000
 MAX_POOL = 4_000
 ROUNDS = 4
-SURE = 200              # pseudo-labels of each kind that a view gives the other in a round
+SURE = 200              # pseudo-labels of each kind that a view gives the other in a round, at most
+CONFIDENT = 0.95        # calibrated probability that a pseudo-label needs
 PSEUDO_WEIGHT = 0.5
-KEEP_GOOD = 0.99
-BITS = 15
+KEEP_GOOD = 0.995
+BITS = 20
+MIN_Z = 4.0             # words whose share differs by so many standard errors between the labels are used
+MIN_ROWS = 5
 WORD_SLOTS = 1 << BITS
 SHAPES = 14
 META_SLOTS = 1 << 12
-STEPS = 120
+STEPS, MORE_STEPS = 150, 40
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,10 +66,7 @@ def text_features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarra
     t = text or ""
     words = WORD.findall(t.lower())
     counts = Counter(words)
-    at = np.fromiter(map(slots.__getitem__, counts), np.int64, len(counts))
-    v = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
-    if len(v):
-        v /= np.sqrt((v * v).sum())
+    at = np.unique(np.fromiter(map(slots.__getitem__, counts), np.int64, len(counts)))
     n, lines = max(1, len(t)), t.split("\n")
     letters = sum(map(len, words))
     marks = sum(map(t.count, "&#$%*|!"))
@@ -76,7 +77,7 @@ def text_features(text: str | None, slots: Slots) -> tuple[np.ndarray, np.ndarra
         len(counts) / max(1, len(words)), 1 - len(set(lines)) / len(lines), np.log1p(len(lines)) / 5, letters / max(1, len(words)) / 10,
         10 * t.count("|") / n, 10 * t.count("!") / n, 10 * (t.count("\\") + t.count("{") + t.count("<")) / n,
         float(len(words) < 20), 1.0])
-    return np.concatenate([at, WORD_SLOTS + np.arange(SHAPES)]), np.concatenate([v, shape])
+    return np.concatenate([at, WORD_SLOTS + np.arange(SHAPES)]), np.concatenate([np.ones(len(at)), shape])
 
 
 def meta_features(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
@@ -89,25 +90,41 @@ def meta_features(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
 class Rows:
     """Sparse rows for the regression."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
-        self.n, self.size = len(rows), size
-        self.row = np.repeat(np.arange(self.n), [len(a) for a, _ in rows])
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.v = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+    def __init__(self, row: np.ndarray, at: np.ndarray, v: np.ndarray, n: int, size: int):
+        self.row, self.at, self.v, self.n, self.size = row, at, v, n, size
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.v * w[self.at], minlength=self.n)
 
+    def only(self, columns: np.ndarray) -> Rows:
+        place = np.full(self.size, -1)
+        place[columns] = np.arange(len(columns))
+        keep = place[self.at] >= 0
+        return Rows(self.row[keep], place[self.at[keep]], self.v[keep], self.n, len(columns))
+
+
+def telling(x: Rows, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Columns of words that tell the labels apart, and all columns of the shape."""
+    n1, n0 = max(1, (rows & (y == 1)).sum()), max(1, (rows & (y == 0)).sum())
+    c1 = np.bincount(x.at[(rows & (y == 1))[x.row]], minlength=x.size)
+    c0 = np.bincount(x.at[(rows & (y == 0))[x.row]], minlength=x.size)
+    p = (c1 + c0) / (n1 + n0)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    use = (z >= MIN_Z) & (c1 + c0 >= MIN_ROWS)
+    use[WORD_SLOTS:] = True
+    return np.flatnonzero(use)
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_rows(x: Rows, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, l2: float = 1e-4) -> np.ndarray:
+def fit_rows(x: Rows, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression by full-gradient steps with momentum and per-weight scaling."""
+    steps = STEPS if w is None else MORE_STEPS
     w = np.zeros(x.size) if w is None else w.copy()
     m, s, total = np.zeros(x.size), np.zeros(x.size), weight.sum()
-    for k in range(1, STEPS + 1):
+    for k in range(1, steps + 1):
         g = np.bincount(x.at, x.v * ((sigmoid(x.dot(w)) - y) * weight / total)[x.row], minlength=x.size) + l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** k)) / (np.sqrt(s / (1 - 0.99 ** k)) + 1e-6)
@@ -130,41 +147,50 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> dict |
     train, cal, pool = (y >= 0) & ~held, (y >= 0) & held, y < 0
     if len(set(y[train])) < 2 or len(set(y[cal])) < 2:
         return None
-    views, weights = (text, meta), [None, None]
+    columns = telling(text, y, train)
+    views, weights = (text.only(columns), meta), [None, None]
     labels = [np.where(train, y, 0).astype(float) for _ in views]
     mass = [train.astype(float) for _ in views]
     balance = (train.sum() / 2) / np.array([max(1, (train & (y == c)).sum()) for c in (0, 1)])
     for k in range(ROUNDS + 1):
         for i, x in enumerate(views):
             weights[i] = fit_rows(x, labels[i], mass[i] * balance[labels[i].astype(int)], weights[i])
+        odds = np.column_stack([x.dot(w) for x, w in zip(views, weights)])
+        platt = [fit_dense(odds[cal, i:i + 1], y[cal]) for i in (0, 1)]
         if k == ROUNDS:
             break
-        scores = [x.dot(w) for x, w in zip(views, weights)]
-        for i, s in enumerate(scores):
-            other = 1 - i
+        for i in (0, 1):
+            other, p = 1 - i, sigmoid(odds[:, i] * platt[i][0] + platt[i][1])
             free = np.flatnonzero(pool & (mass[other] == 0))
-            order = free[np.argsort(s[free], kind="stable")]
+            order = free[np.argsort(p[free], kind="stable")]
             for label, sure in ((0, order[:SURE]), (1, order[::-1][:SURE])):
-                sure = sure[(s[sure] > 0) == bool(label)]
+                sure = sure[(p[sure] if label else 1 - p[sure]) >= CONFIDENT]
                 labels[other][sure], mass[other][sure] = label, PSEUDO_WEIGHT
-    odds = np.column_stack([x.dot(w) for x, w in zip(views, weights)])
-    platt = [fit_dense(odds[cal, i:i + 1], y[cal]) for i in (0, 1)]
     calibrated = np.column_stack([odds[:, i] * p[0] + p[1] for i, p in enumerate(platt)])
     mix = fit_dense(calibrated[cal], y[cal])
-    score = sigmoid(calibrated[cal] @ mix[:2] + mix[2])
-    good = np.sort(score[y[cal] == 1])
-    return {"weights": weights, "platt": platt, "mix": mix,
-            "threshold": float(min(0.5, good[int(len(good) * (1 - KEEP_GOOD))]))}
+    whole = np.zeros(text.size, np.float32)
+    whole[columns] = weights[0]
+    return {"weights": (whole, weights[1]), "platt": platt, "mix": mix, "score": sigmoid(calibrated @ mix[:2] + mix[2])}
+
 
+def probability(head: dict | None, at: np.ndarray, v: np.ndarray, meta: np.ndarray) -> tuple[float, float, float]:
+    """Combined probability and those of the two views."""
+    if head is None:
+        return 0.5, 0.5, 0.5
+    odds = (float(head["weights"][0][at] @ v), float(head["weights"][1][meta].sum()))
+    a, b = (o * p[0] + p[1] for o, p in zip(odds, head["platt"]))
+    m = head["mix"]
+    return float(sigmoid(a * m[0] + b * m[1] + m[2])), float(sigmoid(a)), float(sigmoid(b))
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict | None:
-    """Fit on the bounded sample; None if there is nothing to learn from."""
-    good = F.when(F.col("quality").isNotNull(), (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    known = labels.select("doc_id", good.alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict:
+    """The two classifiers and their thresholds, fitted on the bounded sample."""
+    known = (labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
+             .agg(F.coalesce(F.min("quality"), F.lit(-1)).cast("int").alias("q"), F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("t")))
     order = F.xxhash64("doc_id", F.lit(11))
     mine = known.orderBy(order).limit(max_labelled)
     rest = (docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
-            .orderBy(order).limit(max_pool).withColumn("y", F.lit(-1)))
+            .orderBy(order).limit(max_pool).withColumns({"q": F.lit(-1), "t": F.lit(-1)}))
     sample = F.broadcast(mine.unionByName(rest))  # at most max_labelled + max_pool ids
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(sample, "doc_id")
 
@@ -176,45 +202,59 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             m = [meta_features(*x)[0] for x in zip(c["source"], c["lang"], c["n_chars"])]
             sizes = np.array([len(a) for a, _ in t], np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), list_column(sizes, pa.array(np.concatenate([a for a, _ in t]).astype(np.int32))),
+                [b.column("doc_id"), b.column("q"), b.column("t"), list_column(sizes, pa.array(np.concatenate([a for a, _ in t]).astype(np.int32))),
                  list_column(sizes, pa.array(np.concatenate([v for _, v in t]).astype(np.float32))), pa.array(m, pa.list_(pa.int32()))],
-                ["doc_id", "y", "at", "v", "meta"])
+                ["doc_id", "q", "t", "at", "v", "meta"])
 
-    got = rows.mapInArrow(features, "doc_id long, y int, at array<int>, v array<float>, meta array<int>").toArrow()
+    got = rows.mapInArrow(features, "doc_id long, q int, t int, at array<int>, v array<float>, meta array<int>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")  # whatever order tasks end in
-    y = got["y"].to_numpy()[order]
-    at, v, meta = (got[n].to_pylist() for n in ("at", "v", "meta"))
-    text = Rows([(np.array(at[i]), np.array(v[i])) for i in order], WORD_SLOTS + SHAPES)
-    side = Rows([(np.array(meta[i]), np.ones(len(meta[i]))) for i in order], META_SLOTS)
+    n = len(order)
+
+    def sparse(at: pa.ChunkedArray, v: np.ndarray | None, size: int) -> Rows:
+        at = at.combine_chunks()
+        lengths, flat = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy().astype(np.int64)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        return Rows(np.repeat(place, lengths), flat, np.ones(len(flat)) if v is None else v, n, size)
+
+    if not n:
+        return {"quality": None, "toxic": None}
+    text = sparse(got["at"], got["v"].combine_chunks().flatten().to_numpy().astype(np.float64), WORD_SLOTS + SHAPES)
+    side = sparse(got["meta"], None, META_SLOTS)
+    q, t = (got[x].to_numpy()[order] for x in ("q", "t"))
     held = np.array([zlib.crc32(str(x).encode()) % 3 == 0 for x in got["doc_id"].to_numpy()[order]], dtype=bool)
-    return co_train(text, side, y, held)
-
-
-def score(docs: DataFrame, model: dict | None, keep: list[str] = ()) -> DataFrame:
-    """Columns of ``keep``, then score, p_text, p_meta, kept for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # WORD_SLOTS + SHAPES + META_SLOTS numbers
+    model = {"quality": co_train(text, side, q, held), "toxic": co_train(text, side, t, held)}
+    if model["quality"]:
+        fine = np.sort(model["quality"].pop("score")[held & (q == 1) & (t != 1)])
+        model["quality"]["least"] = float(min(0.5, fine[int(len(fine) * (1 - KEEP_GOOD))])) if len(fine) else 0.0
+    if model["toxic"]:
+        fine = np.sort(model["toxic"].pop("score")[held & (t == 0)])
+        model["toxic"]["most"] = float(max(0.5, fine[min(len(fine) - 1, int(len(fine) * KEEP_GOOD))])) if len(fine) else 1.0
+    return model
+
+
+def score(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
+    """Columns of ``keep``, then score, p_quality, p_text, p_meta, p_toxic, kept for every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 * (WORD_SLOTS + SHAPES + META_SLOTS) numbers
     rows = docs.select(*keep, F.col("text").alias("_t"), F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("n_chars").alias("_n"))
 
     def run(batches):
-        slots, m = Slots(), sent.value
+        slots, good, bad = Slots(), sent.value["quality"], sent.value["toxic"]
         for b in batches:
             out = []
             for t, s, lang, n in zip(*(b.column(x).to_pylist() for x in ("_t", "_s", "_l", "_n"))):
-                if m is None:
-                    out.append((0.5, 0.5, 0.5, True))
-                    continue
                 at, v = text_features(t, slots)
-                mat, _ = meta_features(s, lang, n)
-                odds = (m["weights"][0][at] @ v, m["weights"][1][mat].sum())
-                cal = [o * p[0] + p[1] for o, p in zip(odds, m["platt"])]
-                p = sigmoid(cal[0] * m["mix"][0] + cal[1] * m["mix"][1] + m["mix"][2])
-                out.append((float(p), float(sigmoid(cal[0])), float(sigmoid(cal[1])), bool(p >= m["threshold"])))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *(pa.array(c, k) for c, k in zip(
-                cols, (pa.float64(), pa.float64(), pa.float64(), pa.bool_())))], [*keep, "score", "p_text", "p_meta", "kept"])
+                meta, _ = meta_features(s, lang, n)
+                p, p_text, p_meta = probability(good, at, v, meta)
+                toxic = probability(bad, at, v, meta)[0]
+                out.append((p * (1 - toxic), p, p_text, p_meta, toxic,
+                            (good is None or p >= good["least"]) and (bad is None or toxic <= bad["most"])))
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *(pa.array(c, k) for c, k in zip(cols, [pa.float64()] * 5 + [pa.bool_()]))],
+                                             [*keep, "score", "p_quality", "p_text", "p_meta", "p_toxic", "kept"])
 
     fields = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[:len(keep)])
-    return rows.mapInArrow(run, f"{fields}score double, p_text double, p_meta double, kept boolean")
+    return rows.mapInArrow(run, f"{fields}score double, p_quality double, p_text double, p_meta double, p_toxic double, kept boolean")
 
 
 def op4_quality(spark, sf_dir):

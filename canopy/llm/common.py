@@ -70,6 +70,20 @@ def bloom_hit(words: Column, key: Column, bits: int, hashes: int) -> Column:
     return hit
 
 
+def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 << 22, hashes: int = 3) -> DataFrame:
+    """Rows whose key isn't in ``dropped`` (one column ``key``).
+
+    Rows that miss a Bloom filter of the dropped keys stay where they are; only
+    the others are shuffled for the exact answer.
+    """
+    dropped = cut(dropped.select("key").distinct())
+    words = cut(bloom_words(dropped.select(F.xxhash64("key").alias("h")), "h", bits, hashes))
+    keyed = rows.withColumn("_key", key)
+    hit = bloom_hit(words.scalar(), F.xxhash64("_key"), bits, hashes)
+    gone = keyed.where(hit).join(dropped, F.col("_key").eqNullSafe(F.col("key")), "left_anti")
+    return keyed.where(~hit).unionByName(gone).drop("_key")
+
+
 # --- components ------------------------------------------------------------------------------------
 
 def _all_stars(e: DataFrame) -> bool:

@@ -65,6 +65,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return dup.unionByName(single).withColumnsRenamed({"_id": id_col, "_sha": "text_sha256"})
 
 
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS,
+                filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The input's rows without copies: of equal texts the row with the largest id stays, with all its columns.
+
+    Singletons are passed on as they are read; the others meet in a partial
+    aggregation by full hash, so a group's copies go before the shuffle.
+    """
+    words = cut(bloom_words(surviving_pairs(df, text_col, prefix_chars), "pair", filter_bits, FILTER_HASHES))
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    pair = _pair(F.octet_length(t), F.xxhash64(F.substring(t, 1, prefix_chars)))
+    shared = bloom_hit(words.scalar(), pair, filter_bits, FILTER_HASHES)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    stays = (df.where(shared).select(F.sha2(t, 256).alias("_sha"), whole.alias("_r"))
+             .groupBy("_sha").agg(F.max_by("_r", F.struct(F.col(f"_r.{id_col}").isNotNull(), F.col(f"_r.{id_col}"))).alias("_r")))
+    return df.where(~shared).unionByName(stays.select("_r.*"))
+
+
 def op1_exact_dedup(spark, sf_dir):
     """Every document with the row that stays for its text."""
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from canopy.llm import decontaminate, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan, sharding, url_filter, warc
 from canopy.llm.common import LlmQuery
 
@@ -16,4 +17,5 @@ LLM_QUERIES: dict[str, LlmQuery] = {
     "op8_sharding": LlmQuery(sharding.op8_sharding),
     "op9_warc": LlmQuery(warc.op9_warc, warc.SQL),
     "op10_lang_id": LlmQuery(lang_id.op10_lang_id),
+    "pipeline": LlmQuery(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -11,7 +11,8 @@ words.  A state at a boundary is the number of characters by which the piece
 across it reaches into the next chunk (fewer than the longest piece has).
 
 1. each chunk yields its transfer matrix: T[i][j] is the best score from
-   entering it at state i to leaving it at state j;
+   entering it at state i to leaving it at state j (up to a constant of the
+   chunk, which no choice depends on);
 2. matrices are multiplied in (max, +), which is associative: products of
    blocks of chunks, then the blocks' entry scores, then each chunk's;
 3. with its entry scores each chunk is traced back on its own, once for each
@@ -71,16 +72,25 @@ class Pieces:
             else:
                 scores[p] = (i, sp.get_score(i))
                 self.raw.append(p.replace(SPACE, " ").encode())
-        self.byte_of = {i: x for x, i in self.bytes.items()}
-        self.scores = {i: s for i, s in scores.values()}
         real = [s for _, s in scores.values() if s > -1e8]  # lower ones mark pieces to be avoided
         self.unk_score = min(real, default=0.0) - UNK_PENALTY
         self.longest = max(map(len, scores), default=1)
-        # every prefix of a piece; pieces have their id and score, others None
-        self.prefixes: dict[str, tuple[int, float] | None] = {p[:k]: None for p in scores for k in range(1, len(p))}
-        self.prefixes.update(scores)
+        # one dictionary a prefix: next character -> longer prefix; a piece's own has its id and score under ""
+        self.trie: dict = {}
+        for p, entry in scores.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = entry
         self.space_starts = not any(SPACE in p.lstrip(SPACE) for p in scores)
         self.newline_alone = not any("\n" in p for p in scores)
+        self._encoder = None
+
+    def encoder(self) -> Encoder:
+        """One encoder for all tasks of a worker: what it remembers serves the next task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
 
 
 class PartIds(dict):
@@ -106,7 +116,7 @@ class Encoder:
 
     def forward(self, s: str, n: int, start: dict[int, float]) -> tuple[list[float], list]:
         """Best score at each place when pieces start before n; ``start``: scores to begin with."""
-        size, prefixes, unk = len(s), self.p.prefixes, self.p.unk_score
+        size, trie, unk = len(s), self.p.trie, self.p.unk_score
         best, back = [NEG] * (size + 1), [None] * (size + 1)
         for i, v in start.items():
             if i <= size:
@@ -115,13 +125,16 @@ class Encoder:
             v = best[a]
             if v == NEG:
                 continue
-            single = False
-            for b in range(a + 1, min(a + self.p.longest, size) + 1):
-                got = prefixes.get(s[a:b], False)
-                if got is False:
+            node, b, single = trie, a, False
+            while b < size:
+                node = node.get(s[b])
+                if node is None:
                     break
-                if got:
-                    single |= b == a + 1
+                b += 1
+                got = node.get("")
+                if got is not None:
+                    if b == a + 1:
+                        single = True
                     if v + got[1] > best[b]:
                         best[b], back[b] = v + got[1], (a, got[0])
             if not single and v + unk > best[a + 1]:
@@ -155,27 +168,27 @@ class Encoder:
             out.extend(chain.from_iterable(parts))
         return out
 
-    def score(self, ids: list[int]) -> float:
-        """Score of a path that starts and ends at characters."""
-        p, total, data = self.p, 0.0, bytearray()
-        for i in ids:
-            if i in p.byte_of:
-                data.append(p.byte_of[i])
-            else:
-                total += p.scores[i]
-        return total + p.unk_score * len(data.decode("utf-8", "replace"))
-
     # --- chunks: s holds n characters of the chunk and up to longest - 1 of what follows
 
     def cuts(self, s: str, n: int) -> tuple[int, int] | None:
         """First and last place in 1..n where every path stops."""
         if not self.p.space_starts:
             return None
-        mark = f"(?<=[^{SPACE}])(?={SPACE})" + (r"|(?<=\n)|(?<=.)(?=\n)" if self.p.newline_alone else "")
-        places = [m.start() for m in re.finditer(mark, s) if 0 < m.start() <= n]
-        return (places[0], places[-1]) if places else None
+        stops = [f"(?<=[^{SPACE}])(?={SPACE})"] + ([r"(?<=\n)", r"(?<=.)(?=\n)"] if self.p.newline_alone else [])
+        mark = re.compile("|".join(stops), re.DOTALL)
+        first = next((m.start() for m in mark.finditer(s) if m.start() > 0), n + 1)
+        if first > n:
+            return None
+        reach = 64
+        while True:  # the last one is near the end, as a rule
+            lo = max(first, n - reach)
+            last = [m.start() for m in mark.finditer(s, max(0, lo - 1)) if lo <= m.start() <= n]
+            if last:
+                return first, last[-1]
+            reach *= 8
 
     def transfer(self, s: str, n: int) -> np.ndarray:
+        """Transfer matrix, less the score between the first and the last stop: every path has it, so no choice needs it."""
         size = self.p.longest
         t, ends = np.full((size, size), NEG), self.cuts(s, n)
         stop = ends[0] if ends else n
@@ -183,11 +196,10 @@ class Encoder:
             f1, f2 = ends
             best, _ = self.forward(s[f2:], n - f2, {0: 0.0})
             tail = best[n - f2:n - f2 + size]
-            middle = self.score(self.whole(s[f1:f2]))
         for i in range(min(size - 1, stop) + 1):
             if ends:
                 head = self.forward(s[:f1], f1, {i: 0.0})[0][f1]
-                t[i, :len(tail)] = head + middle + np.array(tail)
+                t[i, :len(tail)] = head + np.array(tail)
             else:
                 best, _ = self.forward(s, n, {i: 0.0})
                 t[i, :len(best[n:n + size])] = best[n:n + size]
@@ -239,7 +251,7 @@ def _giants(docs: DataFrame, sent, chunk: int) -> DataFrame:
                          pa.array([s[x:x + chunk + more] for x in own])], ["row", "k", "n", "s"])
 
     def matrices(batches):
-        enc = Encoder(sent.value)
+        enc = sent.value.encoder()
         for b in batches:
             c = b.to_pydict()
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(
@@ -270,7 +282,7 @@ def _giants(docs: DataFrame, sent, chunk: int) -> DataFrame:
         return entries(pdf, np.frombuffer(at["v"].iloc[0]), "k")
 
     def trace(batches):
-        enc = Encoder(sent.value)
+        enc = sent.value.encoder()
         for b in batches:
             c = b.to_pydict()
             got = [[{"j": j, "i": i, "ids": ids} for j, i, ids in enc.traces(s, n, np.frombuffer(v))] for s, n, v in zip(c["s"], c["n"], c["v"])]
@@ -310,7 +322,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
              pa.array([decode(x, p) == t for x, t in zip(all_ids, texts)], pa.bool_())], ["_id", "n_tokens", "ids", "round_trip"])
 
     def short(batches):
-        enc = Encoder(sent.value)
+        enc = sent.value.encoder()
         for b in batches:
             texts = b[1].to_pylist()
             yield batch(b[0], [enc.whole(normal(t)) for t in texts], texts)

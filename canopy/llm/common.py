@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the session's shared folder."""
     shared_dir(df.sparkSession)
+    gc.collect()  # frozen references to earlier plans would keep their shuffles and broadcasts on the driver
     return df.checkpoint(eager=True)
 
 
@@ -86,22 +88,45 @@ def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 <<
 
 # --- components ------------------------------------------------------------------------------------
 
-def _all_stars(e: DataFrame) -> bool:
-    """True if every node points to one other and that one to none."""
-    twice = e.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u")
-    return twice.union(e.select("v").distinct().join(e.select("u").distinct(), F.col("v") == F.col("u"), "left_semi")).isEmpty()
+def _fingerprint(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def _contract(batches):
+    """Each task's edges as stars around the smallest node of their components within the task."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b[0].to_pylist(), b[1].to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    nodes = [x for x in up if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([up[x] for x in nodes], pa.int64())], ["u", "v"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of the undirected ``edges``; component = smallest node.
+    """(node, component) for every node (a long) of the undirected ``edges``; component = smallest node.
 
-    Large-star and small-star rounds in turn until nothing changes.  Each
-    round keeps at most as many edges as it was given, and a node with many
-    neighbours is met by partial aggregation and a skew-splitting join only.
+    Tasks first contract the edges they hold; then large-star and small-star
+    rounds in turn until nothing changes.  Each round keeps at most
+    as many edges as it was given, and a node with many neighbours is met by
+    partial aggregation and a skew-splitting join only.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+            .mapInArrow(_contract, "u long, v long").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    while not _all_stars(e):
+    last = None
+    while (now := _fingerprint(e)) != last:
+        last = now
         # large star: every node's larger neighbours move to its smallest neighbour (itself included)
         both = e.union(e.select("v", "u")).toDF("n", "m")
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("lo"))
@@ -111,7 +136,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = (join_groups(large, low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
                  .union(low.select("u", F.col("lo").alias("v"))).where("u <> v").distinct())
-        e = cut(small)
+        e = cut(small.mapInArrow(_contract, "u long, v long"))
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component"))
 

@@ -17,11 +17,14 @@ next one, where the larger partner may be.
 
 Join.  Sets that are equal are one node.  Nodes with an equal block in common
 are candidates.  Only components are wanted, so a block shared by many nodes
-never yields all its pairs: each round compares the nodes of a block with one
-pivot, unites what links, and goes on with the blocks that still hold several
-components.  Once at most ``OPEN_PAIRS`` comparisons a row are left (or ``rounds`` are over) all pairs
-of different components that are still open are compared, so no link that
-matters to a component is lost.  A comparison intersects the full sets.
+doesn't yield all its pairs: each round compares the nodes of a block with a
+few pivots, unites what links, and goes on with the blocks that still hold
+several components.  Once at most ``OPEN_PAIRS`` comparisons a row are left, or
+a round no longer halves them, or ``rounds`` are over, all pairs of different
+components that are still open are compared, so no link that matters to a
+component is lost.  A comparison first takes the Hamming distance of two
+sketches of ``BITS`` parity bits, which can't exceed the difference of the
+sets, and intersects the full sets only if that leaves a link possible.
 
 Texts are compared by 64-bit shingle hashes (128 bits for equal sets).
 
@@ -47,8 +50,10 @@ from canopy.llm.common import bloom_hit, bloom_words, byte_texts, connected_comp
 FILTER_BITS = 1 << 22   # size of the filter for the second reading of candidates
 FILTER_HASHES = 3
 ROUNDS = 6
+PIVOTS = 3              # nodes of a block that a round compares with the others
 OPEN_PAIRS = 4          # all open pairs are compared once they are at most so many a row
 BAND_RATIO = 1.5
+BITS = 1024             # of the sketch that candidates are compared by first
 CACHE_WORDS = 500_000   # word hashes that a task remembers
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,25 +123,33 @@ def signature(s: np.ndarray) -> bytes:
     return a.sum(dtype=np.uint64).tobytes() + b.sum(dtype=np.uint64).tobytes()
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Bit sketch: each shingle flips one of BITS bits, so the Hamming distance of two is at most the sets' difference."""
+    flips = np.bincount((mix64(s + ODD) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(_id, _t) -> (_id, n, sig, keys)."""
+    """(_id, _t) -> (_id, n, sig, bits, keys)."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            n, sig, keys = [], [], []
+            n, sig, bits, keys = [], [], [], []
             for text in byte_texts(b.column("_t")):
                 s = shingle_set(text, width, hashes)
                 n.append(len(s))
                 sig.append(signature(s))
+                bits.append(np.frombuffer(parity_bits(s), np.int64))
                 keys.append(block_keys(s, percent))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                 list_column(np.array([len(k) for k in keys], np.int32), pa.array(flat))], ["_id", "n", "sig", "keys"])
+                 list_column(np.full(len(n), BITS // 64, np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))),
+                 list_column(np.array([len(k) for k in keys], np.int32), pa.array(flat))], ["_id", "n", "sig", "bits", "keys"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInArrow(run, f"_id {kind}, n long, sig binary, keys array<long>")
+    return docs.mapInArrow(run, f"_id {kind}, n long, sig binary, bits array<long>, keys array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -170,34 +183,40 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n, comp) of the keys that hold more than one component."""
+    """Rows (key, node, n, bits, comp) of the keys that hold more than one component."""
     several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     return cut(join_groups(rows, several, "key"))
 
 
 def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """(node, component) of the nodes that link; ``multi``: (key, node, n) of keys with several nodes."""
+    """(node, component) of the nodes that link; ``multi``: (key, node, n, bits) of keys with several nodes."""
     spark = multi.sparkSession
     rows = multi.withColumn("comp", F.col("node"))
-    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    # a link needs sizes close enough and a Hamming distance that their difference may have
+    apart = F.aggregate(F.zip_with("bits", "pbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (
+        (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pn")))
+    before = None
     seen = spark.createDataFrame([], "a long, b long, linked boolean")
     comps = None
     for r in range(rounds + 1):
-        if rows.isEmpty():
-            break
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        left = sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p") / 2).first()[0]
-        if left <= OPEN_PAIRS * sizes.agg(F.sum("m")).first()[0] or r == rounds:
-            other = rows.toDF("key", "pivot", "pn", "pcomp")
-            pairs = rows.join(other, "key").where((F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")))
-            last = True
+        left, n = (sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"), F.sum("m").alias("n"))
+                   .agg(F.sum("p") / 2, F.sum("n")).first())
+        if not n:
+            break
+        last = left <= OPEN_PAIRS * n or r == rounds or (before is not None and 2 * left > before)
+        before = left
+        if last:
+            other = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pcomp"))
+            pairs = rows.join(other, "key").where(near & (F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")))
         else:
-            order = F.col("node") if r == 0 else F.xxhash64("node", F.lit(r))
-            pivots = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node"), F.col("n"), F.col("comp"))).alias("p"))
-            pairs = join_groups(rows, pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
-                                                    F.col("p.comp").alias("pcomp")), "key").where("comp <> pcomp")
-            last = False
-        pairs = pairs.where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            orders = [F.col("node") if r + j == 0 else F.xxhash64("node", F.lit(r * PIVOTS + j)) for j in range(PIVOTS)]
+            pivots = rows.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "bits", "comp")).alias(f"p{j}") for j, o in enumerate(orders)])
+            pairs = (join_groups(rows, pivots, "key").withColumn("p", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])))
+                     .where("comp <> p.comp").select("node", "n", "bits", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
+                                                    F.col("p.bits").alias("pbits")).where(near))
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if r:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         seen = cut(seen.unionByName(_verify(pairs, sets, percent)))
@@ -206,7 +225,7 @@ def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
             break
         comps = cut(comps)
         rows = _open(rows.drop("comp").join(comps, "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("comp")))
+            "key", "node", "n", "bits", F.coalesce("component", "node").alias("comp")))
     return comps if comps is not None else spark.createDataFrame([], "node long, component long")
 
 
@@ -217,10 +236,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(_sketches(docs, width, percent).withColumn("_row", F.monotonically_increasing_id()))
     # equal sets are one node; empty sets stay out
     whole = cut(rows.where("n > 0").groupBy("sig").agg(F.min("_row").alias("node"), F.min("_id").alias("id"), F.first("n").alias("n"),
-                                                       F.first("keys").alias("keys")))
+                                                       F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     blocks = whole.select("node", "n", F.explode("keys").alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    multi = cut(join_groups(blocks, shared, "key").select("key", "node", "n"))
+    multi = join_groups(blocks, shared, "key").select("key", "node", "n")
+    multi = cut(multi.join(whole.select("node", "bits"), "node"))
     asked = whole.join(multi.select("node").distinct(), "node", "left_semi").select("node", "sig", "id")
     # second reading: only documents that may be candidates are cut into shingles again
     words = cut(bloom_words(asked.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS, FILTER_HASHES))

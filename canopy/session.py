@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,12 +48,10 @@ def get_spark(app: str = "canopy", master: str | None = None,
               extra: dict | None = None, cluster: bool = False) -> SparkSession:
     """Return (or create) a session with canopy's base configuration.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured in
-    the environment; on a cluster ``spark-submit`` supplies it.
+    ``master`` is set only if given; otherwise ``spark-submit`` or the Spark
+    configuration supplies it (Spark itself falls back to ``local[*]``).
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_HOME_CLUSTER"):
-        master = "local[*]"
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
@@ -91,6 +88,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="canopy-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

@@ -36,6 +36,7 @@ CAPTURE_DATE = "20000101000000"     # pages carry no capture time
 ARC_BYTES = 8 << 20                 # an ARC file is closed once it is this long
 WARC_BYTES = 16 << 20               # aim for the length of a WARC file
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace
+BROADCAST_ROWS = 10_000             # about 1 MB of digests and record ids
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -165,8 +166,13 @@ def link_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     shared = (records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
               .agg(F.max(F.struct("page_id", "record_id")).alias("keep"), F.count("*").alias("n")).where("n > 1")
               .select("payload_digest", "keep"))
-    # only payloads met more than once take part, so the table is small where copies are few
-    out = join_groups(records, cut(shared), "payload_digest", "left")
+    # only payloads met more than once take part: where copies are few, their measured table goes to the
+    # pages; else both sides are shuffled
+    shared = cut(shared)
+    if shared.count() <= BROADCAST_ROWS:
+        out = records.join(F.broadcast(shared), "payload_digest", "left")
+    else:
+        out = join_groups(records, shared, "payload_digest", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep.page_id")) & (F.col("payload_bytes") >= min_bytes)
     return out.withColumn("refers_to_id", F.when(revisit, F.col("keep.record_id"))).drop("keep")
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from canopy.llm.common import cut, table
 MIN_SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
 FLOOR = math.log(1e-7)      # score of what a language has not shown
-FLUSH = 200_000             # entries of a task's counter before it is passed on
+FLUSH = 200_000             # entries of a task's counter before it is passed on, and unseen words that a task remembers
+CHUNK = 100_000             # words of a text that are scored at once
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,7 +71,7 @@ def count_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> dict:
-    """The model: languages, priors and, for words (order 0) and n-grams, entry -> log frequencies by language."""
+    """The model: languages, priors and, for words (order 0) and n-grams, (entries, their log frequencies by language)."""
     docs = docs.where(F.col(lang_col).isNotNull())
     n_docs = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
     langs = sorted(n_docs)
@@ -78,74 +79,101 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_sha
     counts = cut(count_words(docs, text_col, lang_col))
 
     def split(batches):
+        seen: dict[str, list] = {}
+
+        def rows():
+            for lang, tables in seen.items():
+                for k, c in zip(ORDERS, tables):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(np.full(len(c), k, np.int32)),
+                                                      pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
+                                                     ["lang", "k", "entry", "n"])
+            seen.clear()
+
         for b in batches:
-            c = Counter()
             for lang, word, n in zip(*(x.to_pylist() for x in b.columns)):
-                for k in ORDERS:
+                tables = seen.get(lang)
+                if tables is None:
+                    tables = seen[lang] = [defaultdict(int) for _ in ORDERS]
+                for k, c in zip(ORDERS, tables):
                     for g in grams(word, k):
-                        c[lang, k, g] += n
-            if c:
-                keys = list(zip(*c))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1], pa.int32()), pa.array(keys[2]),
-                                                  pa.array(list(c.values()), pa.int64())], ["lang", "k", "entry", "n"])
+                        c[g] += n
+            if sum(len(c) for tables in seen.values() for c in tables) > FLUSH:
+                yield from rows()
+        yield from rows()
 
     parts = (counts.select("lang", "word", "n").mapInArrow(split, "lang string, k int, entry string, n long")
              .groupBy("lang", "k", "entry").agg(F.sum("n").alias("n")))
     parts = cut(parts.unionByName(counts.select("lang", F.lit(0).alias("k"), F.col("word").alias("entry"), "n")))
     sums = {(r["lang"], r["k"]): r["s"] for r in parts.groupBy("lang", "k").agg(F.sum("n").alias("s")).collect()}
     scale = F.create_map(*[x for (lang, k), s in sorted(sums.items()) for x in (F.lit(f"{k} {lang}"), F.lit(float(s)))]) if sums else None
-    model = {"langs": langs, "prior": np.log([n_docs[x] / total for x in langs]) if langs else np.zeros(0), "tables": {k: {} for k in (0, *ORDERS)}}
+    model = {"langs": langs, "prior": np.log([n_docs[x] / total for x in langs]) if langs else np.zeros(0), "tables": {k: ([], np.zeros((0, len(langs)))) for k in (0, *ORDERS)}}
     if not sums:
         return model
+    places: dict[int, dict] = {k: {} for k in model["tables"]}
+    cells: dict[int, list] = {k: [] for k in model["tables"]}
     at = {x: i for i, x in enumerate(langs)}
     share = parts.withColumn("share", F.col("n") / scale[F.concat_ws(" ", F.col("k").cast("string"), "lang")])
     kept = share.where(F.col("share") >= min_share).select("lang", "k", "entry", "share")
-    for lang, k, entry, p in kept.toLocalIterator():  # bounded by min_share, not by the corpus
-        row = model["tables"][k].setdefault(entry, np.full(len(langs), FLOOR))
-        row[at[lang]] = math.log(p)
+    for lang, k, entry, p in kept.repartition(8).toLocalIterator():  # bounded by min_share, not by the corpus
+        cells[k].append((places[k].setdefault(entry, len(places[k])), at[lang], math.log(p)))
+    for k, found in cells.items():
+        scores = np.full((len(places[k]), len(langs)), FLOOR)
+        if found:
+            row, column, value = zip(*found)
+            scores[list(row), list(column)] = value
+        model["tables"][k] = (list(places[k]), scores)
     return model
 
 
+class Places(dict):
+    """Word -> row of its scores; a word that is not there is passed to ``learn`` once."""
+
+    def __init__(self, known: list[str], learn):
+        super().__init__(zip(known, range(len(known))))
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
+
+
 class Scorer:
     """Scores words with a model; remembers a bounded number of unseen words."""
 
     def __init__(self, model: dict):
-        self.langs, self.prior, self.tables = model["langs"], model["prior"], model["tables"]
-        known = list(self.tables[0])
-        self.index = {w: i for i, w in enumerate(known)}
-        self.rows = np.array([self.tables[0][w] for w in known]).reshape(len(known), len(self.langs))
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def back_off(self, word: str) -> np.ndarray:
-        """Mean score of the longest known n-grams that cover the word."""
-        got = self.unseen.get(word)
-        if got is None:
-            got, rest = np.zeros(len(self.langs)), 0
-            for k in ORDERS:
-                found = [self.tables[k][g] for g in grams(word, k) if g in self.tables[k]]
-                if found:
-                    got, rest = np.sum(found, axis=0) / len(found), len(found)
-                    break
-            if not rest:
-                got = np.full(len(self.langs), FLOOR)
-            if len(self.unseen) > FLUSH:
-                self.unseen.clear()
-            self.unseen[word] = got
-        return got
+        self.langs, self.prior = model["langs"], model["prior"]
+        self.known, self.rows = model["tables"][0]
+        self.grams = [(k, dict(zip(model["tables"][k][0], range(len(model["tables"][k][0])))), model["tables"][k][1]) for k in ORDERS]
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.used = Places(self.known, self.learn), len(self.known)
+
+    def learn(self, word: str) -> int:
+        """Row of an unseen word: the mean score of the longest known n-grams that cover it."""
+        score = FLOOR
+        for k, index, scores in self.grams:
+            found = [index[g] for g in grams(word, k) if g in index]
+            if found:
+                score = scores[found].sum(axis=0) / len(found)
+                break
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty((max(1024, len(self.rows)), len(self.langs)))])
+        self.rows[self.used] = score
+        self.places[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
             return "und", 0.0
-        index, total, hits = self.index, self.prior.copy(), []
-        for w in words:
-            i = index.get(w)
-            if i is None:
-                total += self.back_off(w)
-            else:
-                hits.append(i)
-        if hits:
-            total += self.rows[hits].sum(axis=0)
+        total = self.prior.copy()
+        for i in range(0, len(words), CHUNK):
+            if self.used > len(self.known) + FLUSH:
+                self.forget()
+            part = words[i:i + CHUNK]
+            at = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
+            total += self.rows[at].sum(axis=0)
         best = int(np.argmax(total))
         p = np.exp(np.clip(total - total[best], -700, 0))
         return self.langs[best], float(p[best] / p.sum())

@@ -100,7 +100,7 @@ LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
 
 # MQTT-style topic layout of commands: <prefix>/<node>/commands, where the node
 # id is the second '_'-separated part of the device id (whole id otherwise).
-TOPIC_PREFIX = "hydro"
+TOPIC_PREFIX = "site"
 COMMAND_ACTION = "PULSE"
 
 # Physically possible sensor ranges (readings outside are faults, not data).

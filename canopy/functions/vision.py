@@ -34,7 +34,8 @@ def add_blur_score(df: DataFrame, pixels: str, width: int, out: str = "blur_scor
 
     Three projections (pixels as doubles, Laplacian array, mean) keep each
     intermediate array computed once per row; Catalyst does not merge
-    projections that would duplicate a non-trivial expression.
+    projections that would duplicate a non-trivial expression.  Null and empty
+    arrays, part rows and frames of fewer than two rows or columns score 0.0.
     """
     w = F.lit(width)
     staged = df.withColumn("__px", F.col(pixels).cast("array<double>"))
@@ -54,10 +55,12 @@ def add_blur_score(df: DataFrame, pixels: str, width: int, out: str = "blur_scor
         right = at(r, _reflect(c + 1, w))
         return (up + down + left + right) - F.lit(4.0) * at(r, c)
 
-    staged = staged.withColumn("__lap", F.transform(F.sequence(F.lit(0), n - 1), lap))
+    staged = staged.withColumn("__lap", F.when(
+        (n > 0) & (n % width == 0) & (h >= 2) & F.lit(width >= 2), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lap))
+        .otherwise(F.array().cast("array<double>")))
     laps = F.col("__lap")
     m = F.size(laps)
-    staged = staged.withColumn("__mean", F.aggregate(laps, F.lit(0.0), lambda a, x: a + x) / m)
+    staged = staged.withColumn("__mean", F.when(m > 0, F.aggregate(laps, F.lit(0.0), lambda a, x: a + x) / m))
     mean = F.col("__mean")
     var = F.aggregate(laps, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / m
     return (staged.withColumn(out, F.when(m > 0, var).otherwise(F.lit(0.0)))

@@ -363,4 +363,4 @@ def trailing_sum_exact(df: DataFrame, by: Sequence[str], time_col: str, value_co
     s = F.col("__G") - F.coalesce(F.col("__G0"), F.lit(0))
     c = F.col("__GC") - F.coalesce(F.col("__GC0"), F.lit(0))
     return j.select(*df.columns, s.alias(f"{prefix}sum"), c.alias(f"{prefix}cnt"),
-                    (s / c).alias(f"{prefix}avg"))
+                    F.when(c > 0, s / c).alias(f"{prefix}avg"))

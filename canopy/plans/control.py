@@ -21,8 +21,8 @@ many-tick case.  Plan:
 * window over slots per device (rows per device = number of slots, bounded by
   the time span, not by data volume) -> trailing sums at each tick.
 * COMPLETED actions -> last action per tick slot (partial aggregation) ->
-  forward fill over the tick grid -> joined on the tick index; the tick grid
-  is broadcast only when its size is below a fixed bound.
+  bucketed as-of over the tick grid -> joined on the tick index, by the join
+  that adaptive execution picks for the grid's size.
 * one CASE expression.
 """
 
@@ -41,12 +41,6 @@ from canopy.operators.sequence import asof_join, epoch_us, from_epoch_us
 from canopy.sources import bindings
 from canopy.sources.tables import event_bounds, ntz
 
-# Tick grids up to this many rows are broadcast to the (device, tick) side.
-BROADCAST_TICKS_MAX = 200_000
-# Lock grids up to this many ticks per key are forward-filled by one window; larger
-# grids (e.g. 1-second ticks over a year) use the bucketed as-of join instead.
-FILL_WINDOW_MAX_TICKS = 1_000_000
-
 
 @dataclass
 class ControlParams:
@@ -183,8 +177,6 @@ def control_replay(spark: SparkSession, sf_dir: str, p: ControlParams | None = N
 
     lock_keys = ["device_id"] if p.per_device_lock else []
     lock = lock_table(spark, act, p, origin, n, devices if lock_keys else None)
-    if not lock_keys and n <= BROADCAST_TICKS_MAX:
-        lock = F.broadcast(lock)
 
     tick = from_epoch_us(F.lit(o_us) + F.col("j") * F.lit(p.tick_s * 1_000_000))
     out = avgs.join(lock, [*lock_keys, "j"], "left").withColumn("tick", tick)
@@ -213,10 +205,8 @@ def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _d
     """Last COMPLETED action at or before each tick: (j[, device_id], last_time, last_pump).
 
     Actions are reduced to one row per tick slot (partial aggregation), then
-    forward-filled over the tick grid: by one running window while the grid has
-    at most ``FILL_WINDOW_MAX_TICKS`` ticks per key, by the bucketed as-of join
-    beyond (a fine grid -- 1-second ticks over a year -- is then filled across
-    many tasks).
+    carried over the tick grid by the bucketed as-of join on tick time, so no
+    single task holds the grid.
     """
     lock_keys = ["device_id"] if devices is not None else []
     o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000 + origin.microsecond
@@ -230,15 +220,7 @@ def lock_table(spark: SparkSession, act: DataFrame, p: ControlParams, origin: _d
     last_per_slot = done.groupBy(*lock_keys, "j").agg(
         F.max_by(F.struct("time", "actuator_id"), F.struct("time", "id")).alias("a"))
     grid = spark.range(0, n).select(F.col("id").alias("j")) if not lock_keys else tick_spine(devices, n)
-    if n <= FILL_WINDOW_MAX_TICKS:
-        # a grid of bounded size per key: one running window fills it
-        wf = Window.partitionBy(*lock_keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-        return (grid.join(last_per_slot, [*lock_keys, "j"], "left")
-                .withColumn("a", F.last("a", ignorenulls=True).over(wf))
-                .select(*lock_keys, "j", F.col("a.time").alias("last_time"),
-                        F.col("a.actuator_id").alias("last_pump")))
-
-    # beyond that: a bucketed as-of join on tick time, so no single task holds the grid
+
     def tick_at(j):
         return from_epoch_us(F.lit(o_us) + j * F.lit(p.tick_s * 1_000_000))
     grid = grid.withColumn("__tick", tick_at(F.col("j")))
@@ -269,9 +251,10 @@ def mixing_lock_sql(p: ControlParams | None = None) -> str:
     return bindings.with_views("actuator_logs") + f""",
 bounds AS (SELECT date_trunc('hour', min(ts)) AS origin, max(ts) AS as_of FROM events),
 ticks AS (
-  SELECT bounds.origin + r.range * INTERVAL {p.tick_s} SECOND AS tick
-  FROM range(0, 1000000) r, bounds
-  WHERE bounds.origin + r.range * INTERVAL {p.tick_s} SECOND <= bounds.as_of),
+  SELECT j, tick FROM (
+    SELECT j, origin + j * INTERVAL {p.tick_s} SECOND AS tick, as_of
+    FROM (SELECT origin, as_of, unnest(range(0, date_diff('second', origin, as_of) // {p.tick_s} + 1)) AS j FROM bounds))
+  WHERE tick <= as_of),
 l AS (
   SELECT t.tick, a.time AS last_time, a.actuator_id AS last_pump,
          date_diff('microsecond', a.time, t.tick) / 1e6 AS elapsed_s
@@ -302,9 +285,10 @@ def control_replay_sql(p: ControlParams | None = None) -> str:
     return bindings.with_views("telemetry", "actuator_logs") + f""",
 bounds AS (SELECT date_trunc('hour', min(ts)) AS origin, max(ts) AS as_of FROM events),
 ticks AS (
-  SELECT r.range AS j, bounds.origin + r.range * INTERVAL {p.tick_s} SECOND AS tick
-  FROM range(0, 1000000) r, bounds
-  WHERE bounds.origin + r.range * INTERVAL {p.tick_s} SECOND <= bounds.as_of),
+  SELECT j, tick FROM (
+    SELECT j, origin + j * INTERVAL {p.tick_s} SECOND AS tick, as_of
+    FROM (SELECT origin, as_of, unnest(range(0, date_diff('second', origin, as_of) // {p.tick_s} + 1)) AS j FROM bounds))
+  WHERE tick <= as_of),
 devices AS (SELECT DISTINCT device_id FROM telemetry),
 avgs AS (
   SELECT d.device_id, t.tick,

@@ -39,8 +39,8 @@ def mixing_lock(spark, sf_dir):
 
 @register("trailing_avg", B.with_views("telemetry") + f"""
 SELECT event_id, device_id, metric, time, value,
-  CAST(sum({sql_micros('value')}) OVER w AS DOUBLE) / count(value) OVER w / 1e6 AS trailing_avg,
-  count(value) OVER w AS trailing_cnt
+  CAST(sum({sql_micros('value')}) OVER w AS DOUBLE) / count({sql_micros('value')}) OVER w / 1e6 AS trailing_avg,
+  count({sql_micros('value')}) OVER w AS trailing_cnt
 FROM telemetry
 WINDOW w AS (PARTITION BY device_id, metric ORDER BY time
              RANGE BETWEEN INTERVAL {TRAILING_S} SECOND PRECEDING AND CURRENT ROW)""")

@@ -357,8 +357,11 @@ def _mode_sql(last_only=False):
     tick_filter = "WHERE t.tick = (SELECT max(tick) FROM ticks)" if last_only else ""
     return W_E + f""",
 bounds AS (SELECT date_trunc('hour', min(ts)) AS origin, max(ts) AS as_of FROM events),
-ticks AS (SELECT bounds.origin + r.range * INTERVAL {MODE_TICK_S} SECOND AS tick FROM range(0, 1000000) r, bounds
-          WHERE bounds.origin + r.range * INTERVAL {MODE_TICK_S} SECOND <= bounds.as_of),
+ticks AS (
+  SELECT tick FROM (
+    SELECT origin + j * INTERVAL {MODE_TICK_S} SECOND AS tick, as_of
+    FROM (SELECT origin, as_of, unnest(range(0, date_diff('second', origin, as_of) // {MODE_TICK_S} + 1)) AS j FROM bounds))
+  WHERE tick <= as_of),
 spine AS (SELECT d.device_id, t.tick FROM (SELECT DISTINCT category AS device_id FROM system_events) d, ticks t {tick_filter}),
 latch AS (SELECT category AS device_id, time, CASE WHEN is_resolved THEN 'ACK' ELSE 'FAULT' END AS kind
           FROM system_events WHERE level = 'CRITICAL' OR is_resolved),

@@ -99,11 +99,13 @@ def _c(k: str, part: str) -> Column:
 
 def as_float(key: str, default: float | None) -> Field:
     """The VARIANT double cast already takes numbers, booleans and trimmed numeric
-    strings; only Python's digit-group underscores need a second try."""
+    strings; only Python's digit-group underscores need a second try.  The type
+    suffixes that the cast takes as well (``1.0d``) are refused."""
     present = _c(key, "present")
     from_str = F.when(_c(key, "s").contains("_"),
                       F.regexp_replace(F.trim(_c(key, "s")), _PY_UNDERSCORE, "").try_cast("double"))
-    num = F.coalesce(_c(key, "d"), from_str)
+    suffixed = F.coalesce(_c(key, "s").rlike(r"[0-9.][dDfF]\s*$"), F.lit(False))
+    num = F.when(~suffixed, F.coalesce(_c(key, "d"), from_str))
     value = F.when(~present, F.lit(default)).otherwise(num) if default is not None else num
     return Field(present, value, present & num.isNull())
 

@@ -72,12 +72,14 @@ def _control_fn(p: ControlParams):
             if not rd.empty:
                 # vectorised: one row per slot of this Arrow batch, then merged into the state
                 rel = rd["t_us"].to_numpy(dtype=np.int64) - o_us
-                us = np.floor(rd["value"].to_numpy(dtype=np.float64) * float(SCALE) + 0.5).astype(np.int64)
-                ph = (rd["metric"] == "ph").to_numpy()
+                value = rd["value"].to_numpy(dtype=np.float64)
+                ok = np.isfinite(value)  # null, NaN and infinite readings count as missing
+                us = np.floor(np.where(ok, value, 0.0) * float(SCALE) + 0.5).astype(np.int64)
+                ph, ec = (((rd["metric"] == m).to_numpy() & ok) for m in ("ph", "ec"))
                 at0 = (rel % g_us) == 0
                 cols = {"slot": np.floor_divide(rel, g_us),
                         "s_ph": np.where(ph, us, 0), "c_ph": ph.astype(np.int64),
-                        "s_ec": np.where(~ph, us, 0), "c_ec": (~ph).astype(np.int64)}
+                        "s_ec": np.where(ec, us, 0), "c_ec": ec.astype(np.int64)}
                 cols.update({"s0_ph": np.where(at0, cols["s_ph"], 0), "c0_ph": np.where(at0, cols["c_ph"], 0),
                              "s0_ec": np.where(at0, cols["s_ec"], 0), "c0_ec": np.where(at0, cols["c_ec"], 0)})
                 part = pd.DataFrame(cols).groupby("slot").sum()

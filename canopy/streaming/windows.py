@@ -30,7 +30,7 @@ def hourly_trend_stream(telemetry: DataFrame, watermark: str = "1 hour") -> Data
     """Mean per metric and hour; a window is emitted once the watermark passes it (append)."""
     t = event_time(telemetry).withWatermark("time", watermark)
     g = t.groupBy(F.window("time", "1 hour").alias("w"), "metric").agg(
-        F.sum(micros(F.col("value"))).alias("s"), F.count("value").alias("n"))
+        F.sum(micros(F.col("value"))).alias("s"), F.count(micros(F.col("value"))).alias("n"))
     return g.select(to_ntz(F.col("w.start")).alias("hour_start"), "metric",
                     from_micros(F.col("s"), F.col("n")).alias("avg_value"))
 
@@ -38,9 +38,10 @@ def hourly_trend_stream(telemetry: DataFrame, watermark: str = "1 hour") -> Data
 def minute_downsample_stream(telemetry: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     t = event_time(telemetry).withWatermark("time", watermark)
     g = t.groupBy(F.window("time", "1 minute").alias("w"), "device_id", "metric").agg(
-        F.sum(micros(F.col("value"))).alias("s"), F.count("value").alias("n"))
+        F.sum(micros(F.col("value"))).alias("s"), F.count(micros(F.col("value"))).alias("c"),
+        F.count(F.lit(1)).alias("n"))
     return g.select("device_id", "metric", to_ntz(F.col("w.start")).alias("minute"),
-                    from_micros(F.col("s"), F.col("n")).alias("avg_value"), "n")
+                    from_micros(F.col("s"), F.col("c")).alias("avg_value"), "n")
 
 
 def late_replay_dedup(telemetry: DataFrame, keys=("device_id", "metric", "time"),

@@ -66,7 +66,7 @@ def test_actuator_and_routing(spark):
     assert out[0].reason is None and out[0].duration_ms == 1000 and out[0].trigger_source == "auto_backend"
     assert out[1].reason == "null:actuator_id"
     assert out[2].duration_ms == 1000  # half-even rounding of the INT column
-    topics = spark.createDataFrame([("telemetry_stream",), ("hydro/node2/telemetry",), ("hydro/node1/acks",),
-                                    ("weather_raw",), ("other",), ("hydro/node3/status",)], "topic string")
+    topics = spark.createDataFrame([("telemetry_stream",), ("site/node2/telemetry",), ("site/node1/acks",),
+                                    ("weather_raw",), ("other",), ("site/node3/status",)], "topic string")
     kinds = [r.k for r in topics.select(M.topic_kind(F.col("topic")).alias("k")).collect()]
     assert kinds == ["telemetry", "telemetry", "actuator", "weather", None, "status"]

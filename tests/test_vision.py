@@ -87,3 +87,14 @@ def test_latest_image_empty_status(spark):
     finally:
         B.image_frames = orig
     assert len(r) == 1 and r[0].status == "empty" and r[0].image_path is None and r[0].blur_score is None
+
+
+def test_edge_frames_score_zero(spark):
+    """Null, empty and one-row frames, and part rows, score 0.0 in both forms."""
+    from canopy.functions.vision import add_blur_score, make_blur_pixels_udf
+    rows = [(1, None), (2, []), (3, [1.0] * 8), (4, [1.0] * 20), (5, [float(i % 5) for i in range(16)])]
+    df = spark.createDataFrame(rows, "id int, px array<double>")
+    df = add_blur_score(df, "px", 8, "a").withColumn("b", make_blur_pixels_udf(8)(F.col("px")))
+    got = {r.id: (r.a, r.b) for r in df.collect()}
+    assert all(got[i] == (0.0, 0.0) for i in (1, 2, 3, 4))
+    assert got[5][0] > 0 and abs(got[5][0] - got[5][1]) < 1e-9

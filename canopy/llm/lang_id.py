@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,27 +143,38 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.prior = model["langs"], model["prior"]
         self.known, self.rows = model["tables"][0]
-        self.grams = [(k, dict(zip(model["tables"][k][0], range(len(model["tables"][k][0])))), model["tables"][k][1]) for k in ORDERS]
+        entries = [g for k in ORDERS for g in model["tables"][k][0]]  # n-grams of different orders differ in length
+        self.index = dict(zip(entries, range(len(entries))))
+        self.scores = np.concatenate([*(model["tables"][k][1] for k in ORDERS), np.full((1, len(self.langs)), FLOOR)])
         self.forget()
 
     def forget(self) -> None:
-        self.places, self.used = Places(self.known, self.learn), len(self.known)
+        self.places, self.used, self.found = Places(self.known, self.learn), len(self.known), []
 
     def learn(self, word: str) -> int:
-        """Row of an unseen word: the mean score of the longest known n-grams that cover it."""
-        score = FLOOR
-        for k, index, scores in self.grams:
+        """Place of an unseen word; notes the longest known n-grams that cover it."""
+        index = self.index
+        for k in ORDERS:
             found = [index[g] for g in grams(word, k) if g in index]
             if found:
-                score = scores[found].sum(axis=0) / len(found)
                 break
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty((max(1024, len(self.rows)), len(self.langs)))])
-        self.rows[self.used] = score
+        self.found.append(found or [len(index)])
         self.places[word] = self.used
         self.used += 1
         return self.used - 1
 
+    def settle(self) -> None:
+        """Scores of the words learnt since the last call: the mean of their n-grams' scores."""
+        if not self.found:
+            return
+        lengths = np.fromiter(map(len, self.found), np.int64, len(self.found))
+        flat = np.fromiter(chain.from_iterable(self.found), np.int64, int(lengths.sum()))
+        if self.used > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty((self.used, len(self.langs)))])
+        self.rows[self.used - len(lengths):self.used] = (
+            np.add.reduceat(self.scores[flat], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None])
+        self.found = []
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
@@ -173,6 +185,7 @@ class Scorer:
                 self.forget()
             part = words[i:i + CHUNK]
             at = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
+            self.settle()
             total += self.rows[at].sum(axis=0)
         best = int(np.argmax(total))
         p = np.exp(np.clip(total - total[best], -700, 0))

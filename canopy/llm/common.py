@@ -88,10 +88,6 @@ def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 <<
 
 # --- components ------------------------------------------------------------------------------------
 
-def _fingerprint(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def _contract(batches):
     """Each task's edges as stars around the smallest node of their components within the task."""
     up: dict[int, int] = {}
@@ -113,20 +109,26 @@ def _contract(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([up[x] for x in nodes], pa.int64())], ["u", "v"])
 
 
+def _stars(e: DataFrame) -> DataFrame:
+    """(node, up, mixed): a node's smallest parent, and whether it has several parents or is a parent as well."""
+    ends = e.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(False).alias("top")).union(
+        e.select("v", F.lit(None).cast("long"), F.lit(True)))
+    return ends.groupBy("node").agg(
+        F.min("up").alias("up"),
+        (F.coalesce(F.min("up") < F.max("up"), F.lit(False)) | (F.bool_or("top") & F.min("up").isNotNull())).alias("mixed"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node (a long) of the undirected ``edges``; component = smallest node.
 
     Tasks first contract the edges they hold; then large-star and small-star
-    rounds in turn until nothing changes.  Each round keeps at most
+    rounds in turn until every component is one star.  Each round keeps at most
     as many edges as it was given, and a node with many neighbours is met by
     partial aggregation and a skew-splitting join only.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-            .mapInArrow(_contract, "u long, v long").distinct())
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    last = None
-    while (now := _fingerprint(e)) != last:
-        last = now
+            .mapInArrow(_contract, "u long, v long"))
+    while not (stars := cut(_stars(e))).where("mixed").isEmpty():
         # large star: every node's larger neighbours move to its smallest neighbour (itself included)
         both = e.union(e.select("v", "u")).toDF("n", "m")
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("lo"))
@@ -135,10 +137,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: every node's smaller neighbours (and itself) move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = (join_groups(large, low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-                 .union(low.select("u", F.col("lo").alias("v"))).where("u <> v").distinct())
+                 .union(low.select("u", F.col("lo").alias("v"))).where("u <> v"))
         e = cut(small.mapInArrow(_contract, "u long, v long"))
-    return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
-        "node", F.coalesce("v", "node").alias("component"))
+    return stars.select("node", F.coalesce("up", "node").alias("component"))
 
 
 # --- Arrow helpers ---------------------------------------------------------------------------------

@@ -197,8 +197,7 @@ def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
     near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (
         (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pn")))
     before = None
-    seen = spark.createDataFrame([], "a long, b long, linked boolean")
-    comps = None
+    apart_pairs = comps = None  # pairs without a link; those with one are in one component from then on
     for r in range(rounds + 1):
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
         left, n = (sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"), F.sum("m").alias("n"))
@@ -217,13 +216,15 @@ def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
                      .where("comp <> p.comp").select("node", "n", "bits", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
                                                     F.col("p.bits").alias("pbits")).where(near))
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if r:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        seen = cut(seen.unionByName(_verify(pairs, sets, percent)))
-        comps = connected_components(seen.where("linked"))
+        if apart_pairs is not None:
+            pairs = pairs.join(apart_pairs, ["a", "b"], "left_anti")
+        judged = cut(_verify(pairs, sets, percent))
+        links = judged.where("linked").select("a", "b")
+        comps = connected_components(links if comps is None else links.union(comps))
         if last:
             break
-        comps = cut(comps)
+        unlinked = judged.where("not linked").select("a", "b")
+        apart_pairs = unlinked if apart_pairs is None else apart_pairs.union(unlinked)
         rows = _open(rows.drop("comp").join(comps, "node", "left").select(
             "key", "node", "n", "bits", F.coalesce("component", "node").alias("comp")))
     return comps if comps is not None else spark.createDataFrame([], "node long, component long")
@@ -246,7 +247,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words = cut(bloom_words(asked.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS, FILTER_HASHES))
     again = docs.where(bloom_hit(words.scalar(), F.xxhash64("_id"), FILTER_BITS, FILTER_HASHES))
     sets = cut(_full_sets(again, width).join(asked.select("sig", "node"), "sig").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    comps = cut(_components(multi, sets, percent, rounds))
+    comps = _components(multi, sets, percent, rounds)
     named = (whole.select("sig", "node", "id").join(comps, "node", "left")
              .select("sig", "id", F.col("node"), F.coalesce("component", "node").alias("comp")))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))

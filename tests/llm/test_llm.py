@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("canopy.llm")
 from canopy.llm import (decontaminate as dc, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan as sp,  # noqa: E402
                         sharding, url_filter, warc)
+from canopy.llm.common import connected_components  # noqa: E402
 from canopy.llm.queries import LLM_QUERIES  # noqa: E402
 from oracle import compare  # noqa: E402
 
@@ -83,6 +84,28 @@ def test_jaccard_join(spark, edge, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_connected_components(spark):
+    rng = random.Random(5)
+    path = list(range(1000, 1400))
+    rng.shuffle(path)
+    edges = (list(zip(path, path[1:])) + [(7, 7)] + [(2000, i) for i in range(2001, 2300)] * 2
+             + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(180)])
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(13)
+    got = connected_components(df).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}  # a node that only links with itself is left out
+    assert len(got) == len(linked) and dict(map(tuple, got)) == {x: root(x) for x in linked}
+    assert connected_components(df.limit(0)).count() == 0
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("canopy.llm")
+import corpus_pipeline  # noqa: E402
 from canopy.llm import (decontaminate as dc, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan as sp,  # noqa: E402
                         sharding, url_filter, warc)
 from canopy.llm.common import connected_components  # noqa: E402
@@ -249,3 +251,20 @@ def test_language(spark, edge, none):
     out = {r.doc_id: r.lang_pred for r in lang_id.predict(edge, model).collect()}
     assert out[1] == out[2] == "und" and out[6] in model["langs"] and lang_id.predict(none, model).count() == 0
     assert {r.lang_pred for r in lang_id.predict(edge, lang_id.fit(none)).collect()} == {"und"}
+
+
+def test_pipeline(spark):
+    """Every stage on what the one before it kept: exact and near copies by brute force, encoding by its round trip."""
+    all_docs = docs(spark)
+    kept = {r.doc_id: r.text or "" for r in corpus_pipeline.quality(spark, all_docs, SF001).collect()}
+    good = quality.score(all_docs, quality.fit(all_docs, spark.read.parquet(f"{SF001}/labels.parquet")), keep=["doc_id"])
+    assert set(kept) == {r.doc_id for r in good.where("kept").collect()}
+    largest = {}
+    for i, t in kept.items():
+        largest[t] = max(i, largest.get(t, i))
+    single = {i: t for t, i in largest.items()}
+    stay = {i for i, (_, c) in brute_components(list(single.items()), 5, 80).items() if i == c}
+    rest = all_docs.where(F.col("doc_id").isin(*stay))
+    clean = {r.doc_id for r in dc.decontaminate(rest.select("doc_id", "text"), spark.read.parquet(f"{SF001}/benchmark.parquet"), "doc_id").collect() if r.kept}
+    rows = corpus_pipeline.run(spark, SF001).collect()
+    assert len(rows) == len(clean) and {r.doc_id for r in rows} == clean and all(r.round_trip for r in rows)

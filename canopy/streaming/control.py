@@ -3,8 +3,7 @@
 ``start_periodic_control`` is the scheduler of the original loop as a stream:
 a ``rate`` source is the clock, and every micro-batch evaluates the decision
 for the newest tick of the stored telemetry and actuator tables (set-based,
-all devices at once) and appends decisions and command messages, replay-safe
-per batch id.
+all devices at once) and appends the decisions, replay-safe per batch id.
 
 ``start_frame_pipeline`` picks up new frame files (``binaryFile`` stream for
 the file list), decodes them with Spark's ``image`` source, scores blur and
@@ -25,26 +24,32 @@ from canopy.sources.sinks import append_idempotent, time_range_filter
 
 
 def evaluate_latest_tick(spark: SparkSession, telemetry: DataFrame, actions: DataFrame,
-                         p: ControlParams, now: _dt.datetime, sf_dir: str | None = None) -> DataFrame:
-    """Decisions for every device at the newest tick <= ``now`` (one-tick replay)."""
-    tick = now.replace(microsecond=0) - _dt.timedelta(seconds=int(now.timestamp()) % p.tick_s)
+                         p: ControlParams, now: _dt.datetime, sf_dir: str | None = None,
+                         devices: DataFrame | None = None) -> DataFrame:
+    """Decisions for every device at the newest tick <= ``now`` (one-tick replay).
+
+    ``now`` is naive UTC.  With a registry of ``devices``, those without a reading get a row as well.
+    """
+    seconds = int(now.replace(tzinfo=_dt.timezone.utc).timestamp())
+    tick = now.replace(microsecond=0) - _dt.timedelta(seconds=seconds % p.tick_s)
     one = ControlParams(**{**p.__dict__, "origin": tick, "end": tick})
-    return control_replay(spark, sf_dir or "", one, telemetry=telemetry, actions=actions)
+    return control_replay(spark, sf_dir or "", one, telemetry=telemetry, actions=actions, devices=devices)
 
 
 def start_periodic_control(spark: SparkSession, tables_dir: str, out_dir: str, p: ControlParams,
                            now_fn=None, name: str = "periodic_control",
-                           available_now_batches: int | None = None) -> StreamingQuery:
+                           available_now_batches: int | None = None,
+                           devices: DataFrame | None = None) -> StreamingQuery:
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        now = (now_fn or (lambda: _dt.datetime.utcnow()))()
+        now = (now_fn or (lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)))()
         # only the chunks the lookback touches are read (time + chunk_start predicates)
         tel = time_range_filter(spark.read.parquet(f"{tables_dir}/telemetry"),
                                 now - _dt.timedelta(seconds=p.lookback_s + p.tick_s),
                                 now + _dt.timedelta(seconds=1))
         act = spark.read.parquet(f"{tables_dir}/actuator_logs")
-        d = evaluate_latest_tick(spark, tel, act, p, now)
+        d = evaluate_latest_tick(spark, tel, act, p, now, devices=devices)
         append_idempotent(d, f"{out_dir}/decisions", batch_id, partition_cols=())
 
     return (clock.writeStream.queryName(name)

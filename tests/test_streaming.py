@@ -124,6 +124,25 @@ def test_one_tick_evaluation_matches_replay(spark):
     assert _rows(one, cols) == _rows(full.filter(F.col("tick") == last), cols)
 
 
+def test_one_tick_evaluation_registry_and_host_zone(spark, monkeypatch):
+    import datetime as dt
+    import time
+    from canopy.streaming.control import evaluate_latest_tick
+    monkeypatch.setenv("TZ", "Asia/Kolkata")
+    time.tzset()
+    try:
+        now = dt.datetime(2024, 1, 1, 10, 12, 5)
+        registry = spark.createDataFrame([("silent",)], "device_id string")
+        one = evaluate_latest_tick(spark, B.telemetry(spark, SF), B.actuator_logs(spark, SF),
+                                   ControlParams(tick_s=3600), now, devices=registry)
+        rows = one.select("device_id", F.col("tick").cast("string").alias("tick"), "status").collect()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert [(r.device_id, r.tick) for r in rows] == [("silent", "2024-01-01 10:00:00")]
+    assert rows[0].status == "NO_DATA"
+
+
 def _stream_of(spark, df, prefix):
     src = tempfile.mkdtemp(prefix=prefix)
     df.write.mode("overwrite").parquet(src)

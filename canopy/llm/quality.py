@@ -3,7 +3,7 @@
 The text view sees a document's words (hashed) and the shape of its text; the
 metadata view sees its source, language and length.  Both are logistic
 regressions.  In each round each view, calibrated on labelled rows that neither
-is fitted on, labels the unlabelled documents it is surest of, and these join
+is fitted on, labels the unlabelled documents it is sure of, and these join
 the other view's training rows.  At the end a regression over the two views'
 calibrated log-odds combines them, and every document is scored.
 
@@ -12,13 +12,15 @@ toxic label; ``score`` is the probability of good quality times that of not
 being toxic.  A document is kept unless one of them speaks against it; the
 thresholds keep at least ``KEEP_GOOD`` of the held-back rows without fault.
 
-Fitting takes a bounded sample: the ``MAX_LABELLED`` labelled and the
-``MAX_POOL`` unlabelled documents whose hashed ids are smallest.  Scoring reads
-every text as a whole.
+The labelled rows are a bounded sample: of the documents with a label, the
+``MAX_LABELLED`` whose hashed ids are smallest; the words used are those that
+tell its labels apart.  Unlabelled documents are all used: every round labels
+each of them anew, and those that are sure enter as sums of gradients, one from
+each task.  Scoring reads every text as a whole.
 
 Defined cases: null texts score as empty ones, null metadata as a value of its
-own; labels that are null are left out, of several labels for one document the
-worst counts; a classifier with no labels, or labels of one kind,
+own; labels that are null or of no document are left out, of several labels for one document the
+worst counts; documents with a null id are unlabelled; a classifier with no labels, or labels of one kind,
 says 0.5 for everything and rejects nothing; repeated rows and null ids are scored alike; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -34,14 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import list_column, table
+from canopy.llm.common import cut, join_groups, list_column, table
 
 MAX_LABELLED = 6_000
-MAX_POOL = 4_000
 ROUNDS = 4
-SURE = 200              # pseudo-labels of each kind that a view gives the other in a round, at most
 CONFIDENT = 0.95        # calibrated probability that a pseudo-label needs
-PSEUDO_WEIGHT = 0.5
+PSEUDO_WEIGHT = 0.5     # of a pseudo-label, and the most that all of a kind weigh by one labelled row of that kind
 KEEP_GOOD = 0.995
 BITS = 20
 MIN_Z = 4.0             # words whose share differs by so many standard errors between the labels are used
@@ -49,7 +49,10 @@ MIN_ROWS = 5
 WORD_SLOTS = 1 << BITS
 SHAPES = 14
 META_SLOTS = 1 << 12
+META = 5                # values of a document's metadata
 STEPS, MORE_STEPS = 150, 40
+REFRESH = 4             # steps between two passes over the unlabelled documents
+FIXED = 2.0 ** 32       # sums of tasks are added up as whole numbers, in whatever order they come
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,18 +122,30 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_rows(x: Rows, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None = None, l2: float = 1e-3) -> np.ndarray:
+def fit_rows(x: Rows, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression by full-gradient steps with momentum and per-weight scaling."""
-    steps = STEPS if w is None else MORE_STEPS
-    w = np.zeros(x.size) if w is None else w.copy()
-    m, s, total = np.zeros(x.size), np.zeros(x.size), weight.sum()
-    for k in range(1, steps + 1):
-        g = np.bincount(x.at, x.v * ((sigmoid(x.dot(w)) - y) * weight / total)[x.row], minlength=x.size) + l2 * w
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9 ** k)) / (np.sqrt(s / (1 - 0.99 ** k)) + 1e-6)
+    w, adam = np.zeros(x.size), Steps(x.size)
+    for _ in range(STEPS):
+        w = adam.step(w, gradient(x, y, weight, w) / weight.sum() + l2 * w)
     return w
 
 
+def gradient(x: Rows, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.bincount(x.at, x.v * ((sigmoid(x.dot(w)) - y) * weight)[x.row], minlength=x.size)
+
+
+class Steps:
+    """Steps with momentum and per-weight scaling."""
+
+    def __init__(self, size: int):
+        self.m, self.s, self.k = np.zeros(size), np.zeros(size), 0
+
+    def step(self, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        self.k += 1
+        self.m, self.s = 0.9 * self.m + 0.1 * g, 0.99 * self.s + 0.01 * g * g
+        return w - 0.1 * (self.m / (1 - 0.9 ** self.k)) / (np.sqrt(self.s / (1 - 0.99 ** self.k)) + 1e-6)
+
+
 def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     """Small logistic regression by Newton steps; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -142,35 +157,166 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray) -> dict | None:
-    """``y``: 1, 0 or -1 (unlabelled) by row; ``held``: rows kept for calibration."""
-    train, cal, pool = (y >= 0) & ~held, (y >= 0) & held, y < 0
-    if len(set(y[train])) < 2 or len(set(y[cal])) < 2:
-        return None
-    columns = telling(text, y, train)
-    views, weights = (text.only(columns), meta), [None, None]
-    labels = [np.where(train, y, 0).astype(float) for _ in views]
-    mass = [train.astype(float) for _ in views]
-    balance = (train.sum() / 2) / np.array([max(1, (train & (y == c)).sum()) for c in (0, 1)])
-    for k in range(ROUNDS + 1):
-        for i, x in enumerate(views):
-            weights[i] = fit_rows(x, labels[i], mass[i] * balance[labels[i].astype(int)], weights[i])
-        odds = np.column_stack([x.dot(w) for x, w in zip(views, weights)])
-        platt = [fit_dense(odds[cal, i:i + 1], y[cal]) for i in (0, 1)]
-        if k == ROUNDS:
-            break
-        for i in (0, 1):
-            other, p = 1 - i, sigmoid(odds[:, i] * platt[i][0] + platt[i][1])
-            free = np.flatnonzero(pool & (mass[other] == 0))
-            order = free[np.argsort(p[free], kind="stable")]
-            for label, sure in ((0, order[:SURE]), (1, order[::-1][:SURE])):
-                sure = sure[(p[sure] if label else 1 - p[sure]) >= CONFIDENT]
-                labels[other][sure], mass[other][sure] = label, PSEUDO_WEIGHT
-    calibrated = np.column_stack([odds[:, i] * p[0] + p[1] for i, p in enumerate(platt)])
-    mix = fit_dense(calibrated[cal], y[cal])
-    whole = np.zeros(text.size, np.float32)
-    whole[columns] = weights[0]
-    return {"weights": (whole, weights[1]), "platt": platt, "mix": mix, "score": sigmoid(calibrated @ mix[:2] + mix[2])}
+class Head:
+    """One classifier while it is fitted: labelled rows on the driver, sums over the unlabelled ones from outside.
+
+    ``y``: 1, 0 or -1 (label not known) by row; ``held``: rows kept for calibration.
+    """
+
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray, held: np.ndarray):
+        self.train, self.cal = (y >= 0) & ~held, (y >= 0) & held
+        self.ok = len(set(y[self.train])) == 2 and len(set(y[self.cal])) == 2
+        if not self.ok:
+            return
+        self.columns, self.y = telling(text, y, self.train), y
+        self.views = (text.only(self.columns), meta)
+        self.count = np.array([(self.train & (y == c)).sum() for c in (0, 1)])
+        self.balance = (self.train.sum() / 2) / self.count
+        self.label = np.where(self.train, y, 0)
+        self.mass = self.train * self.balance[self.label]
+        self.weights = [fit_rows(x, self.label, self.mass) for x in self.views]
+        self.calibrate()
+
+    def calibrate(self) -> None:
+        self.odds = np.column_stack([x.dot(w) for x, w in zip(self.views, self.weights)])
+        self.platt = [fit_dense(self.odds[self.cal, i:i + 1], self.y[self.cal]) for i in (0, 1)]
+        self.adam = [Steps(x.size) for x in self.views]
+
+    def steps(self, sums: list, l2: float = 1e-3) -> None:
+        """``REFRESH`` steps of each view; ``sums``: by view and kind, the number of pseudo-labels and their gradient."""
+        for i, x in enumerate(self.views):
+            share = [self.balance[c] * PSEUDO_WEIGHT * min(1.0, self.count[c] / max(1, sums[i][c][0])) for c in (0, 1)]
+            pseudo = share[0] * sums[i][0][1] + share[1] * sums[i][1][1]
+            total = self.mass.sum() + sum(share[c] * sums[i][c][0] for c in (0, 1))
+            for _ in range(REFRESH):
+                w = self.weights[i]
+                self.weights[i] = self.adam[i].step(w, (gradient(x, self.label, self.mass, w) + pseudo) / total + l2 * w)
+
+    def model(self) -> dict:
+        calibrated = np.column_stack([self.odds[:, i] * p[0] + p[1] for i, p in enumerate(self.platt)])
+        mix = fit_dense(calibrated[self.cal], self.y[self.cal])
+        whole = np.zeros(WORD_SLOTS + SHAPES, np.float32)
+        whole[self.columns] = self.weights[0]
+        return {"weights": (whole, self.weights[1]), "platt": self.platt, "mix": mix, "score": sigmoid(calibrated @ mix[:2] + mix[2])}
+
+
+def pool_rows(docs: DataFrame, known: DataFrame, columns: np.ndarray) -> DataFrame:
+    """q, t (null where not known), at, shape, meta of every document without one of the labels; ``columns``: the words used."""
+    sent = docs.sparkSession.sparkContext.broadcast(columns)
+
+    def features(batches):
+        slots, place = Slots(), np.full(WORD_SLOTS, -1, np.int32)
+        place[sent.value] = np.arange(len(sent.value))
+        for b in batches:
+            c, at, shape, meta = b.to_pydict(), [], [], []
+            for text, *m in zip(c["text"], c["source"], c["lang"], c["n_chars"]):
+                a, v = text_features(text, slots)
+                a = place[a[:-SHAPES]]
+                at.append(a[a >= 0])
+                shape.append(v[-SHAPES:])
+                meta.append(meta_features(*m)[0])
+            n = len(at)
+            flat = [np.concatenate(x or [np.zeros(0)]) for x in (at, shape, meta)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), list_column(np.array([len(a) for a in at], np.int32), pa.array(flat[0].astype(np.int32))),
+                 list_column(np.full(n, SHAPES), pa.array(flat[1].astype(np.float32))), list_column(np.full(n, META), pa.array(flat[2].astype(np.int32)))],
+                ["doc_id", "at", "shape", "meta"])
+
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+            .mapInArrow(features, "doc_id long, at array<int>, shape array<float>, meta array<int>"))
+    return join_groups(rows, known, "doc_id", "left").where("q is null or q < 0 or t is null or t < 0").drop("doc_id")
+
+
+def pseudo_sums(pool: DataFrame, heads: list[Head | None], judges: list, columns: np.ndarray) -> list:
+    """By head, view and kind: the number of documents of which the other view is sure, and their gradient.
+
+    ``judges``: each head's (weights, platt) at the start of the round.  A task
+    sends one vector, however many documents it reads.
+    """
+    d = len(columns) + SHAPES
+    spread = []  # both views' weights, in the judge's state and as they are, on the words of all heads
+    for h, judge in zip(heads, judges):
+        if h is None:
+            spread.append(None)
+            continue
+        at = np.concatenate([np.searchsorted(columns, h.columns[:-SHAPES]), len(columns) + np.arange(SHAPES)])
+        wide = [np.zeros(d), np.zeros(d)]
+        for to, w in zip(wide, (judge[0][0], h.weights[0])):
+            to[at] = w
+        spread.append((wide, (judge[0][1], h.weights[1]), judge[1], at))
+    width = [d, META_SLOTS]
+    sc = pool.sparkSession.sparkContext
+    sent = sc.broadcast([x and x[:3] for x in spread])
+
+    def run(batches):
+        out = [x and [[np.zeros(1 + n) for _ in (0, 1)] for n in width] for x in sent.value]
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            column = {x: b.column(b.schema.get_field_index(x)) for x in ("q", "t", "at", "shape", "meta")}
+            lists, shape = column["at"], column["shape"].flatten().to_numpy().astype(float).reshape(n, SHAPES)
+            at, row = lists.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            meta = column["meta"].flatten().to_numpy().reshape(n, META)
+
+            def text_dot(w):
+                return np.bincount(row, w[at], minlength=n) + shape @ w[-SHAPES:]
+
+            for x, label, sums in zip(sent.value, ("q", "t"), out):
+                if x is None:
+                    continue
+                text, side, platt = x
+                free = np.array([y is None or y < 0 for y in column[label].to_pylist()], dtype=bool)
+                p = [sigmoid(o * k[0] + k[1]) for o, k in zip((text_dot(text[0]), side[0][meta].sum(axis=1)), platt)]
+                now = (sigmoid(text_dot(text[1])), sigmoid(side[1][meta].sum(axis=1)))
+                for i in (0, 1):
+                    for c in (0, 1):
+                        sure = free & ((p[1 - i] if c else 1 - p[1 - i]) >= CONFIDENT)
+                        e = np.where(sure, now[i] - c, 0.0)
+                        sums[i][c][0] += sure.sum()
+                        if i:
+                            sums[i][c][1:] += np.bincount(meta.ravel(), np.repeat(e, META), minlength=META_SLOTS)
+                        else:
+                            sums[i][c][1:d - SHAPES + 1] += np.bincount(at, e[row], minlength=d - SHAPES)
+                            sums[i][c][d - SHAPES + 1:] += e @ shape
+        flat = np.concatenate([v for x in out if x for view in x for v in view])
+        yield pa.RecordBatch.from_arrays([pa.array([np.round(flat * FIXED).astype(np.int64).tobytes()], pa.binary())], ["sums"])
+
+    total = np.zeros(2 * sum(x is not None for x in spread) * sum(1 + n for n in width), np.int64)
+    for r in pool.mapInArrow(run, "sums binary").collect():
+        total += np.frombuffer(r[0], np.int64)
+    total = total / FIXED
+    sent.destroy()
+    found, k = [], 0
+    for x in spread:
+        if x is None:
+            found.append(None)
+            continue
+        views = []
+        for i, n in enumerate(width):
+            parts = [total[k + j * (n + 1):k + (j + 1) * (n + 1)] for j in (0, 1)]
+            views.append([(v[0], v[1:][x[3]] if i == 0 else v[1:]) for v in parts])
+            k += 2 * (n + 1)
+        found.append(views)
+    return found
+
+
+def co_train(heads: list[Head | None], docs: DataFrame, known: DataFrame) -> None:
+    """The rounds, over every document without a label."""
+    if not any(heads):
+        return
+    columns = np.unique(np.concatenate([h.columns[:-SHAPES] for h in heads if h]))
+    pool = cut(pool_rows(docs, known, columns))
+    pool = pool.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)  # as many sums as tasks run, at any size
+    for _ in range(ROUNDS):
+        judges = [h and ([w.copy() for w in h.weights], h.platt) for h in heads]
+        for _ in range(MORE_STEPS // REFRESH):
+            for h, sums in zip(heads, pseudo_sums(pool, heads, judges, columns)):
+                if h:
+                    h.steps(sums)
+        for h in heads:
+            if h:
+                h.calibrate()
 
 
 def probability(head: dict | None, at: np.ndarray, v: np.ndarray, meta: np.ndarray) -> tuple[float, float, float]:
@@ -183,15 +329,12 @@ def probability(head: dict | None, at: np.ndarray, v: np.ndarray, meta: np.ndarr
     return float(sigmoid(a * m[0] + b * m[1] + m[2])), float(sigmoid(a)), float(sigmoid(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict:
-    """The two classifiers and their thresholds, fitted on the bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
+    """The two classifiers and their thresholds."""
     known = (labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
              .agg(F.coalesce(F.min("quality"), F.lit(-1)).cast("int").alias("q"), F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("t")))
-    order = F.xxhash64("doc_id", F.lit(11))
-    mine = known.orderBy(order).limit(max_labelled)
-    rest = (docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
-            .orderBy(order).limit(max_pool).withColumns({"q": F.lit(-1), "t": F.lit(-1)}))
-    sample = F.broadcast(mine.unionByName(rest))  # at most max_labelled + max_pool ids
+    known = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id", F.lit(11))).limit(max_labelled))  # at most max_labelled ids
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(sample, "doc_id")
 
     def features(batches):
@@ -223,7 +366,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     side = sparse(got["meta"], None, META_SLOTS)
     q, t = (got[x].to_numpy()[order] for x in ("q", "t"))
     held = np.array([zlib.crc32(str(x).encode()) % 3 == 0 for x in got["doc_id"].to_numpy()[order]], dtype=bool)
-    model = {"quality": co_train(text, side, q, held), "toxic": co_train(text, side, t, held)}
+    heads = [h if (h := Head(text, side, y, held)).ok else None for y in (q, t)]
+    co_train(heads, docs, known)
+    model = {k: h and h.model() for k, h in zip(("quality", "toxic"), heads)}
     if model["quality"]:
         fine = np.sort(model["quality"].pop("score")[held & (q == 1) & (t != 1)])
         model["quality"]["least"] = float(min(0.5, fine[int(len(fine) * (1 - KEEP_GOOD))])) if len(fine) else 0.0

@@ -152,6 +152,20 @@ def test_quality(spark, edge, none):
     assert all(r.kept for r in quality.score(edge, empty).collect()) and quality.score(none, empty).count() == 0
 
 
+def test_quality_uses_every_unlabelled_row(spark, monkeypatch):
+    """Each view's sums count every document the other view is sure of, past 4,000 of them, and labels of no document take no place."""
+    words = {1: "calm river garden stone", 0: "spam casino bonus click"}
+    rows = [(i, " ".join([words[i % 2]] * 3 + [f"n{i % 7}"]), "en", "good" if i % 2 else "bad", 60) for i in range(9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(i, i % 2, 0 if i % 4 else 1) for i in range(600)], "doc_id long, quality int, toxic int")
+    lost = spark.range(100_000, 160_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    seen, whole = [], quality.pseudo_sums
+    monkeypatch.setattr(quality, "pseudo_sums", lambda *a: seen.append(whole(*a)) or seen[-1])
+    model = quality.fit(d, lab.union(lost))
+    assert [[c[0] for c in view] for view in seen[-1][0]] == [[4200, 4200], [4200, 4200]]
+    assert all(0.9 < r.p_quality if r.doc_id % 2 else r.p_quality < 0.1 for r in quality.score(d, model, ["doc_id"]).collect())
+
+
 def test_sentencepiece(spark, edge, none):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -5,10 +5,11 @@ frequency there.  An unseen word is covered by the longest known n-grams of
 its characters: n-grams of 4, then 3, 2 and 1 characters.  A text's language
 is the one with the largest summed score plus log prior.
 
-Counts are taken over every training text.  The model keeps what makes up at
-least ``min_share`` of a language's words (or n-grams of one length), so it
-holds at most 1 / min_share entries a language and length at any corpus size;
-that bounds what is shipped to the tasks.
+Counts are taken over every training text, and every counted word and n-gram is
+known, with its share in each language.  Tasks hold the words that make up at
+least ``min_share`` of a language, so at most 1 / min_share a language at any
+corpus size; a document's other words are looked up by a join, and the n-grams
+of those that are unseen by another, once a word.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is everything when there is no training row; ties go to the first language
@@ -18,22 +19,23 @@ null id are training rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter, defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import cut, table
+from canopy.llm.common import cut, join_groups, list_column, table
 
 MIN_SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
-FLOOR = math.log(1e-7)      # score of what a language has not shown
-FLUSH = 200_000             # entries of a task's counter before it is passed on, and unseen words that a task remembers
+FLOOR = math.log(1e-7)      # score of what a language has not shown, or that of half an occurrence if this is less
+UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers, in whatever order they come
+FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,6 +49,12 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i:i + n] for i in range(len(w) - n + 1)] if n > 1 else list(word)
 
 
+def release(spark) -> None:
+    """Let Spark remove the shuffles and checkpoints of frames that are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def count_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, word, n) over all texts; each task adds up before it shuffles."""
 
@@ -72,11 +80,13 @@ def count_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> dict:
-    """The model: languages, priors and, for words (order 0) and n-grams, (entries, their log frequencies by language)."""
+    """The model: languages, priors, the frequent words with their log frequencies by language, and all entries as a DataFrame."""
     docs = docs.where(F.col(lang_col).isNotNull())
     n_docs = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
     langs = sorted(n_docs)
     total = sum(n_docs.values())
+    if not langs:
+        return {"langs": []}
     counts = cut(count_words(docs, text_col, lang_col))
 
     def split(batches):
@@ -103,109 +113,115 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_sha
         yield from rows()
 
     parts = (counts.select("lang", "word", "n").mapInArrow(split, "lang string, k int, entry string, n long")
-             .groupBy("lang", "k", "entry").agg(F.sum("n").alias("n")))
-    parts = cut(parts.unionByName(counts.select("lang", F.lit(0).alias("k"), F.col("word").alias("entry"), "n")))
-    sums = {(r["lang"], r["k"]): r["s"] for r in parts.groupBy("lang", "k").agg(F.sum("n").alias("s")).collect()}
-    scale = F.create_map(*[x for (lang, k), s in sorted(sums.items()) for x in (F.lit(f"{k} {lang}"), F.lit(float(s)))]) if sums else None
-    model = {"langs": langs, "prior": np.log([n_docs[x] / total for x in langs]) if langs else np.zeros(0), "tables": {k: ([], np.zeros((0, len(langs)))) for k in (0, *ORDERS)}}
-    if not sums:
-        return model
-    places: dict[int, dict] = {k: {} for k in model["tables"]}
-    cells: dict[int, list] = {k: [] for k in model["tables"]}
-    at = {x: i for i, x in enumerate(langs)}
-    share = parts.withColumn("share", F.col("n") / scale[F.concat_ws(" ", F.col("k").cast("string"), "lang")])
-    kept = share.where(F.col("share") >= min_share).select("lang", "k", "entry", "share")
-    for lang, k, entry, p in kept.repartition(8).toLocalIterator():  # bounded by min_share, not by the corpus
-        cells[k].append((places[k].setdefault(entry, len(places[k])), at[lang], math.log(p)))
-    for k, found in cells.items():
-        scores = np.full((len(places[k]), len(langs)), FLOOR)
-        if found:
-            row, column, value = zip(*found)
-            scores[list(row), list(column)] = value
-        model["tables"][k] = (list(places[k]), scores)
-    return model
-
-
-class Places(dict):
-    """Word -> row of its scores; a word that is not there is passed to ``learn`` once."""
-
-    def __init__(self, known: list[str], learn):
-        super().__init__(zip(known, range(len(known))))
-        self.learn = learn
-
-    def __missing__(self, word: str) -> int:
-        return self.learn(word)
-
-
-class Scorer:
-    """Scores words with a model; remembers a bounded number of unseen words."""
-
-    def __init__(self, model: dict):
-        self.langs, self.prior = model["langs"], model["prior"]
-        self.known, self.rows = model["tables"][0]
-        entries = [g for k in ORDERS for g in model["tables"][k][0]]  # n-grams of different orders differ in length
-        self.index = dict(zip(entries, range(len(entries))))
-        self.scores = np.concatenate([*(model["tables"][k][1] for k in ORDERS), np.full((1, len(self.langs)), FLOOR)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.places, self.used, self.found = Places(self.known, self.learn), len(self.known), []
-
-    def learn(self, word: str) -> int:
-        """Place of an unseen word; notes the longest known n-grams that cover it."""
-        index = self.index
-        for k in ORDERS:
-            found = [index[g] for g in grams(word, k) if g in index]
-            if found:
-                break
-        self.found.append(found or [len(index)])
-        self.places[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def settle(self) -> None:
-        """Scores of the words learnt since the last call: the mean of their n-grams' scores."""
-        if not self.found:
-            return
-        lengths = np.fromiter(map(len, self.found), np.int64, len(self.found))
-        flat = np.fromiter(chain.from_iterable(self.found), np.int64, int(lengths.sum()))
-        if self.used > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty((self.used, len(self.langs)))])
-        self.rows[self.used - len(lengths):self.used] = (
-            np.add.reduceat(self.scores[flat], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None])
-        self.found = []
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.langs:
-            return "und", 0.0
-        total = self.prior.copy()
-        for i in range(0, len(words), CHUNK):
-            if self.used > len(self.known) + FLUSH:
-                self.forget()
-            part = words[i:i + CHUNK]
-            at = np.fromiter(map(self.places.__getitem__, part), np.int64, len(part))
-            self.settle()
-            total += self.rows[at].sum(axis=0)
-        best = int(np.argmax(total))
-        p = np.exp(np.clip(total - total[best], -700, 0))
-        return self.langs[best], float(p[best] / p.sum())
+             .unionByName(counts.select("lang", F.lit(0).alias("k"), F.col("word").alias("entry"), "n")))
+    wide = cut(parts.groupBy("k", "entry").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"c{i}") for i, x in enumerate(langs)]))
+    del counts, parts
+    release(docs.sparkSession)
+    sums = {r["k"]: [r[f"c{i}"] or 0 for i in range(len(langs))]
+            for r in wide.groupBy("k").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(langs))]).collect()}
+    sums = {k: sums.get(k, [0] * len(langs)) for k in (0, *ORDERS)}
+    floors = {k: [min(FLOOR, math.log(0.5 / n)) if n else FLOOR for n in ns] for k, ns in sums.items()}
+
+    def by_order(values, i):
+        return F.create_map(*[F.lit(x) for k, ns in values.items() for x in (k, float(ns[i]))])[F.col("k")]
+
+    share = [F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") / by_order(sums, i)) for i in range(len(langs))]
+    entries = wide.select("k", "entry", F.array(*[F.coalesce(F.ln(x), by_order(floors, i)) for i, x in enumerate(share)]).alias("scores"),
+                          (F.array_max(F.array(*share)) >= min_share).alias("frequent"))
+    known, scores = [], []
+    for entry, x in entries.where("k = 0 and frequent").select("entry", "scores").repartition(8).toLocalIterator():  # bounded by min_share
+        known.append(entry)
+        scores.append(x)
+    return {"langs": langs, "prior": np.log([n_docs[x] / total for x in langs]), "known": known, "scores": np.array(scores).reshape(-1, len(langs)),
+            "entries": entries, "floor": floors[ORDERS[-1]]}
+
+
+def unseen_scores(words: DataFrame, model: dict) -> DataFrame:
+    """(word, scores) of distinct ``words``: the mean over the longest known n-grams that cover a word."""
+    found = []
+    for k in ORDERS:
+        def split(batches, k=k):
+            for b in batches:
+                lists = [grams(w, k) for w in b[0].to_pylist()]
+                sizes = np.array([len(x) for x in lists], np.int64)
+                yield pa.RecordBatch.from_arrays([b[0].take(pa.array(np.repeat(np.arange(len(lists)), sizes))),
+                                                  pa.array([g for x in lists for g in x], pa.string())], ["word", "gram"])
+
+        table_k = model["entries"].where(F.col("k") == k).select(F.col("entry").alias("gram"), "scores")
+        got = cut(join_groups(words.mapInArrow(split, "word string, gram string"), table_k, "gram")
+                  .groupBy("word").agg(F.array(*[F.avg(F.col("scores")[i]) for i in range(len(model["langs"]))]).alias("scores")))
+        found.append(got)
+        words = cut(words.join(got.select("word"), "word", "left_anti"))
+        release(words.sparkSession)
+    found.append(words.select("word", F.array(*[F.lit(float(x)) for x in model["floor"]]).alias("scores")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
     """id, the columns of ``keep``, lang_pred, score for every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    langs = model["langs"]
     rows = df.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
+    if not langs:
+        return rows.drop("_text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    sent = df.sparkSession.sparkContext.broadcast((model["prior"], model["known"], model["scores"]))
 
-    def run(batches):
-        scorer = Scorer(sent.value)
+    def score(batches):
+        prior, known, scores = sent.value
+        place = dict(zip(known, range(len(known))))
         for b in batches:
-            out = [scorer.predict(t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in out], pa.string()),
-                                              pa.array([x[1] for x in out], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            sums, sizes, others, times = [], [], [], []
+            for text in b.column("_text").to_pylist():
+                words = words_of(text or "")
+                total, rest = prior.copy() if words else None, Counter()
+                for i in range(0, len(words), CHUNK):
+                    part = words[i:i + CHUNK]
+                    at = np.fromiter((place.get(w, -1) for w in part), np.int64, len(part))
+                    rest.update(part[j] for j in np.flatnonzero(at < 0))
+                    total += scores[at[at >= 0]].sum(axis=0)
+                sums.append(total)
+                sizes.append(len(rest))
+                others.append(" ".join(rest))
+                times += rest.values()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), pa.array(others, pa.string()),
+                                              list_column(np.array(sizes, np.int64), pa.array(times, pa.int32()))],
+                                             [*b.schema.names[:-1], "_sums", "_words", "_times"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _words string, _times array<int>")
+               .withColumn("_row", F.monotonically_increasing_id()))
+    others = (base.where(F.size("_times") > 0)
+              .select("_row", F.inline(F.arrays_zip(F.split("_words", " ").alias("word"), F.col("_times").alias("n")))).toDF("_row", "word", "n"))
+    words = others.select("word").distinct()
+    rare = model["entries"].where("k = 0 and not frequent").select(F.col("entry").alias("word"), "scores")
+    words = cut(words.join(rare, "word", "left"))
+    release(df.sparkSession)
+    scored = words.where("scores is not null").unionByName(unseen_scores(words.where("scores is null").select("word"), model))
+    scored = scored.select("word", F.transform("scores", lambda x: F.round(x * UNIT).cast("long")).alias("scores"))
+    scored = cut(scored)
+    del words
+    release(df.sparkSession)
+    joined = (join_groups(others, scored, "word").groupBy("_row")
+              .agg(F.array(*[F.sum(F.col("n") * F.col("scores")[i]) for i in range(len(langs))]).alias("_more")))
+
+    def choose(batches):
+        for b in batches:
+            out = []
+            for sums, more in zip(b.column("_sums").to_pylist(), b.column("_more").to_pylist()):
+                if sums is None:
+                    out.append(("und", 0.0))
+                    continue
+                total = np.array(sums) + (np.array(more) / UNIT if more else 0.0)
+                best = int(np.argmax(total))
+                p = np.exp(np.clip(total - total[best], -700, 0))
+                out.append((langs[best], float(p[best] / p.sum())))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([x[0] for x in out], pa.string()),
+                                              pa.array([x[1] for x in out], pa.float64())], [*b.schema.names[:-2], "lang_pred", "score"])
+
+    return (base.drop("_words", "_times").join(joined, "_row", "left").drop("_row")
+            .mapInArrow(choose, f"{fields}, lang_pred string, score double"))
 
 
 def op10_lang_id(spark, sf_dir):

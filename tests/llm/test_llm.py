@@ -267,6 +267,47 @@ def test_language(spark, edge, none):
     assert {r.lang_pred for r in lang_id.predict(edge, lang_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_knows_every_counted_word(spark):
+    """Scores equal those of all counts held in one place: rare words, words rare in one language only, unseen words."""
+    langs, train = ["aa", "bb"], []
+    for i in range(40):
+        train.append((i, "common " * 300 + f"rareword{'qxyz'[i % 4]} other" + " only" * (i % 2), "aa"))
+        train.append((100 + i, "gemein " * 300 + " other" * 20 + ("common rarewordq" if i == 0 else " zeldzaam"), "bb"))
+    tests = ["rarewordx rarewordy common", "zeldzaam other only", "rarewordq gemein", "unseenword zeld", "only", "中文"]
+    schema = "doc_id long, text string, lang string"
+    model = lang_id.fit(spark.createDataFrame(train, schema), min_share=0.05)
+    assert set(model["known"]) == {"common", "gemein", "other"}
+    out = lang_id.predict(spark.createDataFrame([(i, t, None) for i, t in enumerate(tests)], schema), model).collect()
+    words = {x: collections.Counter() for x in langs}
+    for _, t, x in train:
+        words[x].update(lang_id.words_of(t))
+    tables = {0: words}
+    for k in lang_id.ORDERS:
+        tables[k] = {x: collections.Counter() for x in langs}
+        for x in langs:
+            for w, n in words[x].items():
+                for g in lang_id.grams(w, k):
+                    tables[k][x][g] += n
+
+    def entry(k, e):
+        if not any(tables[k][x][e] for x in langs):
+            return None
+        return np.array([np.log(tables[k][x][e] / tables[k][x].total()) if tables[k][x][e] else lang_id.FLOOR for x in langs])
+
+    def word(w):
+        if entry(0, w) is not None:
+            return entry(0, w)
+        for k in lang_id.ORDERS:
+            if got := [y for g in lang_id.grams(w, k) if (y := entry(k, g)) is not None]:
+                return np.mean(got, axis=0)
+        return np.full(2, lang_id.FLOOR)
+
+    for r in out:
+        total = np.log([0.5, 0.5]) + sum(word(w) for w in lang_id.words_of(tests[r.doc_id]))
+        p = np.exp(total - total.max())
+        assert r.lang_pred == langs[int(np.argmax(total))] and abs(r.score - 1 / p.sum()) < 1e-5, tests[r.doc_id]
+
+
 def test_pipeline(spark):
     """Every stage on what the one before it kept: exact and near copies by brute force, encoding by its round trip."""
     all_docs = docs(spark)

@@ -78,12 +78,12 @@ def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 <<
     Rows that miss a Bloom filter of the dropped keys stay where they are; only
     the others are shuffled for the exact answer.
     """
-    dropped = cut(dropped.select("key").distinct())
-    words = cut(bloom_words(dropped.select(F.xxhash64("key").alias("h")), "h", bits, hashes))
-    keyed = rows.withColumn("_key", key)
-    hit = bloom_hit(words.scalar(), F.xxhash64("_key"), bits, hashes)
-    gone = keyed.where(hit).join(dropped, F.col("_key").eqNullSafe(F.col("key")), "left_anti")
-    return keyed.where(~hit).unionByName(gone).drop("_key")
+    dropped = cut(dropped.select(F.col("key").alias("_dropped_key")).distinct())
+    words = cut(bloom_words(dropped.select(F.xxhash64("_dropped_key").alias("h")), "h", bits, hashes))
+    keyed = rows.withColumn("_row_key", key)
+    hit = bloom_hit(words.scalar(), F.xxhash64("_row_key"), bits, hashes)
+    gone = keyed.where(hit).join(dropped, F.col("_row_key").eqNullSafe(F.col("_dropped_key")), "left_anti")
+    return keyed.where(~hit).unionByName(gone).drop("_row_key")
 
 
 # --- components ------------------------------------------------------------------------------------

@@ -35,7 +35,10 @@ def _key():
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither classifier rejects."""
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=docs.columns).where("kept").select(*docs.columns)
+    names = {f"_c{i}": n for i, n in enumerate(docs.columns)}  # the classifier's columns may have the same names
+    rows = docs.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()], "text", "source", "lang", "n_chars")
+    judged = score(rows, fit(docs, table(spark, sf_dir, "labels")), keep=list(names))
+    return judged.where("kept").select(*[F.col(c).alias(n) for c, n in names.items()])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

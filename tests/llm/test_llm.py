@@ -323,3 +323,12 @@ def test_pipeline(spark):
     clean = {r.doc_id for r in dc.decontaminate(rest.select("doc_id", "text"), spark.read.parquet(f"{SF001}/benchmark.parquet"), "doc_id").collect() if r.kept}
     rows = corpus_pipeline.run(spark, SF001).collect()
     assert len(rows) == len(clean) and {r.doc_id for r in rows} == clean and all(r.round_trip for r in rows)
+
+
+def test_stages_take_clashing_names(spark, edge):
+    """The stages quality, near and leaks keep columns that are called like the operators' own."""
+    named = edge.withColumns({n: F.lit(n) for n in ("key", "_key", "score", "p_quality")})
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near, corpus_pipeline.leaks):
+        rows = stage(spark, named, SF001).collect()
+        assert rows and rows[0].asDict().keys() == dict.fromkeys(named.columns).keys()
+        assert all((r.key, r._key, r.score, r.p_quality) == ("key", "_key", "score", "p_quality") for r in rows)

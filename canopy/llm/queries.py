@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from canopy.llm import decontaminate, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan, sharding, url_filter, warc
+from canopy.llm import (conversation_repair, decontaminate, exact_dedup, lang_id, ngram_join, order_minhash, periodic_runs, pii, quality,
+                        sentencepiece_scan, sharding, url_filter, warc)
 from canopy.llm.common import LlmQuery
 
 LLM_QUERIES: dict[str, LlmQuery] = {
@@ -17,5 +18,8 @@ LLM_QUERIES: dict[str, LlmQuery] = {
     "op8_sharding": LlmQuery(sharding.op8_sharding),
     "op9_warc": LlmQuery(warc.op9_warc, warc.SQL),
     "op10_lang_id": LlmQuery(lang_id.op10_lang_id),
+    "op11_fingerprints": LlmQuery(order_minhash.op11_fingerprints),
+    "op12_periodic_runs": LlmQuery(periodic_runs.op12_periodic_runs),
+    "op13_conversation_repair": LlmQuery(conversation_repair.op13_conversation_repair),
     "pipeline": LlmQuery(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -45,6 +45,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner"
     return r.join(g, (F.col("_rh") == F.col("_gh")) & F.col(key).eqNullSafe(F.col("_gk")), how).drop("_rh", "_gh", "_gk")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, though lambdas inside refer to it again and again."""
+    return F.transform(F.array(value), use)[0]
+
+
 # --- fixed-size Bloom filter as one array<bigint>, built and probed by built-in functions ----------
 
 def _positions(key: Column, bits: int, hashes: int) -> list[Column]:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import bloom_hit, bloom_words, cut, table
+from canopy.llm.common import bloom_hit, bloom_words, cut, let, table
 
 K, TUPLE, SKETCHES = 2, 2, 64
 WORD_CHARS = 24
@@ -48,11 +48,6 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, though it is used inside a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _steps(n: Column) -> Column:
     """Powers of two from n's highest bit down to 1: the steps of a search among n places."""
     return F.reverse(F.transform(_range(F.length(F.bin(n.cast("long")))), lambda b: F.pow(F.lit(2), b).cast("int")))
@@ -99,7 +94,7 @@ def with_sketches(df: DataFrame, text: str, name: str, k: int = K, tuple_size: i
     # a sketch's elements are the next ones from its start on; after the last the ring begins again
     starts = F.array(*[F.lit((j << 64) // sketches - (1 << 63)).cast("long") for j in range(sketches)])
     starts = F.when(n > 0, starts).otherwise(F.array().cast("array<long>"))
-    first = stage("first", _let(_steps(n), lambda steps: F.transform(
+    first = stage("first", let(_steps(n), lambda steps: F.transform(
         starts, lambda start: _places_before(steps, n, lambda i: F.get(ring, i) < start))))
     picked = stage("picked", F.transform(first, lambda at: F.sort_array(F.array(*[
         F.when(F.lit(j) < n, _at(ring, (at + j) % n).bitwiseAND(low_bits)).otherwise(F.lit(-1).cast("long")) for j in range(tuple_size)]))))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import byte_texts, list_column, table
+from canopy.llm.common import byte_texts, let, list_column, table
 
 MIN_WORDS = 12
 SLAB_BYTES = 2 << 20     # bytes of text worked on together
@@ -109,8 +109,11 @@ def squared_differences(blocks: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Row by row, modulo PRIME: sums of squared differences of a block and each place of its window."""
     b, w = blocks.shape[1], windows.shape[1]
     n = 1 << (b + w - 2).bit_length()
-    if n > 1 << TWO_POWER:  # the sum over a block is the sum over its halves
-        h = b // 2
+    if n > 1 << TWO_POWER:
+        if w - b + 1 > b:  # half of the places at a time
+            h = (w - b + 1) // 2
+            return np.concatenate([squared_differences(blocks, windows[:, :h + b - 1]), squared_differences(blocks, windows[:, h:])], axis=1)
+        h = b // 2  # the sum over a block is the sum over its halves
         s = squared_differences(blocks[:, :h], windows[:, :w - b + h]) + squared_differences(blocks[:, h:], windows[:, h:])
         return np.minimum(s, s - PRIME)
     pad = np.zeros((2 * len(blocks), n), dtype=np.uint64)
@@ -300,12 +303,17 @@ def periodic_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _with_planted_runs(id_col: Column, text: Column) -> Column:
     """The contract's damage: of ids whose crc32 ends in 0, words from g % n on repeat with period p."""
     h = F.crc32(id_col.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(a, lambda a: let(p, lambda p: F.array_join(
+            F.transform(words, lambda w, i: F.get(words, F.when(i >= a, a + (i - a) % p).otherwise(i))), " ")))
+
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, g = F.size(words), F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    repeated = F.transform(words, lambda w, i: F.get(words, F.when(i >= a, a + (i - a) % p).otherwise(i)))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    return F.when(h % 10 == 0, let(words, repeated)).otherwise(text)
 
 
 def op12_periodic_runs(spark, sf_dir):

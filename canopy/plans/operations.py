@@ -15,7 +15,7 @@ from canopy.functions.gauges import limits_df, limits_sql
 from canopy.functions.numeric import exact_avg, sql_avg
 from canopy.operators.latest import latest_per_key
 from canopy.operators.rangejoin import interval_join
-from canopy.operators.sequence import asof_join, asof_last_values, epoch_us, floor_time, from_epoch_us, prev_row
+from canopy.operators.sequence import asof_join, epoch_us, floor_time, prev_row
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds, ntz
@@ -301,93 +301,3 @@ def state_sync(spark, sf_dir):
     return j.select(*keys, "stored_state", "ping_state",
                     F.coalesce("ping_state", "stored_state").alias("state"),
                     (~F.col("stored_state").eqNullSafe(F.col("ping_state"))).alias("diverged"))
-
-
-# ---------------------------------------------------------------------------
-# operating modes
-# ---------------------------------------------------------------------------
-
-MODE_TICK_S = 3600
-DEGRADED_S = 3600   # a WARNING keeps the device DEGRADED this long
-
-
-def _mode_ticks(spark, sf_dir, tick_s=MODE_TICK_S, last_only=False):
-    lo, hi = event_bounds(spark, sf_dir)
-    origin = lo.replace(minute=0, second=0, microsecond=0)
-    n = int((hi - origin).total_seconds() // tick_s) + 1
-    o_us = int(origin.replace(tzinfo=_dt.timezone.utc).timestamp()) * 1_000_000
-    first = n - 1 if last_only else 0
-    devices = B.system_events(spark, sf_dir).select(F.col("category").alias("device_id")).distinct()
-    # each device row expands its own tick range (no join); ticks = time span / period
-    j = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n - 1).cast("long")))
-    return devices.select("device_id", j.alias("j")).select(
-        "device_id",
-        from_epoch_us(F.lit(o_us) + F.col("j") * F.lit(tick_s * 1_000_000)).alias("tick"))
-
-
-def mode_machine_df(spark, sf_dir, last_only=False):
-    """Mode per device and tick, by priority:
-
-    SAFETY       an unresolved CRITICAL fault is latched (last of FAULT/ACK is FAULT)
-    MAINTENANCE  within 30 min after any CRITICAL event
-    DEGRADED     a WARNING within the last hour
-    NORMAL       otherwise
-    Each input is one bucketed as-of join on system_events.
-    """
-    ev = B.system_events(spark, sf_dir).withColumnRenamed("category", "device_id")
-    spine = _mode_ticks(spark, sf_dir, last_only=last_only)
-    # one as-of pass, three lookups: each column is fed only by its kind of event
-    feeds = ev.select(
-        "device_id", "time", "id",
-        F.when(F.col("is_resolved"), "ACK").when(F.col("level") == "CRITICAL", "FAULT").alias("latch"),
-        F.when(F.col("level") == "CRITICAL", F.col("time")).alias("last_critical"),
-        F.when(F.col("level") == "WARNING", F.col("time")).alias("last_warning"))
-    j = asof_last_values(spine, feeds, ["device_id"], "tick", "time",
-                         {"latch": "latch", "last_critical": "last_critical", "last_warning": "last_warning"},
-                         right_order="id")
-    since_s = lambda c: (epoch_us("tick") - epoch_us(c)) / F.lit(1e6)
-    mode = (F.when(F.col("latch") == "FAULT", "SAFETY")
-            .when(since_s("last_critical") <= MAINTENANCE_S, "MAINTENANCE")
-            .when(since_s("last_warning") <= DEGRADED_S, "DEGRADED")
-            .otherwise("NORMAL"))
-    return j.select("device_id", "tick", mode.alias("mode"))
-
-
-def _mode_sql(last_only=False):
-    tick_filter = "WHERE t.tick = (SELECT max(tick) FROM ticks)" if last_only else ""
-    return W_E + f""",
-bounds AS (SELECT date_trunc('hour', min(ts)) AS origin, max(ts) AS as_of FROM events),
-ticks AS (
-  SELECT tick FROM (
-    SELECT origin + j * INTERVAL {MODE_TICK_S} SECOND AS tick, as_of
-    FROM (SELECT origin, as_of, unnest(range(0, date_diff('second', origin, as_of) // {MODE_TICK_S} + 1)) AS j FROM bounds))
-  WHERE tick <= as_of),
-spine AS (SELECT d.device_id, t.tick FROM (SELECT DISTINCT category AS device_id FROM system_events) d, ticks t {tick_filter}),
-latch AS (SELECT category AS device_id, time, CASE WHEN is_resolved THEN 'ACK' ELSE 'FAULT' END AS kind
-          FROM system_events WHERE level = 'CRITICAL' OR is_resolved),
-crit AS (SELECT category AS device_id, time FROM system_events WHERE level = 'CRITICAL'),
-warn AS (SELECT category AS device_id, time FROM system_events WHERE level = 'WARNING'),
-j AS (
-  SELECT s.device_id, s.tick, l.kind AS latch, c.time AS last_critical, w.time AS last_warning
-  FROM spine s
-  ASOF LEFT JOIN latch l ON s.device_id = l.device_id AND s.tick >= l.time
-  ASOF LEFT JOIN crit c ON s.device_id = c.device_id AND s.tick >= c.time
-  ASOF LEFT JOIN warn w ON s.device_id = w.device_id AND s.tick >= w.time)
-SELECT device_id, tick, CASE
-  WHEN latch = 'FAULT' THEN 'SAFETY'
-  WHEN date_diff('microsecond', last_critical, tick) / 1e6 <= {MAINTENANCE_S} THEN 'MAINTENANCE'
-  WHEN date_diff('microsecond', last_warning, tick) / 1e6 <= {DEGRADED_S} THEN 'DEGRADED'
-  ELSE 'NORMAL' END AS mode
-FROM j"""
-
-
-@register("mode_machine", _mode_sql())
-def mode_machine(spark, sf_dir):
-    """NORMAL / DEGRADED / MAINTENANCE / SAFETY per device at every hourly tick."""
-    return mode_machine_df(spark, sf_dir)
-
-
-@register("system_mode_latest", _mode_sql(last_only=True))
-def system_mode_latest(spark, sf_dir):
-    """Current mode of every device (the last tick only)."""
-    return mode_machine_df(spark, sf_dir, last_only=True)

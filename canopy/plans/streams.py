@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import sql_avg
 from canopy.plans.control import ControlParams, control_replay_sql
 from canopy.plans.registry import REGISTRY, register
-from canopy.session import shared_dir
+from canopy.session import CLUSTER_CONF, shared_dir
 from canopy.sources import bindings as B
 from canopy.sources import landing as L
 from canopy.sources.tables import event_bounds
+from canopy.plans import modes as P
 from canopy.streaming import ingest as I
+from canopy.streaming import modes as Mo
 from canopy.streaming import state as S
 from canopy.streaming import windows as Wn
 
@@ -30,6 +32,9 @@ import canopy.plans.commands  # noqa: F401,E402
 import canopy.plans.messages  # noqa: F401,E402
 
 
+ROCKSDB = CLUSTER_CONF["spark.sql.streaming.stateStore.providerClass"]
+
+
 def _workdir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -40,6 +45,25 @@ def _snapshot(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+ARRIVALS = 4          # micro-batches of a query over out-of-order arrivals
+LATENESS_S = 6 * 3600  # rows arrive up to so much later than their time
+
+
+def _arriving(spark: SparkSession, df: DataFrame, t_us: Column, row_id: Column, path: str) -> DataFrame:
+    """``df`` as a file stream of ``ARRIVALS`` micro-batches, rows out of order by up to ``LATENESS_S``.
+
+    A row's delay comes from a hash of its id; rows are cut by arrival time
+    into equal spans, written one after the other and read a file at a time.
+    """
+    arrival = t_us + F.pmod(F.xxhash64(row_id), F.lit(LATENESS_S * 1_000_000))
+    lo, hi = df.select(arrival.alias("a")).agg(F.min("a"), F.max("a")).first()
+    step = ((hi or 0) - (lo or 0)) // ARRIVALS + 1
+    part = F.floor((arrival - F.lit(lo or 0)) / F.lit(step))
+    for k in range(ARRIVALS):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _state_partitions(spark: SparkSession) -> int | None:
     try:
         return max(1, int(spark.sparkContext.defaultParallelism))
@@ -50,20 +74,23 @@ def _state_partitions(spark: SparkSession) -> int | None:
 def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     """Run to completion into a parquet file sink (exactly-once); return its table.
 
-    A fresh checkpoint fixes the number of state partitions at start: it is set
-    to the cluster's default parallelism for the start, then the session value
-    is restored.
+    A fresh checkpoint fixes the number of state partitions and the state store
+    at start: the cluster's default parallelism and RocksDB (which timers need)
+    are set for the start, then the session's values are restored.
     """
-    n = _state_partitions(spark)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    if n:
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if n := _state_partitions(spark):
+        settings["spark.sql.shuffle.partitions"] = str(n)
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         q = (stream.writeStream.format("parquet").option("path", f"{work}/out")
              .option("checkpointLocation", f"{work}/checkpoint").outputMode("append")
              .trigger(availableNow=True).start())
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -108,23 +135,38 @@ _STATE_P = ControlParams(per_device_lock=True)
 
 
 def _state_sql() -> str:
-    mx = B.with_views("telemetry", "actuator_logs") + """
-SELECT device_id, max(time) AS mx FROM (
-  SELECT device_id, time FROM telemetry WHERE metric IN ('ph', 'ec')
-  UNION ALL SELECT device_id, time FROM actuator_logs WHERE action = 'COMPLETED') x
-GROUP BY device_id"""
+    # ticks that the final watermark has passed, of devices with a slot (an hour) closed by then
+    mx = B.with_views("telemetry", "actuator_logs") + f""",
+x AS (SELECT device_id, time FROM telemetry WHERE metric IN ('ph', 'ec')
+      UNION ALL SELECT device_id, time FROM actuator_logs WHERE action = 'COMPLETED')
+SELECT device_id, (SELECT max(time) FROM x) - INTERVAL {LATENESS_S} SECOND AS passed
+FROM x GROUP BY device_id
+HAVING date_trunc('hour', min(time) - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR <= passed"""
     return ("WITH r AS (\n" + control_replay_sql(_STATE_P) + "\n),\nmx AS (\n" + mx + "\n)\n"
-            "SELECT r.* FROM r JOIN mx ON r.device_id = mx.device_id WHERE r.tick <= mx.mx")
+            "SELECT r.* FROM r JOIN mx ON r.device_id = mx.device_id WHERE r.tick <= mx.passed")
 
 
 @register("stream_control_state", _state_sql(), kind="stream")
 def stream_control_state(spark, sf_dir):
-    """Keyed live control (applyInPandasWithState): every tick a device's data has reached."""
+    """Keyed live control by timers: every tick that the watermark has passed, rows arriving out of order."""
     lo, _ = event_bounds(spark, sf_dir)
     p = ControlParams(per_device_lock=True, origin=lo.replace(minute=0, second=0, microsecond=0))
     work = _workdir(spark, "control")
     inputs = S.control_inputs(B.telemetry(spark, sf_dir), B.actuator_logs(spark, sf_dir))
-    return _run(spark, S.control_state_stream(_snapshot(spark, inputs, f"{work}/src"), p), work)
+    stream = _arriving(spark, inputs, F.col("t_us"), F.struct("t_us", "kind", "value"), f"{work}/src")
+    return _run(spark, S.control_state_stream(stream, p, delay=f"{LATENESS_S} seconds"), work)
+
+
+@register("stream_mode_machine", P.TRANSITIONS_CTE + f"""
+SELECT device_id, time, mode, previous FROM changes
+WHERE date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) FROM sig WHERE seen OR what IS NOT NULL) - INTERVAL {LATENESS_S} SECOND""",
+          kind="stream")
+def stream_mode_machine(spark, sf_dir):
+    """Changes of operating mode by a state machine with timers, signals arriving out of order."""
+    work = _workdir(spark, "modes")
+    sig = P.bound_signals(spark, sf_dir)
+    stream = _arriving(spark, sig, F.col("t_us"), F.struct("t_us", "what"), f"{work}/src")
+    return _run(spark, Mo.mode_stream(stream, delay=f"{LATENESS_S} seconds"), work)
 
 
 @register("stream_hourly_trend", B.with_views("telemetry") + f"""

@@ -1,9 +1,9 @@
 """Keyed streaming state: live control per device, heartbeat timeouts.
 
-Both run as ``groupBy(key).applyInPandasWithState``: Spark shuffles the
-stream by device, keeps one small state row per device in the state store
-(checkpointed to the shared folder), and calls the function with Arrow
-batches of the device's new rows.
+Rows are reduced by (device, time slot) in a watermarked window aggregation
+first, so a device with many rows reaches its state function as one row a
+slot.  The functions keep one small state row per device in the state store
+(checkpointed to the shared folder) and act on event time only.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from canopy.functions.numeric import SCALE
+from canopy.functions.numeric import SCALE, micros
 from canopy.operators.sequence import epoch_us, from_epoch_us
 from canopy.plans.control import ControlParams, decision, status_to_pump
 from canopy import constants as C
@@ -27,124 +28,131 @@ from canopy import constants as C
 # live control
 # ---------------------------------------------------------------------------
 
-CONTROL_IN = "device_id string, kind string, t_us long, metric string, value double, actuator_id string, action string"
+SUMS = ["s_ph", "c_ph", "s_ec", "c_ec"]          # of a slot; the same of readings exactly at its end: e_...
 CONTROL_OUT = ("device_id string, j long, tick_us long, avg_ph double, avg_ec double, "
                "last_pump string, elapsed_s double")
-# j_last: last emitted tick; slot_ids/slot_vals: partial sums per slot (8 longs per slot:
-# s_ph c_ph s_ec c_ec s0_ph c0_ph s0_ec c0_ec); act_t/act_p: completed actions kept for the lock.
-CONTROL_STATE = ("j_last long, slot_ids array<long>, slot_vals array<long>, "
-                 "act_t array<long>, act_p array<string>")
+# next tick; slots in order (number, 8 sums each); slots with a completed action (number, its time and pump)
+CONTROL_STATE = "j_next long, slots array<long>, sums array<long>, act_slots array<long>, act_us array<long>, act_pumps array<string>"
 
 
 def control_inputs(telemetry: DataFrame, actions: DataFrame) -> DataFrame:
     """One stream of readings (ph, ec) and completed actions, keyed by device."""
     r = telemetry.filter(F.col("metric").isin("ph", "ec")).select(
         "device_id", F.lit("r").alias("kind"), epoch_us("time").alias("t_us"), "metric", "value",
-        F.lit(None).cast("string").alias("actuator_id"), F.lit(None).cast("string").alias("action"))
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("actuator_id"))
     a = actions.filter(F.col("action") == "COMPLETED").select(
         "device_id", F.lit("a").alias("kind"), epoch_us("time").alias("t_us"),
-        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"),
-        "actuator_id", "action")
+        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), "id", "actuator_id")
     return r.unionByName(a)
 
 
-def _control_fn(p: ControlParams):
+def _slots(p: ControlParams) -> tuple[int, int]:
+    """Origin and slot width in microseconds; ticks and lookback are whole numbers of slots."""
     origin = p.origin.replace(tzinfo=_dt.timezone.utc)
-    o_us = int(origin.timestamp()) * 1_000_000 + origin.microsecond
-    g = math.gcd(int(p.tick_s), int(p.lookback_s))
-    g_us, tick_us, per_tick, look = g * 1_000_000, p.tick_s * 1_000_000, p.tick_s // g, p.lookback_s // g
+    return int(origin.timestamp()) * 1_000_000 + origin.microsecond, math.gcd(int(p.tick_s), int(p.lookback_s)) * 1_000_000
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        device = key[0]
-        if state.exists:
-            j_last, ids, vals, act_t, act_p = state.get
-            slots = {int(s): list(vals[8 * i: 8 * i + 8]) for i, s in enumerate(ids)}
-            acts = list(zip(act_t, act_p))
-        else:
-            j_last, slots, acts = -1, {}, []
-        max_seen = None
-        for pdf in pdfs:
-            if pdf.empty:
-                continue
-            mx = int(pdf["t_us"].max())
-            max_seen = mx if max_seen is None else max(max_seen, mx)
-            rd = pdf[pdf["kind"] == "r"]
-            if not rd.empty:
-                # vectorised: one row per slot of this Arrow batch, then merged into the state
-                rel = rd["t_us"].to_numpy(dtype=np.int64) - o_us
-                value = rd["value"].to_numpy(dtype=np.float64)
-                ok = np.isfinite(value)  # null, NaN and infinite readings count as missing
-                us = np.floor(np.where(ok, value, 0.0) * float(SCALE) + 0.5).astype(np.int64)
-                ph, ec = (((rd["metric"] == m).to_numpy() & ok) for m in ("ph", "ec"))
-                at0 = (rel % g_us) == 0
-                cols = {"slot": np.floor_divide(rel, g_us),
-                        "s_ph": np.where(ph, us, 0), "c_ph": ph.astype(np.int64),
-                        "s_ec": np.where(ec, us, 0), "c_ec": ec.astype(np.int64)}
-                cols.update({"s0_ph": np.where(at0, cols["s_ph"], 0), "c0_ph": np.where(at0, cols["c_ph"], 0),
-                             "s0_ec": np.where(at0, cols["s_ec"], 0), "c0_ec": np.where(at0, cols["c_ec"], 0)})
-                part = pd.DataFrame(cols).groupby("slot").sum()
-                for s, row in zip(part.index.tolist(), part.to_numpy(dtype=np.int64).tolist()):
-                    v = slots.setdefault(int(s), [0] * 8)
-                    for i in range(8):
-                        v[i] += row[i]
-            ad = pdf[pdf["kind"] == "a"]
-            acts.extend(zip(ad["t_us"].astype("int64").tolist(), ad["actuator_id"].tolist()))
-        if max_seen is None:
-            return
-        acts.sort()
-        j_hi = (max_seen - o_us) // tick_us
-        out = []
-        for j in range(max(j_last + 1, 0), j_hi + 1):
-            ts = j * per_tick
-            tot = [0] * 4
-            for s in range(ts - look, ts):
-                v = slots.get(s)
-                if v:
-                    for i in range(4):
-                        tot[i] += v[i]
-            v0 = slots.get(ts)
-            if v0:
-                for i in range(4):
-                    tot[i] += v0[4 + i]
-            t_us = o_us + j * tick_us
-            last = None
-            for at, ap in acts:
-                if at <= t_us:
-                    last = (at, ap)
-                else:
-                    break
-            out.append((device, j, t_us,
-                        tot[0] / tot[1] / float(SCALE) if tot[1] else None,
-                        tot[2] / tot[3] / float(SCALE) if tot[3] else None,
-                        last[1] if last else None,
-                        (t_us - last[0]) / 1e6 if last else None))
-        j_last = max(j_last, j_hi)
-        # keep only what later ticks can still use
-        keep_from = (j_last + 1) * per_tick - look
-        slots = {s: v for s, v in slots.items() if s >= keep_from}
-        t_next = o_us + (j_last + 1) * tick_us
-        older = [a for a in acts if a[0] <= t_next]
-        acts = older[-1:] + [a for a in acts if a[0] > t_next]
-        ids = sorted(slots)
-        state.update((j_last, ids, [x for s in ids for x in slots[s]],
-                      [a[0] for a in acts], [a[1] for a in acts]))
-        if out:
-            yield pd.DataFrame(out, columns=["device_id", "j", "tick_us", "avg_ph", "avg_ec",
-                                             "last_pump", "elapsed_s"])
-    return fn
 
+def control_slots(inputs: DataFrame, p: ControlParams, delay: str) -> DataFrame:
+    """One row per (device, slot): sums of the readings, and the last completed action.
 
-def control_state_stream(inputs: DataFrame, p: ControlParams) -> DataFrame:
+    Slot s holds the times in (origin + (s - 1) * width, origin + s * width];
+    it is emitted once the watermark has passed its end.
+    """
+    o_us, g_us = _slots(p)
+    # a microsecond earlier, so that a slot's end belongs to it (windows are closed at their start)
+    rows = inputs.withColumn("at", F.timestamp_micros(F.col("t_us") - 1)).withWatermark("at", delay)
+    at_end = (F.col("t_us") - F.lit(o_us)) % F.lit(g_us) == 0
+    v = micros(F.col("value"))  # null, NaN and infinite readings count as missing
+    sums = []
+    for prefix, when in (("", F.lit(True)), ("e_", at_end)):
+        for m in ("ph", "ec"):
+            x = F.when((F.col("metric") == m) & when, v)
+            sums += [F.coalesce(F.sum(x), F.lit(0)).alias(f"{prefix}s_{m}"), F.count(x).alias(f"{prefix}c_{m}")]
+    act = F.max(F.when(F.col("kind") == "a", F.struct("t_us", "id", "actuator_id")))
+    slot = F.window("at", f"{g_us} microseconds", startTime=f"{o_us % g_us} microseconds")
+    agg = rows.groupBy(slot.alias("w"), "device_id").agg(*sums, act.alias("act"))
+    return agg.select("device_id", F.window_time("w").alias("slot_time"),
+                      ((F.unix_micros("w.end") - F.lit(o_us)) / F.lit(g_us)).cast("long").alias("slot"),
+                      *SUMS, *[f"e_{c}" for c in SUMS], F.col("act.t_us").alias("act_us"), F.col("act.actuator_id").alias("act_pump"))
+
+
+class LiveControl(StatefulProcessor):
+    """Averages and last action of one device at every tick that the watermark has passed."""
+
+    def __init__(self, p: ControlParams):
+        self.o_us, self.g_us = _slots(p)
+        self.tick_us = p.tick_s * 1_000_000
+        self.per_tick, self.look = self.tick_us // self.g_us, p.lookback_s * 1_000_000 // self.g_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("control", CONTROL_STATE)
+
+    def _load(self):
+        if not self.state.exists():
+            return 0, np.zeros(0, np.int64), np.zeros((0, 8), np.int64), [], [], []
+        j, slots, sums, act_slots, act_us, pumps = self.state.get()
+        return j, np.array(slots, np.int64), np.array(sums, np.int64).reshape(-1, 8), list(act_slots), list(act_us), list(pumps)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        j, slots, sums, act_slots, act_us, pumps = self._load()
+        new = pd.concat(list(rows)).sort_values("slot")   # a device's closed slots of this batch
+        slots = np.concatenate([slots, new["slot"].to_numpy(np.int64)])
+        sums = np.concatenate([sums, new[[*SUMS, *[f"e_{c}" for c in SUMS]]].to_numpy(np.int64)])
+        acts = new[new["act_us"].notna()]
+        act_slots += acts["slot"].tolist()
+        act_us += acts["act_us"].astype("int64").tolist()
+        pumps += acts["act_pump"].tolist()
+        yield from self._ticks(key, j, slots, sums, act_slots, act_us, pumps, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield from self._ticks(key, *self._load(), timerValues)
+
+    def _ticks(self, key, j, slots, sums, act_slots, act_us, pumps, timers):
+        passed = timers.getCurrentWatermarkInMs() * 1000
+        ticks = np.arange(j, max(j, (passed - self.o_us) // self.tick_us + 1), dtype=np.int64)
+        if len(ticks):
+            at = ticks * self.per_tick
+            total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sums[:, :4], axis=0)])
+            upto, before = np.searchsorted(slots, at, "right"), np.searchsorted(slots, at - self.look, "right")
+            got = total[upto] - total[before]
+            # a lookback is closed at both ends: readings exactly at its begin are in the slot before
+            edge = (before > 0) & (slots[before - 1] == at - self.look) if len(slots) else np.zeros(len(at), bool)
+            got[edge] += sums[before[edge] - 1, 4:]
+            last = np.searchsorted(np.array(act_slots, np.int64), at, "right") - 1
+            t_us = self.o_us + ticks * self.tick_us
+
+            def mean(s, c):
+                return [a / b / float(SCALE) if b else None for a, b in zip(s.tolist(), c.tolist())]
+            out = pd.DataFrame({"device_id": key[0], "j": ticks, "tick_us": t_us, "avg_ph": mean(got[:, 0], got[:, 1]),
+                                "avg_ec": mean(got[:, 2], got[:, 3]), "last_pump": [pumps[i] if i >= 0 else None for i in last.tolist()],
+                                "elapsed_s": [(t - act_us[i]) / 1e6 if i >= 0 else None for t, i in zip(t_us.tolist(), last.tolist())]})
+            yield out.astype({"avg_ph": "float64", "avg_ec": "float64", "elapsed_s": "float64"})
+            j = int(ticks[-1]) + 1
+        # what later ticks can still use: their lookback, and the last action before the next tick
+        keep = slots >= j * self.per_tick - self.look
+        old = max(0, int(np.searchsorted(np.array(act_slots, np.int64), j * self.per_tick, "right")) - 1)
+        self.state.update((j, slots[keep].tolist(), sums[keep].ravel().tolist(), act_slots[old:], act_us[old:], pumps[old:]))
+        self.handle.registerTimer((self.o_us + j * self.tick_us) // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def control_state_stream(inputs: DataFrame, p: ControlParams, delay: str = "1 hour") -> DataFrame:
     """Live dosing decisions per device and tick from a stream of readings and actions.
 
-    The keyed form evaluates the lock per device (a global lock would put every
-    device in one group); ticks are emitted once the device's data has passed
-    them.  The decision is the same column expression as the batch replay.
+    Rows may come in any order up to ``delay`` behind the newest one; a tick is
+    emitted once the watermark has passed it, by a timer where the device is
+    silent, and never changes.  The keyed form evaluates the lock per device (a
+    global lock would put every device in one group).  The decision is the same
+    column expression as the batch replay.  Needs the RocksDB state store.
     """
     if p.origin is None:
         raise ValueError("streaming control needs ControlParams.origin (the tick grid)")
-    rows = inputs.groupBy("device_id").applyInPandasWithState(
-        _control_fn(p), CONTROL_OUT, CONTROL_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = control_slots(inputs, p, delay).groupBy("device_id").transformWithStateInPandas(
+        LiveControl(p), CONTROL_OUT, "Append", "EventTime")
     tick = from_epoch_us(F.col("tick_us"))
     status = decision(F.col("avg_ph"), F.col("avg_ec"), F.col("elapsed_s"), F.col("last_pump"),
                       p.mixing_delay_s, p.target_ph, p.target_ec)

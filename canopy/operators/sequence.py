@@ -364,3 +364,31 @@ def trailing_sum_exact(df: DataFrame, by: Sequence[str], time_col: str, value_co
     c = F.col("__GC") - F.coalesce(F.col("__GC0"), F.lit(0))
     return j.select(*df.columns, s.alias(f"{prefix}sum"), c.alias(f"{prefix}cnt"),
                     F.when(c > 0, s / c).alias(f"{prefix}avg"))
+
+
+def range_sums(points: DataFrame, rows: DataFrame, by: Sequence[str], id_col: str, row_time: str, value_col: str,
+               windows: dict[str, tuple[Column, Column]], *, bucket_s: float = BUCKET_MAX_S) -> DataFrame:
+    """Sums and counts of an integral ``value_col`` of ``rows`` in windows around ``points``.
+
+    ``windows`` maps a name to its first and last microsecond (both included),
+    expressions over the columns of ``points``; the result has one row per
+    point with ``by``, ``id_col``, ``<name>_sum`` and ``<name>_cnt``.  A window is the difference
+    of two prefix sums, looked up as of its last microsecond and of the one
+    before its first, so a point makes two probes a window however many rows
+    lie in it.
+    """
+    by = list(by)
+    v = F.col(value_col)
+    at_once = rows.groupBy(*by, row_time).agg(F.sum(v).cast("long").alias("__v"), F.count(v).alias("__c"))
+    prefix = running_sum(at_once.withColumn("__v", F.coalesce("__v", F.lit(0).cast("long"))), by, row_time, {"__v": "__G", "__c": "__GC"}, bucket_s=bucket_s)
+    ends = [F.struct(F.lit(i).alias("w"), F.lit(sign).alias("sign"), at.alias("us"))
+            for i, (lo, hi) in enumerate(windows.values()) for sign, at in ((-1, lo - 1), (1, hi))]
+    probes = points.select(*by, id_col, F.explode(F.array(*ends)).alias("e")).select(
+        *by, id_col, "e.w", "e.sign", from_epoch_us(F.col("e.us")).alias("__probe"))
+    found = asof_join(probes, prefix.select(*by, row_time, "__G", "__GC"), by, "__probe", row_time, {"__G": "g", "__GC": "c"},
+                      matched_time=None, bucket_s=bucket_s)
+    out = []
+    for i, name in enumerate(windows):
+        for src, suffix in (("g", "sum"), ("c", "cnt")):
+            out.append(F.coalesce(F.sum(F.when(F.col("w") == i, F.col("sign") * F.col(src))), F.lit(0)).alias(f"{name}_{suffix}"))
+    return found.groupBy(*by, id_col).agg(*out)

@@ -20,7 +20,7 @@ W_I = B.with_views("image_frames")
 
 # Relational blur over pixel rows: explode, self-join four neighbours with
 # reflect-101 borders, var_pop.  Independent of the array form used by Spark.
-_BLUR_CTE = f"""
+BLUR_CTE = f"""
 , px AS (
   SELECT vec_id, CAST((i - 1) // {WIDTH} AS INT) AS r, CAST((i - 1) % {WIDTH} AS INT) AS c,
          CAST(embedding[i] AS DOUBLE) AS v, CAST(len(embedding) // {WIDTH} AS INT) AS h
@@ -37,7 +37,7 @@ image_metrics AS (
   SELECT f.sensor_name, f.ts_epoch AS timestamp, f.image_path, b.blur_score
   FROM image_frames f JOIN blur b ON f.vec_id = b.vec_id)
 """
-W_IM = W_I + _BLUR_CTE
+W_IM = W_I + BLUR_CTE
 
 
 def _score(frames: DataFrame) -> DataFrame:
@@ -54,9 +54,8 @@ def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("__blur", 6).alias("blur_score"))
 
 
-def frames_from_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Image files -> image_metrics rows (the batch form of the frame pipeline)."""
-    img = read_frames(spark, path)
+def decoded_metrics(img: DataFrame) -> DataFrame:
+    """Rows of the ``image`` source, batch or stream, as image_metrics rows; an undecodable frame scores 0.0."""
     key = key_of(F.col("image.origin"))
     return img.select(
         sensor_of(key).alias("sensor_name"), epoch_of(key).alias("timestamp"),
@@ -65,6 +64,11 @@ def frames_from_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
                        F.col("image.data")).alias("blur_score"))
 
 
+def frames_from_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Image files -> image_metrics rows (the batch form of the frame pipeline)."""
+    return decoded_metrics(read_frames(spark, path))
+
+
 @register("blur_relational", W_IM + "SELECT * FROM image_metrics")
 def blur_relational(spark, sf_dir):
     """Blur score of every frame, as column expressions (the image_metrics table)."""

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from canopy import constants as C
 from canopy.functions.gauges import limits_df, limits_sql
-from canopy.functions.numeric import exact_avg, sql_avg
+from canopy.functions.numeric import exact_avg, from_micros, micros, sql_avg
 from canopy.operators.latest import latest_per_key
 from canopy.operators.rangejoin import interval_join
-from canopy.operators.sequence import asof_join, epoch_us, floor_time, prev_row
+from canopy.operators.sequence import asof_join, epoch_us, floor_time, prev_row, range_sums
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds, ntz
@@ -255,25 +255,18 @@ LEFT JOIN (SELECT * FROM telemetry WHERE metric = 'ph') t
      AND t.time <= a.time + INTERVAL {DOSE_RESPONSE_S} SECOND
 GROUP BY a.id, a.device_id, a.actuator_id, a.time""")
 def dose_response(spark, sf_dir):
-    """Mean ph in the hour before and after every ph dose (bucketed range join)."""
+    """Mean ph in the hour before and after every ph dose, from prefix sums at the windows' ends."""
     doses = B.actuator_logs(spark, sf_dir).filter(
         (F.col("action") == "COMPLETED") & F.col("actuator_id").isin(C.PUMP_PH_MINUS, C.PUMP_PH_PLUS)) \
-        .select("id", "device_id", "actuator_id", F.col("time").alias("dose_time"))
-    win = doses.select("id", "device_id", "actuator_id", "dose_time",
-                       (F.col("dose_time") - F.make_dt_interval(secs=F.lit(DOSE_RESPONSE_S))).alias("w_start"),
-                       (F.col("dose_time") + F.make_dt_interval(secs=F.lit(DOSE_RESPONSE_S))).alias("w_end"))
-    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("device_id", "time", "value")
-    j = interval_join(ph, win, ["device_id"], "time", "w_start", "w_end", bucket_s=float(DOSE_RESPONSE_S))
-    agg = j.groupBy("id").agg(
-        exact_avg(F.when(F.col("time") < F.col("dose_time"), F.col("value"))).alias("ph_before"),
-        exact_avg(F.when(F.col("time") > F.col("dose_time"), F.col("value"))).alias("ph_after"),
-        F.count(F.when(F.col("time") < F.col("dose_time"), F.col("value"))).alias("n_before"),
-        F.count(F.when(F.col("time") > F.col("dose_time"), F.col("value"))).alias("n_after"))
-    out = doses.join(agg, "id", "left")
-    return out.select("id", "device_id", "actuator_id", F.col("dose_time").alias("time"),
-                      "ph_before", "ph_after",
-                      F.coalesce("n_before", F.lit(0).cast("long")).alias("n_before"),
-                      F.coalesce("n_after", F.lit(0).cast("long")).alias("n_after"))
+        .select("id", "device_id", "actuator_id", "time")
+    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select(
+        "device_id", F.col("time").alias("read_at"), micros(F.col("value")).alias("v"))
+    at, reach = epoch_us("time"), DOSE_RESPONSE_S * 1_000_000
+    near = range_sums(doses, ph, ["device_id"], "id", "read_at", "v", {"before": (at - reach, at - 1), "after": (at + 1, at + reach)})
+    return doses.join(near, ["device_id", "id"]).select(
+        "id", "device_id", "actuator_id", "time", from_micros(F.col("before_sum"), F.col("before_cnt")).alias("ph_before"),
+        from_micros(F.col("after_sum"), F.col("after_cnt")).alias("ph_after"),
+        F.col("before_cnt").alias("n_before"), F.col("after_cnt").alias("n_after"))
 
 
 @register("state_sync", B.with_views("actuator_logs") + f"""

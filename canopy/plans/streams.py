@@ -9,8 +9,12 @@ must reproduce.
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
+import numpy as np
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +26,12 @@ from canopy.sources import bindings as B
 from canopy.sources import landing as L
 from canopy.sources.tables import event_bounds
 from canopy.plans import modes as P
+from canopy.plans.images import BLUR_CTE, WIDTH
 from canopy.streaming import ingest as I
 from canopy.streaming import modes as Mo
 from canopy.streaming import state as S
 from canopy.streaming import windows as Wn
+from canopy.streaming.control import start_frame_pipeline
 
 # the batch queries these streams must reproduce (registered by earlier modules)
 import canopy.plans.commands  # noqa: F401,E402
@@ -207,3 +213,46 @@ def stream_minute_downsample(spark, sf_dir):
     tel = B.telemetry(spark, sf_dir).select("device_id", "metric", "time", "value")
     return _run(spark, Wn.minute_downsample_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"),
                 work)
+
+
+GREY_STEP = 40         # grey levels per unit of an embedding's value
+CORRUPT_EVERY = 50     # every 50th frame file is no image
+
+_GREY_SQL = f"""
+, image_frames AS (
+  SELECT vec_id, sensor_name, ts_epoch, replace(image_path, '.jpg', '.png') AS image_path,
+         [least(255e0, greatest(0e0, floor(128e0 + {GREY_STEP}e0 * CAST(x AS DOUBLE) + 5e-1))) FOR x IN embedding] AS embedding
+  FROM frames)"""
+
+
+def _frame_files(frames: DataFrame, path: str) -> None:
+    """Write ``frames`` as 8-bit grey PNG files named by their keys, each task its own rows."""
+    def write(rows):
+        fs, root = pa_fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(root)
+        for r in rows:
+            grey = np.clip(np.floor(128.0 + GREY_STEP * np.asarray(r.embedding, dtype=np.float64) + 0.5), 0, 255).astype(np.uint8).reshape(-1, WIDTH)
+
+            def chunk(tag, data):
+                return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+            png = (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(grey), 8, 0, 0, 0, 0))
+                   + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + line.tobytes() for line in grey))) + chunk(b"IEND", b""))
+            with fs.open_output_stream(f"{root}/{r.image_path.replace('.jpg', '.png')}") as f:
+                f.write(b"no image" if r.vec_id % CORRUPT_EVERY == 0 else png)
+
+    frames.select("vec_id", "image_path", "embedding").foreachPartition(write)
+
+
+@register("stream_image_metrics", "WITH frames AS (\n" + B.VIEW_SQL["image_frames"] + ")" + _GREY_SQL + BLUR_CTE.replace("round(var_pop(lap), 6)", """
+  CASE WHEN vec_id % 50 = 0 THEN 0e0 ELSE round(var_pop(lap), 6) END""") + "SELECT sensor_name, timestamp, image_path, blur_score FROM image_metrics",
+          kind="stream")
+def stream_image_metrics(spark, sf_dir):
+    """Frame files decoded and scored in a stream, read back from the image_metrics table."""
+    work = _workdir(spark, "frames")
+    _frame_files(B.image_frames(spark, sf_dir), f"{work}/files")
+    q = start_frame_pipeline(spark, f"{work}/files", f"{work}/tables", name=f"frames-{work.rsplit('-', 1)[-1]}")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{work}/tables/image_metrics").select(
+        "sensor_name", "timestamp", "image_path", F.round("blur_score", 6).alias("blur_score"))

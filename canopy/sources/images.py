@@ -29,6 +29,15 @@ def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "false").load(path)
 
 
+IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def stream_frames(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """New files under ``path`` as a stream, decoded on the executors; undecodable ones as in :func:`read_frames`."""
+    return (spark.readStream.format("image").schema(IMAGE_SCHEMA).option("dropInvalid", "false")
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
+
+
 def read_frame_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Raw bytes of frames (``binaryFile``), for sinks that keep the original JPEG."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

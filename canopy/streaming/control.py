@@ -5,9 +5,9 @@ a ``rate`` source is the clock, and every micro-batch evaluates the decision
 for the newest tick of the stored telemetry and actuator tables (set-based,
 all devices at once) and appends the decisions, replay-safe per batch id.
 
-``start_frame_pipeline`` picks up new frame files (``binaryFile`` stream for
-the file list), decodes them with Spark's ``image`` source, scores blur and
-appends ``image_metrics`` rows.
+``start_frame_pipeline`` streams new frame files through Spark's ``image``
+source, which decodes on the executors, scores blur and appends
+``image_metrics`` rows; no file name passes the driver's Python.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from canopy.plans.control import ControlParams, control_replay
-from canopy.plans.images import frames_from_files
+from canopy.plans.images import decoded_metrics
 from canopy.session import shared_dir
+from canopy.sources.images import stream_frames
 from canopy.sources.sinks import append_idempotent, time_range_filter
 
 
@@ -61,20 +62,13 @@ def start_periodic_control(spark: SparkSession, tables_dir: str, out_dir: str, p
 def start_frame_pipeline(spark: SparkSession, frames_dir: str, out_dir: str,
                          name: str = "frames", available_now: bool = True,
                          max_files_per_trigger: int = 1000) -> StreamingQuery:
-    files = (spark.readStream.format("binaryFile")
-             .schema("path string, modificationTime timestamp, length long, content binary")
-             .option("pathGlobFilter", "*.*").option("maxFilesPerTrigger", max_files_per_trigger)
-             .load(frames_dir).select("path"))
+    """Score new frame files and append them to the ``image_metrics`` table, replay-safe per batch id."""
+    rows = decoded_metrics(stream_frames(spark, frames_dir, max_files_per_trigger))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # the image reader takes file names: at most max_files_per_trigger of them per batch
-        paths = [r.path for r in batch.collect()]
-        if not paths:
-            return
-        rows = frames_from_files(spark, paths)
-        append_idempotent(rows, f"{out_dir}/image_metrics", batch_id, partition_cols=())
-
-    w = (files.writeStream.queryName(name)
+        append_idempotent(batch, f"{out_dir}/image_metrics", batch_id, partition_cols=())
+
+    w = (rows.writeStream.queryName(name)
          .option("checkpointLocation", f"{shared_dir(spark)}/{name}").foreachBatch(run))
     if available_now:
         w = w.trigger(availableNow=True)

@@ -62,6 +62,16 @@ def _bucket(t_us: Column, width_us: int) -> Column:
     return F.floor(t_us / F.lit(width_us)).cast("long")
 
 
+def _dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A union's rows dealt by (key, bucket): the exchange its window needs, asked for by name.
+
+    Spark 4.1 may take a union of inputs that are already dealt by the key as
+    dealt itself (``spark.sql.unionOutputPartitioning``) and leave the exchange
+    out; as-of rows of such inputs then lost their matches.
+    """
+    return rows.repartition(*by, "__b")
+
+
 # Target rows of the hottest key per (key, bucket) partition, and the width bounds.
 BUCKET_TARGET_ROWS = 1_000_000
 BUCKET_MIN_S = 60.0
@@ -140,14 +150,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
                .withColumn("__b", _bucket(F.col("__t"), width)))
 
     # (1) last right row per (key, bucket), plus the buckets that hold left rows
-    marks = lft.select(*by, "__b", F.lit(None).cast(r.schema["__p"].dataType).alias("__p"),
-                       F.lit(None).cast("long").alias("__t"), F.lit(None).cast("double").alias("__o"),
-                       F.lit(1).alias("__hasleft"))
-    rr = r.select(*by, "__b", "__p", "__t", "__o", F.lit(0).alias("__hasleft"))
-    summary = (rr.unionByName(marks)
-               .groupBy(*by, "__b")
-               .agg(F.max_by("__p", F.struct("__t", "__o")).alias("__last"),
-                    F.max("__hasleft").alias("__hasleft")))
+    marks = lft.select(*by, "__b").distinct().select(
+        *by, "__b", F.lit(None).cast(r.schema["__p"].dataType).alias("__last"), F.lit(1).alias("__hasleft"))
+    lasts = r.groupBy(*by, "__b").agg(F.max_by("__p", F.struct("__t", "__o")).alias("__last")).withColumn("__hasleft", F.lit(0))
+    summary = (_dealt(lasts.unionByName(marks), by).groupBy(*by, "__b")
+               .agg(F.first("__last", ignorenulls=True).alias("__last"), F.max("__hasleft").alias("__hasleft")))
     # (2) carry-in: the last right row of any earlier bucket of the key
     wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
     carry = (summary.withColumn("__carry", F.last("__last", ignorenulls=True).over(wk))
@@ -169,7 +176,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
                    .unionByName(crows, allowMissingColumns=True)
     wb = (Window.partitionBy(*by, "__b").orderBy("__t", "__rank", "__o")
           .rowsBetween(_UNB, Window.currentRow))
-    out = (allrows.withColumn("__m", F.last("__p", ignorenulls=True).over(wb))
+    out = (_dealt(allrows, by).withColumn("__m", F.last("__p", ignorenulls=True).over(wb))
            .filter(F.col("__isleft")))
     if tolerance_s is not None and matched_time:
         far = F.abs(epoch_us(F.col(f"__m.{matched_time}")) - epoch_us(left_time)) > _us(tolerance_s)
@@ -210,7 +217,7 @@ def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, st
     rows = base.withColumn("__real", F.lit(True))
     allrows = rows.unionByName(carry, allowMissingColumns=True)
     wb = Window.partitionBy(*by, "__b").orderBy("__t", "__o")
-    out = allrows.withColumn("__m", F.lag("__p", 1).over(wb)).filter(F.col("__real"))
+    out = _dealt(allrows, by).withColumn("__m", F.lag("__p", 1).over(wb)).filter(F.col("__real"))
     return out.select(*df.columns, *[F.col(f"__m.{d}").alias(d) for d in cols.values()])
 
 
@@ -283,7 +290,7 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
         F.lit(0).alias("__hasleft"))
     marks = lft.select(*by, "__b").distinct().select(
         *by, "__b", *[F.lit(None).cast(types[n]).alias(n) for n in names], F.lit(1).alias("__hasleft"))
-    summary = summary_r.unionByName(marks).groupBy(*by, "__b").agg(
+    summary = _dealt(summary_r.unionByName(marks), by).groupBy(*by, "__b").agg(
         *[F.first(n, ignorenulls=True).alias(n) for n in names], F.max("__hasleft").alias("__hasleft"))
     wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
     carry = summary.select(*by, "__b", "__hasleft",
@@ -298,7 +305,7 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
     allrows = lrows.unionByName(rrows, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
     wb = (Window.partitionBy(*by, "__b").orderBy("__t", "__rank", "__o")
           .rowsBetween(_UNB, Window.currentRow))
-    out = allrows.select(*left_cols, "__isleft",
+    out = _dealt(allrows, by).select(*left_cols, "__isleft",
                          *[F.last(n, ignorenulls=True).over(wb).alias(n) for n in names])
     return out.filter(F.col("__isleft")).select(*left_cols, *names)
 
@@ -329,7 +336,7 @@ def running_sum(df: DataFrame, by: Sequence[str], time_col: str, value_cols: dic
                           F.lit(False).alias("__real"))
     allrows = base.unionByName(carry, allowMissingColumns=True)
     wb = Window.partitionBy(*by, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    out = allrows.select(*df.columns, "__real", *[F.sum(src).over(wb).alias(dst) for src, dst in value_cols.items()])
+    out = _dealt(allrows, by).select(*df.columns, "__real", *[F.sum(src).over(wb).alias(dst) for src, dst in value_cols.items()])
     return out.filter(F.col("__real")).drop("__real")
 
 

@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # a union of co-partitioned inputs is dealt anew before a window or aggregate: without it as-of rows lost matches
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

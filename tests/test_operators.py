@@ -158,3 +158,57 @@ def test_auto_bucket_bounds_hot_key_partitions(spark):
     groups = df.groupBy("k", _bucket(epoch_us("t"), _us(width)).alias("b")).count()
     biggest = groups.agg(F.max("count")).first()[0]
     assert hot > 10000 and biggest <= 2 * 500, (hot, biggest)
+
+
+def test_greedy_spacing_equals_a_sequential_scan(spark):
+    """Sparse keys, a dense one that never pauses, ties; arrays and pointer doubling."""
+    import random
+    from canopy.operators.spacing import greedy_min_gap
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, i, t0 + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(
+        [("dense", 7 * j) for j in range(300)] + [(rng.choice("ab"), rng.randint(0, 40000)) for _ in range(150)] + [("a", 500)] * 3)]
+    want, last = [], {}
+    for k, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if k not in last or t - last[k] >= dt.timedelta(seconds=60):
+            want.append(i)
+            last[k] = t
+    df = spark.createDataFrame(rows, "key string, id long, time timestamp_ntz")
+    for piece_rows in (1000, 20):   # 20: the dense key goes by doubling
+        got = greedy_min_gap(df, ["key"], "time", "id", 60, 50000, bucket_s=600, piece_rows=piece_rows)
+        assert sorted(r.id for r in got.collect()) == sorted(want) and got.columns == df.columns
+    assert greedy_min_gap(df.limit(0), ["key"], "time", "id", 60, 0).count() == 0
+
+
+def test_range_sums_equal_a_nested_loop(spark):
+    import random
+    from canopy.operators.sequence import epoch_us, range_sums
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", "hot", "hot", "hot"]), t0 + dt.timedelta(seconds=rng.randint(0, 3000)), rng.choice([None, *range(-50, 50)])) for _ in range(600)]
+    points = [(rng.choice(["a", "hot", "none"]), i, t0 + dt.timedelta(seconds=rng.randint(-100, 3200))) for i in range(80)]
+    r = spark.createDataFrame(rows, "key string, at timestamp_ntz, v long")
+    p = spark.createDataFrame(points, "key string, id long, time timestamp_ntz")
+    t, reach = epoch_us("time"), 200 * 1_000_000
+    got = {x.id: tuple(x[2:]) for x in range_sums(p, r, ["key"], "id", "at", "v", {"b": (t - reach, t - 1), "a": (t + 1, t + reach)}, bucket_s=500).collect()}
+    d = dt.timedelta(seconds=200)
+    for k, i, at in points:
+        b = [v for q, x, v in rows if q == k and at - d <= x < at and v is not None]
+        a = [v for q, x, v in rows if q == k and at < x <= at + d and v is not None]
+        assert got[i] == (sum(b), len(b), sum(a), len(a))
+
+
+def test_asof_of_rows_already_dealt_by_the_key(spark):
+    """Inputs that a join has partitioned by the key keep their matches, whatever Spark makes of the union."""
+    rows = spark.createDataFrame([("a", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i)) for i in range(300)],
+                                 "key string, id long, time timestamp_ntz").repartition(3).checkpoint()
+    dealt = rows.join(rows.groupBy("key").count().where("count > 20"), "key", "left_semi")
+    old = spark.conf.get("spark.sql.unionOutputPartitioning")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    try:
+        probe = dealt.withColumn("probe", F.col("time") + F.expr("INTERVAL 60 SECONDS"))
+        right = dealt.select("key", F.col("id").alias("nid"), F.col("time").alias("nt"))
+        got = asof_join(probe, right, ["key"], "probe", "nt", {"nid": "nid"}, direction="forward", matched_time=None, bucket_s=600)
+        assert {r.id: r.nid for r in got.collect()} == {i: i + 9 if i + 9 < 300 else None for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", old)

@@ -55,27 +55,83 @@ def test_hourly_trend_stream_append(spark):
         assert e[(r.hour_start, r.metric)] == r.avg_value
 
 
-def test_control_state_equals_batch_replay(spark):
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _arrivals(spark, df, build, late_us, seed, batches=4):
+    """Rows of ``build(stream)`` over ``df`` in ``batches`` micro-batches, each row up to ``late_us`` after its time."""
+    src = tempfile.mkdtemp(prefix="canopy-arr-")
+    rows = df.withColumn("__a", F.col("t_us") + F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(late_us)))
+    lo, hi = rows.agg(F.min("__a"), F.max("__a")).first()
+    for k in range(batches):
+        part = F.floor((F.col("__a") - lo) * batches / (hi - lo + 1))
+        rows.where(part == k).drop("__a").orderBy(F.xxhash64(*df.columns, F.lit(seed + 1))).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = "arr_" + src.rsplit("-", 1)[-1].replace("-", "_")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        q = (build(stream).writeStream.format("memory").queryName(name).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert q.exception() is None and len([x for x in q.recentProgress if x["numInputRows"]]) >= 3
+    return spark.table(name)
+
+
+def test_control_state_equals_batch_replay_in_any_order(spark):
     from canopy.sources.tables import event_bounds
-    lo, _ = event_bounds(spark, SF)
+    lo, hi = event_bounds(spark, SF)
     p = ControlParams(per_device_lock=True, origin=lo.replace(minute=0, second=0, microsecond=0))
     tel, act = B.telemetry(spark, SF), B.actuator_logs(spark, SF)
-    src = tempfile.mkdtemp(prefix="canopy-ctl-")
-    S.control_inputs(tel, act).write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    name = "ctl_" + src.rsplit("-", 1)[-1].replace("-", "_")
-    q = (S.control_state_stream(stream, p).writeStream.format("memory").queryName(name)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = spark.table(name)
-    # the batch replay restricted to ticks each device's data has reached
-    last = S.control_inputs(tel, act).groupBy("device_id").agg(F.max("t_us").alias("mx"))
-    batch = control_replay(spark, SF, p).join(last, "device_id") \
-        .filter(F.unix_micros(F.col("tick").cast("timestamp")) <= F.col("mx")).drop("mx")
+    inputs = S.control_inputs(tel, act).coalesce(1)
+    late = 3 * 3600
     cols = ["device_id", "tick", "status", "avg_ph", "avg_ec", "last_pump", "elapsed_s"]
-    assert got.count() > 0
-    assert _rows(got, cols) == _rows(batch, cols)
+    passed = inputs.agg(F.max("t_us")).first()[0] - late * 1_000_000
+    batch = _rows(control_replay(spark, SF, p).where(F.unix_micros(F.col("tick").cast("timestamp")) <= passed), cols)
+    for seed in (1, 2):
+        got = _arrivals(spark, inputs, lambda s: S.control_state_stream(s, p, delay=f"{late} seconds"), late * 1_000_000, seed)
+        assert _rows(got, cols) == batch and len(batch) > 1000
+
+
+def test_mode_stream_equals_batch_in_any_order(spark):
+    from canopy.plans import modes as P
+    from canopy.streaming import modes as Mo
+    sig = P.bound_signals(spark, SF).coalesce(1)
+    late = 2 * 3600
+    last = sig.agg(F.max("t_us")).first()[0]
+    cols = ["device_id", "t_us", "mode", "previous"]
+    us = F.unix_micros(F.col("time").cast("timestamp")).alias("t_us")
+    batch = P.transitions(sig, last).select("device_id", us, "mode", "previous")
+    closed = (F.floor(F.col("t_us") / 60_000_000) + 1) * 60_000_000
+    want = [tuple(map(str, r)) for r in _rows_str(batch.where(closed <= last - late * 1_000_000), cols)]
+    for seed in (1, 2):
+        got = _arrivals(spark, sig, lambda s: Mo.mode_stream(s, delay=f"{late} seconds"), late * 1_000_000, seed)
+        assert [tuple(map(str, r)) for r in _rows_str(got.select("device_id", us, "mode", "previous"), cols)] == want
+    assert {r[2] for r in want} == {"NORMAL", "DEGRADED", "SAFETY", "MAINTENANCE"}
+
+
+def _rows_str(df, cols):
+    return sorted(df.select(*cols).collect(), key=str)
+
+
+def test_mode_rules(spark):
+    """Silence over 5 minutes, faults until acknowledged, manual maintenance, ties of one instant."""
+    from canopy.plans import modes as P
+    s = 1_000_000
+    sig = [("a", 0, True, None), ("a", 300 * s, True, None), ("a", 601 * s, True, None),           # 300 s is no silence, 301 s is one
+           ("a", 700 * s, True, "FAULT"), ("a", 800 * s, False, "ON"), ("a", 900 * s, False, "ACK"), ("a", 950 * s, True, None),
+           ("a", 1000 * s, False, "OFF"), ("a", 1000 * s, False, "FAULT"), ("a", 1000 * s, False, "ACK"),
+           ("b", 5 * s, False, "ON"), (None, 7 * s, True, None)]
+    df = spark.createDataFrame(sig, "device_id string, t_us long, seen boolean, what string")
+    got = P.transitions(df, 1500 * s).select("device_id", (F.unix_micros(F.col("time").cast("timestamp")) / s).cast("int").alias("t"), "mode").collect()
+    assert [(r.t, r.mode) for r in sorted((r for r in got if r.device_id == "a"), key=lambda r: r.t)] == [
+        (0, "NORMAL"), (600, "DEGRADED"), (601, "NORMAL"), (700, "SAFETY"), (900, "MAINTENANCE"), (1000, "SAFETY")]
+    assert [(r.t, r.mode) for r in got if r.device_id == "b"] == [(5, "MAINTENANCE")]
+    assert sorted((r.t, r.mode) for r in got if r.device_id is None) == [(7, "NORMAL"), (307, "DEGRADED")]
+    bad = spark.createDataFrame([("ph", 4.0), ("ph", 4.01), ("ph", 1.0), ("water_temp", 40.0), ("ec", float("nan")), ("other", 9e9), ("ph", None)],
+                                "metric string, value double")
+    assert [r.b for r in bad.select(P.beyond_tolerance(F.col("metric"), F.col("value")).alias("b")).collect()] == [True, False, True, True, True, False, False]
 
 
 def test_ack_join_stream_matches_batch(spark):

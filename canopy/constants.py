@@ -102,6 +102,3 @@ LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
 # id is the second '_'-separated part of the device id (whole id otherwise).
 TOPIC_PREFIX = "site"
 COMMAND_ACTION = "PULSE"
-
-# Physically possible sensor ranges (readings outside are faults, not data).
-PHYSICAL_LIMITS = {"ph": (0.0, 14.0), "ec": (0.0, 10.0), "water_temp": (0.0, 40.0)}

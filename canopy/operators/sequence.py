@@ -10,10 +10,10 @@ per-(key, bucket) summary: one row per bucket, independent of data volume.
 * :func:`prev_row`      -- previous (or next) row of the same key (lag/lead)
 * :func:`trailing_agg`  -- sum/count/avg over ``[t - lookback, t]`` per row
 
-All of them are exact.  The bucket width only trades shuffle granularity
-against summary size; it never changes results.  By default it is sized from
-the data (:func:`auto_bucket_s`) so the hottest key splits into partitions of
-about a million rows.
+All of them are exact.  Buckets only trade shuffle granularity against summary
+size; they never change results.  By default a key of more than a million rows
+is cut at quantiles of its rows' times (:func:`_bucketing`), as part of the
+same plan.
 """
 
 from __future__ import annotations
@@ -72,20 +72,20 @@ def _dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.repartition(*by, "__b")
 
 
-# Target rows of the hottest key per (key, bucket) partition, and the width bounds.
+# Target rows of a (key, bucket) partition, and the most pieces a key is cut into.
 BUCKET_TARGET_ROWS = 1_000_000
+MAX_PIECES = 1024
 BUCKET_MIN_S = 60.0
 BUCKET_MAX_S = 7 * 86400.0
+_FIRST = -(1 << 63)          # before every time: where a bucket's carry row stands
 
 
 def auto_bucket_s(frames: Sequence[tuple[DataFrame, str]], by: Sequence[str],
                   target_rows: int = BUCKET_TARGET_ROWS) -> float:
-    """Bucket width that splits the hottest key into ~``target_rows`` pieces.
+    """Bucket width that splits the hottest key into ~``target_rows`` pieces, if its rows spread over the span.
 
-    One aggregation over (key, time) of all inputs -- per-key counts are
-    combined map-side -- and three scalars to the driver: rows of the hottest
-    key and the overall time span.  Assumes the hot key's rows spread over the
-    span; the width never changes results, only partition sizes.
+    One aggregation, run at once, and three scalars to the driver; only the
+    trailing aggregates use it, whose copies need one width for all keys.
     """
     by = list(by)
     parts = [df.select(*by, epoch_us(t).alias("__t")) for df, t in frames]
@@ -102,6 +102,46 @@ def auto_bucket_s(frames: Sequence[tuple[DataFrame, str]], by: Sequence[str],
     return float(min(BUCKET_MAX_S, max(BUCKET_MIN_S, span_s / pieces)))
 
 
+def _bucketing(frames: Sequence[DataFrame], by: Sequence[str], bucket_s: float | None, target_rows: int = BUCKET_TARGET_ROWS):
+    """A function that adds ``__b`` to rows with ``__t`` (microseconds): their place among their key's borders.
+
+    With ``bucket_s`` borders lie that far apart.  Without, a key of more than
+    ``target_rows`` rows (of all ``frames`` together) is cut at quantiles of
+    their times, so a burst is split however short it is; no job runs before
+    the plan's own.  Keys with fewer rows have one bucket and no border.
+    """
+    by = list(by)
+    if bucket_s is not None:
+        width = _us(bucket_s)
+        return lambda df: df.withColumn("__b", _bucket(F.col("__t"), width))
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    times = frames[0].select(*keys, "__t")
+    for f in frames[1:]:
+        times = times.unionByName(f.select(*keys, "__t"))
+    shares = F.array(*[F.lit(i / MAX_PIECES) for i in range(1, MAX_PIECES)])
+    n = F.count("__t")
+    per_key = times.groupBy(*[f"__k{i}" for i in range(len(by))]).agg(n.alias("__n"), F.percentile_approx("__t", shares, 10_000).alias("__q"))
+    pieces = F.least(F.lit(MAX_PIECES), F.ceil(F.col("__n") / F.lit(target_rows))).cast("int")
+    # every (MAX_PIECES / pieces)th quantile, and of equal ones one
+    places = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.get(F.col("__q"), F.floor(i * MAX_PIECES / pieces).cast("int") - 1))
+    hot = per_key.where(F.col("__n") > target_rows).select(*[f"__k{i}" for i in range(len(by))], F.array_distinct(places).alias("__borders"))
+
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_PIECES.bit_length()))])
+
+    def add(df: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for i, k in enumerate(by):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        # at most one border for every target_rows rows of the input: small at any size
+        known = df.join(F.broadcast(hot), same, "left") if by else df.withColumn("__borders", hot.scalar())
+        place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+            F.coalesce((at + s <= F.size("__borders")) & (F.get("__borders", at + s - 1) < F.col("__t")), F.lit(False)), at + s).otherwise(at))
+        return known.withColumn("__b", F.when(F.col("__borders").isNull(), F.lit(0)).otherwise(place).cast("long")).drop(
+            "__borders", *[f"__k{i}" for i in range(len(by))])
+
+    return add
+
+
 # ---------------------------------------------------------------------------
 # as-of join
 # ---------------------------------------------------------------------------
@@ -110,7 +150,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
               right_time: str, right_cols: dict[str, str], *, bucket_s: float | None = None,
               allow_exact: bool = True, tolerance_s: float | None = None,
               right_order: str | None = None, matched_time: str | None = "asof_time",
-              direction: str = "backward") -> DataFrame:
+              direction: str = "backward", target_rows: int = BUCKET_TARGET_ROWS) -> DataFrame:
     """Left as-of join.
 
     For every ``left`` row, attach ``right_cols`` ({right column: output name})
@@ -127,9 +167,6 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     """
     by = list(by)
     sign = 1 if direction == "backward" else -1
-    if bucket_s is None:
-        bucket_s = auto_bucket_s([(left, left_time), (right, right_time)], by)
-    width = _us(bucket_s)
     payload_fields = [F.col(src).alias(dst) for src, dst in right_cols.items()]
     if matched_time:
         payload_fields.append(F.col(right_time).alias(matched_time))
@@ -143,11 +180,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
                      (epoch_us(right_time) * sign).alias("__t"),
                      r_ord.alias("__o"),
                      F.struct(*payload_fields).alias("__p"))
-    r = r.withColumn("__b", _bucket(F.col("__t"), width))
-
     left_cols = left.columns
-    lft = (left.withColumn("__t", epoch_us(left_time) * sign)
-               .withColumn("__b", _bucket(F.col("__t"), width)))
+    lft = left.withColumn("__t", epoch_us(left_time) * sign)
+    bucketed = _bucketing([lft, r], by, bucket_s, target_rows)
+    r, lft = bucketed(r), bucketed(lft)
 
     # (1) last right row per (key, bucket), plus the buckets that hold left rows
     marks = lft.select(*by, "__b").distinct().select(
@@ -160,7 +196,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     carry = (summary.withColumn("__carry", F.last("__last", ignorenulls=True).over(wk))
              .filter(F.col("__hasleft") == 1)
              .select(*by, "__b",
-                     (F.col("__b") * F.lit(width) - 1).alias("__t"),
+                     F.lit(_FIRST).alias("__t"),
                      F.lit(-1).alias("__rank"), F.lit(0.0).alias("__o"),
                      F.col("__carry").alias("__p")))
 
@@ -190,7 +226,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
 def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, str], *,
              bucket_s: float | None = None, order_col: str | None = None,
-             direction: str = "prev") -> DataFrame:
+             direction: str = "prev", target_rows: int = BUCKET_TARGET_ROWS) -> DataFrame:
     """``lag`` (or ``lead`` with ``direction="next"``) of ``cols`` within ``by``
     ordered by ``(time_col, order_col)``, computed on (key, bucket) partitions.
 
@@ -199,19 +235,14 @@ def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, st
     """
     by = list(by)
     sign = 1 if direction == "prev" else -1
-    if bucket_s is None:
-        bucket_s = auto_bucket_s([(df, time_col)], by)
-    width = _us(bucket_s)
     o = (F.col(order_col).cast("double") * sign) if order_col else F.lit(0.0)
     payload = F.struct(*[F.col(s).alias(d) for s, d in cols.items()])
-    base = (df.withColumn("__t", epoch_us(time_col) * sign)
-              .withColumn("__o", o)
-              .withColumn("__b", _bucket(F.col("__t"), width))
-              .withColumn("__p", payload))
+    base = df.withColumn("__t", epoch_us(time_col) * sign).withColumn("__o", o).withColumn("__p", payload)
+    base = _bucketing([base], by, bucket_s, target_rows)(base)
     summary = base.groupBy(*by, "__b").agg(F.max_by("__p", F.struct("__t", "__o")).alias("__last"))
     wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
     carry = (summary.withColumn("__carry", F.last("__last", ignorenulls=True).over(wk))
-             .select(*by, "__b", (F.col("__b") * F.lit(width) - 1).alias("__t"),
+             .select(*by, "__b", F.lit(_FIRST).alias("__t"),
                      F.lit(0.0).alias("__o"), F.col("__carry").alias("__p"),
                      F.lit(False).alias("__real")))
     rows = base.withColumn("__real", F.lit(True))
@@ -261,7 +292,7 @@ def trailing_agg(df: DataFrame, by: Sequence[str], time_col: str, value_col: str
 
 def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                      right_time: str, cols: dict[str, str], *, bucket_s: float | None = None,
-                     right_order: str | None = None) -> DataFrame:
+                     right_order: str | None = None, target_rows: int = BUCKET_TARGET_ROWS) -> DataFrame:
     """For every left row and every ``cols`` entry, the last non-null value of that
     right column at or before ``left_time`` (same ``by`` key).
 
@@ -271,17 +302,14 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
     with one ``last(ignorenulls)`` and one ``max_by`` per column.
     """
     by = list(by)
-    if bucket_s is None:
-        bucket_s = auto_bucket_s([(left, left_time), (right, right_time)], by)
-    width = _us(bucket_s)
     names = list(cols.values())
     r_ord = F.col(right_order).cast("double") if right_order else F.lit(0.0)
     r = right.select(*by, epoch_us(right_time).alias("__t"), r_ord.alias("__o"),
                      *[F.col(src).alias(dst) for src, dst in cols.items()])
-    r = r.withColumn("__b", _bucket(F.col("__t"), width))
     left_cols = left.columns
-    lft = (left.withColumn("__t", epoch_us(left_time))
-               .withColumn("__b", _bucket(F.col("__t"), width)))
+    lft = left.withColumn("__t", epoch_us(left_time))
+    bucketed = _bucketing([lft, r], by, bucket_s, target_rows)
+    r, lft = bucketed(r), bucketed(lft)
     types = {n: r.schema[n].dataType for n in names}
 
     ordk = F.struct("__t", "__o")
@@ -296,7 +324,7 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
     carry = summary.select(*by, "__b", "__hasleft",
                            *[F.last(n, ignorenulls=True).over(wk).alias(n) for n in names]) \
         .filter(F.col("__hasleft") == 1) \
-        .select(*by, "__b", (F.col("__b") * F.lit(width) - 1).alias("__t"), F.lit(-1).alias("__rank"),
+        .select(*by, "__b", F.lit(_FIRST).alias("__t"), F.lit(-1).alias("__rank"),
                 F.lit(0.0).alias("__o"), *names, F.lit(False).alias("__isleft"))
     lrows = lft.select(*left_cols, "__b", "__t", F.lit(1).alias("__rank"), F.lit(0.0).alias("__o"),
                        F.lit(True).alias("__isleft"))
@@ -315,7 +343,7 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
 # ---------------------------------------------------------------------------
 
 def running_sum(df: DataFrame, by: Sequence[str], time_col: str, value_cols: dict[str, str], *,
-                bucket_s: float | None = None) -> DataFrame:
+                bucket_s: float | None = None, target_rows: int = BUCKET_TARGET_ROWS) -> DataFrame:
     """Per row: cumulative sums of ``value_cols`` ({source: output}) over all rows of
     the key with time <= the row's time (peers included), on (key, bucket) partitions.
 
@@ -323,15 +351,11 @@ def running_sum(df: DataFrame, by: Sequence[str], time_col: str, value_cols: dic
     buckets (a running sum over the small per-bucket table).
     """
     by = list(by)
-    if bucket_s is None:
-        bucket_s = auto_bucket_s([(df, time_col)], by)
-    width = _us(bucket_s)
-    base = (df.withColumn("__t", epoch_us(time_col))
-              .withColumn("__b", _bucket(F.col("__t"), width))
-              .withColumn("__real", F.lit(True)))
+    base = df.withColumn("__t", epoch_us(time_col))
+    base = _bucketing([base], by, bucket_s, target_rows)(base).withColumn("__real", F.lit(True))
     totals = base.groupBy(*by, "__b").agg(*[F.sum(src).alias(src) for src in value_cols])
     wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
-    carry = totals.select(*by, "__b", (F.col("__b") * F.lit(width) - 1).alias("__t"),
+    carry = totals.select(*by, "__b", F.lit(_FIRST).alias("__t"),
                           *[F.coalesce(F.sum(src).over(wk), F.lit(0)).alias(src) for src in value_cols],
                           F.lit(False).alias("__real"))
     allrows = base.unionByName(carry, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from canopy.operators.latest import latest_per_key, top1
 from canopy.operators.sequence import prev_row, trailing_sum_exact
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
+from canopy.sources.tables import as_of
 
 W_A = B.with_views("actuator_logs")
 RATE_WINDOW_S = 3600          # rolling window of the dose rate limit
@@ -141,21 +142,40 @@ def dose_rate_limit(spark, sf_dir):
                     (F.col("w_sum") > RATE_LIMIT_MS).alias("refused"))
 
 
-@register("tank_forecast", W_A + f"""
-, daily AS (
-  SELECT actuator_id, CAST(time AS DATE) AS day, sum(duration_ms) AS ms
-  FROM actuator_logs WHERE action = 'COMPLETED' GROUP BY actuator_id, CAST(time AS DATE))
-SELECT actuator_id, CAST(sum(ms) AS DOUBLE) / count(*) AS ms_per_day,
-  {TANK_CAPACITY_MS}e0 / (CAST(sum(ms) AS DOUBLE) / count(*)) AS days_per_tank
-FROM daily GROUP BY actuator_id""")
+@register("tank_forecast", B.with_views("actuator_logs", "tank_refills") + f"""
+, done AS (SELECT * FROM actuator_logs WHERE action = 'COMPLETED'),
+filled AS (SELECT actuator_id, max(time) AS refilled FROM tank_refills GROUP BY actuator_id),
+used AS (
+  SELECT d.actuator_id, any_value(f.refilled) AS refilled, CAST(coalesce(sum(d.duration_ms), 0) AS BIGINT) AS total_ms,
+         CAST(coalesce(sum(d.duration_ms) FILTER (WHERE f.refilled IS NULL OR d.time > f.refilled), 0) AS BIGINT) AS used_ms,
+         date_diff('day', CAST(min(d.time) AS DATE), CAST((SELECT max(ts) FROM events) AS DATE)) + 1 AS days
+  FROM done d LEFT JOIN filled f ON d.actuator_id = f.actuator_id GROUP BY d.actuator_id)
+SELECT actuator_id, refilled, greatest({TANK_CAPACITY_MS} - used_ms, 0) AS left_ms, CAST(total_ms AS DOUBLE) / days AS ms_per_day,
+       CASE WHEN total_ms > 0 THEN greatest({TANK_CAPACITY_MS} - used_ms, 0) / (CAST(total_ms AS DOUBLE) / days) END AS days_left
+FROM used""")
 def tank_forecast(spark, sf_dir):
-    """Mean daily pumping per pump and the days one tank lasts at that rate."""
-    daily = (completed(spark, sf_dir)
-             .groupBy("actuator_id", F.to_date("time").alias("day"))
-             .agg(F.sum("duration_ms").alias("ms")))
-    rate = F.sum("ms") / F.count(F.lit(1))
-    return daily.groupBy("actuator_id").agg(
-        rate.alias("ms_per_day"), (F.lit(float(TANK_CAPACITY_MS)) / rate).alias("days_per_tank"))
+    """What is left in each pump's tank since its last refill, and the days until it is empty."""
+    return forecast(completed(spark, sf_dir), B.tank_refills(spark, sf_dir), as_of(spark, sf_dir))
+
+
+def forecast(doses, refills, now, capacity_ms: int = TANK_CAPACITY_MS):
+    """Level and days until empty per pump at ``now``.
+
+    A refill fills a tank up, so only doses after the last one count against
+    it; the rate is the mean over all days from the first dose to ``now``,
+    days without a dose included.  A tank can't hold less than nothing; a pump
+    that never dosed for any time has no forecast.
+    """
+    last = refills.groupBy("actuator_id").agg(F.max("time").alias("refilled"))   # a row a pump
+    since = F.col("refilled").isNull() | (F.col("time") > F.col("refilled"))
+    used = doses.join(last, "actuator_id", "left").groupBy("actuator_id").agg(
+        F.any_value("refilled").alias("refilled"), F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("total_ms"),
+        F.coalesce(F.sum(F.when(since, F.col("duration_ms"))), F.lit(0)).cast("long").alias("used_ms"),
+        (F.datediff(F.lit(now.date()), F.to_date(F.min("time"))) + 1).alias("days"))
+    left = F.greatest(F.lit(capacity_ms).cast("long") - F.col("used_ms"), F.lit(0).cast("long"))
+    rate = F.col("total_ms") / F.col("days")
+    return used.select("actuator_id", "refilled", left.alias("left_ms"), rate.alias("ms_per_day"),
+                       F.when(F.col("total_ms") > 0, left / rate).alias("days_left"))
 
 
 SPACING_S = 15 * 60   # at most one pulse of a pump every 15 minutes

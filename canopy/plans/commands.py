@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopy import constants as C
+from canopy.functions.commands import normalize_commands
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 
@@ -13,7 +14,6 @@ W_CA = B.with_views("commands", "acks")
 # Command targets of the bound view are order priorities; they stand for the pumps.
 PRIORITY_PUMP = {"1-URGENT": C.PUMP_PH_MINUS, "2-HIGH": C.PUMP_PH_PLUS, "3-MEDIUM": C.PUMP_NUTRI_1,
                  "4-NOT SPECIFIED": C.PUMP_NUTRI_2, "5-LOW": C.PUMP_NUTRI_3}
-MAX_DURATION_MS = 60_000
 
 
 def _ack_cond(c, a):
@@ -69,18 +69,27 @@ def ack_rows(spark, sf_dir):
                     .cast("timestamp_ntz").alias("time"))
 
 
-@register("command_validate", B.with_views("commands") + f"""
-SELECT cmd_id, {_PUMP_CASE_SQL} AS pump, duration_ms,
-  ({_PUMP_CASE_SQL}) IS NOT NULL AND duration_ms > 0 AND duration_ms <= {MAX_DURATION_MS} AS accepted,
-  CASE WHEN ({_PUMP_CASE_SQL}) IS NULL THEN 'unknown_target'
-       WHEN NOT (duration_ms > 0 AND duration_ms <= {MAX_DURATION_MS}) THEN 'bad_duration' END AS reject_reason
-FROM commands""")
+@register("command_validate", B.with_views("command_requests") + """
+, typed AS (SELECT cmd_id, device_id, target, CASE WHEN regexp_full_match(trim(duration_ms), '[+-]?[0-9]+') THEN TRY_CAST(trim(duration_ms) AS INT) END AS duration_ms
+            FROM command_requests)
+SELECT cmd_id, device_id,
+  CASE WHEN target IS NULL THEN NULL WHEN target = 'EMERGENCY_STOP' THEN 'ESTOP' ELSE 'PULSE' END AS action,
+  CASE target WHEN 'pump_nutri_a' THEN 'pump_nutri_1' WHEN 'pump_nutri_b' THEN 'pump_nutri_2' WHEN 'pump_nutri_c' THEN 'pump_nutri_3' ELSE target END AS target,
+  duration_ms, target IS NOT NULL AND duration_ms IS NOT NULL AND device_id IS NOT NULL AS accepted,
+  CASE WHEN target IS NULL THEN 'type:target' WHEN duration_ms IS NULL THEN 'type:duration_ms'
+       WHEN device_id IS NULL THEN 'type:device_id' END AS reject_reason
+FROM typed""")
 def command_validate(spark, sf_dir):
-    """Typed command check: known pump and a duration in range, else a reject reason."""
-    c = B.commands(spark, sf_dir).select("cmd_id", _pump_col().alias("pump"),
-                                         F.col("duration_ms").cast("int").alias("duration_ms"))
-    ok_dur = (F.col("duration_ms") > 0) & (F.col("duration_ms") <= MAX_DURATION_MS)
-    return c.select("cmd_id", "pump", "duration_ms",
-                    (F.col("pump").isNotNull() & ok_dur).alias("accepted"),
-                    F.when(F.col("pump").isNull(), "unknown_target")
-                    .when(~ok_dur, "bad_duration").alias("reject_reason"))
+    """Typed check of manual commands (target text, duration whole milliseconds, device text), the stop command included."""
+    return validate_commands(B.command_requests(spark, sf_dir))
+
+
+def validate_commands(requests):
+    """Requests as received -> typed commands with canonical pumps; any whole duration is accepted, 0 as well."""
+    ms = F.trim(F.col("duration_ms"))
+    typed = requests.select("cmd_id", "device_id", F.when(F.col("target").isNotNull(), C.COMMAND_ACTION).alias("action"), "target",
+                            F.when(ms.rlike(r"^[+-]?[0-9]+$"), ms.try_cast("int")).alias("duration_ms"))
+    reason = (F.when(F.col("target").isNull(), "type:target").when(F.col("duration_ms").isNull(), "type:duration_ms")
+              .when(F.col("device_id").isNull(), "type:device_id"))
+    return normalize_commands(typed).withColumn("reject_reason", reason).select(
+        "cmd_id", "device_id", "action", "target", "duration_ms", F.col("reject_reason").isNull().alias("accepted"), "reject_reason")

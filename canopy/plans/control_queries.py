@@ -55,15 +55,14 @@ def trailing_avg(spark, sf_dir):
 
 @register("last_action_asof", B.with_views("telemetry", "actuator_logs") + """
 SELECT t.event_id, t.device_id, t.time, t.value, a.actuator_id AS last_pump, a.time AS last_action_time
-FROM (SELECT * FROM telemetry WHERE metric = 'ph') t
+FROM telemetry t
 ASOF LEFT JOIN (SELECT * FROM actuator_logs WHERE action = 'COMPLETED') a
   ON t.device_id = a.device_id AND t.time >= a.time""")
 def last_action_asof(spark, sf_dir):
-    """Every ph reading with the device's last completed action at or before it (as-of join)."""
-    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph") \
-        .select("event_id", "device_id", "time", "value")
+    """Every reading with the device's last completed action at or before it (as-of join)."""
+    readings = B.telemetry(spark, sf_dir).select("event_id", "device_id", "time", "value")
     done = B.actuator_logs(spark, sf_dir).filter(F.col("action") == "COMPLETED")
-    return asof_join(ph, done, ["device_id"], "time", "time", {"actuator_id": "last_pump"},
+    return asof_join(readings, done, ["device_id"], "time", "time", {"actuator_id": "last_pump"},
                      right_order="id", matched_time="last_action_time")
 
 

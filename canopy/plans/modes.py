@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from canopy import constants as C
 from canopy.operators.sequence import asof_join, asof_last_values, epoch_us, from_epoch_us, prev_row
 from canopy.plans.registry import register
+from canopy.session import shared_dir
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds
 
@@ -77,6 +78,8 @@ def transitions(sig: DataFrame, until_us: int) -> DataFrame:
     points = (flags.where(F.col("t_us") <= until_us).groupBy("device_id", "t_us")
               .agg(F.max("silent").alias("silent"), F.max("latch").alias("latch"), F.max("upkeep").alias("upkeep"))
               .withColumn("time", from_epoch_us(F.col("t_us"))))
+    shared_dir(points.sparkSession)
+    points = points.checkpoint()  # few rows, read several times below; the readings are read here only
     memory = asof_last_values(points.select("device_id", "time"), points, ["device_id"], "time", "time",
                               {"silent": "silent", "latch": "latch", "upkeep": "upkeep"}, bucket_s=BUCKET_S)
     mode = memory.select("device_id", "time", mode_of(F.col("latch"), F.col("upkeep"), F.col("silent")).alias("mode"))

@@ -16,20 +16,17 @@ from canopy.functions.numeric import exact_avg, from_micros, micros, sql_avg
 from canopy.operators.latest import latest_per_key
 from canopy.operators.rangejoin import interval_join
 from canopy.operators.sequence import asof_join, epoch_us, floor_time, prev_row, range_sums
+from canopy.plans.modes import beyond_tolerance
 from canopy.plans.registry import register
 from canopy.sources import bindings as B
 from canopy.sources.tables import as_of, event_bounds, ntz
 
-HEARTBEAT_GAP_S = 2 * 3600     # silence longer than this is a gap
+HEARTBEAT_GAP_S = 300          # silence longer than 5 minutes is a loss of connection
 MAINTENANCE_S = 30 * 60        # a CRITICAL event opens a maintenance window this long
 DOSE_RESPONSE_S = 3600         # ph averaged this long before and after a ph dose
 STATE_SYNC_LAG_DAYS = 7        # stored state is this old when the ping arrives
-DRIFT_MIN_POINTS = 3
 DRIFT_ORIGIN = "2024-01-01 00:00:00"
 
-# Calibration rows (sensor = device:metric): slope, intercept.  Missing -> (1, 0).
-CALIBRATIONS = [("node0:ph", 1.02, -0.1), ("node1:ph", 0.98, 0.05),
-                ("node2:ec", 1.05, 0.0), ("node3:water_temp", 1.0, -0.5)]
 # Growth recipe: stage, first day, last day, target ph, target ec.
 RECIPE = [("seedling", 1, 7, 5.8, 0.8), ("vegetative", 8, 21, 6.0, 1.4),
           ("flowering", 22, 60, 6.2, 1.8)]
@@ -85,22 +82,23 @@ def heartbeat_gaps(spark, sf_dir):
         "device_id", "gap_start", F.col("time").alias("gap_end"), (gap_us / F.lit(1e6)).alias("gap_s"))
 
 
-_PHYS = [(m, lo, hi) for m, (lo, hi) in C.PHYSICAL_LIMITS.items()]
+_EXTREMES = [(m, lo, hi) for m, (_, _, _, lo, hi) in C.METRIC_LIMITS.items()]
 
 
 @register("sensor_fault", W_T + f"""
-, lim AS ({_values_sql(_PHYS, ['metric', 'lo', 'hi'])})
+, lim AS ({_values_sql(_EXTREMES, ['metric', 'lo', 'hi'])})
 SELECT t.event_id, t.device_id, t.metric, t.time, t.value,
-       CASE WHEN t.value < l.lo THEN 'below' ELSE 'above' END AS fault
+       CASE WHEN t.value <= l.lo THEN 'below' ELSE 'above' END AS fault
 FROM telemetry t JOIN lim l ON t.metric = l.metric
-WHERE t.value < l.lo OR t.value > l.hi""")
+WHERE t.value <= l.lo OR t.value >= l.hi""")
 def sensor_fault(spark, sf_dir):
-    """Physically impossible readings (outside the sensor's possible range)."""
-    lim = spark.createDataFrame(_PHYS, "metric string, lo double, hi double")
-    t = B.telemetry(spark, sf_dir).join(F.broadcast(lim), "metric")  # fixed 3-row dimension
-    bad = t.filter((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
-    return bad.select("event_id", "device_id", "metric", "time", "value",
-                      F.when(F.col("value") < F.col("lo"), "below").otherwise("above").alias("fault"))
+    """Readings at or beyond the extreme tolerance of their metric (pH 1, water at 40 degrees)."""
+    t = B.telemetry(spark, sf_dir)
+    below = F.lit(False)
+    for m, lo, _ in _EXTREMES:
+        below = F.when(F.col("metric") == m, F.col("value") <= lo).otherwise(below)
+    return t.where(beyond_tolerance(F.col("metric"), F.col("value"))).select(
+        "event_id", "device_id", "metric", "time", "value", F.when(below, "below").otherwise("above").alias("fault"))
 
 
 @register("ph_drift", B.with_views("telemetry", "actuator_logs") + f"""
@@ -111,35 +109,46 @@ def sensor_fault(spark, sf_dir):
                   AND actuator_id IN ('pump_ph_minus', 'pump_ph_plus')) a
     ON t.device_id = a.device_id AND t.time >= a.time)
 SELECT device_id, span_start, count(*) AS n_points,
-  round(regr_slope(value, date_diff('microsecond', TIMESTAMP '{DRIFT_ORIGIN}', time) / 3.6e9), 6) AS ph_per_hour
-FROM d GROUP BY device_id, span_start HAVING count(*) >= {DRIFT_MIN_POINTS}""")
+  CASE WHEN min(time) < max(time)
+       THEN round(regr_slope(value, date_diff('microsecond', TIMESTAMP '{DRIFT_ORIGIN}', time) / 3.6e9), 6) END AS ph_per_hour
+FROM d GROUP BY device_id, span_start""")
 def ph_drift(spark, sf_dir):
-    """Natural pH slope per hour of each device between two pH doses."""
+    """Natural pH slope per hour of each device between two pH doses; null where all readings are of one instant."""
     ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("device_id", "time", "value")
     doses = B.actuator_logs(spark, sf_dir).filter(
         (F.col("action") == "COMPLETED") & F.col("actuator_id").isin(C.PUMP_PH_MINUS, C.PUMP_PH_PLUS))
     d = asof_join(ph, doses, ["device_id"], "time", "time", {}, right_order="id",
                   matched_time="span_start")
     x = (epoch_us("time") - epoch_us(ntz(DRIFT_ORIGIN))) / F.lit(3.6e9)
-    g = d.groupBy("device_id", "span_start").agg(
-        F.count(F.lit(1)).alias("n_points"), F.round(F.regr_slope(F.col("value"), x), 6).alias("ph_per_hour"))
-    return g.filter(F.col("n_points") >= DRIFT_MIN_POINTS)
+    slope = F.when(F.min("time") < F.max("time"), F.round(F.regr_slope(F.col("value"), x), 6))
+    return d.groupBy("device_id", "span_start").agg(F.count(F.lit(1)).alias("n_points"), slope.alias("ph_per_hour"))
 
 
-@register("calibrate", W_T + f"""
-, cal AS ({_values_sql(CALIBRATIONS, ['sensor_id', 'slope', 'intercept'])})
-SELECT t.event_id, t.device_id, t.metric, t.value,
+@register("calibrate", B.with_views("telemetry", "sensor_calibrations") + """
+, cal AS (SELECT sensor_id, last_calibrated, arg_max(slope, id) AS slope, arg_max(intercept, id) AS intercept
+          FROM sensor_calibrations GROUP BY sensor_id, last_calibrated)
+SELECT t.event_id, t.device_id, t.metric, t.time, t.value, c.last_calibrated,
        coalesce(c.slope, 1e0) * t.value + coalesce(c.intercept, 0e0) AS calibrated
-FROM telemetry t LEFT JOIN cal c ON c.sensor_id = t.device_id || ':' || t.metric""")
+FROM (SELECT *, device_id || ':' || metric AS sensor_id FROM telemetry) t
+ASOF LEFT JOIN cal c ON c.sensor_id = t.sensor_id AND t.time >= c.last_calibrated""")
 def calibrate(spark, sf_dir):
-    """value = slope * raw + intercept per sensor; uncalibrated sensors pass through."""
-    cal = spark.createDataFrame(CALIBRATIONS, "sensor_id string, slope double, intercept double")
-    t = B.telemetry(spark, sf_dir).withColumn(
-        "sensor_id", F.concat_ws(":", F.col("device_id"), F.col("metric")))
-    j = t.join(F.broadcast(cal), "sensor_id", "left")  # calibration table: one row per sensor
-    return j.select("event_id", "device_id", "metric", "value",
-                    (F.coalesce(F.col("slope"), F.lit(1.0)) * F.col("value")
-                     + F.coalesce(F.col("intercept"), F.lit(0.0))).alias("calibrated"))
+    """value = slope * raw + intercept by the calibration valid at the reading's time."""
+    return calibrated(B.telemetry(spark, sf_dir), B.sensor_calibrations(spark, sf_dir)).select(
+        "event_id", "device_id", "metric", "time", "value", "last_calibrated", "calibrated")
+
+
+def calibrated(telemetry, versions):
+    """``telemetry`` with ``calibrated`` and ``last_calibrated``: each reading by its sensor's newest version so far.
+
+    A sensor is ``device:metric``.  A version holds from its ``last_calibrated``
+    until the next one; of versions of one instant the greatest id holds;
+    readings before a sensor's first version pass through.
+    """
+    t = telemetry.withColumn("sensor_id", F.concat_ws(":", "device_id", "metric"))
+    j = asof_join(t, versions, ["sensor_id"], "time", "last_calibrated", {"slope": "slope", "intercept": "intercept"},
+                  right_order="id", matched_time="last_calibrated")
+    value = F.coalesce("slope", F.lit(1.0)) * F.col("value") + F.coalesce("intercept", F.lit(0.0))
+    return j.withColumn("calibrated", value).drop("sensor_id", "slope", "intercept")
 
 
 @register("recipe_setpoint", W_T + f"""
@@ -227,15 +236,15 @@ def alert_raise(spark, sf_dir):
         FROM system_events WHERE level = 'CRITICAL' OR is_resolved)
 SELECT t.event_id, t.device_id, t.time, coalesce(k.kind = 'FAULT', false) AS locked,
        CASE WHEN k.kind = 'FAULT' THEN k.time END AS locked_since
-FROM (SELECT * FROM telemetry WHERE metric = 'ph') t
+FROM telemetry t
 ASOF LEFT JOIN k ON t.device_id = k.device_id AND t.time >= k.time""")
 def lockout_latch(spark, sf_dir):
-    """Per ph reading: is the device latched by an unacknowledged critical fault?"""
+    """Per reading: is the device latched by an unacknowledged critical fault?"""
     k = B.system_events(spark, sf_dir).filter((F.col("level") == "CRITICAL") | F.col("is_resolved")) \
         .select(F.col("category").alias("device_id"), "time", "id",
                 F.when(F.col("is_resolved"), "ACK").otherwise("FAULT").alias("kind"))
-    ph = B.telemetry(spark, sf_dir).filter(F.col("metric") == "ph").select("event_id", "device_id", "time")
-    j = asof_join(ph, k, ["device_id"], "time", "time", {"kind": "__kind"}, right_order="id",
+    t = B.telemetry(spark, sf_dir).select("event_id", "device_id", "time")
+    j = asof_join(t, k, ["device_id"], "time", "time", {"kind": "__kind"}, right_order="id",
                   matched_time="__ktime")
     fault = F.col("__kind") == "FAULT"
     return j.select("event_id", "device_id", "time", F.coalesce(fault, F.lit(False)).alias("locked"),

@@ -93,6 +93,47 @@ def system_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (F.col("event_id") % 3 == 0).alias("is_resolved")))
 
 
+def sensor_calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensor_calibrations(id, sensor_id, slope, intercept, last_calibrated): a version for every resolved event."""
+    e = read_table(spark, sf_dir, "events")
+    k = _k()
+    metric = F.when(k % 3 == 0, "ph").when(k % 3 == 1, "ec").otherwise("water_temp")
+    return (e.filter((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0))
+            .select(F.col("event_id").alias("id"), F.concat_ws(":", _device(), metric).alias("sensor_id"),
+                    (F.lit(1.0) + (k % 11 - 5) / 100.0).alias("slope"), ((k % 7 - 3) / 10.0).alias("intercept"),
+                    F.col("ts").alias("last_calibrated")))
+
+
+def tank_refills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tank_refills(id, time, actuator_id): a tank filled up for every resolved INFO event."""
+    e = system_events(spark, sf_dir).filter((F.col("level") == "INFO") & F.col("is_resolved"))
+    k5 = F.col("id") % 5
+    return e.select("id", "time", F.when(k5 == 0, "pump_ph_minus").when(k5 == 1, "pump_ph_plus").when(k5 == 2, "pump_nutri_1")
+                    .when(k5 == 3, "pump_nutri_2").otherwise("pump_nutri_3").alias("actuator_id"))
+
+
+def config_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """config_requests(commit_id, id, mode_auto, target_ph, target_ec, updated_at): updates as received, all text."""
+    e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    key = F.col("event_id")
+    return e.select(key.alias("commit_id"), (F.col("user_id") % 4 + 1).cast("string").alias("id"),
+                    F.when(key % 3 == 0, "true").when(key % 7 == 0, "maybe").otherwise("0").alias("mode_auto"),
+                    F.when(key % 13 == 0, "abc").otherwise(F.concat(F.lit("5."), (key % 10).cast("string"))).alias("target_ph"),
+                    F.concat(F.lit(" 1."), (key % 7).cast("string")).alias("target_ec"), F.col("ts").alias("updated_at"))
+
+
+def command_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """command_requests(cmd_id, target, duration_ms, device_id): manual commands as received, all text."""
+    o = read_table(spark, sf_dir, "orders")
+    key, p = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    pump = (F.when(p == "1", "pump_ph_minus").when(p == "2", "pump_ph_plus").when(p == "3", "pump_nutri_a")
+            .when(p == "4", "pump_nutri_b").otherwise("pump_nutri_c"))
+    stop = key % 11 == 0
+    return o.select(key.alias("cmd_id"), F.when(stop, "EMERGENCY_STOP").when(key % 17 != 0, pump).alias("target"),
+                    F.when(stop, "0").when(key % 19 == 0, "2.5s").when(key % 2 == 0, "15000").otherwise(" 90000").alias("duration_ms"),
+                    F.concat(F.lit("node"), (F.col("o_custkey") % DEVICES).cast("string")).alias("device_id"))
+
+
 IMAGE_EPOCH0 = 1704067200
 
 
@@ -127,6 +168,10 @@ def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BUILDERS = {
+    "sensor_calibrations": sensor_calibrations,
+    "tank_refills": tank_refills,
+    "config_requests": config_requests,
+    "command_requests": command_requests,
     "telemetry": telemetry,
     "actuator_logs": actuator_logs,
     "weather_metrics": weather_metrics,
@@ -164,6 +209,26 @@ FROM events WHERE event_type = 'signup'""",
   CASE WHEN {_K} < 20 THEN 'CRITICAL' WHEN {_K} < 60 THEN 'WARNING' ELSE 'INFO' END AS level,
   {_DEV} AS category, props AS message, event_id % 3 = 0 AS is_resolved
 FROM events WHERE event_type = 'error'""",
+    "sensor_calibrations": f"""SELECT event_id AS id,
+  {_DEV} || ':' || CASE {_K} % 3 WHEN 0 THEN 'ph' WHEN 1 THEN 'ec' ELSE 'water_temp' END AS sensor_id,
+  1e0 + ({_K} % 11 - 5) / 100e0 AS slope, ({_K} % 7 - 3) / 10e0 AS intercept, ts AS last_calibrated
+FROM events WHERE event_type = 'error' AND event_id % 3 = 0""",
+    "tank_refills": f"""SELECT event_id AS id, ts AS time,
+  CASE event_id % 5 WHEN 0 THEN 'pump_ph_minus' WHEN 1 THEN 'pump_ph_plus' WHEN 2 THEN 'pump_nutri_1'
+       WHEN 3 THEN 'pump_nutri_2' ELSE 'pump_nutri_3' END AS actuator_id
+FROM events WHERE event_type = 'error' AND {_K} >= 60 AND event_id % 3 = 0""",
+    "config_requests": """SELECT event_id AS commit_id, CAST(user_id % 4 + 1 AS STRING) AS id,
+  CASE WHEN event_id % 3 = 0 THEN 'true' WHEN event_id % 7 = 0 THEN 'maybe' ELSE '0' END AS mode_auto,
+  CASE WHEN event_id % 13 = 0 THEN 'abc' ELSE '5.' || CAST(event_id % 10 AS STRING) END AS target_ph,
+  ' 1.' || CAST(event_id % 7 AS STRING) AS target_ec, ts AS updated_at
+FROM events WHERE event_type = 'error'""",
+    "command_requests": f"""SELECT o_orderkey AS cmd_id,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'EMERGENCY_STOP' WHEN o_orderkey % 17 <> 0 THEN
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'pump_ph_minus' WHEN '2' THEN 'pump_ph_plus' WHEN '3' THEN 'pump_nutri_a'
+         WHEN '4' THEN 'pump_nutri_b' ELSE 'pump_nutri_c' END END AS target,
+  CASE WHEN o_orderkey % 11 = 0 THEN '0' WHEN o_orderkey % 19 = 0 THEN '2.5s' WHEN o_orderkey % 2 = 0 THEN '15000' ELSE ' 90000' END AS duration_ms,
+  'node' || CAST(o_custkey % {DEVICES} AS STRING) AS device_id
+FROM orders""",
     "image_frames": f"""SELECT vec_id, 'cam' || CAST(label AS STRING) AS sensor_name,
   {IMAGE_EPOCH0} + vec_id AS ts_epoch,
   'cam' || CAST(label AS STRING) || '_' || CAST({IMAGE_EPOCH0} + vec_id AS STRING) || '.jpg' AS image_path,

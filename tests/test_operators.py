@@ -212,3 +212,40 @@ def test_asof_of_rows_already_dealt_by_the_key(spark):
         assert {r.id: r.nid for r in got.collect()} == {i: i + 9 if i + 9 < 300 else None for i in range(300)}
     finally:
         spark.conf.set("spark.sql.unionOutputPartitioning", old)
+
+
+def test_a_burst_is_split_at_quantiles(spark):
+    """90 % of one key's rows within a minute: no job before the plan's own, bounded pieces, rows as of plain windows."""
+    from canopy.operators.sequence import _bucketing, asof_last_values, epoch_us, running_sum
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("hot", i, t0 + dt.timedelta(seconds=86400, microseconds=rng.randint(0, 60_000_000)) if i % 10 else
+             t0 + dt.timedelta(seconds=rng.randint(0, 30 * 86400)), float(i % 7)) for i in range(4000)] + \
+           [(k, 4000 + i, t0 + dt.timedelta(seconds=rng.randint(0, 30 * 86400)), 1.0) for i, k in enumerate(["a", None] * 50)]
+    df = spark.createDataFrame(rows, "key string, id long, time timestamp_ntz, v double")
+    group = f"burst-{rng.random()}"
+    spark.sparkContext.setJobGroup(group, "building")
+    prev = prev_row(df, ["key"], "time", {"id": "before"}, order_col="id", target_rows=100)
+    asof = asof_join(df.where("id % 3 = 0"), df.where("id % 3 = 1").withColumnsRenamed({"time": "rt", "id": "rid", "v": "rv"}), ["key"], "time", "rt",
+                     {"rid": "rid"}, right_order="rid", matched_time=None, target_rows=100)
+    last = asof_last_values(df, df.withColumn("odd", F.when(F.col("id") % 2 == 1, F.col("id"))), ["key"], "time", "time", {"odd": "odd"},
+                            right_order="id", target_rows=100)
+    total = running_sum(df, ["key"], "time", {"v": "sum"}, target_rows=100)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("tests", "tests")
+    timed = df.withColumn("__t", epoch_us("time"))
+    pieces = [r["count"] for r in _bucketing([timed], ["key"], None, 100)(timed).groupBy("key", "__b").count().collect()]
+    assert max(pieces) < 250 and len(pieces) > 30
+    w = Window.partitionBy("key").orderBy("time", "id")
+    want = {r.id: (r.p, r.s) for r in df.withColumn("p", F.lag("id").over(w)).withColumn(
+        "s", F.sum("v").over(Window.partitionBy("key").orderBy("time"))).collect()}
+    assert {r.id: r.before for r in prev.collect()} == {i: p for i, (p, _) in want.items()}
+    assert {r.id: r.sum for r in total.collect()} == {i: s for i, (_, s) in want.items()}
+    by_key = {}
+    for k, i, t, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        by_key.setdefault(k, []).append((t, i))
+    for found, pick, name in ((asof, lambda j: j % 3 == 1, "rid"), (last, lambda j: j % 2 == 1, "odd")):
+        got = {r.id: r[name] for r in found.collect()}
+        for k, i, t, _ in rows:
+            if i in got:
+                assert got[i] == next((j for s, j in reversed(by_key[k]) if s <= t and pick(j)), None)

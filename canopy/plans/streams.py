@@ -103,18 +103,45 @@ def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{work}/out")
 
 
-@register("stream_ingest", REGISTRY["parse_telemetry"].sql, kind="stream")
-def stream_ingest(spark, sf_dir):
-    """Continuous ingest: landing files -> foreachBatch -> telemetry table (stream = batch parse)."""
+def _ingested(spark: SparkSession, sf_dir: str, compacted: str | None = None) -> str:
+    """Folder of the tables that the ingest makes of the bound messages, in several micro-batches."""
     work = _workdir(spark, "ingest")
-    I.write_landing(L.messages(spark, sf_dir), f"{work}/landing", mode="overwrite")
-    q = I.start_ingest(spark, I.file_messages(spark, f"{work}/landing"), f"{work}/tables",
+    I.write_landing(L.messages(spark, sf_dir).repartition(4), f"{work}/landing", mode="overwrite")
+    q = I.start_ingest(spark, I.file_messages(spark, f"{work}/landing", max_files_per_trigger=2), f"{work}/tables",
                        name=f"ingest-{work.rsplit('-', 1)[-1]}", available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return I.read_ingested(spark, f"{work}/tables", "telemetry") \
-        .select("msg_id", "time", "device_id", "metric", "value")
+    if compacted:
+        I.compact_ingested(spark, f"{work}/tables", compacted)
+    return f"{work}/tables"
+
+
+@register("stream_ingest", REGISTRY["parse_telemetry"].sql, kind="stream")
+def stream_ingest(spark, sf_dir):
+    """Continuous ingest: landing files -> foreachBatch -> telemetry table (stream = batch parse)."""
+    return I.read_ingested(spark, _ingested(spark, sf_dir), "telemetry").select("msg_id", "time", "device_id", "metric", "value")
+
+
+@register("stream_ingest_weather", REGISTRY["parse_weather"].sql, kind="stream")
+def stream_ingest_weather(spark, sf_dir):
+    """Continuous ingest: the weather table, read back after its batches were compacted."""
+    return I.read_ingested(spark, _ingested(spark, sf_dir, "weather_metrics"), "weather_metrics").select(
+        "msg_id", "time", "sensor_name", "temperature", "windspeed", "weathercode")
+
+
+@register("stream_ingest_actuator", REGISTRY["parse_actuator"].sql, kind="stream")
+def stream_ingest_actuator(spark, sf_dir):
+    """Continuous ingest: the actuator log, read back after its batches were compacted."""
+    return I.read_ingested(spark, _ingested(spark, sf_dir, "actuator_logs"), "actuator_logs").select(
+        "msg_id", "time", "actuator_id", "action", "duration_ms", "trigger_source")
+
+
+@register("stream_ingest_status", REGISTRY["status_relays"].sql, kind="stream")
+def stream_ingest_status(spark, sf_dir):
+    """Continuous ingest: status pings, one row per relay."""
+    s = I.read_ingested(spark, _ingested(spark, sf_dir), "node_status")
+    return s.select("msg_id", "device_id", "mode", F.explode("relays").alias("relay", "state"))
 
 
 @register("stream_ack_join", REGISTRY["command_ack"].sql, kind="stream")

@@ -235,18 +235,24 @@ def parse_actuator(msgs: DataFrame) -> DataFrame:
 STATUS_SCHEMA = "device_id string, uptime_s long, mode string, louvers_position int, relays map<string,string>"
 
 
-def parse_status(msgs: DataFrame) -> DataFrame:
-    """Status pings -> ``(msg_id, time, device_id, uptime_s, mode, louvers_position, relays MAP)``."""
-    p = msgs.select("msg_id", F.col("ingest_ts").alias("time"),
-                    F.try_parse_json(F.col("payload")).alias("v"))
+def check_status(msgs: DataFrame) -> DataFrame:
+    """Status pings -> ``(msg_id, topic, time, device_id, uptime_s, mode, louvers_position, relays MAP, reason)``."""
+    p = msgs.select("msg_id", "topic", F.col("ingest_ts").alias("time"),
+                    F.try_parse_json(F.col("payload")).alias("v"), F.ltrim(F.col("payload")).startswith("{").alias("obj"))
     v = F.col("v")
-    return p.select("msg_id", "time",
-                    F.try_variant_get(v, "$.device_id", "string").alias("device_id"),
-                    F.try_variant_get(v, "$.uptime_s", "long").alias("uptime_s"),
-                    F.try_variant_get(v, "$.mode", "string").alias("mode"),
-                    F.try_variant_get(v, "$.louvers_position", "int").alias("louvers_position"),
-                    F.try_variant_get(v, "$.relays", "map<string,string>").alias("relays")) \
-        .filter(F.col("device_id").isNotNull())
+    typed = p.select("msg_id", "topic", "time",
+                     F.try_variant_get(v, "$.device_id", "string").alias("device_id"),
+                     F.try_variant_get(v, "$.uptime_s", "long").alias("uptime_s"),
+                     F.try_variant_get(v, "$.mode", "string").alias("mode"),
+                     F.try_variant_get(v, "$.louvers_position", "int").alias("louvers_position"),
+                     F.try_variant_get(v, "$.relays", "map<string,string>").alias("relays"),
+                     (v.isNotNull() & F.col("obj")).alias("obj"))
+    return typed.withColumn("reason", _reason([(~F.coalesce("obj", F.lit(False)), "malformed"), (F.col("device_id").isNull(), "null:device_id")])).drop("obj")
+
+
+def parse_status(msgs: DataFrame) -> DataFrame:
+    """Status pings that name their device."""
+    return accepted(check_status(msgs))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

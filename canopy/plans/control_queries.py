@@ -85,7 +85,12 @@ def sink_commands(spark, sf_dir):
 
     ``cmd_id`` is a hash of (device, tick): a retried task re-emits the same id.
     """
-    r = _replay(spark, sf_dir, REPLAY).filter(F.col("command_target").isNotNull())
+    return command_messages(_replay(spark, sf_dir, REPLAY))
+
+
+def command_messages(decisions):
+    """Decisions with a pump to run as messages (device_id, tick, topic, payload)."""
+    r = decisions.filter(F.col("command_target").isNotNull())
     cmd_id = F.sha2(F.concat_ws("|", F.col("device_id"), F.col("tick").cast("string")), 256)
     payload = F.to_json(F.struct(F.lit(C.COMMAND_ACTION).alias("action"), cmd_id.alias("cmd_id"),
                                  F.col("command_target").alias("target"), F.col("duration_ms")))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions.numeric import sql_avg
+from canopy.operators.sequence import epoch_us
 from canopy.plans.control import ControlParams, control_replay_sql
 from canopy.plans.registry import REGISTRY, register
 from canopy.session import CLUSTER_CONF, shared_dir
@@ -202,16 +203,22 @@ def stream_mode_machine(spark, sf_dir):
     return _run(spark, Mo.mode_stream(stream, delay=f"{LATENESS_S} seconds"), work)
 
 
+def _late_telemetry(spark: SparkSession, tel: DataFrame, work: str) -> DataFrame:
+    """Readings as a stream of arrivals up to ``LATENESS_S`` late."""
+    rows = tel.select("device_id", "metric", "time", "value")
+    return _arriving(spark, rows, epoch_us("time"), F.struct("device_id", "metric", "time", "value"), f"{work}/src")
+
+
 @register("stream_hourly_trend", B.with_views("telemetry") + f"""
 , t AS (SELECT * FROM telemetry WHERE metric IN ('ph', 'ec'))
 SELECT date_trunc('hour', time) AS hour_start, metric, {sql_avg('value')} AS avg_value
 FROM t GROUP BY date_trunc('hour', time), metric
-HAVING date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM t)""", kind="stream")
+HAVING date_trunc('hour', time) + INTERVAL 1 HOUR <= (SELECT max(time) FROM t) - INTERVAL {LATENESS_S} SECOND""", kind="stream")
 def stream_hourly_trend(spark, sf_dir):
-    """Tumbling hourly means with a watermark: every hour the watermark has closed (append mode)."""
+    """Tumbling hourly means of readings that come late: every hour the watermark has closed (append mode)."""
     work = _workdir(spark, "hourly")
     tel = B.telemetry(spark, sf_dir).filter(F.col("metric").isin("ph", "ec"))
-    return _run(spark, Wn.hourly_trend_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"), work)
+    return _run(spark, Wn.hourly_trend_stream(_late_telemetry(spark, tel, work), watermark=f"{LATENESS_S} seconds"), work)
 
 
 HEARTBEAT_GAP_S = 300  # silence longer than 5 minutes raises an alert
@@ -233,13 +240,12 @@ def stream_heartbeat(spark, sf_dir):
 @register("stream_minute_downsample", B.with_views("telemetry") + f"""
 SELECT device_id, metric, date_trunc('minute', time) AS minute, {sql_avg('value')} AS avg_value, count(*) AS n
 FROM telemetry GROUP BY device_id, metric, date_trunc('minute', time)
-HAVING date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) FROM telemetry)""", kind="stream")
+HAVING date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(time) FROM telemetry) - INTERVAL {LATENESS_S} SECOND""", kind="stream")
 def stream_minute_downsample(spark, sf_dir):
-    """One point per minute per device and metric, emitted as the watermark closes each minute."""
+    """One point per minute per device and metric, emitted as the watermark closes each minute; readings come late."""
     work = _workdir(spark, "minute")
-    tel = B.telemetry(spark, sf_dir).select("device_id", "metric", "time", "value")
-    return _run(spark, Wn.minute_downsample_stream(_snapshot(spark, tel, f"{work}/src"), watermark="0 seconds"),
-                work)
+    late = _late_telemetry(spark, B.telemetry(spark, sf_dir), work)
+    return _run(spark, Wn.minute_downsample_stream(late, watermark=f"{LATENESS_S} seconds"), work)
 
 
 GREY_STEP = 40         # grey levels per unit of an embedding's value

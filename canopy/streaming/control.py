@@ -3,7 +3,8 @@
 ``start_periodic_control`` is the scheduler of the original loop as a stream:
 a ``rate`` source is the clock, and every micro-batch evaluates the decision
 for the newest tick of the stored telemetry and actuator tables (set-based,
-all devices at once) and appends the decisions, replay-safe per batch id.
+all devices at once) and appends the decisions and the command messages that
+follow from them, replay-safe per batch id.
 
 ``start_frame_pipeline`` streams new frame files through Spark's ``image``
 source, which decodes on the executors, scores blur and appends
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from canopy.plans.control import ControlParams, control_replay
+from canopy.plans.control_queries import command_messages
 from canopy.plans.images import decoded_metrics
 from canopy.session import shared_dir
 from canopy.sources.images import stream_frames
@@ -50,8 +52,12 @@ def start_periodic_control(spark: SparkSession, tables_dir: str, out_dir: str, p
                                 now - _dt.timedelta(seconds=p.lookback_s + p.tick_s),
                                 now + _dt.timedelta(seconds=1))
         act = spark.read.parquet(f"{tables_dir}/actuator_logs")
-        d = evaluate_latest_tick(spark, tel, act, p, now, devices=devices)
-        append_idempotent(d, f"{out_dir}/decisions", batch_id, partition_cols=())
+        d = evaluate_latest_tick(spark, tel, act, p, now, devices=devices).persist()  # a row a device
+        try:
+            append_idempotent(d, f"{out_dir}/decisions", batch_id, partition_cols=())
+            append_idempotent(command_messages(d), f"{out_dir}/commands", batch_id, partition_cols=())
+        finally:
+            d.unpersist()
 
     return (clock.writeStream.queryName(name)
             .option("checkpointLocation", f"{shared_dir(spark)}/{name}")

@@ -256,3 +256,7 @@ def test_periodic_control_over_stored_tables(spark):
     got = spark.read.parquet(f"{out}/decisions")
     assert got.select("device_id").distinct().count() == 8
     assert got.select("tick").distinct().count() >= 1
+    doses = got.where("command_target is not null").select("device_id", "tick").distinct()
+    sent = spark.read.parquet(f"{out}/commands").select("device_id", "tick", "payload").distinct().collect()
+    assert {(r.device_id, r.tick) for r in sent} == {(r.device_id, r.tick) for r in doses.collect()}
+    assert all('"action":"PULSE"' in r.payload for r in sent)

@@ -142,6 +142,14 @@ def _bucketing(frames: Sequence[DataFrame], by: Sequence[str], bucket_s: float |
     return add
 
 
+def _order(df: DataFrame, order_col: str | None, sign: int) -> tuple[Column, Column]:
+    """Tie breaker of rows, in its own type (ids beyond 2^53 differ), and a neutral value of that type."""
+    if order_col is None:
+        return F.lit(0), F.lit(0)
+    c = F.col(order_col)
+    return (c if sign > 0 else -c), F.lit(None).cast(df.schema[order_col].dataType)
+
+
 # ---------------------------------------------------------------------------
 # as-of join
 # ---------------------------------------------------------------------------
@@ -174,7 +182,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
     # ordering: (t, rank, ord); right before left at equal t when exact matches count
     r_rank, l_rank = (0, 1) if allow_exact else (1, 0)
-    r_ord = (F.col(right_order).cast("double") * sign) if right_order else F.lit(0.0)
+    r_ord, no_ord = _order(right, right_order, sign)
 
     r = right.select(*[F.col(k) for k in by],
                      (epoch_us(right_time) * sign).alias("__t"),
@@ -197,12 +205,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
              .filter(F.col("__hasleft") == 1)
              .select(*by, "__b",
                      F.lit(_FIRST).alias("__t"),
-                     F.lit(-1).alias("__rank"), F.lit(0.0).alias("__o"),
+                     F.lit(-1).alias("__rank"), no_ord.alias("__o"),
                      F.col("__carry").alias("__p")))
 
     # (3) per (key, bucket): running last right payload
     lrows = lft.select(*left_cols, "__b", "__t",
-                       F.lit(l_rank).alias("__rank"), F.lit(0.0).alias("__o"),
+                       F.lit(l_rank).alias("__rank"), no_ord.alias("__o"),
                        F.lit(None).cast(r.schema["__p"].dataType).alias("__p"),
                        F.lit(True).alias("__isleft"))
     rrows = r.select(*by, "__b", "__t", F.lit(r_rank).alias("__rank"), "__o", "__p",
@@ -235,7 +243,7 @@ def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, st
     """
     by = list(by)
     sign = 1 if direction == "prev" else -1
-    o = (F.col(order_col).cast("double") * sign) if order_col else F.lit(0.0)
+    o, no_ord = _order(df, order_col, sign)
     payload = F.struct(*[F.col(s).alias(d) for s, d in cols.items()])
     base = df.withColumn("__t", epoch_us(time_col) * sign).withColumn("__o", o).withColumn("__p", payload)
     base = _bucketing([base], by, bucket_s, target_rows)(base)
@@ -243,7 +251,7 @@ def prev_row(df: DataFrame, by: Sequence[str], time_col: str, cols: dict[str, st
     wk = Window.partitionBy(*by).orderBy("__b").rowsBetween(_UNB, -1)
     carry = (summary.withColumn("__carry", F.last("__last", ignorenulls=True).over(wk))
              .select(*by, "__b", F.lit(_FIRST).alias("__t"),
-                     F.lit(0.0).alias("__o"), F.col("__carry").alias("__p"),
+                     no_ord.alias("__o"), F.col("__carry").alias("__p"),
                      F.lit(False).alias("__real")))
     rows = base.withColumn("__real", F.lit(True))
     allrows = rows.unionByName(carry, allowMissingColumns=True)
@@ -303,7 +311,7 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
     """
     by = list(by)
     names = list(cols.values())
-    r_ord = F.col(right_order).cast("double") if right_order else F.lit(0.0)
+    r_ord, no_ord = _order(right, right_order, 1)
     r = right.select(*by, epoch_us(right_time).alias("__t"), r_ord.alias("__o"),
                      *[F.col(src).alias(dst) for src, dst in cols.items()])
     left_cols = left.columns
@@ -325,8 +333,8 @@ def asof_last_values(left: DataFrame, right: DataFrame, by: Sequence[str], left_
                            *[F.last(n, ignorenulls=True).over(wk).alias(n) for n in names]) \
         .filter(F.col("__hasleft") == 1) \
         .select(*by, "__b", F.lit(_FIRST).alias("__t"), F.lit(-1).alias("__rank"),
-                F.lit(0.0).alias("__o"), *names, F.lit(False).alias("__isleft"))
-    lrows = lft.select(*left_cols, "__b", "__t", F.lit(1).alias("__rank"), F.lit(0.0).alias("__o"),
+                no_ord.alias("__o"), *names, F.lit(False).alias("__isleft"))
+    lrows = lft.select(*left_cols, "__b", "__t", F.lit(1).alias("__rank"), no_ord.alias("__o"),
                        F.lit(True).alias("__isleft"))
     rrows = r.select(*by, "__b", "__t", F.lit(0).alias("__rank"), "__o", *names,
                      F.lit(False).alias("__isleft"))

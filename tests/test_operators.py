@@ -249,3 +249,13 @@ def test_a_burst_is_split_at_quantiles(spark):
         for k, i, t, _ in rows:
             if i in got:
                 assert got[i] == next((j for s, j in reversed(by_key[k]) if s <= t and pick(j)), None)
+
+
+def test_order_keys_beyond_2_53(spark):
+    t, big = dt.datetime(2024, 1, 1), 1 << 53
+    rows = spark.createDataFrame([("k", big + i, t, f"v{i}") for i in (2, 0, 3, 1)], "key string, id long, time timestamp_ntz, v string")
+    assert [r.v for r in asof_join(rows.limit(1).select("key", "time"), rows.withColumnRenamed("time", "rt"), ["key"], "time", "rt", {"v": "v"},
+                                   right_order="id", matched_time=None).collect()] == ["v3"]
+    for direction, want in (("prev", {0: None, 1: "v0", 2: "v1", 3: "v2"}), ("next", {0: "v1", 1: "v2", 2: "v3", 3: None})):
+        got = prev_row(rows, ["key"], "time", {"v": "other"}, order_col="id", direction=direction).collect()
+        assert {r.id - big: r.other for r in got} == want

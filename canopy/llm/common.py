@@ -77,18 +77,27 @@ def bloom_hit(words: Column, key: Column, bits: int, hashes: int) -> Column:
     return hit
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 << 22, hashes: int = 3) -> DataFrame:
     """Rows whose key isn't in ``dropped`` (one column ``key``).
 
     Rows that miss a Bloom filter of the dropped keys stay where they are; only
     the others are shuffled for the exact answer.
     """
-    dropped = cut(dropped.select(F.col("key").alias("_dropped_key")).distinct())
-    words = cut(bloom_words(dropped.select(F.xxhash64("_dropped_key").alias("h")), "h", bits, hashes))
-    keyed = rows.withColumn("_row_key", key)
-    hit = bloom_hit(words.scalar(), F.xxhash64("_row_key"), bits, hashes)
-    gone = keyed.where(hit).join(dropped, F.col("_row_key").eqNullSafe(F.col("_dropped_key")), "left_anti")
-    return keyed.where(~hit).unionByName(gone).drop("_row_key")
+    row_key, dropped_key = free_name(rows, "_row_key"), free_name(rows, "_dropped_key")
+    dropped = cut(dropped.select(F.col("key").alias(dropped_key)).distinct())
+    words = cut(bloom_words(dropped.select(F.xxhash64(dropped_key).alias("h")), "h", bits, hashes))
+    keyed = rows.withColumn(row_key, key)
+    hit = bloom_hit(words.scalar(), F.xxhash64(row_key), bits, hashes)
+    gone = keyed.where(hit).join(dropped, F.col(row_key).eqNullSafe(F.col(dropped_key)), "left_anti")
+    return keyed.where(~hit).unionByName(gone).drop(row_key)
 
 
 # --- components ------------------------------------------------------------------------------------

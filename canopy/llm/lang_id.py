@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import gc
 import math
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ FLOOR = math.log(1e-7)      # score of what a language has not shown, or that of
 UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers, in whatever order they come
 FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")   # letters, and marks behind one; no other number or sign is a letter
 
 
 def words_of(text: str) -> list[str]:

@@ -14,12 +14,14 @@ Defined cases: null html is an empty payload; a null or blank url becomes
 id and one payload are all responses; a record cut short by the end of its
 file keeps what is there and is marked truncated; empty tables give an empty
 result; other columns are ignored.  A page and its copies in Python must fit a
-task's memory, texts of hundreds of MB do.
+task's memory, texts of hundreds of MB do; else a task holds one file and a
+batch of rows, which ``small_batches`` keeps short.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import math
 import uuid
@@ -37,6 +39,7 @@ ARC_BYTES = 8 << 20                 # an ARC file is closed once it is this long
 WARC_BYTES = 16 << 20               # aim for the length of a WARC file
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace
 BROADCAST_ROWS = 10_000             # about 1 MB of digests and record ids
+BATCH_BYTES = 4 << 20               # rows are handed to Python in batches that end once they are this long
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -48,6 +51,23 @@ def b32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside hand rows to Python in batches of ``BATCH_BYTES`` and one row: files are long rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _each(column: pa.Array) -> Iterator:
+    """The values of a column, one Python object at a time."""
+    return (x.as_py() for x in column)
+
+
 # --- ARC -------------------------------------------------------------------------------------------
 
 def arc_head(name: str, version: int = 1, date: str = CAPTURE_DATE) -> bytes:
@@ -99,7 +119,7 @@ def pages_to_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def pack(batches):
         parts, size, n = [], 0, 0
         for b in batches:
-            for pid, url, html in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].cast(pa.binary()).to_pylist()):
+            for pid, url, html in zip(_each(b[0]), _each(b[1]), _each(b[2].cast(pa.binary()))):
                 html = html or b""
                 name = f"legacy-{n:06d}.arc"
                 if not parts:
@@ -108,7 +128,7 @@ def pages_to_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 parts.append(arc_record(url, http.encode() + html, name, size, version))
                 size += len(parts[-1])
                 if size >= ARC_BYTES:
-                    yield pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([b"".join(parts)], pa.large_binary()).cast(pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([b"".join(parts)], pa.binary())})
                     parts, n = [], n + 1
         if parts:
             yield pa.RecordBatch.from_pydict({"path": [f"legacy-{n:06d}.arc"], "content": pa.array([b"".join(parts)], pa.binary())})
@@ -126,7 +146,7 @@ def arc_to_warc(arcs: DataFrame, id_header: str = "X-Page-Id") -> DataFrame:
 
     def convert(batches):
         for b in batches:
-            for data in b.column("content").to_pylist():
+            for data in _each(b.column("content")):
                 rows, size = [], 0
                 for f, content, short in parse_arc(data or b""):
                     http, sep, payload = content.partition(END)
@@ -140,7 +160,7 @@ def arc_to_warc(arcs: DataFrame, id_header: str = "X-Page-Id") -> DataFrame:
                     rows.append((f"urn:uuid:{uuid.uuid5(NAMESPACE, name)}", int(pid) if pid else None, f["URL"], date, http,
                                  payload, len(payload), digest, short))
                     size += len(content)
-                    if size >= ARC_BYTES:
+                    if size >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, size = [], 0
                 if rows:
@@ -193,17 +213,26 @@ def warc_record(record_id, page_id, uri, date, http, payload, digest, refers_to,
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + END + block
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records as WARC files through Spark's own writer: any file system, task retries commit once."""
+def write_warc(records: DataFrame, path: str, mean_bytes: float | None = None) -> None:
+    """Write records as WARC files through Spark's own writer: any file system, task retries commit once.
+
+    Files aim for ``WARC_BYTES``; ``mean_bytes`` is the mean length of a record, computed from the records if not given.
+    """
+    names = ("record_id", "page_id", "target_uri", "date", "http", "payload", "payload_digest", "refers_to_id", "truncated")
 
     def lines(batches):
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in b.schema.names}
-            out = [warc_record(*r) for r in zip(c["record_id"], c["page_id"], c["target_uri"], c["date"], c["http"], c["payload"],
-                                                c["payload_digest"], c["refers_to_id"], c["truncated"])]
-            yield pa.RecordBatch.from_pydict({"line": pa.array(out, pa.binary())})
-
-    mean = records.agg(F.avg(F.col("payload_bytes") + F.octet_length("http") + 600)).first()[0] or 1
+            out, size = [], 0
+            for r in zip(*(_each(b.column(n)) for n in names)):
+                out.append(warc_record(*r))
+                size += len(out[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pydict({"line": pa.array(out, pa.binary())})
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({"line": pa.array(out, pa.binary())})
+
+    mean = mean_bytes or records.agg(F.avg(F.col("payload_bytes") + F.octet_length("http") + 600)).first()[0] or 1
     (records.mapInArrow(lines, "line binary").select(F.col("line").cast("string").alias("value"))
      .write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, math.ceil(WARC_BYTES / mean))).text(path))
 
@@ -232,7 +261,7 @@ def read_warc(spark: SparkSession, path: str, id_header: str = "X-Page-Id") -> D
 
     def records(batches):
         for b in batches:
-            for data in b.column("content").to_pylist():
+            for data in _each(b.column("content")):
                 rows = []
                 for f, block in parse_warc(data):
                     http, sep, payload = block.partition(END)
@@ -266,10 +295,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def op9_warc(spark, sf_dir):
     """Pages through ARC files into WARC archives and back."""
-    records = link_revisits(arc_to_warc(pages_to_arc(table(spark, sf_dir, "pages"))))
+    pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(records, path)
-    return resolve_revisits(cut(read_warc(spark, path)))
+    # a record is its payload and about 700 bytes of header lines; the pages tell the mean without a pass over the archives
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 700)).first()[0]
+    with small_batches(spark):
+        write_warc(link_revisits(arc_to_warc(pages_to_arc(pages))), path, mean)
+        records = cut(read_warc(spark, path))
+    return resolve_revisits(records)
 
 
 SQL = """

@@ -13,7 +13,7 @@ pytest.importorskip("canopy.llm")
 import corpus_pipeline  # noqa: E402
 from canopy.llm import (decontaminate as dc, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan as sp,  # noqa: E402
                         sharding, url_filter, warc)
-from canopy.llm.common import connected_components  # noqa: E402
+from canopy.llm.common import connected_components, drop_rows  # noqa: E402
 from canopy.llm.queries import LLM_QUERIES  # noqa: E402
 from oracle import compare  # noqa: E402
 
@@ -255,6 +255,39 @@ def test_arc_versions(spark):
     assert [(c, short) for _, c, short in warc.parse_arc(cut)] == [(b"12", True)]
 
 
+def test_warc_edge_rows(spark, tmp_path):
+    """Null html, null and repeated ids, equal payloads and an empty table go through the archive and back."""
+    schema = "page_id long, url string, html string, record_id string"
+    rows = [(1, "http://a/", "same", "x"), (2, "http://b/", "same", "x"), (2, "http://b/", "same", "x"), (3, None, None, None),
+            (None, "http://c/", "alone", "x"), (4, "http://d/", "é" * 3_000_000, "x")]
+    for name, given in (("rows", rows), ("none", [])):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        out = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.digest_ok)
+                     for r in warc.op9_warc(spark, f"{tmp_path}/{name}").collect())
+        assert out == ([] if not given else [
+            (0, 5, "response", None, True), (1, 4, "revisit", 2, True), (2, 4, "response", None, True), (2, 4, "response", None, True),
+            (3, 0, "response", None, True), (4, 6_000_000, "response", None, True)])
+
+
+def test_pii_long_unbroken_texts(spark):
+    """E-mail addresses are found in linear time and without recursion."""
+    texts = ["x@" + "a." * 8000 + "1", "b" * 200_000 + " 1", "x@" + "a." * 50_000 + "com", "x@y." * 20_000, "to a@b.c1.de-f.x9, 1.2.3.4z@q.org"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_email for r in rows] == [0, 0, 1, 0, 2]
+    assert [r.text == t for r, t in zip(rows, texts)] == [True, True, False, True, False]
+    assert rows[4].text.startswith("to u") and "@b.c1.de-f.x9, u" in rows[4].text and rows[4].text.endswith("@q.org")
+
+
+def test_dropped_rows_take_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (None, "c", 9)], "doc_id long, _dropped_key string, _ROW_KEY long")
+    left = drop_rows(rows, F.col("doc_id"), spark.createDataFrame([(2,), (2,), (5,)], "key long"))
+    assert left.columns == rows.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"]
+
+
+def test_only_letters_make_words():
+    assert lang_id.words_of("½ ² Ⅷ ७ 12 _ —") == [] and lang_id.words_of("x²y हिन्दी e\u0301te\u0301") == ["x", "y", "हिन्दी", "e\u0301te\u0301"]
+
+
 def test_language(spark, edge, none):
     rows = LLM_QUERIES["op10_lang_id"].build(spark, SF01).collect()
     truth = {r.doc_id: r.lang for r in docs(spark, SF01).collect()}

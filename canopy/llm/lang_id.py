@@ -8,8 +8,10 @@ is the one with the largest summed score plus log prior.
 Counts are taken over every training text, and every counted word and n-gram is
 known, with its share in each language.  Tasks hold the words that make up at
 least ``min_share`` of a language, so at most 1 / min_share a language at any
-corpus size; a document's other words are looked up by a join, and the n-grams
-of those that are unseen by another, once a word.
+corpus size.  Other words are numbered within a block of documents and looked
+up by a join, once a block; the n-grams of those that are unseen by another,
+once a word.  The answers meet the documents block by block, and a block's size
+is bounded.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is everything when there is no training row; ties go to the first language
@@ -26,6 +28,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ FLOOR = math.log(1e-7)      # score of what a language has not shown, or that of
 UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers, in whatever order they come
 FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
+BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 18, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")   # letters, and marks behind one; no other number or sign is a letter
 
 
@@ -171,29 +175,54 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def score(batches):
         prior, known, scores = sent.value
         place = dict(zip(known, range(len(known))))
+        task, names, ended = TaskContext.get().partitionId() << 32, None, 0
+        number: dict[str, int] = {}     # the block's other words, numbered
+        entries = n_rows = 0
+
+        def documents(b, sums, ids, times):
+            n, empty = len(sums), pa.nulls(len(sums), pa.list_(pa.string()))
+            sizes = np.array([len(x) for x in ids], np.int64)
+            lists = [list_column(sizes, pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (ids, times)]
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), *lists,
+                                               pa.array([task + ended] * n, pa.int64()), empty], names)
+
+        def block(fields):
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.list_(pa.float64())),
+                                               pa.nulls(1, lists_of), pa.nulls(1, lists_of), pa.array([task + ended], pa.int64()),
+                                               pa.array([list(number)], pa.list_(pa.string()))], names)
+
+        lists_of = list_column(np.zeros(0, np.int64), pa.array([], pa.int32())).type
+        fields = ()
         for b in batches:
-            sums, sizes, others, times = [], [], [], []
-            for text in b.column("_text").to_pylist():
-                words = words_of(text or "")
+            fields = [b.schema.field(i) for i in range(b.num_columns - 1)]
+            names = [*b.schema.names[:-1], "_sums", "_ids", "_times", "_block", "_words"]
+            start, sums, ids, times = 0, [], [], []
+            for i, text in enumerate(b.column(b.num_columns - 1)):
+                words = words_of(text.as_py() or "")
                 total, rest = prior.copy() if words else None, Counter()
-                for i in range(0, len(words), CHUNK):
-                    part = words[i:i + CHUNK]
+                for j in range(0, len(words), CHUNK):
+                    part = words[j:j + CHUNK]
                     at = np.fromiter((place.get(w, -1) for w in part), np.int64, len(part))
-                    rest.update(part[j] for j in np.flatnonzero(at < 0))
+                    rest.update(part[k] for k in np.flatnonzero(at < 0))
                     total += scores[at[at >= 0]].sum(axis=0)
                 sums.append(total)
-                sizes.append(len(rest))
-                others.append(" ".join(rest))
-                times += rest.values()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), pa.array(others, pa.string()),
-                                              list_column(np.array(sizes, np.int64), pa.array(times, pa.int32()))],
-                                             [*b.schema.names[:-1], "_sums", "_words", "_times"])
+                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in rest), np.int32, len(rest)))
+                times.append(np.fromiter(rest.values(), np.int32, len(rest)))
+                entries, n_rows = entries + len(rest), n_rows + 1
+                if len(number) >= BLOCK_WORDS or entries >= BLOCK_ENTRIES or n_rows >= BLOCK_ROWS:
+                    yield documents(b.slice(start, len(sums)), sums, ids, times)
+                    yield block(fields)
+                    start, sums, ids, times = i + 1, [], [], []
+                    number, entries, n_rows, ended = {}, 0, 0, ended + 1
+            if sums:
+                yield documents(b.slice(start, len(sums)), sums, ids, times)
+        if number:
+            yield block(fields)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _words string, _times array<int>")
-               .withColumn("_row", F.monotonically_increasing_id()))
-    others = (base.where(F.size("_times") > 0)
-              .select("_row", F.inline(F.arrays_zip(F.split("_words", " ").alias("word"), F.col("_times").alias("n")))).toDF("_row", "word", "n"))
+    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _ids array<int>, _times array<int>, _block long, _words array<string>"))
+    # the other words are looked up once a block of documents
+    others = base.where("_words is not null").select("_block", F.posexplode("_words").alias("_place", "word"))
     words = others.select("word").distinct()
     rare = model["entries"].where("k = 0 and not frequent").select(F.col("entry").alias("word"), "scores")
     words = cut(words.join(rare, "word", "left"))
@@ -203,25 +232,34 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     scored = cut(scored)
     del words
     release(df.sparkSession)
-    joined = (join_groups(others, scored, "word").groupBy("_row")
-              .agg(F.array(*[F.sum(F.col("n") * F.col("scores")[i]) for i in range(len(langs))]).alias("_more")))
-
-    def choose(batches):
-        for b in batches:
-            out = []
-            for sums, more in zip(b.column("_sums").to_pylist(), b.column("_more").to_pylist()):
+    answers = join_groups(others, scored, "word").select(F.col("_block").alias("_of"), "_place", "scores")
+
+    def choose(documents: pa.Table, found: pa.Table) -> pa.Table:
+        by_place = np.zeros((found.num_rows, len(langs)), np.int64)
+        if found.num_rows:
+            flat = pa.concat_arrays(found["scores"].chunks).flatten().to_numpy(zero_copy_only=False)
+            by_place[found["_place"].to_numpy()] = flat.reshape(-1, len(langs))
+        out = []
+        for part in documents.to_batches():
+            ids, times = part.column("_ids"), part.column("_times")
+            ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            ids, times = ids.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+            for sums, i, j in zip(part.column("_sums").to_pylist(), ends[:-1], ends[1:]):
                 if sums is None:
                     out.append(("und", 0.0))
                     continue
-                total = np.array(sums) + (np.array(more) / UNIT if more else 0.0)
+                total = np.array(sums) + (times[i:j] @ by_place[ids[i:j]]) / UNIT
                 best = int(np.argmax(total))
                 p = np.exp(np.clip(total - total[best], -700, 0))
                 out.append((langs[best], float(p[best] / p.sum())))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([x[0] for x in out], pa.string()),
-                                              pa.array([x[1] for x in out], pa.float64())], [*b.schema.names[:-2], "lang_pred", "score"])
-
-    return (base.drop("_words", "_times").join(joined, "_row", "left").drop("_row")
-            .mapInArrow(choose, f"{fields}, lang_pred string, score double"))
+        kept = documents.select(documents.column_names[:n_fields])
+        return (kept.append_column("lang_pred", pa.array([x[0] for x in out], pa.string()))
+                .append_column("score", pa.array([x[1] for x in out], pa.float64())))
+
+    n_fields = len(rows.columns) - 1
+    documents = base.where("_words is null").drop("_words")
+    return (documents.groupBy("_block").cogroup(answers.groupBy("_of"))
+            .applyInArrow(choose, f"{fields}, lang_pred string, score double"))
 
 
 def op10_lang_id(spark, sf_dir):

@@ -300,6 +300,14 @@ def test_language(spark, edge, none):
     assert {r.lang_pred for r in lang_id.predict(edge, lang_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_blocks_change_nothing(spark, monkeypatch):
+    model = lang_id.fit(docs(spark), min_share=0.01)
+    whole = sorted(lang_id.predict(docs(spark), model).collect())
+    for name, bound in (("BLOCK_ENTRIES", 300), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(lang_id, name, bound)
+        assert sorted(lang_id.predict(docs(spark), model).collect()) == whole
+
+
 def test_language_knows_every_counted_word(spark):
     """Scores equal those of all counts held in one place: rare words, words rare in one language only, unseen words."""
     langs, train = ["aa", "bb"], []

@@ -37,7 +37,7 @@ from canopy.llm.common import cut, join_groups, list_column, table
 MIN_SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
 FLOOR = math.log(1e-7)      # score of what a language has not shown, or that of half an occurrence if this is less
-UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers, in whatever order they come
+UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers; none is below -128, so each fits an int
 FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
 BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 18, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
@@ -179,48 +179,45 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         number: dict[str, int] = {}     # the block's other words, numbered
         entries = n_rows = 0
 
-        def documents(b, sums, ids, times):
+        def documents(b, sums, ids):
             n, empty = len(sums), pa.nulls(len(sums), pa.list_(pa.string()))
-            sizes = np.array([len(x) for x in ids], np.int64)
-            lists = [list_column(sizes, pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (ids, times)]
-            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), *lists,
+            numbers = list_column(np.array([len(x) for x in ids], np.int64), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), numbers,
                                                pa.array([task + ended] * n, pa.int64()), empty], names)
 
         def block(fields):
             return pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.list_(pa.float64())),
-                                               pa.nulls(1, lists_of), pa.nulls(1, lists_of), pa.array([task + ended], pa.int64()),
+                                               pa.nulls(1, pa.list_(pa.int32())), pa.array([task + ended], pa.int64()),
                                                pa.array([list(number)], pa.list_(pa.string()))], names)
 
-        lists_of = list_column(np.zeros(0, np.int64), pa.array([], pa.int32())).type
         fields = ()
         for b in batches:
             fields = [b.schema.field(i) for i in range(b.num_columns - 1)]
-            names = [*b.schema.names[:-1], "_sums", "_ids", "_times", "_block", "_words"]
-            start, sums, ids, times = 0, [], [], []
+            names = [*b.schema.names[:-1], "_sums", "_ids", "_block", "_words"]
+            start, sums, ids = 0, [], []
             for i, text in enumerate(b.column(b.num_columns - 1)):
                 words = words_of(text.as_py() or "")
-                total, rest = prior.copy() if words else None, Counter()
+                total, rest = prior.copy() if words else None, []
                 for j in range(0, len(words), CHUNK):
                     part = words[j:j + CHUNK]
                     at = np.fromiter((place.get(w, -1) for w in part), np.int64, len(part))
-                    rest.update(part[k] for k in np.flatnonzero(at < 0))
+                    rest += [number.setdefault(part[k], len(number)) for k in np.flatnonzero(at < 0)]
                     total += scores[at[at >= 0]].sum(axis=0)
                 sums.append(total)
-                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in rest), np.int32, len(rest)))
-                times.append(np.fromiter(rest.values(), np.int32, len(rest)))
+                ids.append(np.array(rest, np.int32))
                 entries, n_rows = entries + len(rest), n_rows + 1
                 if len(number) >= BLOCK_WORDS or entries >= BLOCK_ENTRIES or n_rows >= BLOCK_ROWS:
-                    yield documents(b.slice(start, len(sums)), sums, ids, times)
+                    yield documents(b.slice(start, len(sums)), sums, ids)
                     yield block(fields)
-                    start, sums, ids, times = i + 1, [], [], []
+                    start, sums, ids = i + 1, [], []
                     number, entries, n_rows, ended = {}, 0, 0, ended + 1
             if sums:
-                yield documents(b.slice(start, len(sums)), sums, ids, times)
+                yield documents(b.slice(start, len(sums)), sums, ids)
         if number:
             yield block(fields)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _ids array<int>, _times array<int>, _block long, _words array<string>"))
+    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _ids array<int>, _block long, _words array<string>"))
     # the other words are looked up once a block of documents
     others = base.where("_words is not null").select("_block", F.posexplode("_words").alias("_place", "word"))
     words = others.select("word").distinct()
@@ -228,7 +225,7 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     words = cut(words.join(rare, "word", "left"))
     release(df.sparkSession)
     scored = words.where("scores is not null").unionByName(unseen_scores(words.where("scores is null").select("word"), model))
-    scored = scored.select("word", F.transform("scores", lambda x: F.round(x * UNIT).cast("long")).alias("scores"))
+    scored = scored.select("word", F.transform("scores", lambda x: F.round(x * UNIT).cast("int")).alias("scores"))
     scored = cut(scored)
     del words
     release(df.sparkSession)
@@ -241,14 +238,14 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             by_place[found["_place"].to_numpy()] = flat.reshape(-1, len(langs))
         out = []
         for part in documents.to_batches():
-            ids, times = part.column("_ids"), part.column("_times")
+            ids = part.column("_ids")
             ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            ids, times = ids.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+            ids = ids.flatten().to_numpy()
             for sums, i, j in zip(part.column("_sums").to_pylist(), ends[:-1], ends[1:]):
                 if sums is None:
                     out.append(("und", 0.0))
                     continue
-                total = np.array(sums) + (times[i:j] @ by_place[ids[i:j]]) / UNIT
+                total = np.array(sums) + by_place[ids[i:j]].sum(axis=0) / UNIT
                 best = int(np.argmax(total))
                 p = np.exp(np.clip(total - total[best], -700, 0))
                 out.append((langs[best], float(p[best] / p.sum())))

@@ -56,6 +56,11 @@ def _positions(key: Column, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(1000 + j)), F.lit(bits)) for j in range(hashes)]
 
 
+def bloom_bits(keys: int, per_key: int = 10) -> int:
+    """Bits of a filter of that many keys: ``per_key`` each, from 2^12 to 2^25 (4 MB); a fuller filter lets more rows pass."""
+    return 1 << min(25, max(12, (max(keys, 1) * per_key - 1).bit_length()))
+
+
 def bloom_words(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
     """One row, one column ``words``: the filter of all keys; ``bits`` fixes its size."""
     n = bits // 64
@@ -85,7 +90,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 << 22, hashes: int = 3) -> DataFrame:
+def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, hashes: int = 3) -> DataFrame:
     """Rows whose key isn't in ``dropped`` (one column ``key``).
 
     Rows that miss a Bloom filter of the dropped keys stay where they are; only
@@ -93,6 +98,7 @@ def drop_rows(rows: DataFrame, key: Column, dropped: DataFrame, bits: int = 1 <<
     """
     row_key, dropped_key = free_name(rows, "_row_key"), free_name(rows, "_dropped_key")
     dropped = cut(dropped.select(F.col("key").alias(dropped_key)).distinct())
+    bits = bloom_bits(dropped.count())
     words = cut(bloom_words(dropped.select(F.xxhash64(dropped_key).alias("h")), "h", bits, hashes))
     keyed = rows.withColumn(row_key, key)
     hit = bloom_hit(words.scalar(), F.xxhash64(row_key), bits, hashes)

@@ -16,7 +16,12 @@ A set takes part in its own band and, if it is close enough below it, in the
 next one, where the larger partner may be.
 
 Join.  Sets that are equal are one node.  Nodes with an equal block in common
-are candidates.  Only components are wanted, so a block shared by many nodes
+are candidates.  A first count finds the blocks that several nodes hold; a
+Bloom filter of them, sized by their number, picks each node's shared blocks
+where they lie.  As linked sets agree in c + 1 blocks, a node with fewer shared
+blocks in a band has no link there and leaves it.  Of blocks that the same nodes
+hold one is kept.  Sketches and sets are fetched for candidate pairs only.
+Only components are wanted, so a block shared by many nodes
 doesn't yield all its pairs: each round compares the nodes of a block with a
 few pivots, unites what links, and goes on with the blocks that still hold
 several components.  Once at most ``OPEN_PAIRS`` comparisons a row are left, or
@@ -45,10 +50,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import bloom_hit, bloom_words, byte_texts, connected_components, cut, join_groups, list_column, mix64, table
+from canopy.llm.common import (bloom_bits, bloom_hit, bloom_words, byte_texts, connected_components, cut, drop_rows, join_groups,
+                               list_column, mix64, table)
 
-FILTER_BITS = 1 << 22   # size of the filter for the second reading of candidates
 FILTER_HASHES = 3
+KEY_SHIFTS = (0, 11, 23)  # a key's places in the filter of shared keys: its bits from there on, up to 25 of 48
+KEY_MASK = np.uint64((1 << 48) - 1)  # equal blocks keep equal keys; shorter keys make a smaller shuffle
 ROUNDS = 6
 PIVOTS = 3              # nodes of a block that a round compares with the others
 OPEN_PAIRS = 4          # all open pairs are compared once they are at most so many a row
@@ -96,9 +103,15 @@ def band_limits(percent: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: band, block number and XOR of the block, hashed to 64 bits."""
-    n, keys = len(s), []
+def block_keys(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For each band of a set: how many keys a linked set shares at least, and the keys.
+
+    A key is band, block number and XOR of the block, hashed to 48 bits.  Linked
+    sets agree in c + 1 blocks, of which at most the set's own empty ones are left
+    out; a set that keeps its empty blocks may meet one that doesn't, so it
+    shares one key at least.
+    """
+    n, out = len(s), []
     for b, (lo, hi, d, k) in enumerate(band_limits(percent)):
         if hi < n:
             continue
@@ -112,9 +125,10 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
         words = np.zeros(k, dtype=np.uint64)
         words[full] = np.bitwise_xor.reduceat(mix64(s ^ ODD), cuts[full])
         ids = mix64(np.arange(k, dtype=np.uint64) + np.uint64((b + 1) << 32))
-        key = mix64(words ^ ids)
-        keys.append(key if int(k - full.sum()) >= k - d else key[full])
-    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+        key = mix64(words ^ ids) & KEY_MASK
+        spare = k - d - int(k - full.sum())
+        out.append((spare, key[full]) if spare > 0 else (1, key))
+    return out
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -130,26 +144,64 @@ def parity_bits(s: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(_id, _t) -> (_id, n, sig, bits, keys)."""
+    """(_id, _t) -> (_id, n, sig, bits, bands): bands as of ``block_keys``."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            n, sig, bits, keys = [], [], [], []
+            n, sig, bits, bands = [], [], [], []
             for text in byte_texts(b.column("_t")):
                 s = shingle_set(text, width, hashes)
                 n.append(len(s))
                 sig.append(signature(s))
                 bits.append(np.frombuffer(parity_bits(s), np.int64))
-                keys.append(block_keys(s, percent))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                bands.append(block_keys(s, percent))
+            each = [band for row in bands for band in row]
+            flat = np.concatenate([k for _, k in each]).view(np.int64) if each else np.zeros(0, np.int64)
+            structs = pa.StructArray.from_arrays([pa.array([need for need, _ in each], pa.int32()),
+                                                  list_column(np.array([len(k) for _, k in each], np.int32), pa.array(flat))], ["need", "keys"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
                  list_column(np.full(len(n), BITS // 64, np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))),
-                 list_column(np.array([len(k) for k in keys], np.int32), pa.array(flat))], ["_id", "n", "sig", "bits", "keys"])
+                 list_column(np.array([len(row) for row in bands], np.int32), structs)], ["_id", "n", "sig", "bits", "bands"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.mapInArrow(run, f"_id {kind}, n long, sig binary, bits array<long>, keys array<long>")
+    return docs.mapInArrow(run, f"_id {kind}, n long, sig binary, bits array<long>, bands array<struct<need:int,keys:array<long>>>")
+
+
+def _key_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the keys as 64-bit words: ``bits`` is at most 2^25, so the driver and each task hold 4 MB."""
+    words = np.zeros(bits // 64, np.int64)
+    places = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in KEY_SHIFTS]))
+    got = (keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("i"))
+           .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("w")).toArrow())
+    words[got["i"].to_numpy()] = got["w"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _hits(docs: DataFrame, words: np.ndarray, bits: int) -> DataFrame:
+    """(node, n, bands) -> (node, n, key): keys in the filter, of bands with as many of them as a link needs."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        filled = shipped.value
+        for b in batches:
+            bands = b.column("bands")
+            each = bands.flatten()
+            need, lists = each.field("need").to_numpy(), each.field("keys")
+            key, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            hit = np.ones(len(key), bool)
+            for s in KEY_SHIFTS:
+                p = (key >> s) & (bits - 1)
+                hit &= (filled[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+            ends = np.cumsum(lengths)
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(hit)])
+            hit &= np.repeat(upto[ends] - upto[ends - lengths] >= need, lengths)
+            row = np.repeat(np.repeat(np.arange(len(b)), bands.value_lengths().to_numpy()), lengths)[hit]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(key[hit])],
+                                             ["node", "n", "key"])
+
+    return docs.mapInArrow(run, "node long, n long, key long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -183,19 +235,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, n, bits, comp) of the keys that hold more than one component."""
+    """Rows (key, node, n, comp) of the keys that hold more than one component."""
     several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     return cut(join_groups(rows, several, "key"))
 
 
-def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """(node, component) of the nodes that link; ``multi``: (key, node, n, bits) of keys with several nodes."""
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches' Hamming distance leaves a link possible; ``sketches``: (node, n, bits)."""
+    both = pairs.join(sketches.toDF("a", "an", "abits"), "a").join(sketches.toDF("b", "bn", "bbits"), "b")
+    apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
+def _components(multi: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """(node, component) of the nodes that link; ``multi``: (key, node, n) of keys with several nodes."""
     spark = multi.sparkSession
     rows = multi.withColumn("comp", F.col("node"))
-    # a link needs sizes close enough and a Hamming distance that their difference may have
-    apart = F.aggregate(F.zip_with("bits", "pbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (
-        (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("pn")))
+    close = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     before = None
     apart_pairs = comps = None  # pairs without a link; those with one are in one component from then on
     for r in range(rounds + 1):
@@ -207,18 +263,17 @@ def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
         last = left <= OPEN_PAIRS * n or r == rounds or (before is not None and 2 * left > before)
         before = left
         if last:
-            other = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("comp").alias("pcomp"))
-            pairs = rows.join(other, "key").where(near & (F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")))
+            other = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
+            pairs = rows.join(other, "key").where(close & (F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")))
         else:
             orders = [F.col("node") if r + j == 0 else F.xxhash64("node", F.lit(r * PIVOTS + j)) for j in range(PIVOTS)]
-            pivots = rows.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "bits", "comp")).alias(f"p{j}") for j, o in enumerate(orders)])
+            pivots = rows.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "comp")).alias(f"p{j}") for j, o in enumerate(orders)])
             pairs = (join_groups(rows, pivots, "key").withColumn("p", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])))
-                     .where("comp <> p.comp").select("node", "n", "bits", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
-                                                    F.col("p.bits").alias("pbits")).where(near))
+                     .where("comp <> p.comp").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).where(close))
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if apart_pairs is not None:
             pairs = pairs.join(apart_pairs, ["a", "b"], "left_anti")
-        judged = cut(_verify(pairs, sets, percent))
+        judged = cut(_verify(_near(pairs, sketches, percent), sets, percent))
         links = judged.where("linked").select("a", "b")
         comps = connected_components(links if comps is None else links.union(comps))
         if last:
@@ -226,7 +281,7 @@ def _components(multi: DataFrame, sets: DataFrame, percent: int, rounds: int) ->
         unlinked = judged.where("not linked").select("a", "b")
         apart_pairs = unlinked if apart_pairs is None else apart_pairs.union(unlinked)
         rows = _open(rows.drop("comp").join(comps, "node", "left").select(
-            "key", "node", "n", "bits", F.coalesce("component", "node").alias("comp")))
+            "key", "node", "n", F.coalesce("component", "node").alias("comp")))
     return comps if comps is not None else spark.createDataFrame([], "node long, component long")
 
 
@@ -235,24 +290,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: id, n_shingles, component_id, first (true for one row of each component)."""
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     rows = cut(_sketches(docs, width, percent).withColumn("_row", F.monotonically_increasing_id()))
-    # equal sets are one node; empty sets stay out
+    # equal sets are one node, the first of their rows; empty sets stay out
     whole = cut(rows.where("n > 0").groupBy("sig").agg(F.min("_row").alias("node"), F.min("_id").alias("id"), F.first("n").alias("n"),
-                                                       F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    blocks = whole.select("node", "n", F.explode("keys").alias("key"))
-    shared = blocks.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    multi = join_groups(blocks, shared, "key").select("key", "node", "n")
-    multi = cut(multi.join(whole.select("node", "bits"), "node"))
-    asked = whole.join(multi.select("node").distinct(), "node", "left_semi").select("node", "sig", "id")
+                                                       F.first("bits").alias("bits")))
+    copies = join_groups(rows.where("n > 0").select("_row", "sig"), whole.select("sig", "node"), "sig").where("_row <> node")
+    firsts = drop_rows(rows.where("n > 0").select("_row", "n", "bands"), F.col("_row"), copies.select(F.col("_row").alias("key")))
+    bands_of = firsts.withColumnRenamed("_row", "node")
+    shared = cut(bands_of.select(F.explode(F.flatten("bands.keys")).alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    bits = bloom_bits(shared.count())
+    hits = _hits(bands_of, _key_filter(shared, bits), bits)
+    # keys that the same nodes hold lead to the same pairs: one of them is enough
+    members = hits.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("h0"),
+                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h1")).where("m > 1")
+    chosen = cut(members.groupBy("m", "lo", "h0", "h1").agg(F.min("key").alias("key")).select("key"))
+    multi = cut(join_groups(hits, chosen, "key").select("key", "node", "n"))
+    asked = cut(whole.join(multi.select("node").distinct(), "node", "left_semi"))
     # second reading: only documents that may be candidates are cut into shingles again
-    words = cut(bloom_words(asked.select(F.xxhash64("id").alias("h")), "h", FILTER_BITS, FILTER_HASHES))
-    again = docs.where(bloom_hit(words.scalar(), F.xxhash64("_id"), FILTER_BITS, FILTER_HASHES))
+    asked_bits = bloom_bits(asked.count())
+    asked_words = cut(bloom_words(asked.select(F.xxhash64("id").alias("h")), "h", asked_bits, FILTER_HASHES))
+    again = docs.where(bloom_hit(asked_words.scalar(), F.xxhash64("_id"), asked_bits, FILTER_HASHES))
     sets = cut(_full_sets(again, width).join(asked.select("sig", "node"), "sig").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    comps = _components(multi, sets, percent, rounds)
+    comps = _components(multi, asked.select("node", "n", "bits"), sets, percent, rounds)
     named = (whole.select("sig", "node", "id").join(comps, "node", "left")
              .select("sig", "id", F.col("node"), F.coalesce("component", "node").alias("comp")))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_set = join_groups(named, heads, "comp").select("sig", "component_id", F.col("comp"))
-    out = join_groups(rows.where("n > 0").drop("keys"), by_set, "sig")
+    out = join_groups(rows.where("n > 0").drop("bands", "bits"), by_set, "sig")
     # the row that stands for the component: its smallest id, and of repeated rows the first
     head = out.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row")).alias("h"))
     out = join_groups(out, head, "comp").select("_id", "n", "component_id", (F.col("_row") == F.col("h._row")).alias("first"))

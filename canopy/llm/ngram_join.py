@@ -230,6 +230,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
+    # later rounds ask for few sets: only those that may be asked for are shuffled
+    pairs = cut(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bits = bloom_bits(sets.count())
+    words = cut(bloom_words(nodes, "node", bits, FILTER_HASHES))
+    sets = sets.where(bloom_hit(words.scalar(), F.col("node"), bits, FILTER_HASHES))
     x = pairs.join(sets.toDF("a", "x"), "a")
     return x.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 

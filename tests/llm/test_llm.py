@@ -86,6 +86,34 @@ def test_jaccard_join(spark, edge, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_join_of_families(spark):
+    rng, rows = random.Random(11), []
+    common = [f"c{i}" for i in range(25)]  # a passage that all families share
+    for family in range(6):
+        base = [f"f{family}x{i}" for i in range(rng.choice([6, 14, 40, 75]))] + common[:rng.choice([0, 25])]
+        for _ in range(50):
+            share = rng.choice([0.0, 0.01, 0.03, 0.06, 0.1])
+            rows.append((len(rows), " ".join(w if rng.random() > share else f"z{rng.randrange(40)}" for w in base)))
+    for width, percent in [(5, 80), (3, 90), (1, 60)]:
+        got = {r.doc_id: (r.n_shingles, r.component_id)
+               for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()}
+        assert got == brute_components(rows, width, percent)
+
+
+def test_shared_blocks_of_a_link():
+    rng = np.random.default_rng(3)
+    for n in (12, 25, 60, 200, 700):
+        for percent in (60, 80, 90):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[:len(a) - len(a) * (100 - percent) // 250], rng.integers(0, 1 << 64, n * (100 - percent) // 300, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                continue
+            for x, y in ((a, b), (b, a)):
+                other = np.concatenate([np.zeros(0, np.uint64)] + [k for _, k in ngram_join.block_keys(y, percent)])
+                enough = [np.isin(k, other).sum() >= need for need, k in ngram_join.block_keys(x, percent)]
+                assert any(enough) or len(a) == len(b) == len(np.intersect1d(a, b))
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     path = list(range(1000, 1400))

@@ -28,7 +28,7 @@ several components.  Once at most ``OPEN_PAIRS`` comparisons a row are left, or
 a round no longer halves them, or ``rounds`` are over, all pairs of different
 components that are still open are compared, so no link that matters to a
 component is lost.  A comparison first takes the Hamming distance of two
-sketches of ``BITS`` parity bits, which can't exceed the difference of the
+sketches of ``BITS`` parity bits (more for long sets), which can't exceed the difference of the
 sets, and intersects the full sets only if that leaves a link possible.
 
 Texts are compared by 64-bit shingle hashes (128 bits for equal sets).
@@ -138,8 +138,12 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Bit sketch: each shingle flips one of BITS bits, so the Hamming distance of two is at most the sets' difference."""
-    flips = np.bincount((mix64(s + ODD) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Bit sketch: each shingle flips one bit, so the Hamming distance of two of one length is at most the sets' difference.
+
+    Sets of more than BITS shingles get 16 * BITS bits, as short sketches of long sets are random.
+    """
+    size = BITS if len(s) <= BITS else 16 * BITS
+    flips = np.bincount((mix64(s + ODD) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
@@ -162,7 +166,7 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                                                   list_column(np.array([len(k) for _, k in each], np.int32), pa.array(flat))], ["need", "keys"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
-                 list_column(np.full(len(n), BITS // 64, np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))),
+                 list_column(np.array([len(x) for x in bits], np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))),
                  list_column(np.array([len(row) for row in bands], np.int32), structs)], ["_id", "n", "sig", "bits", "bands"])
 
     kind = dict(docs.dtypes)["_id"]
@@ -250,7 +254,8 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches' Hamming distance leaves a link possible; ``sketches``: (node, n, bits)."""
     both = pairs.join(sketches.toDF("a", "an", "abits"), "a").join(sketches.toDF("b", "bn", "bbits"), "b")
     apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))).select("a", "b")
+    may = (F.size("abits") != F.size("bbits")) | ((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn")))
+    return both.where(may).select("a", "b")
 
 
 def _components(multi: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:

@@ -100,6 +100,17 @@ def test_jaccard_join_of_families(spark):
         assert got == brute_components(rows, width, percent)
 
 
+def test_jaccard_join_of_long_sets(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in (1015, 1040, 2500):  # sketches of both lengths meet at the first two
+        base = [f"l{n}x{i}" for i in range(n)]
+        rows += [(len(rows) + j, " ".join(w if rng.random() > share else f"z{rng.random()}" for w in base)) for j, share in enumerate([0, .01, .015, .02, .05])]
+        rows.append((len(rows), " ".join(base[:-20])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_shared_blocks_of_a_link():
     rng = np.random.default_rng(3)
     for n in (12, 25, 60, 200, 700):

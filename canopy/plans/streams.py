@@ -12,11 +12,13 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from canopy.functions.numeric import sql_avg
 from canopy.operators.sequence import epoch_us
@@ -78,6 +80,19 @@ def _state_partitions(spark: SparkSession) -> int | None:
         return None
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """The session with ``values`` set; its own are restored at the end."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     """Run to completion into a parquet file sink (exactly-once); return its table.
 
@@ -88,16 +103,10 @@ def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
     if n := _state_partitions(spark):
         settings["spark.sql.shuffle.partitions"] = str(n)
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with _settings(spark, settings):
         q = (stream.writeStream.format("parquet").option("path", f"{work}/out")
              .option("checkpointLocation", f"{work}/checkpoint").outputMode("append")
              .trigger(availableNow=True).start())
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -276,6 +285,21 @@ def _frame_files(frames: DataFrame, path: str) -> None:
     frames.select("vec_id", "image_path", "embedding").foreachPartition(write)
 
 
+def _score_files(spark: SparkSession, files: str, tables: str) -> StreamingQuery:
+    """The frame pipeline over all files there are, run to its end.
+
+    Spark looks up every micro-batch's files by a job of its own, by default
+    with a task a file, and each task's answer to the driver is some 2.8 KB
+    besides the file's status: here that job has as many tasks as run at once.
+    """
+    with _settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(_state_partitions(spark) or 32)}):
+        q = start_frame_pipeline(spark, files, tables, name=f"frames-{uuid.uuid4().hex[:12]}")
+        q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return q
+
+
 @register("stream_image_metrics", "WITH frames AS (\n" + B.VIEW_SQL["image_frames"] + ")" + _GREY_SQL + BLUR_CTE.replace("round(var_pop(lap), 6)", """
   CASE WHEN vec_id % 50 = 0 THEN 0e0 ELSE round(var_pop(lap), 6) END""") + "SELECT sensor_name, timestamp, image_path, blur_score FROM image_metrics",
           kind="stream")
@@ -283,9 +307,6 @@ def stream_image_metrics(spark, sf_dir):
     """Frame files decoded and scored in a stream, read back from the image_metrics table."""
     work = _workdir(spark, "frames")
     _frame_files(B.image_frames(spark, sf_dir), f"{work}/files")
-    q = start_frame_pipeline(spark, f"{work}/files", f"{work}/tables", name=f"frames-{work.rsplit('-', 1)[-1]}")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    _score_files(spark, f"{work}/files", f"{work}/tables")
     return spark.read.parquet(f"{work}/tables/image_metrics").select(
         "sensor_name", "timestamp", "image_path", F.round("blur_score", 6).alias("blur_score"))

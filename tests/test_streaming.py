@@ -168,6 +168,24 @@ def test_frame_pipeline_stream(spark):
     assert rows["cam7_1704067201.jpg"].blur_score == 0.0
 
 
+def test_frame_files_are_looked_up_by_few_tasks(spark):
+    """A micro-batch of many files: no job of it has a task for each, as every task answers the driver."""
+    from canopy.plans.streams import _score_files
+    frames, out = tempfile.mkdtemp(prefix="canopy-cam-"), tempfile.mkdtemp(prefix="canopy-camout-")
+    for i in range(150):
+        with open(f"{frames}/cam{i % 3}_{1704067200 + i}.png", "wb") as f:
+            f.write(b"no image")
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    q = _score_files(spark, frames, out)
+    assert spark.conf.get(setting) == before
+    assert spark.read.parquet(f"{out}/image_metrics").select("image_path").distinct().count() == 150
+    status = spark.sparkContext.statusTracker()
+    stages = [s for j in status.getJobIdsForGroup(str(q.runId)) for s in status.getJobInfo(j).stageIds]
+    tasks = [x.numTasks for x in map(status.getStageInfo, stages) if x]
+    assert tasks and max(tasks) <= max(32, spark.sparkContext.defaultParallelism)
+
+
 def test_one_tick_evaluation_matches_replay(spark):
     from canopy.sources.tables import event_bounds
     from canopy.streaming.control import evaluate_latest_tick

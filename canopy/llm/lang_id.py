@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import cut, join_groups, list_column, table
+from canopy.llm.common import cut, join_groups, table
 
 MIN_SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
@@ -41,6 +41,7 @@ UNIT = float(1 << 24)       # scores of joined words are added up in whole numbe
 FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
 BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 18, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
+SPLITS = 4                  # input partitions that a task scores, if enough tasks are left
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")   # letters, and marks behind one; no other number or sign is a letter
 
 
@@ -53,6 +54,21 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i:i + n] for i in range(len(w) - n + 1)] if n > 1 else list(word)
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Numbers in any order, repeats included, as their count and sorted differences: 2 bytes each, 6 if above 65,534."""
+    steps = np.diff(np.sort(ids), prepend=0)
+    far = steps >= 0xFFFF
+    return b"".join([np.uint32(len(ids)).tobytes(), np.where(far, 0xFFFF, steps).astype("<u2").tobytes(), steps[far].astype("<u4").tobytes()])
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The numbers of :func:`pack`, sorted."""
+    n = int(np.frombuffer(packed, "<u4", 1)[0])
+    steps = np.frombuffer(packed, "<u2", n, 4).astype(np.int64)
+    steps[steps == 0xFFFF] = np.frombuffer(packed, "<u4", -1, 4 + 2 * n)
+    return np.cumsum(steps)
+
+
 def release(spark) -> None:
     """Let Spark remove the shuffles and checkpoints of frames that are no longer held."""
     gc.collect()
@@ -180,15 +196,14 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         entries = n_rows = 0
 
         def documents(b, sums, ids):
-            n, empty = len(sums), pa.nulls(len(sums), pa.list_(pa.string()))
-            numbers = list_column(np.array([len(x) for x in ids], np.int64), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), numbers,
-                                               pa.array([task + ended] * n, pa.int64()), empty], names)
+            n = len(sums)
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.float64())), pa.array(ids, pa.binary()),
+                                               pa.array([task + ended] * n, pa.int64()), pa.nulls(n, pa.string())], names)
 
         def block(fields):
             return pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in fields], pa.nulls(1, pa.list_(pa.float64())),
-                                               pa.nulls(1, pa.list_(pa.int32())), pa.array([task + ended], pa.int64()),
-                                               pa.array([list(number)], pa.list_(pa.string()))], names)
+                                               pa.nulls(1, pa.binary()), pa.array([task + ended], pa.int64()),
+                                               pa.array([" ".join(number)], pa.string())], names)
 
         fields = ()
         for b in batches:
@@ -204,7 +219,7 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     rest += [number.setdefault(part[k], len(number)) for k in np.flatnonzero(at < 0)]
                     total += scores[at[at >= 0]].sum(axis=0)
                 sums.append(total)
-                ids.append(np.array(rest, np.int32))
+                ids.append(pack(np.array(rest, np.int64)))
                 entries, n_rows = entries + len(rest), n_rows + 1
                 if len(number) >= BLOCK_WORDS or entries >= BLOCK_ENTRIES or n_rows >= BLOCK_ROWS:
                     yield documents(b.slice(start, len(sums)), sums, ids)
@@ -216,10 +231,13 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         if number:
             yield block(fields)
 
+    # several files or splits make a block: a word that many of them hold is asked for less often
+    parts, running = rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(max(2 * running, parts // SPLITS))
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _ids array<int>, _block long, _words array<string>"))
+    base = cut(rows.mapInArrow(score, f"{fields}, _sums array<double>, _ids binary, _block long, _words string"))
     # the other words are looked up once a block of documents
-    others = base.where("_words is not null").select("_block", F.posexplode("_words").alias("_place", "word"))
+    others = base.where("_words is not null").select("_block", F.posexplode(F.split("_words", " ")).alias("_place", "word"))
     words = others.select("word").distinct()
     rare = model["entries"].where("k = 0 and not frequent").select(F.col("entry").alias("word"), "scores")
     words = cut(words.join(rare, "word", "left"))
@@ -238,14 +256,11 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             by_place[found["_place"].to_numpy()] = flat.reshape(-1, len(langs))
         out = []
         for part in documents.to_batches():
-            ids = part.column("_ids")
-            ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            ids = ids.flatten().to_numpy()
-            for sums, i, j in zip(part.column("_sums").to_pylist(), ends[:-1], ends[1:]):
+            for sums, ids in zip(part.column("_sums").to_pylist(), part.column("_ids").to_pylist()):
                 if sums is None:
                     out.append(("und", 0.0))
                     continue
-                total = np.array(sums) + by_place[ids[i:j]].sum(axis=0) / UNIT
+                total = np.array(sums) + by_place[unpack(ids)].sum(axis=0) / UNIT
                 best = int(np.argmax(total))
                 p = np.exp(np.clip(total - total[best], -700, 0))
                 out.append((langs[best], float(p[best] / p.sum())))
@@ -264,4 +279,7 @@ def op10_lang_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held))
-    return predict(docs, model, keep=[held.alias("held_out")])
+    out = predict(docs, model, keep=[held.alias("held_out")])
+    del model
+    release(spark)  # the entries aren't needed any more
+    return out

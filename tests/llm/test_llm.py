@@ -125,6 +125,26 @@ def test_shared_blocks_of_a_link():
                 assert any(enough) or len(a) == len(b) == len(np.intersect1d(a, b))
 
 
+def test_linked_nodes_keep_their_first_shared_key(spark):
+    """A node keeps h - need + 1 of its h shared keys, crowded ones last, and two nodes that share ``need`` keys one in common."""
+    import numpy as np
+    from canopy.llm.common import mix64
+    from canopy.llm.ngram_join import KEY_MASK, _hits, _key_filter
+    keys = (mix64(np.arange(1, 41, dtype=np.uint64)) & KEY_MASK).astype(np.int64).tolist()
+    frame = lambda x: spark.createDataFrame([(k,) for k in x], "key long")
+    bands = {1: (4, keys[:10]), 2: (4, keys[:4] + keys[20:26]), 3: (4, keys[:3] + keys[30:33]), 4: (1, keys[:2])}
+    docs = spark.createDataFrame([(n, 50, [b]) for n, b in bands.items()], "node long, n long, bands array<struct<need:int,keys:array<long>>>")
+    size = 1 << 16
+    got = {}
+    for r in _hits(docs, (_key_filter(frame(keys[:30]), size), size), [(_key_filter(frame(keys[:3]), size), size)]).collect():
+        got.setdefault(r.node, set()).add(r.key)
+    assert got[1] == set(keys[3:10])                    # 7 of 10: the three crowded ones go
+    assert len(got[2]) == 7 and not got[2] & set(keys[:3])
+    assert keys[3] in got[1] & got[2]                   # they share four keys: the first that isn't crowded joins them
+    assert 3 not in got                                 # three shared keys, a link needs four
+    assert got[4] == set(keys[:2])
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     path = list(range(1000, 1400))
@@ -327,6 +347,17 @@ def test_only_letters_make_words():
     assert lang_id.words_of("½ ² Ⅷ ७ 12 _ —") == [] and lang_id.words_of("x²y हिन्दी e\u0301te\u0301") == ["x", "y", "हिन्दी", "e\u0301te\u0301"]
 
 
+def test_lang_id_packs_numbers():
+    """A document's word numbers take half of an int each, come back whole, and steps beyond two bytes are kept."""
+    import numpy as np
+    from canopy.llm.lang_id import pack, unpack
+    rng = np.random.default_rng(3)
+    for ids in ([], [0], [0, 0, 0], [65534], [65535, 0], [1 << 31, 5, 5, 70000], rng.integers(0, 1 << 18, 500), rng.integers(0, 1 << 30, 500)):
+        ids = np.array(ids, np.int64)
+        assert unpack(pack(ids)).tolist() == sorted(ids.tolist())
+    assert len(pack(np.arange(1000))) < 2100
+
+
 def test_language(spark, edge, none):
     rows = LLM_QUERIES["op10_lang_id"].build(spark, SF01).collect()
     truth = {r.doc_id: r.lang for r in docs(spark, SF01).collect()}

@@ -19,8 +19,11 @@ Join.  Sets that are equal are one node.  Nodes with an equal block in common
 are candidates.  A first count finds the blocks that several nodes hold; a
 Bloom filter of them, sized by their number, picks each node's shared blocks
 where they lie.  As linked sets agree in c + 1 blocks, a node with fewer shared
-blocks in a band has no link there and leaves it.  Of blocks that the same nodes
-hold one is kept.  Sketches and sets are fetched for candidate pairs only.
+blocks in a band has no link there and leaves it, and one with h shared blocks
+needs h - c of them only: with all blocks in one order, the first block that
+two linked nodes share has c others behind it in each node.  The order puts
+blocks that many nodes hold last, so common passages bring few candidates.
+Of blocks that the same nodes hold one is kept.  Sketches and sets are fetched for candidate pairs only.
 Only components are wanted, so a block shared by many nodes
 doesn't yield all its pairs: each round compares the nodes of a block with a
 few pivots, unites what links, and goes on with the blocks that still hold
@@ -55,6 +58,7 @@ from canopy.llm.common import (bloom_bits, bloom_hit, bloom_words, byte_texts, c
 
 FILTER_HASHES = 3
 KEY_SHIFTS = (0, 11, 23)  # a key's places in the filter of shared keys: its bits from there on, up to 25 of 48
+CROWDED = (4, 64)       # keys of more nodes than that come later in the order of keys
 KEY_MASK = np.uint64((1 << 48) - 1)  # equal blocks keep equal keys; shorter keys make a smaller shuffle
 ROUNDS = 6
 PIVOTS = 3              # nodes of a block that a round compares with the others
@@ -183,26 +187,38 @@ def _key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _hits(docs: DataFrame, words: np.ndarray, bits: int) -> DataFrame:
-    """(node, n, bands) -> (node, n, key): keys in the filter, of bands with as many of them as a link needs."""
-    shipped = docs.sparkSession.sparkContext.broadcast(words)
+def _hits(docs: DataFrame, shared: tuple[np.ndarray, int], crowded: list[tuple[np.ndarray, int]]) -> DataFrame:
+    """(node, n, bands) -> (node, n, key): the first keys in the filter ``shared`` of bands with as many of them as a link needs.
+
+    Of h keys in the filter the first h - need + 1 are kept, those in fewest
+    filters of ``crowded`` first, then by key: linked nodes keep one in common.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast((shared, crowded))
+
+    def inside(key, words, bits):
+        hit = np.ones(len(key), bool)
+        for s in KEY_SHIFTS:
+            p = (key >> s) & (bits - 1)
+            hit &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return hit
 
     def run(batches):
-        filled = shipped.value
+        shared, crowded = shipped.value
         for b in batches:
             bands = b.column("bands")
             each = bands.flatten()
             need, lists = each.field("need").to_numpy(), each.field("keys")
             key, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            hit = np.ones(len(key), bool)
-            for s in KEY_SHIFTS:
-                p = (key >> s) & (bits - 1)
-                hit &= (filled[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-            ends = np.cumsum(lengths)
-            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(hit)])
-            hit &= np.repeat(upto[ends] - upto[ends - lengths] >= need, lengths)
-            row = np.repeat(np.repeat(np.arange(len(b)), bands.value_lengths().to_numpy()), lengths)[hit]
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(key[hit])],
+            band = np.repeat(np.arange(len(each)), lengths)
+            hit = inside(key, *shared)
+            found = np.bincount(band[hit], minlength=len(each))
+            at = np.flatnonzero(hit & (found >= need)[band])
+            level = sum((inside(key[at], *f).astype(np.int8) for f in crowded), np.zeros(len(at), np.int8))
+            at = at[np.lexsort((key[at], level, band[at]))]
+            place = np.arange(len(at)) - np.searchsorted(band[at], band[at])
+            at = at[place < (found - need + 1)[band[at]]]
+            row = np.repeat(np.arange(len(b)), bands.value_lengths().to_numpy())[band[at]]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(key[at])],
                                              ["node", "n", "key"])
 
     return docs.mapInArrow(run, "node long, n long, key long")
@@ -307,9 +323,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = join_groups(rows.where("n > 0").select("_row", "sig"), whole.select("sig", "node"), "sig").where("_row <> node")
     firsts = drop_rows(rows.where("n > 0").select("_row", "n", "bands"), F.col("_row"), copies.select(F.col("_row").alias("key")))
     bands_of = firsts.withColumnRenamed("_row", "node")
-    shared = cut(bands_of.select(F.explode(F.flatten("bands.keys")).alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    bits = bloom_bits(shared.count())
-    hits = _hits(bands_of, _key_filter(shared, bits), bits)
+    shared = cut(bands_of.select(F.explode(F.flatten("bands.keys")).alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    filters = []
+    for least in (1, *CROWDED):
+        keys = shared.where(F.col("m") > least)
+        bits = bloom_bits(keys.count())
+        filters.append((_key_filter(keys, bits), bits))
+    hits = _hits(bands_of, filters[0], filters[1:])
     # keys that the same nodes hold lead to the same pairs: one of them is enough
     members = hits.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("h0"),
                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h1")).where("m > 1")

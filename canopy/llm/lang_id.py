@@ -40,7 +40,7 @@ FLOOR = math.log(1e-7)      # score of what a language has not shown, or that of
 UNIT = float(1 << 24)       # scores of joined words are added up in whole numbers; none is below -128, so each fits an int
 FLUSH = 200_000             # entries of a task's counter before it is passed on
 CHUNK = 100_000             # words of a text that are scored at once
-BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 18, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
+BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 20, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
 SPLITS = 4                  # input partitions that a task scores, if enough tasks are left
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")   # letters, and marks behind one; no other number or sign is a letter
 

@@ -30,7 +30,10 @@ few pivots, unites what links, and goes on with the blocks that still hold
 several components.  Once at most ``OPEN_PAIRS`` comparisons a row are left, or
 a round no longer halves them, or ``rounds`` are over, all pairs of different
 components that are still open are compared, so no link that matters to a
-component is lost.  A comparison first takes the Hamming distance of two
+component is lost.  Their sketches are compared within tasks, each of which
+gets groups of at most two blocks of a key's nodes, and only pairs that may
+link become rows: near copies that just miss a link, or texts with a common
+passage, cost comparisons but no shuffle.  A comparison first takes the Hamming distance of two
 sketches of ``BITS`` parity bits (more for long sets), which can't exceed the difference of the
 sets, and intersects the full sets only if that leaves a link possible.
 
@@ -63,6 +66,8 @@ KEY_MASK = np.uint64((1 << 48) - 1)  # equal blocks keep equal keys; shorter key
 ROUNDS = 6
 PIVOTS = 3              # nodes of a block that a round compares with the others
 OPEN_PAIRS = 4          # all open pairs are compared once they are at most so many a row
+BLOCK_NODES = 2048      # of a key, about: a task compares a block with itself or another one
+PAIRS_AT_ONCE = 1 << 17 # sketches that a task compares in one step
 BAND_RATIO = 1.5
 BITS = 1024             # of the sketch that candidates are compared by first
 CACHE_WORDS = 500_000   # word hashes that a task remembers
@@ -274,6 +279,81 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(may).select("a", "b")
 
 
+def _compare(group: pa.Table, percent: int):
+    """Batches of pairs (a, b) that may link, of whole groups (key, lo, hi) sorted by these and ``own``."""
+    key, lo, hi, own, node, n, comp = (group[c].to_numpy() for c in ("key", "lo", "hi", "own", "node", "n", "comp"))
+    lists = group["bits"].combine_chunks()
+    flat, sizes = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+    at, long = np.cumsum(sizes) - sizes, sizes > BITS // 64
+    short = np.empty((len(n), BITS // 64), np.uint64)
+    short[~long] = flat[at[~long, None] + np.arange(BITS // 64)]
+    wide = flat[at[long, None] + np.arange(BITS // 4)]
+    short[long] = np.bitwise_xor.reduce(wide.reshape(-1, 16, BITS // 64), axis=1)  # folded: the sketch of BITS bits
+    wide_at = np.cumsum(long) - 1
+
+    def may(x, y, bits):
+        apart = np.bitwise_count(bits[0][bits[1][x]] ^ bits[0][bits[1][y]]).sum(axis=1, dtype=np.int64)
+        return (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+
+    place = np.arange(len(n))
+    starts = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)))
+    lengths = np.diff(np.append(starts, len(n)))
+    end = np.repeat(starts + lengths, lengths)
+    second = np.repeat(starts + np.add.reduceat((own == lo).astype(np.int64), starts), lengths)
+    first = np.where(lo == hi, place + 1, np.where(own == lo, second, end))
+    ends = np.cumsum(end - first)  # of each row's pairs
+    r = 0
+    while r < len(n):
+        done = ends[r - 1] if r else 0
+        to = max(r + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+        count = end[r:to] - first[r:to]
+        x = np.repeat(place[r:to], count)
+        y = first[x] + np.arange(len(x)) - np.repeat(ends[r:to] - count - done, count)
+        r = to
+        keep = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[keep], y[keep]
+        keep = may(x, y, (short, place))
+        x, y = x[keep], y[keep]
+        both = np.flatnonzero(long[x] & long[y])
+        keep = np.ones(len(x), bool)
+        keep[both] = may(x[both], y[both], (wide, wide_at))
+        a, b = node[x[keep]], node[y[keep]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with a key in common, of different components, whose sketches leave a link possible.
+
+    A key's nodes are dealt into blocks of about ``BLOCK_NODES``, and every two
+    blocks are a group; pairs are built and dropped within tasks, a few at a time.
+    """
+    crowds = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).alias("blocks")).where("blocks > 1")
+    dealt = (join_groups(rows, crowds, "key", "left").join(sketches.select("node", "bits"), "node")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "comp", "bits"))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            # the last group may go on in the next batch
+            key, lo, hi = (t[c].to_numpy() for c in ("key", "lo", "hi"))
+            whole = int(np.flatnonzero((key != key[-1]) | (lo != lo[-1]) | (hi != hi[-1])).max(initial=-1)) + 1
+            if whole:
+                yield from _compare(t.slice(0, whole), percent)
+            held = t.slice(whole)
+        if held is not None:
+            yield from _compare(held, percent)
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own").mapInArrow(run, "a long, b long")
+
+
 def _components(multi: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """(node, component) of the nodes that link; ``multi``: (key, node, n) of keys with several nodes."""
     spark = multi.sparkSession
@@ -290,17 +370,17 @@ def _components(multi: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         last = left <= OPEN_PAIRS * n or r == rounds or (before is not None and 2 * left > before)
         before = left
         if last:
-            other = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-            pairs = rows.join(other, "key").where(close & (F.col("node") < F.col("pivot")) & (F.col("comp") != F.col("pcomp")))
+            pairs = _open_pairs(rows, sketches, percent).distinct()
         else:
             orders = [F.col("node") if r + j == 0 else F.xxhash64("node", F.lit(r * PIVOTS + j)) for j in range(PIVOTS)]
             pivots = rows.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "comp")).alias(f"p{j}") for j, o in enumerate(orders)])
             pairs = (join_groups(rows, pivots, "key").withColumn("p", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])))
-                     .where("comp <> p.comp").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).where(close))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+                     .where("comp <> p.comp").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).where(close)
+                     .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+            pairs = _near(pairs, sketches, percent)
         if apart_pairs is not None:
             pairs = pairs.join(apart_pairs, ["a", "b"], "left_anti")
-        judged = cut(_verify(_near(pairs, sketches, percent), sets, percent))
+        judged = cut(_verify(pairs, sets, percent))
         links = judged.where("linked").select("a", "b")
         comps = connected_components(links if comps is None else links.union(comps))
         if last:

@@ -111,6 +111,30 @@ def test_jaccard_join_of_long_sets(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_open_pairs_that_may_link(spark, monkeypatch):
+    """Pairs are dropped where they are built: only those whose sketches leave a link possible become rows, at any size of a block."""
+    rng = np.random.default_rng(7)
+    draw = lambda k: rng.integers(0, 1 << 63, k).astype(np.uint64)
+    near = [np.unique(np.concatenate([base[:len(base) - cut], draw(cut)])) for base in (draw(60), draw(1000), draw(1030), draw(1500))
+            for cut in (len(base) // 100, len(base) // 8) * 7]
+    nodes = [(i, len(s), i % 5 if i % 3 else i + 100, np.frombuffer(ngram_join.parity_bits(s), np.int64).tolist()) for i, s in enumerate(near)]
+    rows = spark.createDataFrame([(k, i, n, c) for i, n, c, _ in nodes for k in (1, 2 + i % 4, 50 + i // 2)], "key long, node long, n long, comp long")
+    sketches = spark.createDataFrame([(i, n, b) for i, n, _, b in nodes], "node long, n long, bits array<long>")
+    folded = [np.bitwise_xor.reduce(np.array(b).reshape(-1, 16), axis=0) for *_, b in nodes]
+    want = set()
+    for (i, n, c, x), (j, m, d, y) in itertools.combinations(nodes, 2):
+        x, y = (np.array(x), np.array(y)) if len(x) == len(y) else (folded[i], folded[j])
+        if c != d and 190 * int(np.bitwise_count(x ^ y).sum()) <= 10 * (n + m) and 100 * min(n, m) >= 90 * max(n, m):
+            want.add((i, j))
+    assert 30 < len(want) < 400
+    for size in (2048, 6):
+        monkeypatch.setattr(ngram_join, "BLOCK_NODES", size)
+        got = ngram_join._open_pairs(rows, sketches, 90)
+        assert {tuple(r) for r in got.collect()} == want
+    far = rows.where("node % 2 = 1 and node < 14")  # a key's nodes that miss a link: no row at all
+    assert far.where("key = 1").count() == 7 and ngram_join._open_pairs(far.withColumn("comp", far.node), sketches, 90).count() == 0
+
+
 def test_shared_blocks_of_a_link():
     rng = np.random.default_rng(3)
     for n in (12, 25, 60, 200, 700):

@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,12 @@ CHUNK = 100_000             # words of a text that are scored at once
 BLOCK_WORDS, BLOCK_ENTRIES, BLOCK_ROWS = 1 << 20, 1 << 22, 1 << 16  # a block of documents ends with the text that reaches one of them
 SPLITS = 4                  # input partitions that a task scores, if enough tasks are left
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")   # letters, and marks behind one; no other number or sign is a letter
+ASCII_WORD = re.compile(r"[a-z]+")             # the same in lower-cased ASCII, found sooner
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -215,8 +219,8 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 total, rest = prior.copy() if words else None, []
                 for j in range(0, len(words), CHUNK):
                     part = words[j:j + CHUNK]
-                    at = np.fromiter((place.get(w, -1) for w in part), np.int64, len(part))
-                    rest += [number.setdefault(part[k], len(number)) for k in np.flatnonzero(at < 0)]
+                    at = np.fromiter(map(place.get, part, repeat(-1)), np.int64, len(part))
+                    rest += [number.setdefault(part[k], len(number)) for k in np.flatnonzero(at < 0).tolist()]
                     total += scores[at[at >= 0]].sum(axis=0)
                 sums.append(total)
                 ids.append(pack(np.array(rest, np.int64)))

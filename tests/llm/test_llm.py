@@ -369,6 +369,10 @@ def test_dropped_rows_take_clashing_names(spark):
 
 def test_only_letters_make_words():
     assert lang_id.words_of("½ ² Ⅷ ७ 12 _ —") == [] and lang_id.words_of("x²y हिन्दी e\u0301te\u0301") == ["x", "y", "हिन्दी", "e\u0301te\u0301"]
+    # the short way through texts that are ASCII once lower-cased finds the same words
+    plain = ["Don't STOP_now 3rd x2y", "\u212aelvin a\x7fb\x00c", "".join(map(chr, range(128))), ""]
+    assert all(t.lower().isascii() and lang_id.words_of(t) == lang_id.WORD.findall(t.lower()) for t in plain)
+    assert lang_id.ASCII_WORD.findall("a1b") == ["a", "b"]
 
 
 def test_lang_id_packs_numbers():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from canopy.session import shared_dir
 
+BATCH_BYTES = 2 << 20  # of an Arrow batch that a task turns into Python objects or arrays at once
+
 
 @dataclass
 class LlmQuery:
@@ -177,6 +179,14 @@ def byte_texts(col: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield v or b""
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in pieces of about ``size`` bytes, so a task's Python objects and results stay small at any length of the rows."""
+    for b in batches:
+        rows = max(1, b.num_rows * size // max(size, b.nbytes))
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of uint64 values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

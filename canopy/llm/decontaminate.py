@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import cut, list_column, mix64, table
+from canopy.llm.common import cut, list_column, mix64, small_batches, table
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 2, 4, 7, 8, 9), (0, 1, 3, 6, 8, 11, 12))
 FILTER_BITS = 1 << 23     # 1 MB
 PROBES = 4
 SLICE = 256               # positions whose hits share a slice of text
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 15     # word hashes that a task remembers
 ODD = np.uint64(0x9E3779B97F4A7C15)
 TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -139,7 +139,7 @@ def contaminated_pairs(df: DataFrame, bench: DataFrame, id_col: str = "doc_id",
 
     def scan(batches):
         hashes, words = WordHashes(), sent.value
-        for b in batches:
+        for b in small_batches(batches):
             counts, flat = [], {"start": [], "tokens": [], "pos": [], "hash": []}
             for text in b[1].to_pylist():
                 t = tokens_of(text, hashes)

@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import (bloom_bits, bloom_hit, bloom_words, byte_texts, connected_components, cut, drop_rows, join_groups,
-                               list_column, mix64, table)
+                               list_column, mix64, small_batches, table)
 
 FILTER_HASHES = 3
 KEY_SHIFTS = (0, 11, 23)  # a key's places in the filter of shared keys: its bits from there on, up to 25 of 48
@@ -67,10 +67,10 @@ ROUNDS = 6
 PIVOTS = 3              # nodes of a block that a round compares with the others
 OPEN_PAIRS = 4          # all open pairs are compared once they are at most so many a row
 BLOCK_NODES = 2048      # of a key, about: a task compares a block with itself or another one
-PAIRS_AT_ONCE = 1 << 17 # sketches that a task compares in one step
+PAIRS_AT_ONCE = 1 << 15 # sketches that a task compares in one step
 BAND_RATIO = 1.5
 BITS = 1024             # of the sketch that candidates are compared by first
-CACHE_WORDS = 500_000   # word hashes that a task remembers
+CACHE_WORDS = 1 << 15   # word hashes that a task remembers: the first ones, so the frequent ones
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,7 +161,7 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in small_batches(batches):
             n, sig, bits, bands = [], [], [], []
             for text in byte_texts(b.column("_t")):
                 s = shingle_set(text, width, hashes)
@@ -209,7 +209,7 @@ def _hits(docs: DataFrame, shared: tuple[np.ndarray, int], crowded: list[tuple[n
 
     def run(batches):
         shared, crowded = shipped.value
-        for b in batches:
+        for b in small_batches(batches):
             bands = b.column("bands")
             each = bands.flatten()
             need, lists = each.field("need").to_numpy(), each.field("keys")
@@ -234,7 +234,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in small_batches(batches):
             sets = [shingle_set(t, width, hashes) for t in byte_texts(b.column("_t"))]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()),
                                               pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
@@ -246,7 +246,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) -> (a, b, linked) by intersecting the full sets."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             linked = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

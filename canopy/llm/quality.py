@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import cut, join_groups, list_column, table
+from canopy.llm.common import cut, join_groups, list_column, small_batches, table
 
 MAX_LABELLED = 6_000
 ROUNDS = 4
@@ -53,13 +53,14 @@ META = 5                # values of a document's metadata
 STEPS, MORE_STEPS = 150, 40
 REFRESH = 4             # steps between two passes over the unlabelled documents
 FIXED = 2.0 ** 32       # sums of tasks are added up as whole numbers, in whatever order they come
+CACHE_WORDS = 1 << 15   # words whose places a task remembers
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Slots(dict):
     def __missing__(self, word: str) -> int:
         h = zlib.crc32(word.encode("utf-8", "replace")) & (WORD_SLOTS - 1)
-        if len(self) < 500_000:
+        if len(self) < CACHE_WORDS:
             self[word] = h
         return h
 
@@ -207,7 +208,7 @@ def pool_rows(docs: DataFrame, known: DataFrame, columns: np.ndarray) -> DataFra
     def features(batches):
         slots, place = Slots(), np.full(WORD_SLOTS, -1, np.int32)
         place[sent.value] = np.arange(len(sent.value))
-        for b in batches:
+        for b in small_batches(batches):
             c, at, shape, meta = b.to_pydict(), [], [], []
             for text, *m in zip(c["text"], c["source"], c["lang"], c["n_chars"]):
                 a, v = text_features(text, slots)
@@ -385,7 +386,7 @@ def score(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
 
     def run(batches):
         slots, good, bad = Slots(), sent.value["quality"], sent.value["toxic"]
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             for t, s, lang, n in zip(*(b.column(x).to_pylist() for x in ("_t", "_s", "_l", "_n"))):
                 at, v = text_features(t, slots)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import cut, list_column, table
+from canopy.llm.common import cut, list_column, small_batches, table
 
 CHUNK_CHARS = 32_768
 BLOCK = 64              # matrices multiplied in one task
@@ -323,12 +323,12 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def short(batches):
         enc = sent.value.encoder()
-        for b in batches:
+        for b in small_batches(batches):
             texts = b[1].to_pylist()
             yield batch(b[0], [enc.whole(normal(t)) for t in texts], texts)
 
     def check(batches):
-        for b in batches:
+        for b in small_batches(batches):
             yield batch(b[0], b[2].to_pylist(), b[1].to_pylist())
 
     schema = f"_id {kind}, n_tokens long, ids array<int>, round_trip boolean"

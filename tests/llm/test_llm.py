@@ -3,9 +3,11 @@
 import collections
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ pytest.importorskip("canopy.llm")
 import corpus_pipeline  # noqa: E402
 from canopy.llm import (decontaminate as dc, exact_dedup, lang_id, ngram_join, pii, quality, sentencepiece_scan as sp,  # noqa: E402
                         sharding, url_filter, warc)
-from canopy.llm.common import connected_components, drop_rows  # noqa: E402
+from canopy.llm.common import connected_components, drop_rows, list_column, small_batches  # noqa: E402
 from canopy.llm.queries import LLM_QUERIES  # noqa: E402
 from oracle import compare  # noqa: E402
 
@@ -135,6 +137,46 @@ def test_open_pairs_that_may_link(spark, monkeypatch):
     assert far.where("key = 1").count() == 7 and ngram_join._open_pairs(far.withColumn("comp", far.node), sketches, 90).count() == 0
 
 
+class Tasks:
+    """Stands for a DataFrame of which only ``mapInArrow`` is used: keeps the task's function."""
+
+    def __init__(self, batch):
+        self.batch, self.dtypes = batch, [("_id", "bigint"), ("_t", "string")]
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        tracemalloc.start()
+        self.rows = sum(b.num_rows for b in run([self.batch]))
+        self.peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return self
+
+
+def test_tasks_hold_little_of_a_batch():
+    """What a near-copy task holds at once doesn't grow with its batches' rows or the corpus' words."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(700)) for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(2000)), "_t": texts})
+    assert batch.nbytes > 12 << 20
+    tasks = Tasks(batch)
+    ngram_join._sketches(tasks, 5, 80)
+    assert tasks.rows == 2000 and tasks.peak < 40 << 20, tasks.peak
+    rng = np.random.default_rng(3)
+    n = 700
+    bits = list_column(np.full(n, 16, np.int32), pa.array(rng.integers(0, 1 << 62, 16 * n)))
+    group = pa.table({"key": [1] * n, "lo": [0] * n, "hi": [0] * n, "own": [0] * n, "node": list(range(n)), "n": [900] * n, "comp": list(range(n)), "bits": bits})
+    tracemalloc.start()
+    assert not list(ngram_join._compare(group, 90))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20, peak
+
+
+def test_small_batches_keep_rows_in_order():
+    whole = pa.RecordBatch.from_pydict({"a": list(range(1000)), "t": ["x" * (i % 90) for i in range(1000)]})
+    parts = list(small_batches([whole, whole.slice(0, 0), whole.slice(10, 5)], 1000))
+    assert [x for p in parts for x in p["a"].to_pylist()] == [*range(1000), *range(10, 15)]
+    assert len(parts) > 50 and max(p.nbytes for p in parts) < 2500 and any(p.num_rows == 0 for p in parts)
+
+
 def test_shared_blocks_of_a_link():
     rng = np.random.default_rng(3)
     for n in (12, 25, 60, 200, 700):

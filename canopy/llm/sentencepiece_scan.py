@@ -44,7 +44,8 @@ from canopy.llm.common import cut, list_column, small_batches, table
 
 CHUNK_CHARS = 32_768
 BLOCK = 64              # matrices multiplied in one task
-CACHE_PARTS = 600_000   # encoded parts that a task remembers
+CHUNK_BYTES = 1 << 18   # of a batch of chunks that a task works on at once: each makes a matrix or several paths
+CACHE_PARTS = 300_000   # encoded parts that a task remembers
 CACHE_CHARS = 32        # longer ones are encoded again
 UNK_PENALTY = 10.0      # as the library has it: below the lowest score
 SPACE = "▁"
@@ -252,7 +253,7 @@ def _giants(docs: DataFrame, sent, chunk: int) -> DataFrame:
 
     def matrices(batches):
         enc = sent.value.encoder()
-        for b in batches:
+        for b in small_batches(batches, CHUNK_BYTES):
             c = b.to_pydict()
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(
                 [enc.transfer(s, n).tobytes() for s, n in zip(c["s"], c["n"])], pa.binary())], ["row", "k", "t"])
@@ -283,7 +284,7 @@ def _giants(docs: DataFrame, sent, chunk: int) -> DataFrame:
 
     def trace(batches):
         enc = sent.value.encoder()
-        for b in batches:
+        for b in small_batches(batches, CHUNK_BYTES):
             c = b.to_pydict()
             got = [[{"j": j, "i": i, "ids": ids} for j, i, ids in enc.traces(s, n, np.frombuffer(v))] for s, n, v in zip(c["s"], c["n"], c["v"])]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(got, pa.list_(pa.struct(

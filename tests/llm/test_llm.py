@@ -316,6 +316,16 @@ def test_sentencepiece(spark, edge, none):
     assert sp.encode(none, sp.default_model()).count() == 0
 
 
+def test_chunks_in_small_batches_change_nothing(spark, monkeypatch):
+    text = "Some words, and more words of a long text. " * 40
+    rows = spark.createDataFrame([(i, text[i:] + "x" * i) for i in range(6)], "doc_id long, text string")
+    want = {r.doc_id: r.ids for r in sp.encode(rows, sp.default_model()).collect()}
+    for size in (sp.CHUNK_BYTES, 1):  # one chunk at a time
+        monkeypatch.setattr(sp, "CHUNK_BYTES", size)
+        got = sp.encode(rows, sp.default_model(), chunk_chars=100)
+        assert {r.doc_id: r.ids for r in got.collect()} == want and got.where("not round_trip").isEmpty()
+
+
 def test_masks_are_lossless():
     for e in itertools.combinations(range(dc.WINDOW), dc.SUBSTITUTIONS):
         assert any(not {s + j for j in m} & set(e) for m in dc.MASKS for s in range(dc.WINDOW - m[-1]))

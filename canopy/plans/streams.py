@@ -30,6 +30,7 @@ from canopy.sources import landing as L
 from canopy.sources.tables import event_bounds
 from canopy.plans import modes as P
 from canopy.plans.images import BLUR_CTE, WIDTH
+from canopy.streaming import blocks
 from canopy.streaming import ingest as I
 from canopy.streaming import modes as Mo
 from canopy.streaming import state as S
@@ -93,14 +94,14 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _run(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
+def _run(spark: SparkSession, stream: DataFrame, work: str, start: dict[str, str] | None = None) -> DataFrame:
     """Run to completion into a parquet file sink (exactly-once); return its table.
 
     A fresh checkpoint fixes the number of state partitions and the state store
     at start: the cluster's default parallelism and RocksDB (which timers need)
-    are set for the start, then the session's values are restored.
+    are set for the start, with the settings ``start``; then the session's values are restored.
     """
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB} | (start or {})
     if n := _state_partitions(spark):
         settings["spark.sql.shuffle.partitions"] = str(n)
     with _settings(spark, settings):
@@ -160,7 +161,7 @@ def stream_ack_join(spark, sf_dir):
     work = _workdir(spark, "acks")
     c = _snapshot(spark, B.commands(spark, sf_dir), f"{work}/commands")
     a = _snapshot(spark, B.acks(spark, sf_dir), f"{work}/acks")
-    return _run(spark, Wn.ack_join_stream(c, a), work)
+    return _run(spark, Wn.ack_join_stream(c, a), work, blocks.SETTINGS)
 
 
 @register("stream_late_replay", B.with_views("telemetry") + """

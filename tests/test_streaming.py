@@ -150,6 +150,97 @@ def test_ack_join_stream_matches_batch(spark):
     assert _rows(spark.table(name), cols) == _rows(command_ack(spark, SF), cols)
 
 
+def _ack_rows(seed, n, ids=40):
+    """Commands and acks with equal keys and times, null keys, times and texts, and acks on the window's edges."""
+    import random
+    rnd = random.Random(seed)
+    day = 86_400_000_000
+    c = [(rnd.choice([None, *range(ids)]), rnd.choice([None, "pump", "pumpe ü", ""]), rnd.choice([None, rnd.randrange(100, 280) * day + rnd.randrange(3)]))
+         for _ in range(n)]
+    a = [(i, None if t is None else t + rnd.choice([-1, 0, 1, 30 * day, 30 * day + 1, 9 * day, 45 * day]), rnd.choice(["F", None, "DONE"]))
+         for i, _, t in rnd.choices(c, k=2 * n)]
+    pairs = sorted(((i, x, t, u, y) for i, x, t in c for j, u, y in a if None not in (i, j, t, u) and i == j and t <= u <= t + 30 * day), key=repr)
+    return c, a, pairs
+
+
+def _acks_run(spark, batches, text=False):
+    """The stream join of (commands, acks) a micro-batch -> (its rows, the progress of its batches)."""
+    at = lambda df: df.select(df.columns[0], *(F.timestamp_add("MICROSECOND", F.col(x), F.lit("1970-01-01").cast("timestamp_ntz")).alias("time")
+                                               if x == "us" else x for x in df.columns[1:]))
+    made = []
+    for side, schema in zip(zip(*batches), ("cmd_id long, target string, us long", "cmd_id long, us long, status string")):
+        src = tempfile.mkdtemp(prefix="canopy-acks-")
+        for rows in side:
+            df = at(spark.createDataFrame(rows, schema)).coalesce(1)
+            (df.withColumn("cmd_id", F.concat(F.lit("k"), F.col("cmd_id").cast("string"))) if text else df).write.mode("append").parquet(src)
+        made.append(spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src))
+    name = "acks_" + src.rsplit("-", 1)[-1].replace("-", "_")
+    q = (Wn.ack_join_stream(*made).writeStream.format("memory").queryName(name)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert q.exception() is None
+    us = lambda x: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(x)).alias(x)
+    got = spark.table(name).select("cmd_id", "target", us("cmd_time"), us("ack_time"), "status").collect()
+    return sorted((tuple(r) for r in got), key=repr), q.recentProgress
+
+
+def test_ack_join_of_odd_rows(spark):
+    """Nulls, repeated keys and rows, both edges of the window, ids as text."""
+    c, a, pairs = _ack_rows(1, 150)
+    assert len(pairs) > 100
+    assert _acks_run(spark, [(c, a)])[0] == pairs
+    assert _acks_run(spark, [(c, a)], text=True)[0] == sorted(((f"k{p[0]}", *p[1:]) for p in pairs), key=repr)
+
+
+def test_ack_join_keeps_blocks_in_its_state(spark):
+    """The state of many rows is few entries, and none stays once the watermark has passed them."""
+    day = 86_400_000_000
+    c = [(i, "pump", (100 + i % 50) * day) for i in range(8000)]
+    a = [(i % 8000, (100 + i % 8000 % 50) * day + i // 8000, "F") for i in range(16000)]
+    c.append((-1, "pump", 400 * day))
+    a.append((-1, 400 * day, "F"))
+    got, progress = _acks_run(spark, [(c, a)])
+    assert len(got) == 16001 and len(set(got)) == 16001
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert 0 < kept[0] < 24000 / 8
+    assert kept[-1] <= 3  # the last command's blocks, in two slots, and its ack's
+
+
+def test_ack_join_over_batches(spark):
+    """Commands and acks of one micro-batch meet those of others in either order; late rows are dropped."""
+    day = 86_400_000_000
+    c = [(1, "a", 100 * day), (2, "b", 101 * day), (3, "c", 200 * day), (4, "d", 20 * day)]  # 4 comes when the watermark is past it
+    a = [[(2, 102 * day, "F")], [(1, 101 * day, "F")], [(9, 200 * day, "F"), (3, 201 * day, "F")], [(4, 21 * day, "F")]]  # a file each
+    on_time = [(1, "a", 100 * day, 101 * day, "F"), (2, "b", 101 * day, 102 * day, "F"), (3, "c", 200 * day, 201 * day, "F")]
+    assert _acks_run(spark, [([x], y) for x, y in zip(c, a)])[0] == on_time
+
+
+def test_ack_blocks_of_many_sizes(monkeypatch):
+    """Blocks cut by bytes, packed twice, matched a few rows at a time: the pairs of a nested loop."""
+    import numpy as np
+    import pyarrow as pa
+    from canopy.streaming import blocks as Bl
+    rnd = np.random.default_rng(3)
+    for name, value in (("PACK_ROWS", 60), ("BLOCK_BYTES", 200), ("OUT_ROWS", 20), ("MATCH_ROWS", 5)):
+        monkeypatch.setattr(Bl, name, value)
+    kinds = {"id": "string", "t_us": "bigint", "value": "string"}
+    sides = []
+    for n in (150, 250):
+        rows = [(int(b), f"k{b}{rnd.integers(5)}", int(rnd.integers(-300, 300)), rnd.choice(["", "ü" * int(rnd.integers(90)), None])) for b in rnd.integers(0, 3, n)]
+        batch = lambda some: pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), *(pa.array([r[i] for r in some]) for i in (1, 2, 3))],
+                                                        names=["bucket", *kinds])
+        small = [*Bl._packer(100, kinds, False)(batch(rows[i:i + 25]) for i in range(0, n, 25))]
+        packed = pa.Table.from_batches([*Bl._packer(100, kinds, True)(iter(small))]).to_pylist()
+        assert sum(len(b["t_us"]) // 8 for b in packed) == n and max(len(b["value_text"]) for b in packed) < 200 + 180
+        sides.append((rows, packed))
+    (le, l_packed), (r, r_packed) = sides
+    met = [{**{f"l_{k}": v for k, v in x.items()}, **{f"r_{k}": v for k, v in y.items()}} for x in l_packed for y in r_packed
+           if x["bucket"] == y["bucket"] and y["slot"] - x["slot"] in (0, 1)]
+    one = pa.Table.from_pylist(met).combine_chunks().to_batches()[0]
+    got = [tuple(x.values()) for b in Bl._matcher(100, *("string",) * 3)([one.slice(0, 7), one.slice(7)]) for x in b.to_pylist()]
+    assert sorted(got, key=repr) == sorted(((i, v, t, u, w) for _, i, t, v in le for _, j, u, w in r if i == j and 0 <= u - t <= 100), key=repr)
+
+
 def test_frame_pipeline_stream(spark):
     import numpy as np
     from test_vision import _png

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 BUCKETS = 256            # part of the state's keys: a query's checkpoint holds for this number only
 PACK_TASKS = 32          # tasks, or four a core if that's more, that pack a micro-batch's small blocks again
-PACK_ROWS = 1 << 20      # rows, or bytes, that a task holds at most before it packs them
-PACK_BYTES = 32 << 20
+PACK_ROWS = 1 << 21      # rows, or bytes, that a task holds at most before it packs them
+PACK_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 18    # a block's bytes, to within a row
 OUT_ROWS = 1 << 16       # rows in the blocks handed to Spark at once, to within a block
+MATCH_IN = 1 << 15       # rows of pairs of blocks compared at once, to within a pair: look-ups stay in the processor's cache
 MATCH_ROWS = 1 << 18     # pairs of rows of one key held at once, to within a block
 
 # For a query's start: batches for Python end by their rows (256 pairs of blocks: 128 MB), not by their bytes,
@@ -164,8 +165,10 @@ def _matcher(reach_us: int, id_kind: str, l_kind: str, r_kind: str) -> Callable[
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            if b.num_rows:
-                yield from match(b)
+            upto = np.cumsum(_bytes(b["l_t_us"])[1] // 8 + _bytes(b["r_t_us"])[1] // 8) if b.num_rows else np.zeros(0, int)
+            cuts = np.flatnonzero(np.r_[True, np.diff(upto // MATCH_IN) > 0]) if b.num_rows else upto
+            for i, j in zip(cuts, np.r_[cuts[1:], b.num_rows]):
+                yield from match(b.slice(i, j - i))
     return run
 
 

@@ -221,7 +221,7 @@ def test_ack_blocks_of_many_sizes(monkeypatch):
     import pyarrow as pa
     from canopy.streaming import blocks as Bl
     rnd = np.random.default_rng(3)
-    for name, value in (("PACK_ROWS", 60), ("BLOCK_BYTES", 200), ("OUT_ROWS", 20), ("MATCH_ROWS", 5)):
+    for name, value in (("PACK_ROWS", 60), ("BLOCK_BYTES", 200), ("OUT_ROWS", 20), ("MATCH_IN", 40), ("MATCH_ROWS", 5)):
         monkeypatch.setattr(Bl, name, value)
     kinds = {"id": "string", "t_us": "bigint", "value": "string"}
     sides = []
